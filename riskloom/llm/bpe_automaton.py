@@ -41,7 +41,7 @@ class MergeAutomaton:
         self.n_arcs = 0
         for time, (u, v) in enumerate(merges):
             self._add_gadget(vocab[u], vocab[v], vocab[u + v], time)
-        self._build_trie(merges)
+        self._build_trie()
 
     def _add_gadget(self, u: int, v: int, w: int, time: int) -> None:
         if (u, v) in self.taken or not self._arc(u, v, time):
@@ -67,19 +67,21 @@ class MergeAutomaton:
             time = min(time, self.made[nxt])
             nxt = self.left[nxt]
 
-    def _build_trie(self, merges: list[tuple[str, str]]) -> None:
+    def _build_trie(self) -> None:
         """Labels by their symbols, so that the arcs that spell the text at a place are found in one walk."""
         end = self.word_end
-        self.inner: dict = {}
-        reachable = {i for i in self.made} | {i for s in byte_labels() for t in (s, s + end) if (i := self.vocab.get(t)) is not None}
-        self.single: dict[str, int | None] = {}
-        for i in reachable:
+        self.first: dict = {}
+        base = {i for s in byte_labels() for t in (s, s + end) if (i := self.vocab.get(t)) is not None}
+        for i in self.made.keys() | base:
             label = self.labels[i]
-            ends = bool(end) and label.endswith(end)
-            node = self.inner
-            for symbol in label[: len(label) - len(end)] if ends else label:
+            symbols = list(label)
+            if end and label.endswith(end):
+                symbols = list(label[: -len(end)])
+                symbols[-1] += end
+            node = self.first
+            for symbol in symbols:
                 node = node.setdefault(symbol, {})
-            node["ends" if ends else "on"] = i
+            node[0] = i
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word, given by its byte symbols. Symbols without a token are left out.
@@ -87,43 +89,57 @@ class MergeAutomaton:
         The walk takes the longest label first and remembers places that led nowhere: of all label
         sequences that spell the word the automaton has just one.
         """
-        if any(c not in self.inner for c in set(word)):
-            word = "".join(c for c in word if c in self.inner)
-        n = len(word)
-        last = "ends" if self.word_end else "on"
+        symbols = list(word)
+        if symbols:
+            symbols[-1] += self.word_end
+        if not self.first.keys() >= set(symbols):
+            symbols = [s for s in symbols if s in self.first]
+        n, first, rows = len(symbols), self.first, self.rows
         open_arcs: list[list[tuple[int, int]]] = []  # of each place on the path: arcs not yet refuted, the one taken last
         places: list[int] = []
-        place, state, dead = 0, -1, set()
+        path: list[int] = [-1]
+        place, dead = 0, set()
         while place < n:
-            row = self.rows.get(state)
-            if row is None:
-                row = self.rows[state] = {}
-            node, found = self.inner, []
+            node, arcs = first, []
             for at in range(place, n):
-                node = node.get(word[at])
+                node = node.get(symbols[at])
                 if node is None:
                     break
-                i = node.get("on" if at + 1 < n else last)
-                if i is None or at + 1 in dead:
-                    continue
-                ok = row.get(i)
-                if ok is None:
-                    ok = row[i] = state < 0 or self._arc(state, i)
-                    self.n_arcs += 1
-                if ok:
-                    found.append((i, at + 1))
+                if 0 in node:
+                    arcs.append((node[0], at + 1))
             places.append(place)
-            open_arcs.append(found)
-            while not open_arcs[-1]:
+            open_arcs.append(arcs)
+            while True:
+                state = path[-1]
+                while arcs:
+                    i, at = arcs[-1]
+                    if at not in dead:
+                        if state < 0:
+                            break
+                        row = rows.get(state)
+                        if row is None:
+                            row = rows[state] = {}
+                        ok = row.get(i)
+                        if ok is None:
+                            ok = row[i] = self._arc(state, i)
+                            self.n_arcs += 1
+                        if ok:
+                            break
+                    arcs.pop()
+                if arcs:
+                    path.append(i)
+                    place = at
+                    break
                 dead.add(places.pop())
                 open_arcs.pop()
+                path.pop()
                 if not open_arcs:
                     raise ValueError(f"no path spells {word!r}")
-                open_arcs[-1].pop()
-            state, place = open_arcs[-1][-1]
+                arcs = open_arcs[-1]
+                arcs.pop()
         if self.n_arcs > KEPT_ARCS:
             self.rows, self.n_arcs = {}, 0
-        return [arcs[-1][0] for arcs in open_arcs]
+        return path[1:]
 
     def add_labels(self, labels: dict[int, str]) -> None:
         """Labels of special tokens, which no path holds but which decoding may meet."""
