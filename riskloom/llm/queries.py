@@ -7,6 +7,8 @@ import importlib
 #: Module and function of each query, in the order of the operators.
 _QUERIES = (
     ("op1_bpe", "op1_bpe"),
+    ("op3_bitplanes", "op3_bitplanes"),
+    ("op4_packing", "op4_packing"),
 )
 
 
