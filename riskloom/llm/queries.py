@@ -9,6 +9,8 @@ _QUERIES = (
     ("op1_bpe", "op1_bpe"),
     ("op3_bitplanes", "op3_bitplanes"),
     ("op4_packing", "op4_packing"),
+    ("op5_tiff", "op5_tiff"),
+    ("op8_ngram_join", "op8_ngram_join"),
 )
 
 
