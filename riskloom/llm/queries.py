@@ -10,6 +10,8 @@ _QUERIES = (
     ("op3_bitplanes", "op3_bitplanes"),
     ("op4_packing", "op4_packing"),
     ("op5_tiff", "op5_tiff"),
+    ("op6_line_dedup", "op6_line_dedup"),
+    ("op7_quality", "op7_quality"),
     ("op8_ngram_join", "op8_ngram_join"),
 )
 
