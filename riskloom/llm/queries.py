@@ -7,12 +7,16 @@ import importlib
 #: Module and function of each query, in the order of the operators.
 _QUERIES = (
     ("op1_bpe", "op1_bpe"),
+    ("op2_language", "op2_language"),
+    ("op2_language", "language_of_pages"),
     ("op3_bitplanes", "op3_bitplanes"),
     ("op4_packing", "op4_packing"),
     ("op5_tiff", "op5_tiff"),
     ("op6_line_dedup", "op6_line_dedup"),
     ("op7_quality", "op7_quality"),
     ("op8_ngram_join", "op8_ngram_join"),
+    ("op9_url_filter", "op9_url_filter"),
+    ("op10_sharding", "op10_sharding"),
 )
 
 
