@@ -7,11 +7,14 @@ counts of hashed shingles over all documents (of fixed size). Each hash partitio
 of block and transpose adds to a pair's overlap count for every column that both rows have; a pair whose
 count can't reach the overlap that its two sizes demand is discarded, the others are verified on their whole sets.
 
-A column that many similar rows share isn't multiplied out. First each row meets only the first row of its column (a hub), and
-the best of a row's hubs is verified. Verified links give components; a column whose rows all lie in one
-component is done with, as links inside a component change nothing. Of the other columns, the second product takes every pair of
-rows in different components, so no link between components is lost. Columns with very many rows are split by a
-salt for the first product, and the hubs of the parts are compared with each other.
+A column that many similar rows share isn't multiplied out at first. In a few passes (``PASSES``) each column gives the rows of every
+component met so far one head, and each head meets one hub: at first the row with the fewest shingles of its own, which
+is nearest to the source of a group of copies, then the head of the column's largest component. The best hub of each component is
+verified, and verified links merge components. A column whose rows all lie in one component is done with, as links inside a component
+change nothing. Of the other columns, the last product takes every pair of rows in different components, so no link
+between components is lost: a pair counts where the first shingle that both have can stand (at most ``n - needed`` in either), then
+the overlap of their kept entries is taken, and pairs that can't reach the needed overlap are discarded before verification.
+A column with very many rows is split by a salt where rows without a partner are dropped; heads and hubs are grouped minima.
 
 Defined results: null and empty texts have size 0 and are their own component; repeated rows are one set; a null id is never
 a component's name; an empty table gives an empty table; other columns are left out, whatever their names.
@@ -30,10 +33,12 @@ from riskloom.llm.components import connected_components
 
 #: Words in a shingle, and the similarity as a percentage.
 SHINGLE, PERCENT = 5, 75
-#: The table of counts: 2**20 numbers of 4 bytes, in parts of 2**14.
-BUCKET_BITS, PART_BITS = 20, 14
-#: A column with more entries than this is split for the first product.
+#: The table of counts: 2**22 numbers, in parts of 2**16, which workers get as 4 MB of codes on a logarithmic scale.
+BUCKET_BITS, PART_BITS = 22, 16
+#: A column with more entries than this is split when rows without a partner are dropped.
 HOT_ROWS = 20_000
+#: Passes that merge components before the last product.
+PASSES = 3
 #: Bits of the map of documents that verification reads (2 MB at most, in parts of 4 KB).
 MAP_BITS = 1 << 24
 
@@ -47,7 +52,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
         from riskloom.llm.shingles import groups_of, mix, shingle_sets
 
-        counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+        counts, held = np.zeros(1 << BUCKET_BITS, np.uint32), []
         names = ["doc_id", "n", "sig", "sig2", "part", "counts"]
         id_type = pa.int64()
         for batch in batches:
@@ -55,12 +60,17 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             texts = batch.column(1).to_pylist()
             for a, b in groups_of(texts):
                 hashes, at = shingle_sets(texts[a:b], shingle)
-                counts += np.bincount((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS).astype(np.uint32)
+                held.append((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+                if sum(map(len, held)) > 2_000_000:
+                    counts += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS).astype(np.uint32)
+                    held = []
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes)))
                 sums2 = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
                 sig, sig2 = (mix(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in (sums, sums2))
                 k = b - a
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, k), pa.array(np.diff(at)), pa.array(sig), pa.array(sig2), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS).astype(np.uint32)
         parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(-1, 1 << PART_BITS)]
         k = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), *[pa.nulls(k, pa.int64())] * 3, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
@@ -70,7 +80,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def _summed_counts(described: DataFrame):
-    """The counts of all tasks as one numpy array: 2**20 numbers, whatever the size of the corpus. Parts are summed in two steps."""
+    """The counts of all tasks as one numpy array: 2**22 numbers, whatever the size of the corpus. Parts are summed in two steps."""
     import numpy as np
 
     def add(frame):
@@ -94,7 +104,13 @@ def prefix_entries(docs: DataFrame, counts, id_col: str = "doc_id", text_col: st
 
     A set that a task has met already is left out; other tasks' copies of it fall together later.
     """
-    table = docs.sparkSession.sparkContext.broadcast(counts)
+    import numpy as np
+
+    usual = int(counts.mean())  # what the many rare shingles of a bucket add up to
+    codes = np.minimum(np.log2(counts.astype(np.float64) + 1) * 8, 255).astype(np.uint8)
+    splits = np.maximum(counts.astype(np.int64) - usual, 0) // HOT_ROWS
+    hot = np.flatnonzero(splits)  # fewer than all entries over HOT_ROWS, and at most 2**22
+    table = docs.sparkSession.sparkContext.broadcast((codes, hot, splits[hot]))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -102,8 +118,7 @@ def prefix_entries(docs: DataFrame, counts, id_col: str = "doc_id", text_col: st
 
         from riskloom.llm.shingles import groups_of, mix, shingle_sets
 
-        counts, met = table.value, set()
-        usual = int(counts.mean())  # what the many rare shingles of a bucket add up to
+        (codes, hot, splits), met = table.value, set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in groups_of(texts):
@@ -121,15 +136,18 @@ def prefix_entries(docs: DataFrame, counts, id_col: str = "doc_id", text_col: st
                 doc = np.repeat(np.arange(len(n)), n)
                 keep = fresh[doc]
                 hashes, doc = hashes[keep], doc[keep]
-                df = counts[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                order = np.lexsort((hashes, df, doc))
-                hashes, doc, df = hashes[order], doc[order], df[order]
+                order = np.lexsort((hashes, codes[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], doc))
+                hashes, doc = hashes[order], doc[order]
                 begin = np.concatenate(([0], np.cumsum(np.where(fresh, n, 0))[:-1]))
                 pos = np.arange(len(doc)) - begin[doc]
                 need = n - (percent * n + 99) // 100 + 1
                 keep = pos < need[doc]
-                hashes, doc, df, pos = hashes[keep], doc[keep], df[keep], pos[keep]
-                parts = np.maximum(df.astype(np.int64) - usual, 0) // HOT_ROWS
+                hashes, doc, pos = hashes[keep], doc[keep], pos[keep]
+                parts = np.zeros(len(hashes), np.int64)
+                if len(hot):
+                    bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+                    at_hot = np.minimum(np.searchsorted(hot, bucket), len(hot) - 1)
+                    parts = np.where(hot[at_hot] == bucket, splits[at_hot], 0)
                 salt = np.where(parts > 0, 1 + (sig[doc] % (parts.astype(np.uint64) + np.uint64(1))).astype(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(sig.view(np.int64)[doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(salt.astype(np.int32))], ["shingle", "sig", "n", "pos", "salt"])
 
@@ -189,6 +207,12 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _placed(named: DataFrame, components: DataFrame | None) -> DataFrame:
+    if components is None:
+        return named.withColumn("component", F.col("rep"))
+    return named.join(components, F.col("rep") == F.col("node"), "left").select(*named.columns, F.coalesce("component", "rep").alias("component"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that links lead to."""
     described = write_stage(describe(docs, id_col, text_col, shingle), "described")
@@ -196,42 +220,52 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = write_stage(sets.where("n > 0 and doc_id is not null").groupBy("n", "sig", "sig2").agg(F.min("doc_id").alias("rep")), "sets")
     entries = prefix_entries(docs, _summed_counts(described), id_col, text_col, shingle, percent)
 
-    # the first product: each row of a column with the column's first row, or with the one before it if sizes are too far apart
+    # entries without a partner go
     column = Window.partitionBy("shingle", "salt").orderBy("n", "sig")
-    first = F.first(F.struct("sig", "n")).over(column.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.lag(F.struct("sig", "n")).over(column)
-    lists = entries.select("*", first.alias("first"), before.alias("before"), F.lead("sig").over(column).alias("after"))
-    lists = lists.where("(before is not null or after is not null or salt > 0) and (before is null or before.sig != sig or before.n != n)")
-    hub = F.when(_sizes_meet(F.col("first.n"), F.col("n"), percent), F.col("first")).otherwise(F.col("before"))
-    lists = lists.withColumn("hub", F.when(F.col("before").isNotNull(), hub))
-    lists = write_stage(lists.select("shingle", "sig", "n", "pos", "salt", F.col("hub.sig").alias("hub_sig"), F.col("hub.n").alias("hub_n")), "columns")
-    with_hub = lists.where("hub_sig is not null").select("sig", "n", "hub_sig", "hub_n")
-    # the parts of a split column: their first rows against the first of the first part
-    heads = lists.where("salt > 0 and hub_sig is null").select("shingle", "sig", "n")
-    whole = Window.partitionBy("shingle").orderBy("n", "sig")
-    heads = heads.select("sig", "n", F.first(F.struct("sig", "n")).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("hub"))
-    heads = heads.where("hub.sig != sig").select("sig", "n", F.col("hub.sig").alias("hub_sig"), F.col("hub.n").alias("hub_n"))
-    met = with_hub.union(heads).where(_sizes_meet(F.col("n"), F.col("hub_n"), percent)).groupBy("sig", "n", "hub_sig", "hub_n").agg(F.count("*").alias("count"))
-    best = met.groupBy("sig", "n").agg(F.max(F.struct("count", "hub_sig", "hub_n")).alias("hub")).select("sig", "n", F.col("hub.hub_sig").alias("hub_sig"), F.col("hub.hub_n").alias("hub_n"))
-    name = rows.select("n", "sig", "rep")
-    hub_name = rows.select(F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"), F.col("rep").alias("b"))
-    pairs = best.join(name, ["n", "sig"]).join(hub_name, ["hub_n", "hub_sig"]).select(F.col("rep").alias("a"), "b")
-    links = write_stage(verified(pairs, docs, id_col, text_col, shingle, percent), "verified")
-    components = connected_components(links)
-
-    # the second product: columns with rows of more than one component, rows of different components
-    placed = rows.join(components, F.col("rep") == F.col("node"), "left").select("n", "sig", "rep", F.coalesce("component", "rep").alias("component"))
-    named = lists.select("shingle", "sig", "n", "pos").join(placed, ["n", "sig"])
-    mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-    open_lists = write_stage(named.join(mixed, "shingle", "left_semi").select("shingle", "n", "pos", "rep", "component").distinct(), "open")
-    x = open_lists.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("n", "pos", "rep", "component")))
-    y = open_lists.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("n", "pos", "rep", "component")))
-    here = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    product = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("component_a") < F.col("component_b")) & _sizes_meet(F.col("n_a"), F.col("n_b"), percent) & (here >= _needed(F.col("n_a"), F.col("n_b"), percent)))
-    pairs = product.groupBy("rep_a", "rep_b", "n_a", "n_b").agg(F.count("*").alias("count")).where(_can_reach(F.col("n_a"), F.col("n_b"), F.col("count"), percent))
-    more = write_stage(verified(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), docs, id_col, text_col, shingle, percent), "verified")
+    same = (F.lag("sig").over(column) == F.col("sig")) & (F.lag("n").over(column) == F.col("n"))
+    shared = entries.select("*", F.coalesce(same, F.lit(False)).alias("again"), F.lag("sig").over(column).alias("before"), F.lead("sig").over(column).alias("after"))
+    shared = write_stage(shared.where("(before is not null or after is not null or salt > 0) and not again").select("shingle", "sig", "n", "pos"), "shared")
+    # a row's own shingles: first ones that no other row has
+    own = shared.groupBy("sig", "n").agg(F.count("*").alias("k")).select("sig", "n", (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100.0 - 1e-9) + 1 - F.col("k")).alias("own"))
+    named = write_stage(shared.join(own.join(rows, ["n", "sig"]).select("n", "sig", "rep", "own"), ["n", "sig"]).select("shingle", "n", "pos", "rep", "own"), "columns")
+
+    components = None
+    links = None
+    for k in range(PASSES):
+        placed = _placed(named, components)
+        order = F.col("own") if k == 0 else F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1 << 31))
+        heads = placed.groupBy("shingle", "component").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("order"), "rep", "n")).alias("head"))
+        hubs = heads.groupBy("shingle").agg(F.min(F.struct((-F.col("size")).alias("size"), "head", "component")).alias("hub"), F.count("*").alias("heads")).where("heads > 1").select("shingle", "hub")
+        met = heads.join(hubs, "shingle").where("component != hub.component").select("component", F.col("head.rep").alias("a"), F.col("head.n").alias("n_a"), F.col("hub.head.rep").alias("b"), F.col("hub.head.n").alias("n_b"))
+        met = met.where(_sizes_meet(F.col("n_a"), F.col("n_b"), percent)).groupBy("component", "a", "n_a", "b", "n_b").agg(F.count("*").alias("count"))
+        # a head may meet this hub in some of the columns that both have, so half of what is needed will do
+        met = met.where(_can_reach(F.col("n_a"), F.col("n_b"), F.col("count") * 2, percent))
+        best = met.groupBy("component").agg(F.max(F.struct("count", "b", "a")).alias("x")).select(F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+        found = write_stage(verified(best, docs, id_col, text_col, shingle, percent), "verified")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        components = connected_components(links)
+
+    # the last product: columns with rows of more than one component, rows of different components
+    placed = _placed(named, components)
+    mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
+    open_columns = write_stage(placed.join(mixed, "shingle", "left_semi").select("shingle", "n", "pos", "rep", "component"), "open")
+    x = open_columns.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("n", "pos", "rep", "component")))
+    y = open_columns.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("n", "pos", "rep", "component")))
+    needed = _needed(F.col("n_a"), F.col("n_b"), percent)
+    in_reach = (F.col("pos_a") <= F.col("n_a") - needed) & (F.col("pos_b") <= F.col("n_b") - needed) & (F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= needed)
+    product = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("component_a") < F.col("component_b")) & _sizes_meet(F.col("n_a"), F.col("n_b"), percent) & in_reach)
+    pairs = product.groupBy("rep_a", "rep_b", "n_a", "n_b").agg(F.count("*").alias("count"))
+    kept = named.groupBy("rep").agg(F.collect_set("shingle").alias("entries"))
+    pairs = pairs.join(kept.select(F.col("rep").alias("rep_a"), F.col("entries").alias("e_a")), "rep_a").join(kept.select(F.col("rep").alias("rep_b"), F.col("entries").alias("e_b")), "rep_b")
+    pairs = pairs.where(_can_reach(F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("e_a", "e_b")), percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    more = write_stage(verified(pairs, docs, id_col, text_col, shingle, percent), "verified")
     if not more.isEmpty():
-        components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        known = components.select(F.col("node").alias("a"), F.col("component").alias("b")) if components is not None else None
+        components = connected_components(more if known is None else more.union(known))
+    if components is None:
+        components = rows.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
 
     of_set = rows.join(components, F.col("rep") == F.col("node"), "left").select("n", "sig", "sig2", F.coalesce("component", "rep").alias("found"))
     return sets.join(of_set, ["n", "sig", "sig2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
