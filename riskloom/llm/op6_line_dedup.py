@@ -32,7 +32,7 @@ MAP_BITS = 1 << 24
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(line, SPACE), "")
 
 
 def _need(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -47,26 +47,27 @@ def _bucket(hashed: Column) -> Column:
     return hashed.bitwiseAND((1 << BUCKET_BITS) - 1)
 
 
-def word_rarity(texts: DataFrame) -> bytes:
+def word_rarity(texts: DataFrame) -> str:
     """A code from 0 to 127 for each hash bucket: how often words of the bucket occur in column ``text``, on a logarithmic scale.
 
-    The driver gets 2**20 codes as text, 2 MB whatever the size of the corpus.
+    The driver gets 2**20 codes as text, under 4 MB whatever the size of the corpus.
     """
     words = texts.select(F.explode(F.split("text", SPACE)).alias("word")).where("word != ''")
     seen = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count("*").alias("n"))
     every = seen.union(texts.sparkSession.range(1 << BUCKET_BITS).select("id", F.lit(0).cast("long"))).groupBy("bucket").agg(F.sum("n").alias("n"))
     code = F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(127))
-    parts = every.groupBy(F.shiftright("bucket", 10).alias("part")).agg(F.sort_array(F.collect_list(F.struct("bucket", F.lpad(F.hex(code), 2, "0").alias("code")))).alias("x"))
-    rows = parts.select("part", F.array_join(F.col("x.code"), "").alias("codes")).collect()
-    return bytes.fromhex("".join(r["codes"] for r in sorted(rows)))
+    parts = every.groupBy(F.shiftright("bucket", 10).alias("part")).agg(F.sort_array(F.collect_list(F.struct("bucket", code.cast("string").alias("code")))).alias("x"))
+    rows = parts.select("part", F.array_join(F.col("x.code"), ",").alias("codes")).collect()
+    return ",".join(r["codes"] for r in sorted(rows))
 
 
-def line_sets(docs: DataFrame, rarity: bytes, percent: int = PERCENT) -> DataFrame:
+def line_sets(docs: DataFrame, rarity: str, percent: int = PERCENT) -> DataFrame:
     """Per line with a word: ``doc_id, line_no, sig`` (digest of its set), ``n`` and ``prefix``, its rarest words."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    code = lambda h: F.ascii(F.substring(F.lit(bytearray(rarity)), _bucket(h).cast("int") + 1, F.lit(1)).cast("string"))
-    entry = lambda w: F.shiftleft(code(F.xxhash64(w)).cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND((1 << HASH_BITS) - 1))
-    sets = lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), entry))).alias("words"))
+    codes = F.split(F.lit(rarity), ",").cast("array<tinyint>")  # folded into one constant
+    entry = lambda h: F.shiftleft(F.get(codes, _bucket(h).cast("int")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
+    distinct = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    sets = lines.select("doc_id", "line_no", F.sort_array(F.transform(distinct, entry)).alias("words"))
     n = F.size("words")
     first = n - F.ceil(F.lit(percent) * n / 100.0 - 1e-9).cast("int") + 1
     # sets too small for another similar set need no prefix
@@ -107,7 +108,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = lists.withColumn("hub", F.when(F.col("before").isNotNull(), F.when(_sizes_meet(F.col("first.n"), F.col("n"), percent), F.col("first")).otherwise(F.col("before"))))
     lists = write_stage(lists.select("word", "sig", "n", "i", "at", "hub"), "lists")
 
+    rest = lambda n: F.ceil(F.lit(percent) * n / 100.0 - 1e-9) - 1
     met = lists.where("hub is not null").where(_sizes_meet(F.col("hub.n"), F.col("n"), percent)).groupBy("sig", "n", "at", "hub").agg(F.count("*").alias("count"))
+    # the earliest set may not be the first of all lists that both are in, so half of what is needed will do
+    met = met.where(F.col("count") * 2 + F.greatest(rest(F.col("n")), rest(F.col("hub.n"))) >= _need(F.col("n"), F.col("hub.n"), percent))
     best = met.groupBy("sig", "at").agg(F.max(F.struct("count", "hub")).alias("best")).select("sig", "at", F.col("best.hub.at").alias("other_at"))
     matched = write_stage(_verified(best, docs, percent), "matched")
 
@@ -115,7 +119,6 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     earlier = lists.select("word", F.col("sig").alias("other"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("at").alias("other_at"))
     here = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
     pairs = open_sets.join(earlier, (open_sets["word"] == earlier["word"]) & (F.col("other_at") < F.col("at")) & _sizes_meet(F.col("n_a"), F.col("n_b"), percent) & (here >= _need(F.col("n_a"), F.col("n_b"), percent)))
-    rest = lambda n: F.ceil(F.lit(percent) * n / 100.0 - 1e-9) - 1
     pairs = pairs.groupBy("sig", "other", "n_a", "n_b", "at", "other_at").agg(F.count("*").alias("count")).where(F.col("count") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b"))) >= _need(F.col("n_a"), F.col("n_b"), percent))
     matched = matched.union(_verified(pairs.select("sig", "at", "other_at"), docs, percent)).withColumn("matched", F.lit(True))
 
