@@ -18,7 +18,7 @@ _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 #: Beyond Latin letters a piece is normalised and split by the library itself.
 _RARE = re.compile("[^\x00-ſ]")
 #: Pieces and words kept by one worker before it starts anew; about 250 bytes each.
-KEPT_PIECES, KEPT_WORDS = 600_000, 400_000
+KEPT_PIECES, KEPT_WORDS = 1_200_000, 700_000
 
 
 class TextEncoder:
