@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import importlib
+
+_FAMILIES = ("audits", "columns", "relations", "summaries", "cohorts", "evaluation", "policies")
+
+
+def _load() -> None:
+    for family in _FAMILIES:
+        importlib.import_module(f"riskloom.plans.{family}")
+
 
 def queries() -> dict:
-    return {}
+    from riskloom.plans.base import QUERIES
+
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from riskloom.plans.base import ORACLES
+
+    _load()
+    return dict(ORACLES)
