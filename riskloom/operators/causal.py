@@ -90,7 +90,7 @@ def fit_propensity(df: DataFrame, t: str, columns: Sequence[str], inverse_penalt
     guard_predictors(columns)
     data = VectorAssembler(inputCols=list(columns), outputCol="__x").transform(df.where(F.col(t).isNotNull()).withColumn("__y", F.col(t).cast("double")))
     n = data.count() if weight is None else data.agg(F.sum(weight)).first()[0]
-    lr = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1.0 / (inverse_penalty * n) if inverse_penalty else 0.0, elasticNetParam=0.0, standardization=False, tol=1e-8, maxIter=200, predictionCol="__p", probabilityCol="__prob", rawPredictionCol="__raw", **({"weightCol": weight} if weight else {}))
+    lr = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1.0 / (inverse_penalty * n) if inverse_penalty else 0.0, elasticNetParam=0.0, standardization=False, tol=1e-6, maxIter=200, predictionCol="__p", probabilityCol="__prob", rawPredictionCol="__raw", **({"weightCol": weight} if weight else {}))
     model = lr.fit(data)
     if model.summary.totalIterations >= 200:
         raise RuntimeError("the fit didn't converge")
@@ -342,9 +342,10 @@ def welch(df: DataFrame, group: str, value: str) -> DataFrame:
 def welch_anova(df: DataFrame, group: str, value: str) -> DataFrame:
     """Welch's F with its degrees of freedom, in closed form over the groups' moments."""
     g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).withColumn("w", F.col("n") / F.col("v"))
-    s = g.agg(F.count("*").cast("double").alias("k"), F.sum("w").alias("W"), (F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("M"))
+    s = g.agg(F.count("*").cast("double").alias("k"), F.sum("w").alias("all_w"), (F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("all_m"))
     j = g.join(F.broadcast(s))
-    a = j.agg(F.max("k").alias("k"), F.sum(F.col("w") * (F.col("m") - F.col("M")) * (F.col("m") - F.col("M"))).alias("b"), F.sum((1 - F.col("w") / F.col("W")) * (1 - F.col("w") / F.col("W")) / (F.col("n") - 1)).alias("l"))
+    rest = 1 - F.col("w") / F.col("all_w")
+    a = j.agg(F.max("k").alias("k"), F.sum(F.col("w") * (F.col("m") - F.col("all_m")) * (F.col("m") - F.col("all_m"))).alias("b"), F.sum(rest * rest / (F.col("n") - 1)).alias("l"))
     k = F.col("k")
     return a.select(r(F.col("b") / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * F.col("l")), 6).alias("f"), r(k - 1).alias("df1"), r((k * k - 1) / (3 * F.col("l")), 4).alias("df2"))
 
