@@ -180,7 +180,7 @@ def calibration_slope(df: DataFrame, probability: str, label: str, least_range:
     lo, hi = data.agg(F.min("p"), F.max("p")).first()
     if lo is None or hi - lo < least_range:
         return df.sparkSession.createDataFrame([(None, None)], "intercept double, slope double")
-    a, b = 0.0, 1.0
+    a, b = 0.0, 0.0
     for _ in range(steps):
         m = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
         w, g = F.col("n") * m * (1 - m), F.col("y") - F.col("n") * m
@@ -209,7 +209,7 @@ def _psi(a: Column, b: Column, eps: float) -> Column:
 
 def _psi_of(counts: DataFrame, by: Sequence[str], eps: float) -> DataFrame:
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    c = counts.withColumn("a", F.col("n_ref") / F.sum("n_ref").over(w)).withColumn("b", F.col("n_new") / F.sum("n_new").over(w))
+    c = counts.withColumn("a", F.try_divide(F.col("n_ref"), F.sum("n_ref").over(w))).withColumn("b", F.try_divide(F.col("n_new"), F.sum("n_new").over(w)))
     return c.groupBy(*by).agg(r(_psi(F.col("a"), F.col("b"), eps), 6).alias("psi"))
 
 

@@ -147,9 +147,9 @@ def v5(t):
     return A.key_check(t.orders, "o_custkey")
 
 
-@query("v6_date_check", "WITH d AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d FROM orders) SELECT count(*) AS n, count(*) FILTER (WHERE d IS NULL) AS unparseable, count(*) FILTER (WHERE year(d) <> 2021) AS out_of_year, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last FROM d")
+@query("v6_date_check", "WITH d AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d FROM orders) SELECT count(*) AS n, count(*) FILTER (WHERE d IS NULL) AS unparseable, count(*) FILTER (WHERE year(d) <> 1998) AS out_of_year, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last FROM d")
 def v6(t):
-    return A.date_check(t.orders, F.when(F.col("o_orderkey") % 50 == 0, "99999999").otherwise(F.date_format("o_orderdate", "ddMMyyyy")), "ddMMyyyy", 2021)
+    return A.date_check(t.orders, F.when(F.col("o_orderkey") % 50 == 0, "99999999").otherwise(F.date_format("o_orderdate", "ddMMyyyy")), "ddMMyyyy", 1998)
 
 
 @query("v7_code_status", "WITH {COHORT}, s AS (SELECT " + _STATUS_SQL + " FROM base) SELECT s_code AS status, count(*) AS n FROM s GROUP BY 1")
