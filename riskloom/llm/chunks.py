@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 
 #: Python's split() takes these four for white space; the tokenizer doesn't.
@@ -16,9 +15,11 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 #: White_Space of Unicode, as the tokenizer's pattern has it (fixed values).
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 #: Beyond Latin letters a piece is normalised and split by the library itself.
-_RARE = re.compile("[^\x00-ſ]")
+_RARE = "ƀ"
+#: Marks that the pre-tokenizer keeps together behind a word (an apostrophe could begin a contraction).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces and words kept by one worker before it starts anew; about 250 bytes each.
-KEPT_PIECES, KEPT_WORDS = 1_200_000, 700_000
+KEPT_PIECES, KEPT_WORDS = 600_000, 400_000
 
 
 class TextEncoder:
@@ -60,31 +61,44 @@ class TextEncoder:
             self._learn(new)
         return b"".join([kept[p] for p in pieces])
 
+    def _split(self, piece: str) -> list:
+        """The piece's words as text, and ids of what is no plain word."""
+        found: list = []
+        for part in [p for p in self.cut_special.split(piece) if p] if "<|" in piece else [piece]:
+            if part in self.special:
+                found.append(self.special[part])
+            elif part.isascii() or max(part) < _RARE:  # normalisation changes nothing here, and lower case needs no context
+                found += self.find_words(part.lower())
+            else:
+                found.append(self.encode_rare(part))
+        return found
+
     def _learn(self, pieces: list[str]) -> None:
-        split: dict[str, list] = {}
+        words, kept = self.words, self.pieces
+        plain, split, wanted = [], [], set()
         for piece in pieces:
-            parts = [piece]
-            if "<|" in piece:
-                parts = [p for p in self.cut_special.split(piece) if p]
-            found: list = []
-            for part in parts:
-                if part in self.special:
-                    found.append(self.special[part])
-                elif part.isascii():
-                    found += self.find_words(part.lower())
-                elif _RARE.search(part):
-                    found.append(self.encode_rare(part))
-                else:  # lower case character by character, as the normaliser does
-                    found += self.find_words("".join([c.lower() for c in unicodedata.normalize("NFC", part)]))
-            split[piece] = found
-        words = self.words
-        if new := list({w for found in split.values() for w in found if type(w) is str and w not in words}):
-            if len(words) + len(new) > KEPT_WORDS:
+            core = piece.rstrip(_MARKS)
+            tail, core = piece[len(core) :], core.lower()
+            if core.isalpha() and (core.isascii() or max(piece) < _RARE):  # letters, then perhaps marks: two words at most
+                plain.append((piece, core, tail))
+                if core not in words:
+                    wanted.add(core)
+                if tail and tail not in words:
+                    wanted.add(tail)
+            else:
+                found = self._split(piece)
+                split.append((piece, found))
+                wanted.update([w for w in found if type(w) is str and w not in words])
+        if wanted:
+            if len(words) + len(wanted) > KEPT_WORDS:
                 words.clear()
-                new = list({w for found in split.values() for w in found if type(w) is str})
+                wanted = {w for _, core, tail in plain for w in (core, tail) if w} | {w for _, found in split for w in found if type(w) is str}
+            new = list(wanted)
             words.update(zip(new, self.encode_words(new), strict=True))
-        for piece, found in split.items():
-            self.pieces[piece] = b"".join([words[w] if type(w) is str else w for w in found])
+        for piece, core, tail in plain:
+            kept[piece] = words[core] + words[tail] if tail else words[core]
+        for piece, found in split:
+            kept[piece] = b"".join([words[w] if type(w) is str else w for w in found])
 
 
 class LibraryEncoder(TextEncoder):
