@@ -59,9 +59,13 @@ def slices(batches: Iterator, rows: int = 200) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """Texts go to Python workers in batches of 500: the default of 10000 holds too much memory with long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts go to Python workers in batches of 1000: the default of 10000 holds too much memory with long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

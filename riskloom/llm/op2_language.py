@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import documents, write_stage
+from riskloom.llm.common import documents, in_small_batches, write_stage
 
 #: Labelled rows that the text model is fitted on, at most about, and languages it tells apart at most.
 TRAIN_ROWS, MOST_LANGUAGES = 20_000, 64
@@ -86,7 +86,7 @@ def fit_text_model(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[l
         total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in frame["counts"])
         return pd.DataFrame({"lang": frame["lang"].iloc[:1], "n": [int(total.sum())], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    summed = sample.select("text", "lang").mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInPandas(lambda frame: add(frame), "lang string, n long, counts binary")
+    summed = in_small_batches(sample).select("text", "lang").mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInPandas(lambda frame: add(frame), "lang string, n long, counts binary")
     found = sorted(summed.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect(), key=lambda r: r["lang"])
     counts = [np.frombuffer(zlib.decompress(r["counts"]), "<i8") for r in found]
     return [r["lang"] for r in found], np.array([np.log((c + 0.5) / (c.sum() + 0.5 * BUCKETS)) for c in counts], np.float32).reshape(-1, BUCKETS)
@@ -110,7 +110,7 @@ def score_texts(rows: DataFrame, model: tuple[list[str], object]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.list_(pa.float32())), pa.array(sizes, pa.int64())], [*names, "scores", "n_trigrams"])
 
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.select(*names, "text").mapInArrow(run, f"{kept}, scores array<float>, n_trigrams long")
+    return in_small_batches(rows).select(*names, "text").mapInArrow(run, f"{kept}, scores array<float>, n_trigrams long")
 
 
 def _argmax(x: Column) -> Column:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import documents, new_path, tokenizer_file
+from riskloom.llm.common import documents, in_small_batches, new_path, tokenizer_file
 
 MAGIC = b"PLN1"
 #: Ids in a block.
@@ -120,7 +120,7 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int, plane
         if size:
             yield cut(b"".join(held))
 
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, _CHUNK.format(id=f"doc_ids array<{kind}>")).write.option("compression", "none").parquet(f"{path}/chunks")
     chunks = docs.sparkSession.read.parquet(f"{path}/chunks").select("range", "chunk", "first", "n_ids", F.octet_length("block").alias("n_bytes"))
     # one row for each range: as many as the exchange has partitions, whatever the size of the data

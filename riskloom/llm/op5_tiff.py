@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import documents, write_stage
+from riskloom.llm.common import documents, in_small_batches, write_stage
 
 #: Bytes in a row of a page, rows in a page and in a strip.
 ROW_BYTES, PAGE_ROWS, STRIP_ROWS = 576, 256, 64
@@ -47,7 +47,7 @@ def store_texts(docs: DataFrame, compression: int = 8, predictor: int = 2, id_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def read_pages(files: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def read_pages(files: DataFrame) -> DataFrame:
                 yield made(rows)
 
     kind = files.schema["doc_id"].dataType.simpleString()
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, media_bytes long, media_sha256 string, page int, width int, height int, channels int, samples binary")
+    return in_small_batches(files).select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, media_bytes long, media_sha256 string, page int, width int, height int, channels int, samples binary")
 
 
 class _File:
@@ -147,7 +147,7 @@ def features(pages: DataFrame) -> DataFrame:
             yield made()
 
     kind = pages.schema["doc_id"].dataType.simpleString()
-    return pages.mapInArrow(run, f"doc_id {kind}, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    return in_small_batches(pages).mapInArrow(run, f"doc_id {kind}, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 
 
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:

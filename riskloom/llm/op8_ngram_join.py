@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import documents, write_stage
+from riskloom.llm.common import documents, in_small_batches, write_stage
 from riskloom.llm.components import connected_components
 
 #: Words in a shingle, and the similarity as a percentage.
@@ -76,7 +76,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), *[pa.nulls(k, pa.int64())] * 3, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sig long, sig2 long, part int, counts binary")
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sig long, sig2 long, part int, counts binary")
 
 
 def _summed_counts(described: DataFrame):
@@ -151,7 +151,7 @@ def prefix_entries(docs: DataFrame, counts, id_col: str = "doc_id", text_col: st
                 salt = np.where(parts > 0, 1 + (sig[doc] % (parts.astype(np.uint64) + np.uint64(1))).astype(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(sig.view(np.int64)[doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(salt.astype(np.int32))], ["shingle", "sig", "n", "pos", "salt"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "shingle long, sig long, n int, pos int, salt int")
+    return in_small_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(run, "shingle long, sig long, n int, pos int, salt int")
 
 
 def _needed(n_a, n_b, percent: int):
@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
 
     kind = docs.schema[id_col].dataType.simpleString()
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    return in_small_batches(joined).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _placed(named: DataFrame, components: DataFrame | None) -> DataFrame:
