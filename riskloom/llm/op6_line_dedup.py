@@ -27,7 +27,7 @@ from riskloom.llm.common import SPACE, documents, write_stage
 PERCENT = 90
 #: The table of word counts: 2**20 codes of a byte; words are told apart by 40 bits of their hash beside their code.
 BUCKET_BITS, HASH_BITS = 20, 40
-#: Bits of the map of documents that verification reads (2 MB at most, in parts of 4 KB).
+#: Bits of the maps of documents and lines that verification reads.
 MAP_BITS = 1 << 24
 
 
@@ -75,20 +75,25 @@ def line_sets(docs: DataFrame, rarity: str, percent: int = PERCENT) -> DataFrame
     return sets.where(n > 0).select("doc_id", "line_no", F.xxhash64("words", n).alias("sig"), n.alias("n"), F.when(~alone | (F.ceil(n * F.lit(percent) / 100.0 - 1e-9) < n), F.slice("words", 1, first)).alias("prefix"))
 
 
+def _through_map(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose column is among the keys, and few others: a map of MAP_BITS bits is broadcast (2 MB at most, in rows of 4 KB)."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bits = keys.select(slot("key").alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    octet = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = df.withColumn("slot", slot(column)).withColumn("bucket", F.expr("bitmap_bucket_number(slot)")).withColumn("bit", F.expr("bitmap_bit_position(slot)"))
+    return found.join(F.broadcast(bits), "bucket").withColumn("octet", octet).where("shiftright(octet, cast(bit % 8 as int)) & 1 = 1").select(*df.columns)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of the pairs ``sig, at, other_at`` (places of lines), the ``sig`` of those whose whole sets are similar.
 
-    Only documents that some pair needs are split again: a map of bits (of fixed size) lets them through, and few others.
+    Only documents that some pair needs are split again, and only lines that some pair needs are shuffled.
     """
+    pairs = write_stage(pairs, "pairs")  # read several times
     places = pairs.select(F.col("at").alias("place")).union(pairs.select("other_at")).distinct()
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    bits = places.select(slot(F.col("place.doc_id")).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    octet = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    some = docs.withColumn("slot", slot(F.col("doc_id"))).withColumn("bucket", F.expr("bitmap_bucket_number(slot)")).withColumn("bit", F.expr("bitmap_bit_position(slot)"))
-    # at most MAP_BITS / 32768 rows of 4 KB
-    some = some.join(F.broadcast(bits), "bucket").withColumn("octet", octet).where("shiftright(octet, cast(bit % 8 as int)) & 1 = 1")
-    lines = some.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select(F.struct("doc_id", "line_no").alias("place"), "line")
-    lines = lines.join(places, "place", "left_semi").dropDuplicates(["place"])
+    lines = _through_map(docs, "doc_id", places.select(F.col("place.doc_id").alias("key")))
+    lines = lines.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select(F.struct("doc_id", "line_no").alias("place"), "line")
+    lines = _through_map(lines, "place", places.select(F.col("place").alias("key")))
     sets = lines.select("place", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
     both = pairs.join(sets.select(F.col("place").alias("at"), F.col("words").alias("a")), "at").join(sets.select(F.col("place").alias("other_at"), F.col("words").alias("b")), "other_at")
     both = both.select("sig", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("sizes"))
