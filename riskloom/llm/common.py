@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -49,6 +50,8 @@ def write_stage(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", compression).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of what was written are let go once nothing refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
