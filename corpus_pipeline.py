@@ -52,7 +52,6 @@ STAGES = [("language_id", language), ("quality_rules", quality), ("line_dedup",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = write_stage(stage(spark, docs, sf_dir), name)
