@@ -38,7 +38,7 @@ BUCKET_BITS, PART_BITS = 22, 16
 #: A column with more entries than this is split when rows without a partner are dropped.
 HOT_ROWS = 20_000
 #: Passes that merge components before the last product.
-PASSES = 3
+PASSES = 2
 #: Bits of the map of documents that verification reads (2 MB at most, in parts of 4 KB).
 MAP_BITS = 1 << 24
 
@@ -226,13 +226,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = entries.select("*", F.coalesce(same, F.lit(False)).alias("again"), F.lag("sig").over(column).alias("before"), F.lead("sig").over(column).alias("after"))
     shared = write_stage(shared.where("(before is not null or after is not null or salt > 0) and not again").select("shingle", "sig", "n", "pos"), "shared")
     # a row's own shingles: first ones that no other row has
-    own = shared.groupBy("sig", "n").agg(F.count("*").alias("k")).select("sig", "n", (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100.0 - 1e-9) + 1 - F.col("k")).alias("own"))
-    named = write_stage(shared.join(own.join(rows, ["n", "sig"]).select("n", "sig", "rep", "own"), ["n", "sig"]).select("shingle", "n", "pos", "rep", "own"), "columns")
+    kept = F.count("*").over(Window.partitionBy("n", "sig"))
+    own = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100.0 - 1e-9) + 1 - kept
+    named = write_stage(shared.withColumn("own", own).join(rows.select(F.col("n").cast("int").alias("n"), "sig", "rep"), ["n", "sig"]).select("shingle", "n", "pos", "rep", "own"), "columns")
 
     components = None
     links = None
     for k in range(PASSES):
-        placed = _placed(named, components)
+        # one exchange by column serves both groupings and the join
+        placed = _placed(named.drop("pos"), components).repartition("shingle")
         order = F.col("own") if k == 0 else F.pmod(F.xxhash64("rep", F.lit(k)), F.lit(1 << 31))
         heads = placed.groupBy("shingle", "component").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("order"), "rep", "n")).alias("head"))
         hubs = heads.groupBy("shingle").agg(F.min(F.struct((-F.col("size")).alias("size"), "head", "component")).alias("hub"), F.count("*").alias("heads")).where("heads > 1").select("shingle", "hub")
@@ -245,10 +247,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
-        components = connected_components(links)
+        components = connected_components(links, to_the_end=False)
 
     # the last product: columns with rows of more than one component, rows of different components
-    placed = _placed(named, components)
+    placed = _placed(named.drop("own"), components).repartition("shingle")
     mixed = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
     open_columns = write_stage(placed.join(mixed, "shingle", "left_semi").select("shingle", "n", "pos", "rep", "component"), "open")
     x = open_columns.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("n", "pos", "rep", "component")))
@@ -261,11 +263,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = pairs.join(kept.select(F.col("rep").alias("rep_a"), F.col("entries").alias("e_a")), "rep_a").join(kept.select(F.col("rep").alias("rep_b"), F.col("entries").alias("e_b")), "rep_b")
     pairs = pairs.where(_can_reach(F.col("n_a"), F.col("n_b"), F.size(F.array_intersect("e_a", "e_b")), percent)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     more = write_stage(verified(pairs, docs, id_col, text_col, shingle, percent), "verified")
-    if not more.isEmpty():
-        known = components.select(F.col("node").alias("a"), F.col("component").alias("b")) if components is not None else None
-        components = connected_components(more if known is None else more.union(known))
-    if components is None:
-        components = rows.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+    components = connected_components(more if links is None else links.union(more))
 
     of_set = rows.join(components, F.col("rep") == F.col("node"), "left").select("n", "sig", "sig2", F.coalesce("component", "rep").alias("found"))
     return sets.join(of_set, ["n", "sig", "sig2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"))
