@@ -107,31 +107,40 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = lines.where("prefix is not null").select("sig", "n", at.alias("at"), F.posexplode("prefix").alias("i", "word"))
     entries = entries.groupBy("word", "sig", "n", "i").agg(F.min("at").alias("at"))  # equal lines are one entry
     order = Window.partitionBy("word").orderBy("at", "sig")
-    one = F.struct("sig", "n", "at")
+    one = F.struct("sig", "n")
     lists = entries.select("*", F.first(one).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"), F.lag(one).over(order).alias("before"), F.lead("sig").over(order).alias("after"))
     lists = lists.where("before is not null or after is not null")
-    lists = lists.withColumn("hub", F.when(F.col("before").isNotNull(), F.when(_sizes_meet(F.col("first.n"), F.col("n"), percent), F.col("first")).otherwise(F.col("before"))))
-    lists = write_stage(lists.select("word", "sig", "n", "i", "at", "hub"), "lists")
+    hub = F.when(F.col("before").isNotNull(), F.when(_sizes_meet(F.col("first.n"), F.col("n"), percent), F.col("first")).otherwise(F.col("before")))
+    lists = write_stage(lists.withColumn("hub", hub).select("word", "sig", "n", "i", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n")), "lists")
+    sets = write_stage(lines.groupBy("sig").agg(F.min(at).alias("first_at")), "sets")
 
     rest = lambda n: F.ceil(F.lit(percent) * n / 100.0 - 1e-9) - 1
-    met = lists.where("hub is not null").where(_sizes_meet(F.col("hub.n"), F.col("n"), percent)).groupBy("sig", "n", "at", "hub").agg(F.count("*").alias("count"))
+    met = lists.where("hub is not null").where(_sizes_meet(F.col("hub_n"), F.col("n"), percent)).groupBy("sig", "n", "hub", "hub_n").agg(F.count("*").alias("count"))
     # the earliest set may not be the first of all lists that both are in, so half of what is needed will do
-    met = met.where(F.col("count") * 2 + F.greatest(rest(F.col("n")), rest(F.col("hub.n"))) >= _need(F.col("n"), F.col("hub.n"), percent))
-    best = met.groupBy("sig", "at").agg(F.max(F.struct("count", "hub")).alias("best")).select("sig", "at", F.col("best.hub.at").alias("other_at"))
-    matched = write_stage(_verified(best, docs, percent), "matched")
+    met = met.where(F.col("count") * 2 + F.greatest(rest(F.col("n")), rest(F.col("hub_n"))) >= _need(F.col("n"), F.col("hub_n"), percent))
+    best = met.groupBy("sig").agg(F.max(F.struct("count", "hub")).alias("best")).select("sig", F.col("best.hub").alias("other"))
+    matched = write_stage(_verified(_in_order(best, sets), docs, percent), "matched")
 
-    open_sets = lists.drop("hub").join(matched, "sig", "left_anti").select("word", "sig", F.col("n").alias("n_a"), F.col("i").alias("i_a"), F.col("at"))
-    earlier = lists.select("word", F.col("sig").alias("other"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), F.col("at").alias("other_at"))
+    # every other pair of a list, unless both have a match; which of the two is the later one is looked up for the few that are left
+    marked = lists.select("word", "sig", "n", "i").join(matched.withColumn("matched", F.lit(True)), "sig", "left").withColumn("open", F.col("matched").isNull()).drop("matched").repartition("word")
+    x, y = (marked.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "i", "open"))) for k in "ab")
     here = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    pairs = open_sets.join(earlier, (open_sets["word"] == earlier["word"]) & (F.col("other_at") < F.col("at")) & _sizes_meet(F.col("n_a"), F.col("n_b"), percent) & (here >= _need(F.col("n_a"), F.col("n_b"), percent)))
-    pairs = pairs.groupBy("sig", "other", "n_a", "n_b", "at", "other_at").agg(F.count("*").alias("count")).where(F.col("count") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b"))) >= _need(F.col("n_a"), F.col("n_b"), percent))
-    matched = matched.union(_verified(pairs.select("sig", "at", "other_at"), docs, percent)).withColumn("matched", F.lit(True))
+    pairs = x.join(y, (x["word"] == y["word"]) & (F.col("sig_a") < F.col("sig_b")) & (F.col("open_a") | F.col("open_b")) & _sizes_meet(F.col("n_a"), F.col("n_b"), percent) & (here >= _need(F.col("n_a"), F.col("n_b"), percent)))
+    pairs = pairs.groupBy("sig_a", "sig_b", "n_a", "n_b").agg(F.count("*").alias("count")).where(F.col("count") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b"))) >= _need(F.col("n_a"), F.col("n_b"), percent))
+    pairs = _in_order(pairs.select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other")), sets)
+    matched = matched.union(_verified(pairs, docs, percent)).distinct().withColumn("matched", F.lit(True))
 
-    sets = lines.groupBy("sig").agg(F.min(at).alias("first_at")).join(matched, "sig", "left")
-    flagged = lines.select("sig", "doc_id", "line_no").join(sets, "sig")
+    flagged = lines.select("sig", "doc_id", "line_no").join(sets.join(matched, "sig", "left"), "sig")
     return flagged.where(F.col("matched").isNotNull() | (F.struct("doc_id", "line_no") > F.col("first_at"))).select("doc_id", "line_no")
 
 
+def _in_order(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``sig, other`` as ``sig, at, other_at``: the later set, its first place, and that of the earlier one."""
+    both = pairs.join(sets.select("sig", F.col("first_at").alias("at")), "sig").join(sets.select(F.col("sig").alias("other"), F.col("first_at").alias("other_at")), "other")
+    later = F.col("other_at") < F.col("at")
+    return both.select(F.when(later, F.col("sig")).otherwise(F.col("other")).alias("sig"), F.greatest("at", "other_at").alias("at"), F.least("at", "other_at").alias("other_at"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with the cleaned text, and the columns ``n_lines`` and ``n_removed`` (long)."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
