@@ -72,7 +72,7 @@ def s6(t):
     return io.union_years(parts).groupBy("ano").agg(F.count("*").alias("n"), F.count("o_orderpriority").alias("with_priority"))
 
 
-@query("s7_table_sinks")
+@query("s7_table_sinks", "SELECT r_regionkey, r_name, n_nationkey, n_name, n_regionkey FROM region JOIN nation ON r_regionkey = n_regionkey")
 def s7(t):
     folder = _scratch(t, "tables")
     io.write_tables({"region": t.region}, folder)
@@ -120,7 +120,7 @@ def _scratch(t, label: str) -> str:
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-@query("v1_required_columns")
+@query("v1_required_columns", "SELECT count(*) AS n FROM orders")
 def v1(t):
     return A.require_columns(t.orders, ["o_orderkey", "o_custkey"]).agg(F.count("*").alias("n"))
 

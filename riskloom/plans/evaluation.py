@@ -32,7 +32,7 @@ def m4(t):
     return E.stratified_folds(t.scored(), "key", "label").groupBy("label", "fold").agg(F.count("*").alias("n"))
 
 
-@query("m4_holdout")
+@query("m4_holdout", "WITH {SCORED}, n AS (SELECT label, count(*) AS n FROM scored GROUP BY 1) SELECT 'test' AS split, label, n // 5 + (n % 5 > 0)::INTEGER AS n FROM n UNION ALL SELECT 'train', label, n - n // 5 - (n % 5 > 0)::INTEGER FROM n")
 def m4b(t):
     return E.holdout(t.scored(), "key", "label").groupBy("split", "label").agg(F.count("*").alias("n"))
 
