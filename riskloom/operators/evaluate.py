@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import bands, special
 from riskloom.operators.aggregates import cumulative_share, r
 from riskloom.operators.audit import long_rows, unpivoted
-from riskloom.operators.ordered import score_table
+from riskloom.operators.ordered import score_table, with_global_rank
 
 # splits
 
@@ -265,26 +265,80 @@ def psi_summary(matrix: DataFrame) -> DataFrame:
 # comparison of models
 
 
-def bootstrap_metrics(df: DataFrame, group: str, probability: str, label: str, replicates: int = 200, threshold: float = 0.5, seed: int = 5, most: int = 100_000) -> DataFrame:
-    """Group-level resamples of the eight metrics; resamples with one class are skipped. The group table's size is checked."""
-    g = df.groupBy(group).agg(F.avg(probability).alias("p"), F.max(label).alias("y")).orderBy(group).limit(most + 1).collect()
-    if len(g) > most:
-        raise ValueError(f"more than {most} groups")
-    p, y = np.array([x["p"] for x in g], float), np.array([x["y"] for x in g], int)
-    shared = df.sparkSession.sparkContext.broadcast((p, y))
+#: Distinct probabilities that one task resamples.
+BLOCK_ROWS = 10_000
 
-    def run(batches):
+
+def resamples(n1: np.ndarray, n0: np.ndarray, draws: Sequence[tuple[int, int]], seed: int, block: int):
+    """Draws with replacement among the groups of a block, counted by cell: ``replicate, k1, k0`` for each (replicate, number of draws)."""
+    counts = np.concatenate([n1, n0])
+    total = int(counts.sum())
+    slots = np.repeat(np.arange(len(counts)), counts) if total <= 8 * len(counts) else None  # else a cell holds many groups
+    for k, n in draws:
+        rng = np.random.default_rng([seed, block + 1, int(k)])
+        got = rng.multinomial(n, counts / total) if slots is None else np.bincount(slots[rng.integers(0, total, n)], minlength=len(counts))
+        yield int(k), got[: len(n1)], got[len(n1) :]
+
+
+def bootstrap_metrics(df: DataFrame, group: str, probability: str, label: str, replicates: int = 200, threshold: float = 0.5, seed: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Group-level resamples of the eight metrics; resamples with one class are skipped. Groups without a probability or label don't count.
+
+    Groups of one probability and label are alike, so each replicate draws counts of them, as many in all as there are groups. Blocks of the
+    order of probabilities are resampled apart: a multinomial draw over their sizes (the driver has one number per block) says
+    how many draws each gets, and only sums per replicate and block leave a task. Average precision needs the counts above a block, so it is a second pass
+    over the same seeded draws.
+    """
+    spark = df.sparkSession
+    g = df.groupBy(group).agg(F.avg(probability).alias("p"), F.max(label).cast("long").alias("y")).where("p is not null and y is not null")
+    ranked, _ = with_global_rank(g.groupBy((-F.col("p")).alias("s")).agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")), ["s"])
+    cells = ranked.select(F.floor((F.col("rank") - 1) / block_rows).cast("long").alias("block"), "s", "n1", "n0").persist()
+    found = sorted(cells.groupBy("block").agg(F.sum(F.col("n1") + F.col("n0"))).collect())  # one row per block
+    blocks, sizes = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
+    shared = spark.sparkContext.broadcast((blocks, sizes))
+
+    def split(batches):
         import pandas as pd
 
-        p, y = shared.value
+        blocks, sizes = shared.value
         for frame in batches:
-            rows = []
-            for k in frame["id"]:
-                at = np.random.default_rng([seed, int(k)]).integers(0, len(p), len(p))
-                rows.append((int(k), *metrics_of(p[at], y[at], threshold)))
-            yield pd.DataFrame(rows, columns=["replicate", *METRICS])
+            for k in frame["id"] if len(sizes) else ():
+                yield pd.DataFrame({"block": blocks, "replicate": int(k), "draws": np.random.default_rng([seed, 0, int(k)]).multinomial(sizes.sum(), sizes / sizes.sum())})
+
+    def drawn(key, cells, draws):
+        cells = cells.sort_values("s")
+        return cells["s"].to_numpy(), resamples(cells["n1"].to_numpy(), cells["n0"].to_numpy(), list(zip(draws["replicate"], draws["draws"], strict=True)), seed, int(key[0]))
 
-    return df.sparkSession.range(replicates, numPartitions=min(32, replicates)).mapInPandas(run, "replicate long, " + ", ".join(f"{m} double" for m in METRICS))
+    def sums(key, cells, draws):
+        import pandas as pd
+
+        s, made = drawn(key, cells, draws)
+        hit = s <= -threshold
+        rows = [(key[0], k, n, int(a.sum()), int(b.sum()), int(a[hit].sum()), int(b[hit].sum()), float((a * (b.sum() - np.cumsum(b) + b / 2)).sum())) for (k, a, b), n in zip(made, draws["draws"], strict=True)]
+        return pd.DataFrame(rows, columns=["block", "replicate", "draws", "pos", "neg", "tp", "fp", "pairs"])
+
+    def steps(key, cells, draws):
+        import pandas as pd
+
+        rows = []
+        for (k, a, b), above1, above0 in zip(drawn(key, cells, draws)[1], draws["above1"], draws["above0"], strict=True):
+            tp, at = above1 + np.cumsum(a), a > 0
+            rows.append((k, float((a[at] * tp[at] / (tp + above0 + np.cumsum(b))[at]).sum())))
+        return pd.DataFrame(rows, columns=["replicate", "steps"])
+
+    every = spark.range(replicates, numPartitions=min(32, replicates))
+    by_block = cells.groupBy("block").cogroup(every.mapInPandas(split, "block long, replicate long, draws long").groupBy("block"))
+    parts = by_block.applyInPandas(sums, "block long, replicate long, draws long, pos long, neg long, tp long, fp long, pairs double").persist()
+    w = Window.partitionBy("replicate").orderBy("block")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    placed = parts.select("*", *[F.coalesce(F.sum(c).over(o), F.lit(0)).alias(n) for c, o, n in (("pos", before, "above1"), ("neg", before, "above0"), ("neg", after, "below0"))])
+    total = placed.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "tp", "fp")], F.sum(F.col("pairs") + F.col("pos") * F.col("below0")).alias("pairs"))
+    precise = cells.groupBy("block").cogroup(placed.select("block", "replicate", "draws", "above1", "above0").groupBy("block")).applyInPandas(steps, "replicate long, steps double").groupBy("replicate").agg(F.sum("steps").alias("steps"))
+    known = total.join(precise, "replicate").where("pos > 0 and neg > 0")
+    pos, neg, tp, fp = (F.col(c) for c in ("pos", "neg", "tp", "fp"))
+    over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    rec, spec, prec = tp / pos, (neg - fp) / neg, over(tp, tp + fp)
+    values = ((tp + neg - fp) / (pos + neg), (rec + spec) / 2, prec, rec, spec, over(2 * prec * rec, prec + rec), F.col("pairs") / (pos.cast("double") * neg), F.col("steps") / pos)
+    return every.withColumnRenamed("id", "replicate").join(known.select("replicate", *[v.alias(m) for m, v in zip(METRICS, values, strict=True)]), "replicate", "left")
 
 
 METRICS = ("accuracy", "balanced_accuracy", "precision", "recall", "specificity", "f1", "roc_auc", "average_precision")

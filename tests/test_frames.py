@@ -112,6 +112,35 @@ def test_bootstrap_is_seeded(spark):
     assert C.bootstrap(df, "t", "y", ["g"], 8, cluster="c").where("estimate is not null").count() == 8
 
 
+def test_bootstrap_metrics_equal_their_resamples(spark):
+    n, size, seed = 500, 64, 9
+    p, y = np.arange(n) % 211 / 211, np.arange(n) * 7 % 10 < 3
+    df = spark.createDataFrame([(i, float(p[i]), int(y[i])) for i in range(n) for _ in range(1 + i % 2)], "g long, p double, y int").repartition(5)
+    got = E.bootstrap_metrics(df, "g", "p", "y", 6, seed=seed, block_rows=size).orderBy("replicate").collect()
+    s = np.unique(-p)
+    n1, n0 = (np.array([((-p == v) & (y == c)).sum() for v in s]) for c in (True, False))
+    at = [slice(i, i + size) for i in range(0, len(s), size)]
+    sizes = np.array([(n1 + n0)[a].sum() for a in at])
+    for k, row in enumerate(got):
+        share = np.random.default_rng([seed, 0, k]).multinomial(n, sizes / n)
+        made = [next(E.resamples(n1[a], n0[a], [(k, m)], seed, b)) for b, (a, m) in enumerate(zip(at, share, strict=True))]
+        k1, k0 = (np.concatenate([m[c] for m in made]) for c in (1, 2))
+        assert k1.sum() + k0.sum() == n
+        want = E.metrics_of(np.concatenate([np.repeat(-s, k1), np.repeat(-s, k0)]), np.repeat([1, 0], [k1.sum(), k0.sum()]))
+        assert row["replicate"] == k and tuple(row)[1:] == pytest.approx(want, abs=1e-9)
+    assert len({r["roc_auc"] for r in got}) == 6
+    one = E.bootstrap_metrics(df.withColumn("y", F.lit(1)), "g", "p", "y", 3).collect()
+    assert len(one) == 3 and all(tuple(r)[1:] == (None,) * 8 for r in one)
+
+
+def test_bootstrap_metrics_take_any_number_of_groups(spark):
+    df = spark.range(130_000).select(F.col("id").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)).alias("p"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    rows = E.bootstrap_metrics(df, "g", "p", "y", 2).collect()
+    assert len(rows) == 2 and all(abs(r["roc_auc"] - 0.5) < 0.02 and abs(r["average_precision"] - 1 / 3) < 0.02 for r in rows)
+    flat = E.bootstrap_metrics(df.withColumn("p", F.lit(0.25)), "g", "p", "y", 2).collect()
+    assert all(r["roc_auc"] == 0.5 and r["recall"] == 0.0 for r in flat)
+
+
 def test_pdo_anchors(spark):
     df = spark.createDataFrame([(1 / 10,), (1 / 19,), (1e-9,), (1.0,)], "p double")
     assert [round(v, 6) for v in values(df.select(P.pdo_score(F.col("p")).alias("s")), "s")][:2] == [500.0, 540.0]
