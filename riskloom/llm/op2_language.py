@@ -3,8 +3,8 @@
 The log-likelihood of a text under each language (hashed byte trigrams of its letters) is added to that of the declared
 language given the language, that of the address suffix given the language, and to the prior of the host. The last
 three are estimated over all rows by grouped aggregation, with the text's best language as the vote: a host's counts are
-smoothed towards its domain's, those towards the counts of all rows. The text model alone is fitted on a bounded sample of
-labelled rows (``TRAIN_ROWS``, chosen by hash of the id).
+smoothed towards its domain's, those towards the counts of all rows. Every label of any row is a language of the model; the text
+model of each is fitted on a bounded sample of its rows (``TRAIN_ROWS`` shared out, chosen by hash of the id and text).
 
 Plan: one pass over the texts leaves a slim table (scores, declared language, suffix, host, domain); everything else works
 on that table. Counts are combined before they are shuffled and a host is one row with an array of counts, so a host
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import documents, in_small_batches, write_stage
 
-#: Labelled rows that the text model is fitted on, at most about, and languages it tells apart at most.
-TRAIN_ROWS, MOST_LANGUAGES = 20_000, 64
+#: Labelled rows that the text model is fitted on, about: each language has an equal share of them, but not fewer than LEAST_ROWS.
+TRAIN_ROWS, LEAST_ROWS = 20_000, 300
+#: Languages whose counts a task holds before it passes them on.
+HELD_LANGUAGES = 64
 #: Buckets of trigrams.
 BUCKETS = 1 << 16
 #: Weight of one trigram's log-likelihood (neighbouring trigrams aren't independent), and of at most so many of them.
@@ -57,27 +59,40 @@ def trigrams(text: str | None):
 def fit_text_model(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], object]:
     """Languages and their log-probabilities of the buckets, from columns ``doc_id, text, lang``.
 
-    The driver gets one array of counts for each language, never texts.
+    The languages are all labels of all rows, however rare. The driver gets one array of counts for each language, never texts.
     """
     import numpy as np
 
+    spark = labelled.sparkSession
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     rows = labelled.where("lang is not null and text is not null")
-    share = min(1.0, train_rows / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("low")).collect()  # one row per language
+    if not sizes:
+        return [], np.zeros((0, BUCKETS), np.float32)
+    quota = max(LEAST_ROWS, train_rows // len(sizes))
+    # the row that comes first is always in, so that no language is without a row
+    below = spark.createDataFrame([(r["lang"], max(int(min(1.0, quota / r["n"]) * (1 << 40)), r["low"] + 1)) for r in sizes], "lang string, below long")
+    sample = rows.join(F.broadcast(below), "lang").where(place < F.col("below"))
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        def packed(seen):
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for x in seen.values()], pa.binary())], ["lang", "counts"])
+
         seen: dict = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = np.bincount(trigrams(text), minlength=BUCKETS)
                 if lang in seen:
                     seen[lang] += found
-                elif len(seen) < 1000:
+                else:
+                    if len(seen) == HELD_LANGUAGES:
+                        yield packed(seen)
+                        seen = {}
                     seen[lang] = found
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for x in seen.values()], pa.binary())], ["lang", "counts"])
+        yield packed(seen)
 
     def add(frame):
         import numpy as np
@@ -87,7 +102,7 @@ def fit_text_model(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[l
         return pd.DataFrame({"lang": frame["lang"].iloc[:1], "n": [int(total.sum())], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     summed = in_small_batches(sample).select("text", "lang").mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInPandas(lambda frame: add(frame), "lang string, n long, counts binary")
-    found = sorted(summed.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect(), key=lambda r: r["lang"])
+    found = sorted(summed.collect(), key=lambda r: r["lang"])
     counts = [np.frombuffer(zlib.decompress(r["counts"]), "<i8") for r in found]
     return [r["lang"] for r in found], np.array([np.log((c + 0.5) / (c.sum() + 0.5 * BUCKETS)) for c in counts], np.float32).reshape(-1, BUCKETS)
 

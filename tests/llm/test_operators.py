@@ -125,6 +125,28 @@ def test_language_fuses_evidence_and_rejects(spark, docs, empty):
     assert op2_language.keep(empty).count() == 0
 
 
+def test_language_model_has_every_label(spark):
+    rng = random.Random(8)
+
+    def spoken(k, n):
+        letters = random.Random(k).sample("abcdefghijklmnopqrstuvwxyz", 6)
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(n))
+
+    many = [(i, spoken(0, 8), "x00") for i in range(3000)]
+    few = [(10_000 + 100 * k + i, spoken(k, 60), f"x{k:02}") for k in range(1, 80) for i in range(3)]
+    far = [(50_000 + i, " ".join("".join(rng.choice("漢字語文") for _ in range(4)) for _ in range(60)), "zz") for i in range(4)]
+    df = spark.createDataFrame(many + few + far, "doc_id long, text string, lang string").repartition(3)
+    model = op2_language.fit_text_model(df, train_rows=80)
+    assert model[0] == sorted({x[2] for x in many + few + far}) and model[1].shape == (81, op2_language.BUCKETS)
+    evidence = df.select(F.col("doc_id").alias("id"), "text", *[F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "host", "domain")])
+    found = {r["id"]: r for r in op2_language.identify(evidence, model).collect()}
+    assert all(found[i]["text_lang"] == "zz" and found[i]["kept"] for i, _, _ in far)
+    assert sum(found[i]["text_lang"] == lang for i, _, lang in few) > 0.95 * len(few)
+    # labels without a sampled row of their own by a share of all rows; one id for all
+    same = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert op2_language.fit_text_model(same, train_rows=80)[0] == model[0]
+
+
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_blocks_of_planes(planes):
     rng = np.random.default_rng(0)
