@@ -389,6 +389,15 @@ def test_url_filter(spark):
     assert op9_url_filter.filter_captures(frame.where("false"), op9_url_filter.validity_intervals(entries)).count() == 0
 
 
+def test_url_filter_takes_every_prefix_of_a_path(spark):
+    d = datetime.date(2024, 1, 10)
+    entries = spark.createDataFrame([("path:a.org/p/q", "spam", d, 1, True), ("path:x.a.org/p/q/r", "adult", d, 2, True), ("host:b.org", "spam", d, 3, True)], "key string, category string, day date, entry_id long, listed boolean")
+    urls = ["http://a.org/p/q/r/s?x/y", "http://a.org/p/qq", "http://a.org/p/", "https://u@X.a.org:8/p/q/r/#/z", "http://a.org//p/q", "http://a.org", "http://y.x.b.org/p"]
+    frame = spark.createDataFrame([(i, u, d) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    got = rows(op9_url_filter.filter_captures(frame, op9_url_filter.validity_intervals(entries)), "page_id", "n_keys", "n_matches", "categories")
+    assert got == [(0, 5, 1, "spam"), (1, 3, 0, ""), (2, 2, 0, ""), (3, 5, 1, "adult"), (4, 3, 0, ""), (5, 1, 0, ""), (6, 4, 1, "spam")]
+
+
 def test_sharding(spark, docs, empty):
     got = op10_sharding.assign_shards(docs, shards=4).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((i is None, i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in ODD)
