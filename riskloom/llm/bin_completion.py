@@ -8,7 +8,9 @@ best-fit-decreasing packings of what is left serve as incumbents at every node.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from collections.abc import Iterator
+
+import numpy as np
 
 #: (lengths in the bin with their copies, largest first), number of such bins
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -16,45 +18,46 @@ Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Bins that any packing needs: for each threshold, items too large to meet, plus what doesn't fit beside them."""
-    sizes = sorted(counts)
-    best = -(-sum(n * c for n, c in counts.items()) // capacity)
-    above, total = [0], [0]
-    for n in sizes:
-        above.append(above[-1] + counts[n])
-        total.append(total[-1] + n * counts[n])
-    for small in {0, *(n for n in sizes if 2 * n <= capacity), *(capacity - n + 1 for n in sizes if 2 * n > capacity)}:
-        # alone: with no item of at least `small`; paired: over half, may take such items
-        a, b = bisect_right(sizes, capacity - small), bisect_right(sizes, capacity // 2)
-        b = min(a, max(b, 0))
-        c = bisect_right(sizes, small - 1)
-        alone, paired = above[-1] - above[a], above[a] - above[b]
-        room = paired * capacity - (total[a] - total[b])
-        rest = max(0, total[b] - total[min(b, c)] - room)
-        best = max(best, alone + paired - (-rest // capacity))
-    return best
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[x] for x in sizes.tolist()], np.int64)
+    above, total = (np.concatenate([[0], np.cumsum(x)]) for x in (n, sizes * n))
+    small = np.concatenate([[0], sizes[2 * sizes <= capacity], capacity - sizes[2 * sizes > capacity] + 1])
+    # alone: with no item of at least `small`; paired: over half, may take such items
+    a = np.searchsorted(sizes, capacity - small, "right")
+    b = np.minimum(a, np.searchsorted(sizes, capacity // 2, "right"))
+    alone, paired = above[-1] - above[a], above[a] - above[b]
+    room = paired * capacity - (total[a] - total[b])
+    rest = np.maximum(0, total[b] - total[np.minimum(b, np.searchsorted(sizes, small - 1, "right"))] - room)
+    return int(max(-(-total[-1] // capacity), (alone + paired - (-rest // capacity)).max()))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     """Best-fit decreasing, for all items of a length at once."""
     open_bins: dict[int, list[list]] = {}  # space left: [pattern, bins]
+    spaces = 0  # a bit for each space that is open
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            space = min((s for s in open_bins if s >= length), default=None)
-            if space is None:
+            fitting = spaces >> length
+            if not fitting:
                 per = min(capacity // length, left)
                 bins = left // per
                 open_bins.setdefault(capacity - per * length, []).append([((length, per),), bins])
+                spaces |= 1 << (capacity - per * length)
                 left -= per * bins
                 continue
+            space = length + (fitting & -fitting).bit_length() - 1
             pattern, bins = open_bins[space].pop()
             if not open_bins[space]:
                 del open_bins[space]
+                spaces ^= 1 << space
             per = min(space // length, left)
             used = min(bins, left // per)
             if bins > used:
                 open_bins.setdefault(space, []).append([pattern, bins - used])
+                spaces |= 1 << space
             open_bins.setdefault(space - per * length, []).append([(*pattern, (length, per)), used])
+            spaces |= 1 << (space - per * length)
             left -= per * used
     return [(pattern, bins) for groups in open_bins.values() for pattern, bins in groups]
 
@@ -66,62 +69,70 @@ def _fits_into(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
     return any(large[i] >= small[0] and _fits_into(small[1:], (*large[:i], large[i] - small[0], *large[i + 1 :])) for i in range(len(large)) if large[i] not in large[:i])
 
 
-def fillings(counts: dict[int, int], space: int, most: int = 4, keep: int = 24, steps: int = 4000) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``space``, fullest first, of at most ``most`` items; the best single item always is one.
+def fillings(counts: dict[int, int], space: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``space``, fullest first, each made when it is asked for; ``steps[0]`` is what the search may still try.
 
-    One item dominates every filling that is no larger, so only fuller ones are looked at.
+    The best single item dominates every filling that is no larger, so only fuller ones are looked at.
     """
     sizes = sorted((n for n, c in counts.items() if c and n <= space), reverse=True)
-    if not sizes:
-        return [()]
-    found, budget = [(sizes[0],)], steps
-    if sizes[0] < space:
-        stack = [((n,), i, space - n) for i, n in reversed(list(enumerate(sizes)))]
-        while stack and budget:
-            budget -= 1
-            items, i, room = stack.pop()
-            if space - room > sizes[0]:
-                found.append(items)
-                if room == 0 and len(found) > keep:
-                    break
-            if len(items) < most:
-                after = [((*items, n), j, room - n) for j, n in enumerate(sizes[i:], i) if n <= room and items.count(n) < counts[n]]
-                stack += reversed(after[:64])
-    found.sort(key=lambda x: (-sum(x), len(x)))
+    if not sizes or sizes[0] == space:
+        yield tuple(sizes[:1])
+        return
+    sums, inside = 1, (1 << (space + 1)) - 1  # a bit for each sum of any copies of the sizes
+    for n in sizes:
+        shift = n
+        while shift <= space:
+            sums, shift = (sums | sums << shift) & inside, 2 * shift
     kept: list[tuple[int, ...]] = []
-    for x in found:
-        if len(kept) < keep and not any(_fits_into(x, y) for y in kept):
-            kept.append(x)
-    return kept
+    for full in range(space, sizes[0], -1):
+        stack = [((), 0, full)] if sums >> full & 1 else []
+        while stack and steps[0] > 0:
+            items, i, room = stack.pop()
+            if i == len(sizes):
+                continue
+            steps[0] -= 1
+            n = sizes[i]
+            stack.append((items, i + 1, room))
+            if n > room or items.count(n) >= counts[n] or not sums >> (room - n) & 1:
+                continue
+            if room > n:
+                stack.append(((*items, n), i, room - n))
+            elif len(items) >= 8 or not any(_fits_into((*items, n), x) for x in kept if len(x) <= 8):  # long ones cost more to compare than to try
+                kept.append((*items, n))
+                yield kept[-1]
+    if not any(_fits_into(sizes[:1], x) for x in kept):
+        yield (sizes[0],)
 
 
-def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 8) -> list[Pattern]:
-    """A packing of all items into few bins. ``nodes`` bounds the search, not the packing: the best found is returned."""
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 3000) -> list[Pattern]:
+    """A packing of all items into few bins. ``nodes`` (with 2000 steps of filling each) bounds the search, not the packing: the best found is returned."""
     counts = {n: c for n, c in counts.items() if c}
-    bound = lower_bound(counts, capacity)
-    size = lambda packing: sum(b for _, b in packing)
-    best = best_fit(counts, capacity)
-    stack: list[tuple[dict[int, int], list[Pattern]]] = [(counts, [])]
-    while stack and nodes and size(best) > bound:
-        nodes -= 1
-        left, done = stack.pop()
-        if not left:
-            if size(done) < size(best):
-                best = done
-            continue
-        if size(done) + lower_bound(left, capacity) >= size(best):
+    bound, best, steps = lower_bound(counts, capacity), best_fit(counts, capacity), [2000 * nodes]
+    most = sum(b for _, b in best)
+    stack: list[tuple[dict[int, int], list[Pattern], int, Iterator]] = []
+
+    def visit(left: dict[int, int], done: list[Pattern], size: int) -> None:
+        nonlocal best, most
+        if size + lower_bound(left, capacity) >= most:
+            return
+        rest = best_fit(left, capacity)
+        if (found := size + sum(b for _, b in rest)) < most:
+            best, most = done + rest, found
+        if left:
+            largest = max(left)
+            stack.append((left, done, size, fillings({**left, largest: left[largest] - 1}, capacity - largest, steps)))
+
+    visit(counts, [], 0)
+    while stack and nodes and steps[0] > 0 and most > bound:
+        left, done, size, after = stack[-1]
+        filling = next(after, None)
+        if filling is None:
+            stack.pop()
             continue
-        if size(tried := done + best_fit(left, capacity)) < size(best):
-            best = tried
-        largest = max(left)
-        rest = {**left, largest: left[largest] - 1}
-        branches = []
-        for filling in fillings(rest, capacity - largest):
-            pattern: dict[int, int] = {}
-            for n in (largest, *filling):
-                pattern[n] = pattern.get(n, 0) + 1
-            bins = min(left[n] // k for n, k in pattern.items())
-            after = {n: c for n, c in ((n, c - bins * pattern.get(n, 0)) for n, c in left.items()) if c}
-            branches.append((after, [*done, (tuple(sorted(pattern.items(), reverse=True)), bins)]))
-        stack += reversed(branches)
+        nodes -= 1
+        pattern: dict[int, int] = {}
+        for n in (max(left), *filling):
+            pattern[n] = pattern.get(n, 0) + 1
+        bins = min(left[n] // k for n, k in pattern.items())
+        visit({n: c for n, c in ((n, c - bins * pattern.get(n, 0)) for n, c in left.items()) if c}, [*done, (tuple(sorted(pattern.items(), reverse=True)), bins)], size + bins)
     return best

@@ -208,6 +208,18 @@ def test_bin_completion_is_near_the_optimum():
     assert gaps == 0
 
 
+def test_bin_completion_searches_by_default():
+    rng, capacity = random.Random(7), 512
+    counts = {n: rng.randrange(1, 40) for n in rng.sample(range(90, 400), 60)}
+    packing, used = bin_completion.complete_bins(counts, capacity), {}
+    for pattern, bins in packing:
+        assert sum(n * k for n, k in pattern) <= capacity
+        for n, k in pattern:
+            used[n] = used.get(n, 0) + k * bins
+    assert used == counts
+    assert bin_completion.lower_bound(counts, capacity) <= sum(b for _, b in packing) <= 605 < sum(b for _, b in bin_completion.best_fit(counts, capacity))
+
+
 def test_packing(docs, empty, library):
     got = op4_packing.pack_documents(docs, PATH, capacity=256).collect()
     want = sorted((i is None, i, k, a, len(p := x[a : a + 256]), zlib.crc32(p.tobytes())) for i, t in ODD for x in [np.append(ids_of(library, t), 0).astype("<u4")] for k, a in enumerate(range(0, len(x), 256)))
