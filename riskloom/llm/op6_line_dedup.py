@@ -1,38 +1,55 @@
 """Operator 6: line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its distinct words. A line is removed if a line before it, in the order of (document id, line
-number), has the same set, or a set with a Jaccard similarity of at least ``PERCENT``. Lines without a word stay.
-
-Plan: one pass counts words by hash in a table of fixed size, which orders the words of every line by rarity. Of each line only
-the first ``n - ceil(t * n) + 1`` words are kept: two similar sets share one of them (prefix filter). Lists of sets by such a
-word are compared in two steps. First each set meets the earliest set of its list, and the best partner is verified: that
-settles groups of near copies without all their pairs. Then each set without a match meets all earlier sets of its lists; sizes too
-far apart (length filter), places that leave too few words (positional filter) and pairs that share too few of the first words
-are dropped, the rest verified on their whole lines. Sets below nine words can't have another similar set at 90 %.
-Equal sets are one entry, combined before the shuffle, so a line that makes up a third of the corpus is no hot key there;
-joins on sets are skew joins that adaptive execution splits.
-
-Defined results: a null or empty text stays as it is, as do rows with a null id; rows that repeat an id are cleaned alike; an empty table gives
-an empty table; other columns of the input are kept, whatever their names.
+A line is the set of its distinct words. A line is removed if a line before it has the same set, or a set with a Jaccard
+similarity of at least ``PERCENT``. Lines are in the order of document id, digest of the document's text, line number. Lines
+without a word stay.
+
+Plan: one pass counts words in a table of fixed size, which orders the words of every line by rarity. A second pass writes a slim
+row per line: a digest of its set, its size, the first ``n - ceil(t * n) + 1`` words in that order (two similar sets share
+one of them: prefix filter) and a parity of the set's hashes in 64 bits. Equal sets become one row, combined before the shuffle, so a
+line that makes up a third of the corpus is no hot key. Sets meet in lists by such a word, and a pair of a list counts
+if its sizes (length filter), its places (positional filter) and its parities allow the overlap: each word that only one
+set has changes one bit at most. Pairs that share too few of the first words are dropped, the rest verified on their whole lines.
+
+Long lists (``LONG_LIST``) come from groups of near copies. There each set meets the earliest set of its list first; those that
+are similar to it are settled, and only sets that are still open meet all earlier ones. Sets below nine words can't have
+another similar set at 90 %. Joins on sets are skew joins that adaptive execution splits.
+
+Defined results: a null or empty text stays as it is, as do rows with a null id; rows with both id and text equal are one document
+and are cleaned alike, rows with equal ids and different texts are different documents; an empty table gives an
+empty table; other columns of the input are kept, whatever their names, but for ``n_lines`` and ``n_removed``, which the counts replace.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from riskloom.llm.common import SPACE, documents, write_stage
+from riskloom.llm.common import SPACE, column, documents, write_stage
 
 #: Similarity of two lines as a percentage.
 PERCENT = 90
-#: The table of word counts: 2**20 codes of a byte; words are told apart by 40 bits of their hash beside their code.
-BUCKET_BITS, HASH_BITS = 20, 40
-#: Bits of the maps of documents and lines that verification reads.
+#: The table of word counts: 2**18 codes of five bits, in half powers of two around the mean. Words are told apart by 58 bits beside their code.
+BUCKET_BITS, CODE_BITS = 18, 5
+#: Sets of a longer list meet the earliest one of it first.
+LONG_LIST = 64
+#: Bits of the maps of documents, lines and sets that later passes read.
 MAP_BITS = 1 << 24
+#: White space that keeps a text from being split at single spaces.
+_ODD = ("\t", "\x0b", "\x0c", "\r", "  ", " \n", "\n ")
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE), "")
+def _odd(text: Column) -> Column:
+    """Whether words of the text are separated by anything but one space or line ends; such texts are split by a pattern."""
+    found = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for mark in _ODD:
+        found = found | F.contains(text, F.lit(mark))
+    return found
+
+
+def _words(line: Column, odd: Column) -> Column:
+    return F.when(odd, F.array_remove(F.split(line, SPACE), "")).otherwise(F.split(line, " "))
 
 
 def _need(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -43,113 +60,141 @@ def _sizes_meet(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
-def _bucket(hashed: Column) -> Column:
-    return hashed.bitwiseAND((1 << BUCKET_BITS) - 1)
+def _slot(word: Column) -> Column:
+    return F.shiftrightunsigned(F.hash(word), 32 - BUCKET_BITS)
 
 
 def word_rarity(texts: DataFrame) -> str:
-    """A code from 0 to 127 for each hash bucket: how often words of the bucket occur in column ``text``, on a logarithmic scale.
+    """A code from 0 to 31 for each hash bucket: how often words of the bucket occur in column ``text``, in half powers of two, 8 at the mean.
 
-    The driver gets 2**20 codes as text, under 4 MB whatever the size of the corpus.
+    The driver gets 2**18 codes as text, under 1 MB whatever the size of the corpus.
     """
-    words = texts.select(F.explode(F.split("text", SPACE)).alias("word")).where("word != ''")
-    seen = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count("*").alias("n"))
-    every = seen.union(texts.sparkSession.range(1 << BUCKET_BITS).select("id", F.lit(0).cast("long"))).groupBy("bucket").agg(F.sum("n").alias("n"))
-    code = F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(127))
-    parts = every.groupBy(F.shiftright("bucket", 10).alias("part")).agg(F.sort_array(F.collect_list(F.struct("bucket", code.cast("string").alias("code")))).alias("x"))
+    text = F.col("text")
+    plain = F.when(_odd(text), F.split(text, SPACE)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+    words = texts.select(F.explode(plain).alias("word")).where("word != ''")
+    seen = words.groupBy(_slot(F.col("word")).alias("slot")).agg(F.count("*").alias("n"))
+    every = seen.union(texts.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int"), F.lit(0).cast("long"))).groupBy("slot").agg(F.sum("n").alias("n"))
+    every = write_stage(every, "words")  # 2**18 rows
+    mean = max(1.0, (every.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS))
+    code = F.greatest(F.lit(0), F.least(F.floor(F.log2((F.col("n") + 0.5) / mean) * 2) + 8, F.lit((1 << CODE_BITS) - 1)))
+    parts = every.groupBy(F.shiftright("slot", 10).alias("part")).agg(F.sort_array(F.collect_list(F.struct("slot", code.cast("string").alias("code")))).alias("x"))
     rows = parts.select("part", F.array_join(F.col("x.code"), ",").alias("codes")).collect()
     return ",".join(r["codes"] for r in sorted(rows))
 
 
 def line_sets(docs: DataFrame, rarity: str, percent: int = PERCENT) -> DataFrame:
-    """Per line with a word: ``doc_id, line_no, sig`` (digest of its set), ``n`` and ``prefix``, its rarest words."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    codes = F.split(F.lit(rarity), ",").cast("array<tinyint>")  # folded into one constant
-    entry = lambda h: F.shiftleft(F.get(codes, _bucket(h).cast("int")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
-    distinct = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    sets = lines.select("doc_id", "line_no", F.sort_array(F.transform(distinct, entry)).alias("words"))
+    """Per line with a word: ``doc_id, text_digest, line_no, sig`` (digest of its set), ``n``, ``prefix``, its rarest words, and ``parity``.
+
+    ``prefix`` is null for sets that are too small for another similar set.
+    """
+    codes = F.split(F.lit(rarity), ",").cast("array<bigint>")  # folded into one constant
+    # each generator keeps what is below it from being made again by what is above
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_digest"), _odd(F.col("text")).alias("odd"), F.split("text", "\n", -1).alias("lines"))
+    keyed = keyed.select("doc_id", "text_digest", "odd", F.posexplode_outer("lines").alias("line_no", "line")).where("line != ''")
+    entry = lambda w: F.shiftleft(F.get(codes, _slot(w)), 63 - CODE_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), CODE_BITS + 1))
+    sets = keyed.select("doc_id", "text_digest", "line_no", F.explode(F.array(F.array_distinct(F.transform(_words(F.col("line"), F.col("odd")), entry)))).alias("words"))
+    sets = sets.where("size(words) > 0").select("doc_id", "text_digest", "line_no", F.sort_array("words").alias("words"))
     n = F.size("words")
     first = n - F.ceil(F.lit(percent) * n / 100.0 - 1e-9).cast("int") + 1
-    # sets too small for another similar set need no prefix
-    alone = F.floor(n * 100 / F.lit(percent)) <= n
-    return sets.where(n > 0).select("doc_id", "line_no", F.xxhash64("words", n).alias("sig"), n.alias("n"), F.when(~alone | (F.ceil(n * F.lit(percent) / 100.0 - 1e-9) < n), F.slice("words", 1, first)).alias("prefix"))
+    similar = (F.floor(n * 100 / F.lit(percent)) > n) | (F.ceil(n * F.lit(percent) / 100.0 - 1e-9) < n)
+    parity = F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+    return sets.select("doc_id", "text_digest", "line_no", F.xxhash64("words", n).alias("sig"), n.alias("n"), F.when(similar, F.slice("words", 1, first)).alias("prefix"), F.when(similar, parity).alias("parity"))
+
+
+def _through_map(df: DataFrame, by: list[str], keys: DataFrame) -> DataFrame:
+    """The rows whose columns are among the keys, and few others: a map of MAP_BITS bits is broadcast (2 MB at most, in rows of 4 KB)."""
+    slot = F.pmod(F.xxhash64(*by), F.lit(MAP_BITS))
+    bits = keys.select(slot.alias("__slot")).groupBy(F.expr("bitmap_bucket_number(__slot)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(__slot))").alias("__bits"))
+    octet = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = df.withColumn("__slot", slot).withColumns({"__bucket": F.expr("bitmap_bucket_number(__slot)"), "__bit": F.expr("bitmap_bit_position(__slot)")})
+    return found.join(F.broadcast(bits), "__bucket").withColumn("__octet", octet).where("shiftright(__octet, cast(__bit % 8 as int)) & 1 = 1").select(*df.columns)
 
 
-def _through_map(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows whose column is among the keys, and few others: a map of MAP_BITS bits is broadcast (2 MB at most, in rows of 4 KB)."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    bits = keys.select(slot("key").alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    octet = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    found = df.withColumn("slot", slot(column)).withColumn("bucket", F.expr("bitmap_bucket_number(slot)")).withColumn("bit", F.expr("bitmap_bit_position(slot)"))
-    return found.join(F.broadcast(bits), "bucket").withColumn("octet", octet).where("shiftright(octet, cast(bit % 8 as int)) & 1 = 1").select(*df.columns)
+_PLACE = ["doc_id", "text_digest", "line_no"]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``sig, at, other_at`` (places of lines), the ``sig`` of those whose whole sets are similar.
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``sig`` of the later set of each of the pairs ``sig, other`` whose whole sets are similar.
 
     Only documents that some pair needs are split again, and only lines that some pair needs are shuffled.
     """
-    pairs = write_stage(pairs, "pairs")  # read several times
-    places = pairs.select(F.col("at").alias("place")).union(pairs.select("other_at")).distinct()
-    lines = _through_map(docs, "doc_id", places.select(F.col("place.doc_id").alias("key")))
-    lines = lines.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select(F.struct("doc_id", "line_no").alias("place"), "line")
-    lines = _through_map(lines, "place", places.select(F.col("place").alias("key")))
-    sets = lines.select("place", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("words"))
-    both = pairs.join(sets.select(F.col("place").alias("at"), F.col("words").alias("a")), "at").join(sets.select(F.col("place").alias("other_at"), F.col("words").alias("b")), "other_at")
-    both = both.select("sig", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("sizes"))
+    pairs = write_stage(pairs.select("sig", "other"), "pairs")  # read several times
+    sigs = pairs.select("sig").union(pairs.select("other")).distinct()
+    places = write_stage(_through_map(sets.select("sig", *_PLACE), ["sig"], sigs).join(sigs, "sig", "left_semi"), "places")
+    lines = docs.withColumn("text_digest", F.xxhash64("text"))
+    lines = _through_map(lines, _PLACE[:2], places).select(*_PLACE[:2], _odd(F.col("text")).alias("odd"), F.split("text", "\n", -1).alias("lines"))
+    lines = lines.select(*_PLACE[:2], "odd", F.posexplode_outer("lines").alias("line_no", "line"))
+    lines = _through_map(lines, _PLACE, places)
+    words = F.array_distinct(F.transform(_words(F.col("line"), F.col("odd")), lambda w: F.xxhash64(w)))
+    # equal rows of the input give equal lines: one of them
+    found = places.join(lines, _PLACE).groupBy("sig").agg(F.min(F.struct(*_PLACE, words.alias("words"))).alias("x"))
+    held = found.select("sig", F.struct(*[F.col(f"x.{c}") for c in _PLACE]).alias("at"), F.col("x.words").alias("words"))
+    both = pairs.join(held.select("sig", F.col("at").alias("at_a"), F.col("words").alias("a")), "sig").join(held.select(F.col("sig").alias("other"), F.col("at").alias("at_b"), F.col("words").alias("b")), "other")
+    both = both.select(F.when(F.col("at_b") < F.col("at_a"), F.col("sig")).otherwise(F.col("other")).alias("sig"), F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("sizes"))
     return both.where(F.col("common") * 100 >= F.lit(percent) * (F.col("sizes") - F.col("common"))).select("sig").distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, line_no`` of the lines to remove. ``docs``: columns ``doc_id``, ``text``, without nulls."""
+    """``doc_id, text_digest, line_no`` of the lines to remove. ``docs``: columns ``doc_id``, ``text``, without nulls."""
     lines = write_stage(line_sets(docs, word_rarity(docs), percent), "lines")
-    at = F.struct("doc_id", "line_no")
-    entries = lines.where("prefix is not null").select("sig", "n", at.alias("at"), F.posexplode("prefix").alias("i", "word"))
-    entries = entries.groupBy("word", "sig", "n", "i").agg(F.min("at").alias("at"))  # equal lines are one entry
-    order = Window.partitionBy("word").orderBy("at", "sig")
-    one = F.struct("sig", "n")
-    lists = entries.select("*", F.first(one).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"), F.lag(one).over(order).alias("before"), F.lead("sig").over(order).alias("after"))
-    lists = lists.where("before is not null or after is not null")
-    hub = F.when(F.col("before").isNotNull(), F.when(_sizes_meet(F.col("first.n"), F.col("n"), percent), F.col("first")).otherwise(F.col("before")))
-    lists = write_stage(lists.withColumn("hub", hub).select("word", "sig", "n", "i", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n")), "lists")
-    sets = write_stage(lines.groupBy("sig").agg(F.min(at).alias("first_at")), "sets")
-
-    rest = lambda n: F.ceil(F.lit(percent) * n / 100.0 - 1e-9) - 1
-    met = lists.where("hub is not null").where(_sizes_meet(F.col("hub_n"), F.col("n"), percent)).groupBy("sig", "n", "hub", "hub_n").agg(F.count("*").alias("count"))
-    # the earliest set may not be the first of all lists that both are in, so half of what is needed will do
-    met = met.where(F.col("count") * 2 + F.greatest(rest(F.col("n")), rest(F.col("hub_n"))) >= _need(F.col("n"), F.col("hub_n"), percent))
-    best = met.groupBy("sig").agg(F.max(F.struct("count", "hub")).alias("best")).select("sig", F.col("best.hub").alias("other"))
-    matched = write_stage(_verified(_in_order(best, sets), docs, percent), "matched")
-
-    # every other pair of a list, unless both have a match; which of the two is the later one is looked up for the few that are left
-    marked = lists.select("word", "sig", "n", "i").join(matched.withColumn("matched", F.lit(True)), "sig", "left").withColumn("open", F.col("matched").isNull()).drop("matched").repartition("word")
-    x, y = (marked.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "i", "open"))) for k in "ab")
+    # equal lines are one set; its parts other than the place are equal in all of them
+    first = lines.groupBy("sig").agg(F.min(F.struct(*_PLACE, "n", "prefix", "parity")).alias("x"), F.count("*").alias("n_lines"))
+    sets = write_stage(first.select("sig", "x.*", "n_lines"), "sets")
+    # the order within a list is a matter of cost only
+    rank = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.xxhash64("doc_id")
+    entries = sets.where("prefix is not null").select("sig", "n", "parity", rank.alias("rank"), F.posexplode("prefix").alias("i", "word")).repartition("word")
+    list_order = Window.partitionBy("word").orderBy("rank", "sig")
+    lists = entries.select("*", F.count("*").over(Window.partitionBy("word")).alias("size"), F.first(F.struct("sig", "n", "parity")).over(list_order).alias("head")).where("size > 1")
+    lists = write_stage(lists.withColumn("head", F.when(F.col("size") > LONG_LIST, F.col("head"))).drop("size"), "lists")
+
+    def can_meet(n_a: Column, n_b: Column, parity_a: Column, parity_b: Column) -> Column:
+        return _sizes_meet(n_a, n_b, percent) & (F.bit_count(parity_a.bitwiseXOR(parity_b)) <= n_a + n_b - 2 * _need(n_a, n_b, percent))
+
+    columns = ("sig", "n", "i", "parity", "rank", "open")
+    matched = None
+    short, long = lists.where("head is null").withColumn("open", F.lit(True)), lists.where("head is not null")
+    if not long.isEmpty():
+        met = long.where("sig != head.sig").where(can_meet(F.col("n"), F.col("head.n"), F.col("parity"), F.col("head.parity")))
+        best = met.groupBy("sig", F.col("head.sig").alias("other")).agg(F.count("*").alias("count")).groupBy("sig").agg(F.max(F.struct("count", "other")).alias("best"))
+        matched = write_stage(_verified(best.select("sig", F.col("best.other").alias("other")), sets, docs, percent), "matched")
+        long = long.join(matched.withColumn("matched", F.lit(True)), "sig", "left").withColumn("open", F.col("matched").isNull())
+    every = short.select("word", *columns).union(long.withColumn("open", F.col("open") if matched is not None else F.lit(True)).select("word", *columns)).repartition("word")
+    x, y = (every.select("word", *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k in "ab")
+    in_order = (F.col("rank_a") < F.col("rank_b")) | ((F.col("rank_a") == F.col("rank_b")) & (F.col("sig_a") < F.col("sig_b")))
+    # of two sets of one document either may be the later one
+    still_open = F.col("open_b") | ((F.col("rank_a") == F.col("rank_b")) & F.col("open_a"))
     here = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    pairs = x.join(y, (x["word"] == y["word"]) & (F.col("sig_a") < F.col("sig_b")) & (F.col("open_a") | F.col("open_b")) & _sizes_meet(F.col("n_a"), F.col("n_b"), percent) & (here >= _need(F.col("n_a"), F.col("n_b"), percent)))
+    reach = here >= _need(F.col("n_a"), F.col("n_b"), percent)
+    pairs = x.join(y, (x["word"] == y["word"]) & in_order & still_open & reach & can_meet(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b")))
+    rest = lambda n: F.ceil(F.lit(percent) * n / 100.0 - 1e-9) - 1
     pairs = pairs.groupBy("sig_a", "sig_b", "n_a", "n_b").agg(F.count("*").alias("count")).where(F.col("count") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b"))) >= _need(F.col("n_a"), F.col("n_b"), percent))
-    pairs = _in_order(pairs.select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other")), sets)
-    matched = matched.union(_verified(pairs, docs, percent)).distinct().withColumn("matched", F.lit(True))
-
-    flagged = lines.select("sig", "doc_id", "line_no").join(sets.join(matched, "sig", "left"), "sig")
-    return flagged.where(F.col("matched").isNotNull() | (F.struct("doc_id", "line_no") > F.col("first_at"))).select("doc_id", "line_no")
-
+    more = _verified(pairs.select(F.col("sig_b").alias("sig"), F.col("sig_a").alias("other")), sets, docs, percent)
+    matched = write_stage(more if matched is None else more.union(matched).distinct(), "matched")
 
-def _in_order(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs ``sig, other`` as ``sig, at, other_at``: the later set, its first place, and that of the earlier one."""
-    both = pairs.join(sets.select("sig", F.col("first_at").alias("at")), "sig").join(sets.select(F.col("sig").alias("other"), F.col("first_at").alias("other_at")), "other")
-    later = F.col("other_at") < F.col("at")
-    return both.select(F.when(later, F.col("sig")).otherwise(F.col("other")).alias("sig"), F.greatest("at", "other_at").alias("at"), F.least("at", "other_at").alias("other_at"))
+    # only lines whose set has more than one line or a match are looked at again
+    named = sets.where("n_lines > 1").select("sig", F.struct(*_PLACE).alias("first_at"), F.lit(False).alias("matched"))
+    found = matched.select("sig", F.lit(None).cast(named.schema["first_at"].dataType).alias("first_at"), F.lit(True).alias("matched"))
+    named = named.unionByName(found).groupBy("sig").agg(F.max("first_at").alias("first_at"), F.max("matched").alias("matched"))
+    named = write_stage(named, "named")
+    flagged = _through_map(lines.select("sig", *_PLACE), ["sig"], named).join(named, "sig")
+    return flagged.where(F.col("matched") | (F.struct(*_PLACE) > F.col("first_at"))).select(*_PLACE)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with the cleaned text, and the columns ``n_lines`` and ``n_removed`` (long)."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    gone = removed_lines(plain, percent).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
-    lines = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    columns = {text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept), "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_removed": F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long")}
-    return joined.select(*[F.col(c) for c in docs.columns if c not in columns], *[v.alias(k) for k, v in columns.items()])
+    plain = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).where("doc_id is not null and text is not null")
+    # a document's removed lines as bits of 64 lines each, so that a very long text is cleaned in one walk
+    gone = removed_lines(plain, percent).distinct().groupBy("doc_id", "text_digest", F.floor(F.col("line_no") / 64).cast("int").alias("k"))
+    gone = gone.agg(F.bit_or(F.expr("shiftleft(1L, line_no % 64)")).alias("bits"), F.count("*").alias("n"))
+    gone = gone.groupBy("doc_id", "text_digest").agg(F.map_from_entries(F.collect_list(F.struct("k", "bits"))).alias("m"), F.max("k").alias("last"), F.sum("n").alias("n_gone"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_digest").alias("__digest"), "n_gone", F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.coalesce(F.element_at("m", k), F.lit(0).cast("long"))).alias("gone"))
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("__row"), column(id_col).alias("__key"), column(text_col).alias("__text"))
+    joined = rows.join(gone.hint("shuffle_hash"), (F.col("__key") == F.col("__id")) & (F.xxhash64("__text") == F.col("__digest")), "left")
+    lines = F.split("__text", "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda _, i: F.coalesce(F.getbit(F.get("gone", F.shiftright(i, 6)), i.bitwiseAND(63)), F.lit(0)) == 0), "\n")
+    cleaned = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(kept)
+    columns = [cleaned.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
