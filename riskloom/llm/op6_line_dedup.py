@@ -33,7 +33,7 @@ PERCENT = 90
 #: The table of word counts: 2**18 codes of five bits, in half powers of two around the mean. Words are told apart by 58 bits beside their code.
 BUCKET_BITS, CODE_BITS = 18, 5
 #: Sets of a longer list meet the earliest one of it first.
-LONG_LIST = 64
+LONG_LIST = 256
 #: Bits of the maps of documents, lines and sets that later passes read.
 MAP_BITS = 1 << 24
 #: White space that keeps a text from being split at single spaces.
@@ -142,31 +142,33 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = write_stage(first.select("sig", "x.*", "n_lines"), "sets")
     # the order within a list is a matter of cost only
     rank = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, IntegralType) else F.xxhash64("doc_id")
-    entries = sets.where("prefix is not null").select("sig", "n", "parity", rank.alias("rank"), F.posexplode("prefix").alias("i", "word")).repartition("word")
-    list_order = Window.partitionBy("word").orderBy("rank", "sig")
-    lists = entries.select("*", F.count("*").over(Window.partitionBy("word")).alias("size"), F.first(F.struct("sig", "n", "parity")).over(list_order).alias("head")).where("size > 1")
-    lists = write_stage(lists.withColumn("head", F.when(F.col("size") > LONG_LIST, F.col("head"))).drop("size"), "lists")
+    entries = sets.where("prefix is not null").select("sig", "n", "parity", rank.alias("rank"), F.posexplode("prefix").alias("i", "word"))
+    long_words = write_stage(entries.groupBy("word").agg(F.count("*").alias("size")).where(F.col("size") > LONG_LIST).select("word"), "words")
+    rest = lambda n: F.ceil(F.lit(percent) * n / 100.0 - 1e-9) - 1
 
     def can_meet(n_a: Column, n_b: Column, parity_a: Column, parity_b: Column) -> Column:
         return _sizes_meet(n_a, n_b, percent) & (F.bit_count(parity_a.bitwiseXOR(parity_b)) <= n_a + n_b - 2 * _need(n_a, n_b, percent))
 
-    columns = ("sig", "n", "i", "parity", "rank", "open")
+    def candidates(listed: DataFrame, still_open: Column | None = None) -> DataFrame:
+        """Pairs ``sig, other`` of sets of one list; ``listed`` is dealt out by word already."""
+        x, y = (listed.select("word", *(F.col(c).alias(f"{c}_{k}") for c in listed.columns if c != "word")) for k in "ab")
+        in_order = (F.col("rank_a") < F.col("rank_b")) | ((F.col("rank_a") == F.col("rank_b")) & (F.col("sig_a") < F.col("sig_b")))
+        here = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+        both = (x["word"] == y["word"]) & in_order & (here >= _need(F.col("n_a"), F.col("n_b"), percent)) & can_meet(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b"))
+        return x.join(y, both if still_open is None else both & still_open).select("sig_a", "sig_b", "n_a", "n_b")
+
+    pairs = candidates(entries.repartition("word").join(long_words, "word", "left_anti"))
     matched = None
-    short, long = lists.where("head is null").withColumn("open", F.lit(True)), lists.where("head is not null")
-    if not long.isEmpty():
-        met = long.where("sig != head.sig").where(can_meet(F.col("n"), F.col("head.n"), F.col("parity"), F.col("head.parity")))
+    if not long_words.isEmpty():
+        long = write_stage(entries.join(long_words, "word"), "long")
+        heads = long.groupBy("word").agg(F.min(F.struct("rank", "sig", "n", "parity")).alias("head"))
+        met = long.join(heads, "word").where((F.col("sig") != F.col("head.sig")) & can_meet(F.col("n"), F.col("head.n"), F.col("parity"), F.col("head.parity")))
         best = met.groupBy("sig", F.col("head.sig").alias("other")).agg(F.count("*").alias("count")).groupBy("sig").agg(F.max(F.struct("count", "other")).alias("best"))
         matched = write_stage(_verified(best.select("sig", F.col("best.other").alias("other")), sets, docs, percent), "matched")
-        long = long.join(matched.withColumn("matched", F.lit(True)), "sig", "left").withColumn("open", F.col("matched").isNull())
-    every = short.select("word", *columns).union(long.withColumn("open", F.col("open") if matched is not None else F.lit(True)).select("word", *columns)).repartition("word")
-    x, y = (every.select("word", *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k in "ab")
-    in_order = (F.col("rank_a") < F.col("rank_b")) | ((F.col("rank_a") == F.col("rank_b")) & (F.col("sig_a") < F.col("sig_b")))
-    # of two sets of one document either may be the later one
-    still_open = F.col("open_b") | ((F.col("rank_a") == F.col("rank_b")) & F.col("open_a"))
-    here = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    reach = here >= _need(F.col("n_a"), F.col("n_b"), percent)
-    pairs = x.join(y, (x["word"] == y["word"]) & in_order & still_open & reach & can_meet(F.col("n_a"), F.col("n_b"), F.col("parity_a"), F.col("parity_b")))
-    rest = lambda n: F.ceil(F.lit(percent) * n / 100.0 - 1e-9) - 1
+        long = long.join(matched.withColumn("matched", F.lit(True)), "sig", "left").withColumn("open", F.col("matched").isNull()).drop("matched")
+        # of two sets of one document either may be the later one
+        pairs = pairs.union(candidates(long.repartition("word"), F.col("open_b") | ((F.col("rank_a") == F.col("rank_b")) & F.col("open_a"))))
+    # shared first words are counted over all lists
     pairs = pairs.groupBy("sig_a", "sig_b", "n_a", "n_b").agg(F.count("*").alias("count")).where(F.col("count") + F.greatest(rest(F.col("n_a")), rest(F.col("n_b"))) >= _need(F.col("n_a"), F.col("n_b"), percent))
     more = _verified(pairs.select(F.col("sig_b").alias("sig"), F.col("sig_a").alias("other")), sets, docs, percent)
     matched = write_stage(more if matched is None else more.union(matched).distinct(), "matched")
