@@ -10,16 +10,17 @@ import json
 import re
 from array import array
 
-#: Python's split() takes these four for white space; the tokenizer doesn't.
-_CONTROL = re.compile("[\x1c-\x1f]")
+from riskloom.llm.pieces import PieceTable
+from riskloom.llm.shingles import groups_of
+
 #: White_Space of Unicode, as the tokenizer's pattern has it (fixed values).
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 #: Beyond Latin letters a piece is normalised and split by the library itself.
 _RARE = "ƀ"
 #: Marks that the pre-tokenizer keeps together behind a word (an apostrophe could begin a contraction).
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Pieces and words kept by one worker before it starts anew; about 250 bytes each.
-KEPT_PIECES, KEPT_WORDS = 600_000, 400_000
+#: Words kept by one worker before it starts anew, about 250 bytes each; the table of pieces has its own bound.
+KEPT_WORDS = 400_000
 
 
 class TextEncoder:
@@ -40,7 +41,7 @@ class TextEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = PieceTable()
         self.words: dict[str, bytes] = {}
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -50,16 +51,14 @@ class TextEncoder:
         raise NotImplementedError
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        pieces = [p for p in _SPACE.split(text) if p] if _CONTROL.search(text) else text.split()
-        kept = self.pieces
-        if new := [p for p in set(pieces) if p not in kept]:
-            if len(kept) + len(new) > KEPT_PIECES:
-                kept.clear()
-                new = list(set(pieces))
-            self._learn(new)
-        return b"".join([kept[p] for p in pieces])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; about a megabyte of texts is looked up at once."""
+        found: list[bytes] = []
+        for a, b in groups_of(texts):
+            found += self.pieces.encode([t.encode("utf-8", "surrogatepass") if t else b"" for t in texts[a:b]], self._learn)
+        return found
 
     def _split(self, piece: str) -> list:
         """The piece's words as text, and ids of what is no plain word."""
@@ -67,38 +66,34 @@ class TextEncoder:
         for part in [p for p in self.cut_special.split(piece) if p] if "<|" in piece else [piece]:
             if part in self.special:
                 found.append(self.special[part])
-            elif part.isascii() or max(part) < _RARE:  # normalisation changes nothing here, and lower case needs no context
-                found += self.find_words(part.lower())
-            else:
-                found.append(self.encode_rare(part))
+                continue
+            for run in [r for r in _SPACE.split(part) if r]:  # white space beyond ASCII
+                if run.isascii() or max(run) < _RARE:  # normalisation changes nothing here, and lower case needs no context
+                    found += self.find_words(run.lower())
+                else:
+                    found.append(self.encode_rare(run))
         return found
 
-    def _learn(self, pieces: list[str]) -> None:
-        words, kept = self.words, self.pieces
-        plain, split, wanted = [], [], set()
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of new pieces."""
+        words, split, wanted = self.words, [], set()
         for piece in pieces:
             core = piece.rstrip(_MARKS)
             tail, core = piece[len(core) :], core.lower()
             if core.isalpha() and (core.isascii() or max(piece) < _RARE):  # letters, then perhaps marks: two words at most
-                plain.append((piece, core, tail))
-                if core not in words:
-                    wanted.add(core)
-                if tail and tail not in words:
-                    wanted.add(tail)
+                found = [core, tail] if tail else [core]
             else:
                 found = self._split(piece)
-                split.append((piece, found))
-                wanted.update([w for w in found if type(w) is str and w not in words])
-        if wanted:
-            if len(words) + len(wanted) > KEPT_WORDS:
-                words.clear()
-                wanted = {w for _, core, tail in plain for w in (core, tail) if w} | {w for _, found in split for w in found if type(w) is str}
+            split.append(found)
+            wanted.update(found)
+        wanted = {w for w in wanted if type(w) is str}
+        new = list(wanted.difference(words))
+        if len(words) + len(new) > KEPT_WORDS:
+            words.clear()
             new = list(wanted)
+        if new:
             words.update(zip(new, self.encode_words(new), strict=True))
-        for piece, core, tail in plain:
-            kept[piece] = words[core] + words[tail] if tail else words[core]
-        for piece, found in split:
-            kept[piece] = b"".join([words[w] if type(w) is str else w for w in found])
+        return [b"".join([words[w] if type(w) is str else w for w in found]) for found in split]
 
 
 class LibraryEncoder(TextEncoder):
@@ -118,7 +113,7 @@ class LibraryEncoder(TextEncoder):
     def encode_words(self, words: list[str]) -> list[bytes]:
         import numpy as np
 
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]

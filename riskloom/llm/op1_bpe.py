@@ -31,7 +31,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
         to_ids = encoder(AutomatonEncoder, vocab_path)
         label = to_ids.automaton.decode
         for batch in slices(batches):
-            ids = [to_ids(t) for t in batch.column(1).to_pylist()]
+            ids = to_ids.encode_all(batch.column(1).to_pylist())
             cols = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             if decoded:
                 cols.append(pa.array([label(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string()))

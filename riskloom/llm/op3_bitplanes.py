@@ -106,8 +106,8 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int, plane
 
         for batch in slices(batches):
             id_type = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data, doc_first = to_ids(text) + end, first + size
+            for doc, data in zip(batch.column(0).to_pylist(), to_ids.encode_all(batch.column(1).to_pylist()), strict=True):
+                data, doc_first = data + end, first + size
                 while data:
                     lists[0].append(doc), lists[1].append(doc_first), lists[2].append(size)
                     fits = 4 * (block_ids - size)
@@ -128,8 +128,8 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int, plane
     chunks.join(F.broadcast(starts), "range").withColumn("global_first", F.col("range_first") + F.col("first")).write.parquet(f"{path}/index")
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each part of a document in a block: ``range, doc_first, doc_id, at, ids`` (``at``: place in the range)."""
+def read_segments(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """One row for each part of a document in a block: ``range, doc_first, doc_id, at, n, crc`` (``at``: place in the range), and its ``ids``."""
     chunks = spark.read.parquet(f"{path}/chunks")
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
 
@@ -144,10 +144,13 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                 n = len(ends)
                 cols = [pa.array([row["range"]] * n, pa.int32()), pa.array(row["doc_first"], pa.int64()), pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type)]
                 cols.append(pa.array([row["first"] + b for b in row["begin"]], pa.int64()))
-                cols.append(pa.array([data[4 * a : 4 * b] for a, b in zip(row["begin"], ends, strict=True)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, ["range", "doc_first", "doc_id", "at", "ids"])
+                parts = [data[4 * a : 4 * b] for a, b in zip(row["begin"], ends, strict=True)]
+                cols += [pa.array([len(x) // 4 for x in parts], pa.int64()), pa.array(map(zlib.crc32, parts), pa.int64())]
+                if ids:
+                    cols.append(pa.array(parts, pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, ["range", "doc_first", "doc_id", "at", "n", "crc", "ids"][: len(cols)])
 
-    return chunks.select("range", "first", "n_ids", "doc_ids", "doc_first", "begin", "block").mapInArrow(run, f"range int, doc_first long, doc_id {kind}, at long, ids binary")
+    return chunks.select("range", "first", "n_ids", "doc_ids", "doc_first", "begin", "block").mapInArrow(run, f"range int, doc_first long, doc_id {kind}, at long, n long, crc long" + ", ids binary" * ids)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -156,12 +159,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     @F.pandas_udf("long")
     def whole_crc(parts):
-        return parts.map(lambda p: joined_crc([(4 * x["n"], x["crc"]) for x in p]) if len(p) > 1 else p[0]["crc"])
+        return parts.map(lambda p: None if p is None else joined_crc([(4 * x["n"], x["crc"]) for x in p])).astype("Int64")
 
-    parts = read_segments(spark, path).select("range", "doc_first", "doc_id", F.struct("at", (F.octet_length("ids") / 4).cast("long").alias("n"), F.crc32("ids").alias("crc")).alias("part"))
+    parts = read_segments(spark, path, ids=False).select("range", "doc_first", "doc_id", F.struct("at", "n", "crc").alias("part"))
     whole = parts.groupBy("range", "doc_first", "doc_id").agg(F.sum("part.n").alias("n_tokens"), F.sort_array(F.collect_list("part")).alias("parts"))
+    # documents that lie in one block, as most do, have their crc already
+    whole = whole.withColumn("cut", F.when(F.size("parts") > 1, F.col("parts"))).withColumn("crc", F.when(F.size("parts") == 1, F.get("parts", F.lit(0))["crc"])).drop("parts")
     starts = spark.read.parquet(f"{path}/index").where("chunk = 0").select("range", "range_first")
-    return whole.join(F.broadcast(starts), "range").select("doc_id", (F.col("range_first") + F.col("doc_first")).alias("start"), "n_tokens", whole_crc("parts").alias("ids_crc32"))
+    return whole.join(F.broadcast(starts), "range").select("doc_id", (F.col("range_first") + F.col("doc_first")).alias("start"), "n_tokens", F.coalesce("crc", whole_crc("cut")).alias("ids_crc32"))
 
 
 def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,8 @@ def cut_pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, end_i
         to_ids, end = encoder(LibraryEncoder, vocab_path), struct.pack("<I", end_id)
         for batch in slices(batches):
             at, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = to_ids(text) + end
+            for i, data in enumerate(to_ids.encode_all(batch.column(1).to_pylist())):
+                data += end
                 for k, a in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[a : a + 4 * capacity]
                     at.append(i), piece.append(k), start.append(a // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
