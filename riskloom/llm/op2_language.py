@@ -37,6 +37,8 @@ TRIGRAM_WEIGHT, MOST_TRIGRAMS = 0.3, 400
 LEAST_MEAN = -10.4
 #: Pseudo-counts of the smoothing: of a declared language or suffix, of a domain, of a host.
 EVIDENCE_COUNT, DOMAIN_COUNT, HOST_COUNT = 1.0, 20.0, 10.0
+#: Rejected rows that are broadcast, some 100 bytes each.
+MOST_BROADCAST = 200_000
 #: Posterior that a row needs to be kept.
 LEAST_POSTERIOR = 0.5
 
@@ -144,7 +146,7 @@ def identify(rows: DataFrame, model: tuple[list[str], object]) -> DataFrame:
     if not k:
         return rows.select("id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("kept"))
     names = F.array(*map(F.lit, languages))
-    scored = score_texts(rows, model)
+    scored = score_texts(rows.select("id", "declared", "suffix", "host", "domain", "text"), model)
     known = (F.col("n_trigrams") > 0) & (F.array_max("scores") / F.col("n_trigrams") >= LEAST_MEAN)
     scored = write_stage(scored.withColumn("known", F.coalesce(known, F.lit(False))).withColumn("vote", F.when(F.col("known"), _argmax(F.col("scores")))), "scores")
 
@@ -177,9 +179,9 @@ def identify(rows: DataFrame, model: tuple[list[str], object]) -> DataFrame:
     return fused.select("id", F.get(names, F.col("best")).alias("lang"), "posterior", F.get(names, F.col("vote")).alias("text_lang"), (F.col("known") & (F.col("posterior") >= LEAST_POSTERIOR)).alias("kept"))
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
+def document_evidence(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """The source stands for the host, its name without a number for the domain; documents have no address."""
-    return docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.regexp_replace("source", "[0-9]+$", "").alias("domain"))
+    return docs.select((F.col("doc_id") if key is None else key).alias("id"), F.col("text"), F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.regexp_replace("source", "[0-9]+$", "").alias("domain"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -191,9 +193,15 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """``docs`` (with the columns of documents) without the rows that are rejected. Rows of one id stay or go together."""
-    good = identify(document_evidence(docs), fit_text_model(docs)).where("kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["__id"]), "left_semi")
+    """``docs`` (with the columns of documents) without the rows that are rejected, whatever other rows of their id say.
+
+    A verdict follows from the text, the language and the source, so it is looked up by them and the id. Rejected rows are
+    few as a rule: up to MOST_BROADCAST of them are broadcast, and no text is shuffled; more are joined by a shuffle.
+    """
+    key = F.struct("doc_id", "lang", "source", F.xxhash64("text").alias("digest"))
+    rejected = write_stage(identify(document_evidence(docs, key), fit_text_model(docs)).where("not kept").select(F.col("id").alias("__rejected")).distinct(), "rejected")
+    few = rejected.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(rejected) if few else rejected, key.eqNullSafe(F.col("__rejected")), "left_anti")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ another similar set at 90 %. Joins on sets are skew joins that adaptive executio
 
 Defined results: a null or empty text stays as it is, as do rows with a null id; rows with both id and text equal are one document
 and are cleaned alike, rows with equal ids and different texts are different documents; an empty table gives an
-empty table; other columns of the input are kept, whatever their names, but for ``n_lines`` and ``n_removed``, which the counts replace.
+empty table; other columns of the input are kept, whatever their names, but for two of the names in ``counts``, which the counts replace.
 """
 
 from __future__ import annotations
@@ -182,8 +182,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return flagged.where(F.col("matched") | (F.struct(*_PLACE) > F.col("first_at"))).select(*_PLACE)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the cleaned text, and the columns ``n_lines`` and ``n_removed`` (long)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with the cleaned text, and two columns of ``counts`` (long): lines of the text, and those removed."""
     plain = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).where("doc_id is not null and text is not null")
     # a document's removed lines as bits of 64 lines each, so that a very long text is cleaned in one walk
     gone = removed_lines(plain, percent).distinct().groupBy("doc_id", "text_digest", F.floor(F.col("line_no") / 64).cast("int").alias("k"))
@@ -195,8 +195,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split("__text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: F.coalesce(F.getbit(F.get("gone", F.shiftright(i, 6)), i.bitwiseAND(63)), F.lit(0)) == 0), "\n")
     cleaned = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(kept)
-    columns = [cleaned.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_removed"))
+    columns = [cleaned.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns if c not in counts]
+    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]), F.coalesce("n_gone", F.lit(0)).cast("long").alias(counts[1]))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

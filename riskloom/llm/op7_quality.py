@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import SPACE, documents
+from riskloom.llm.common import SPACE, column, documents
 
 # Rules of the base.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
@@ -90,8 +90,8 @@ def line_passes(line: Column) -> Column:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    t = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    t = docs.select(column(id_col).alias("doc_id"), text.alias("t"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.char_length(_without(x, _BLANK)) > 0)
     words = F.filter(F.split("t", SPACE), lambda w: w != "")
     t = t.select("doc_id", "t", words.alias("words"), lines.alias("lines"))
@@ -111,8 +111,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rejected rows; of the others, lines that fail are taken out of the text."""
-    judged = judge(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text")), "__row", "__text").where("kept")
-    return judged.select(*[F.col("cleaned").alias(c) if c == text_col else F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns])
+    judged = judge(docs.select(F.struct(*map(column, docs.columns)).alias("__row"), column(text_col).alias("__text")), "__row", "__text").where("kept")
+    return judged.select(*[F.col("cleaned").alias(c) if c == text_col else F.col("doc_id").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
