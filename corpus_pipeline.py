@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import op2_language, op4_packing, op6_line_dedup, op7_quality, op8_ngram_join
-from riskloom.llm.common import tokenizer_file, write_stage
+from riskloom.llm.common import column, tokenizer_file, write_stage
 
 #: Language identification and bin packing aren't expressible in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``n_chars`` follows the text that a stage has left."""
-    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(*map(column, columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +32,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later lines that match an earlier one go, and documents that are left without a word."""
-    left = op6_line_dedup.dedup_lines(docs).where(F.expr(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'"))
+    left = op6_line_dedup.dedup_lines(docs, counts=("__n_lines", "__n_removed")).where(F.expr(r"__n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'"))
     return _recounted(left, docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
-    first = op8_ngram_join.jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies the document with the smallest id stays (of those with one id, the one with the smallest
+    digest of its text); rows without an id stay. Texts that share an id are documents of their own."""
+    named = docs.where("doc_id is not null").withColumn("__digest", F.xxhash64("text"))
+    texts = named.select(F.struct("doc_id", "__digest").alias("doc_id"), "text")
+    first = op8_ngram_join.jaccard_components(texts).where("doc_id = component_id").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.__digest").alias("__its")).distinct()
+    kept = named.join(first, (F.col("doc_id") == F.col("__id")) & (F.col("__digest") == F.col("__its")), "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return kept.select(*map(column, docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
