@@ -20,7 +20,7 @@ _RARE = "ƀ"
 #: Marks that the pre-tokenizer keeps together behind a word (an apostrophe could begin a contraction).
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words kept by one worker before it starts anew, about 250 bytes each; the table of pieces has its own bound.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 
 
 class TextEncoder:

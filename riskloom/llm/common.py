@@ -86,6 +86,18 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def words_of(text: str):
-    """Column: the words of a text (maximal runs of characters that aren't white space); null: none."""
-    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")
+#: White space that keeps a text from being split at single spaces.
+_ODD = ("\t", "\x0b", "\x0c", "\r", "  ", " \n", "\n ")
+
+
+def is_odd(text: Column) -> Column:
+    """Whether words of the text are separated by anything but one space or line ends; such texts are split by a pattern."""
+    found = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for mark in _ODD:
+        found = found | F.contains(text, F.lit(mark))
+    return found
+
+
+def words_of(text: Column) -> Column:
+    """The words of a whole text, maximal runs of characters that aren't white space."""
+    return F.array_remove(F.when(is_odd(text), F.split(text, SPACE)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")), "")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from riskloom.llm.common import SPACE, column, documents, write_stage
+from riskloom.llm.common import SPACE, column, documents, is_odd, write_stage
 
 #: Similarity of two lines as a percentage.
 PERCENT = 90
@@ -36,16 +36,6 @@ BUCKET_BITS, CODE_BITS = 18, 5
 LONG_LIST = 256
 #: Bits of the maps of documents, lines and sets that later passes read.
 MAP_BITS = 1 << 24
-#: White space that keeps a text from being split at single spaces.
-_ODD = ("\t", "\x0b", "\x0c", "\r", "  ", " \n", "\n ")
-
-
-def _odd(text: Column) -> Column:
-    """Whether words of the text are separated by anything but one space or line ends; such texts are split by a pattern."""
-    found = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
-    for mark in _ODD:
-        found = found | F.contains(text, F.lit(mark))
-    return found
 
 
 def _words(line: Column, odd: Column) -> Column:
@@ -70,7 +60,7 @@ def word_rarity(texts: DataFrame) -> str:
     The driver gets 2**18 codes as text, under 1 MB whatever the size of the corpus.
     """
     text = F.col("text")
-    plain = F.when(_odd(text), F.split(text, SPACE)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
+    plain = F.when(is_odd(text), F.split(text, SPACE)).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "))
     words = texts.select(F.explode(plain).alias("word")).where("word != ''")
     seen = words.groupBy(_slot(F.col("word")).alias("slot")).agg(F.count("*").alias("n"))
     every = seen.union(texts.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int"), F.lit(0).cast("long"))).groupBy("slot").agg(F.sum("n").alias("n"))
@@ -89,7 +79,7 @@ def line_sets(docs: DataFrame, rarity: str, percent: int = PERCENT) -> DataFrame
     """
     codes = F.split(F.lit(rarity), ",").cast("array<bigint>")  # folded into one constant
     # each generator keeps what is below it from being made again by what is above
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_digest"), _odd(F.col("text")).alias("odd"), F.split("text", "\n", -1).alias("lines"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_digest"), is_odd(F.col("text")).alias("odd"), F.split("text", "\n", -1).alias("lines"))
     keyed = keyed.select("doc_id", "text_digest", "odd", F.posexplode_outer("lines").alias("line_no", "line")).where("line != ''")
     entry = lambda w: F.shiftleft(F.get(codes, _slot(w)), 63 - CODE_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), CODE_BITS + 1))
     sets = keyed.select("doc_id", "text_digest", "line_no", F.explode(F.array(F.array_distinct(F.transform(_words(F.col("line"), F.col("odd")), entry)))).alias("words"))
@@ -122,7 +112,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int)
     sigs = pairs.select("sig").union(pairs.select("other")).distinct()
     places = write_stage(_through_map(sets.select("sig", *_PLACE), ["sig"], sigs).join(sigs, "sig", "left_semi"), "places")
     lines = docs.withColumn("text_digest", F.xxhash64("text"))
-    lines = _through_map(lines, _PLACE[:2], places).select(*_PLACE[:2], _odd(F.col("text")).alias("odd"), F.split("text", "\n", -1).alias("lines"))
+    lines = _through_map(lines, _PLACE[:2], places).select(*_PLACE[:2], is_odd(F.col("text")).alias("odd"), F.split("text", "\n", -1).alias("lines"))
     lines = lines.select(*_PLACE[:2], "odd", F.posexplode_outer("lines").alias("line_no", "line"))
     lines = _through_map(lines, _PLACE, places)
     words = F.array_distinct(F.transform(_words(F.col("line"), F.col("odd")), lambda w: F.xxhash64(w)))

@@ -4,8 +4,8 @@ Each line is judged alone by punctuation, navigation and boilerplate rules; line
 of its text with them is rejected, as is one that fails the base rules (too few words, or too many in repeated
 windows of three). All of it is one narrow projection per row: no shuffle, no join, no state.
 
-Repeated windows are found by sorting 64-bit integers: 40 bits of a window's hash, then its place (24 bits: texts of up to
-16 million words). Neighbours with equal upper bits are compared by their whole hash.
+Repeated windows are found by sorting 64-bit integers, 40 bits of a window's hash and its place, and comparing the words of neighbours;
+texts where hashes meet by chance, and those of more than 16 million words, are done by sorting the windows themselves.
 
 Defined results: a null or empty text has no words, fails the base and is rejected; repeated rows give repeated rows;
 an empty table gives an empty table; other columns are left out by ``judge`` and kept by ``clean``, whatever their names.
@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import SPACE, column, documents
+from riskloom.llm.common import column, documents, words_of
 
 # Rules of the base.
 FEWEST_WORDS, MOST_REPEATED = 50, 50
@@ -41,71 +41,96 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def _one_of(characters: str) -> str:
+    """Pattern of one of the characters."""
+    return "[" + "".join("\\" + c if c in "\\[]^-&" else c for c in characters) + "]"
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(_without(text, characters))
+    return F.regexp_count(text, F.lit(_one_of(characters)))
+
+
+def _word_chars(text: Column) -> Column:
+    return F.char_length(F.array_join(words_of(text), ""))
 
 
 def repeated_words(words: Column) -> Column:
     """How many words lie in a window of three that the text has twice or more."""
     mask = (1 << _PLACE_BITS) - 1
+    starts = lambda w: F.sequence(F.lit(0), F.size(w) - 3)
+    none = F.lit(0).cast("long")
 
     def covered(places: Column) -> Column:
         step = F.transform(places, lambda q, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - q, F.lit(3))))
-        return F.aggregate(step, F.lit(0).cast("long"), lambda s, x: s + x)
+        return F.aggregate(step, none, lambda s, x: s + x)
+
+    def by_words(w: Column) -> Column:
+        """Windows sorted as text, which has no white space of its own."""
+        windows = F.array_sort(F.transform(starts(w), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.cast("long").alias("i"))))
+
+        def repeated(x: Column) -> Column:
+            same = lambda v, o: F.coalesce(v["t"] == o["t"], F.lit(False))
+            return F.transform(F.filter(x, lambda v, k: same(v, F.get(x, k - 1)) | same(v, F.get(x, k + 1))), lambda v: v["i"])
 
-    def from_hashes(h: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, _PLACE_BITS).bitwiseOR(i.cast("long"))))
+        return _let(_let(windows, lambda x: F.sort_array(repeated(x))), covered)
 
-        def same(v: Column, o: Column) -> Column:
-            place = lambda x: x.bitwiseAND(mask).cast("int")
-            return F.coalesce((F.shiftright(v, _PLACE_BITS) == F.shiftright(o, _PLACE_BITS)) & (F.get(h, place(v)) == F.get(h, place(o))), F.lit(False))
+    def by_hashes(w: Column) -> Column:
+        """As integers: some bits of a window's hash, then its place. Neighbours of equal bits are compared by their words;
+        where those differ, places of equal windows may stand apart, and the text is done by its words."""
+        packed = F.sort_array(F.transform(starts(w), lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), _PLACE_BITS).bitwiseOR(i.cast("long"))))
+        bits = lambda v: F.shiftright(v, _PLACE_BITS)
+        place = lambda v: v.bitwiseAND(mask).cast("int")
 
-        def from_packed(p: Column) -> Column:
-            twice = F.filter(p, lambda v, k: same(v, F.get(p, k - 1)) | same(v, F.get(p, k + 1)))
-            return F.when(F.size(twice) == 0, F.lit(0).cast("long")).otherwise(_let(F.sort_array(F.transform(twice, lambda v: v.bitwiseAND(mask))), covered))
+        def differ(v: Column, o: Column) -> Column:
+            return (bits(v) == bits(o)) & ~((F.get(w, place(v)) == F.get(w, place(o))) & (F.get(w, place(v) + 1) == F.get(w, place(o) + 1)) & (F.get(w, place(v) + 2) == F.get(w, place(o) + 2)))
 
-        return _let(packed, from_packed)
+        def of_twice(twice: Column) -> Column:
+            mixed = F.size(F.filter(twice, lambda v, k: F.coalesce(differ(v, F.get(twice, k - 1)), F.lit(False)))) > 0
+            return F.when(F.size(twice) == 0, none).when(mixed, by_words(w)).otherwise(_let(F.sort_array(F.transform(twice, lambda v: v.bitwiseAND(mask))), covered))
 
-    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return _let(words, lambda w: F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(_let(windows(w), from_hashes)))
+        def of_packed(p: Column) -> Column:
+            near = lambda v, o: F.coalesce(bits(v) == bits(o), F.lit(False))
+            return _let(F.filter(p, lambda v, k: near(v, F.get(p, k - 1)) | near(v, F.get(p, k + 1))), of_twice)
 
+        return _let(packed, of_packed)
 
-def line_passes(line: Column) -> Column:
-    """The rules for one line."""
+    return _let(words, lambda w: F.when(F.size(w) < 3, none).when(F.size(w) >= 1 << _PLACE_BITS, by_words(w)).otherwise(by_hashes(w)))
+
+
+def line_passes(line: Column, has_phrase: Column) -> Column:
+    """The rules for one line; ``has_phrase``: whether its text has a phrase of BOILERPLATE at all."""
     symbols, separators = _count(line, SYMBOLS), _count(line, SEPARATORS)
     punctuation = (symbols >= LEAST_SYMBOLS) & (symbols * 100 > F.char_length(line) * MOST_SYMBOLS)
-    spaces = F.char_length(line) - F.char_length(_without(line, " "))
+    spaces = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit("")))
     navigation = (separators >= LEAST_SEPARATORS) & (separators * WORDS_A_SEPARATOR >= spaces)
-    endless = (spaces >= LONG_LINE) & (_count(line, MARKS) == 0)
-    lower = F.lower(line)
-    boilerplate = F.lit(False)
+    endless = ~F.rlike(line, F.lit(_one_of(MARKS))) & (spaces >= LONG_LINE)
+    return ~(punctuation | navigation | endless | (has_phrase & _has_phrase(F.lower(line))))
+
+
+def _has_phrase(lower: Column) -> Column:
+    found = F.lit(False)
     for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(lower, F.lit(phrase))
-    return ~(punctuation | navigation | endless | boilerplate)
+        found = found | F.contains(lower, F.lit(phrase))
+    return found
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, cleaned``."""
     text = F.coalesce(column(text_col), F.lit(""))
-    t = docs.select(column(id_col).alias("doc_id"), text.alias("t"))
-    lines = F.filter(F.split("t", "\n", -1), lambda x: F.char_length(_without(x, _BLANK)) > 0)
-    words = F.filter(F.split("t", SPACE), lambda w: w != "")
-    t = t.select("doc_id", "t", words.alias("words"), lines.alias("lines"))
+    t = docs.select(column(id_col).alias("doc_id"), text.alias("t"), F.lower(text).alias("lower"))
+    lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
+    t = t.select("doc_id", "t", words_of(F.col("t")).alias("words"), lines.alias("lines"), _has_phrase(F.col("lower")).alias("has_phrase"))
     t = t.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.char_length(_without(F.col("t"), _BLANK)).cast("long").alias("word_chars"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _count(F.col("t"), "#*$%&|<>").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.array_join(F.filter("lines", line_passes), "\n").alias("cleaned"),
+        F.array_join(F.filter("lines", lambda x: line_passes(x, F.col("has_phrase"))), "\n").alias("cleaned"),
     )
     failed = (F.col("n_words") < FEWEST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    left = F.char_length(_without(F.col("cleaned"), _BLANK)) * 100 >= F.col("word_chars") * LEAST_KEPT
+    left = _word_chars(F.col("cleaned")) * 100 >= F.col("word_chars") * LEAST_KEPT
     return t.select("*", failed.alias("base_failed"), (~failed & left).alias("kept"))
 
 

@@ -95,8 +95,11 @@ def _summed_counts(described: DataFrame):
 
     parts = described.where("part is not null").select("part", "counts", (F.spark_partition_id() / 64).cast("int").alias("salt"))
     once = parts.groupBy("part", "salt").applyInPandas(lambda frame: add(frame), "part int, counts binary")
-    whole = {r["part"]: np.frombuffer(zlib.decompress(r["counts"]), np.uint64) for r in once.groupBy("part").applyInPandas(lambda frame: add(frame), "part int, counts binary").collect()}
-    return np.concatenate([whole[p] for p in sorted(whole)]) if whole else np.zeros(1 << BUCKET_BITS, np.uint64)
+    whole = {r["part"]: zlib.decompress(r["counts"]) for r in once.groupBy("part").applyInPandas(lambda frame: add(frame), "part int, counts binary").collect()}
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for part, x in whole.items():
+        counts[part << PART_BITS : (part + 1) << PART_BITS] = np.frombuffer(x, np.uint64)
+    return counts
 
 
 def prefix_entries(docs: DataFrame, counts, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -107,10 +110,11 @@ def prefix_entries(docs: DataFrame, counts, id_col: str = "doc_id", text_col: st
     import numpy as np
 
     usual = int(counts.mean())  # what the many rare shingles of a bucket add up to
-    codes = np.minimum(np.log2(counts.astype(np.float64) + 1) * 8, 255).astype(np.uint8)
-    splits = np.maximum(counts.astype(np.int64) - usual, 0) // HOT_ROWS
-    hot = np.flatnonzero(splits)  # fewer than all entries over HOT_ROWS, and at most 2**22
-    table = docs.sparkSession.sparkContext.broadcast((codes, hot, splits[hot]))
+    codes = np.zeros(len(counts), np.uint8)
+    for at in range(0, len(counts), 1 << PART_BITS):  # in parts, as the driver's memory is small
+        codes[at : at + (1 << PART_BITS)] = np.minimum(np.log2(counts[at : at + (1 << PART_BITS)] + 1.0) * 8, 255)
+    hot = np.flatnonzero(counts >= usual + HOT_ROWS)  # fewer than all entries over HOT_ROWS, and at most 2**22
+    table = docs.sparkSession.sparkContext.broadcast((codes, hot, (counts[hot] - usual) // HOT_ROWS))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -131,7 +135,7 @@ def prefix_entries(docs: DataFrame, counts, id_col: str = "doc_id", text_col: st
                     if n[i] and s not in met:
                         fresh[i] = True
                         met.add(s)
-                if len(met) > 1_000_000:
+                if len(met) > 300_000:
                     met.clear()
                 doc = np.repeat(np.arange(len(n)), n)
                 keep = fresh[doc]

@@ -34,7 +34,7 @@ def piece_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
 class PieceTable:
     """Ids of pieces. ``slots``: places of the open table, of which half are filled at most."""
 
-    def __init__(self, slots: int = 1 << 21):
+    def __init__(self, slots: int = 1 << 20):
         self.shift = np.uint64(64 - (slots.bit_length() - 1))
         self.slots = slots
         self.clear()
