@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import features, special
 from riskloom.operators.aggregates import r
 from riskloom.operators.audit import guard_predictors, long_rows, unpivoted
+from riskloom.operators.evaluate import stratified_folds
 
 
 def flow(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -112,21 +113,21 @@ def propensity(df: DataFrame, t: str, numeric: Sequence[str], categorical: Seque
     return score_propensity(fit_propensity(prepared, t, list(safe.values())), prepared, list(safe.values()), name).drop(*safe.values())
 
 
-def fold_of(key: str, t: str, folds: int, seed: int = 7) -> Column:
-    """Stratified folds by hash order within the class come from ``splits``; here a hash alone, balanced in expectation."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
-
-
 def out_of_fold(df: DataFrame, key: str, t: str, numeric: Sequence[str], categorical: Sequence[str], folds: int = 5, name: str = "e") -> DataFrame:
-    """Each row is scored once, by a model that hasn't seen its fold. The loop is over folds; each fit is distributed."""
+    """Each row is scored once, by a model that hasn't seen its fold; folds are stratified by ``t``. Rows that are scored twice or
+    not at all are an error. The loop is over folds; each fit is distributed."""
     prepared, names = features.standardised(df, numeric, categorical)
     safe = {c: f"__f{i}" for i, c in enumerate(names)}
-    prepared = prepared.withColumnsRenamed(safe).withColumn("fold", fold_of(key, t, folds)).persist()
+    prepared = stratified_folds(prepared.withColumnsRenamed(safe), key, t, folds).persist()
     found = None
     for k in range(folds):
         model = fit_propensity(prepared.where(F.col("fold") != k), t, list(safe.values()))
         part = score_propensity(model, prepared.where(F.col("fold") == k), list(safe.values()), name).drop(*safe.values())
         found = part if found is None else found.unionByName(part)
+    # a model may leave no row without a score; every fold is there once
+    seen, rows = found.agg(F.count(name).alias("n"), F.countDistinct("fold").alias("folds")).first(), prepared.count()
+    if seen["n"] != rows or seen["folds"] != min(folds, rows):
+        raise RuntimeError(f"{seen['n']} of {rows} rows have a score, in {seen['folds']} of {folds} folds")
     return found
 
 
@@ -309,7 +310,7 @@ def aipw(df: DataFrame, key: str, t: str, y: str, numeric: Sequence[str], catego
     prepared, names = features.standardised(df.where(F.col(t).isNotNull() & F.col(y).isNotNull()), numeric, categorical)
     safe = {c: f"__f{i}" for i, c in enumerate(names)}
     cols = list(safe.values())
-    prepared = prepared.withColumnsRenamed(safe).withColumn("fold", fold_of(key, t, folds)).persist()
+    prepared = stratified_folds(prepared.withColumnsRenamed(safe), key, t, folds).persist()
     found = None
     for k in range(folds):
         train, part = prepared.where(F.col("fold") != k), prepared.where(F.col("fold") == k)

@@ -96,7 +96,7 @@ def balanced_groups(df: DataFrame, split: str, label: str, group: str, seed: int
 def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve (ties by mid-rank), Gini, largest distance of the curves, average precision (steps)."""
     t = score_table(df, score, label)
-    auc = F.sum(F.col("n1") * (F.col("neg") - F.col("fp") + F.col("n0") / 2.0)) / (F.max("pos") * F.max("neg"))
+    auc = F.sum(F.col("n1") * (F.col("neg") - F.col("fp") + F.col("n0") / 2.0)) / (F.max("pos").cast("double") * F.max("neg"))
     ks = F.max(F.abs(F.col("tp") / F.col("pos") - F.col("fp") / F.col("neg")))
     ap = F.sum(F.col("n1") / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return t.agg(auc.alias("a"), ks.alias("k"), ap.alias("p")).select(r(F.col("a"), 6).alias("auc"), r(2 * F.col("a") - 1, 6).alias("gini"), r(F.col("k"), 6).alias("ks"), r(F.col("p"), 6).alias("average_precision"))
@@ -108,7 +108,7 @@ def grouped_auc(df: DataFrame, by: Sequence[str], score: str, label: str) -> Dat
     w = Window.partitionBy(*by)
     run = w.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
     c = c.select("*", F.sum("n1").over(run).alias("tp"), F.sum("n0").over(run).alias("fp"), F.sum("n1").over(w).alias("pos"), F.sum("n0").over(w).alias("neg"))
-    auc = F.sum(F.col("n1") * (F.col("neg") - F.col("fp") + F.col("n0") / 2.0)) / (F.max("pos") * F.max("neg"))
+    auc = F.sum(F.col("n1") * (F.col("neg") - F.col("fp") + F.col("n0") / 2.0)) / (F.max("pos").cast("double") * F.max("neg"))
     return c.where("pos > 0 and neg > 0").groupBy(*by).agg(r(auc, 6).alias("auc"), r(2 * auc - 1, 6).alias("gini"), r(F.max(F.abs(F.col("tp") / F.col("pos") - F.col("fp") / F.col("neg"))), 6).alias("ks"))
 
 

@@ -42,4 +42,4 @@ def score_table(df: DataFrame, score: str, label: str) -> DataFrame:
     offsets = df.sparkSession.createDataFrame(starts, "__part int, __a long, __b long")
     w = Window.partitionBy("__part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = parts.select("*", F.sum("n1").over(w).alias("__tp"), F.sum("n0").over(w).alias("__fp")).join(F.broadcast(offsets), "__part")
-    return run.select("score", "n1", "n0", (F.col("__tp") + F.col("__a")).alias("tp"), (F.col("__fp") + F.col("__b")).alias("fp"), F.lit(a).alias("pos"), F.lit(b).alias("neg"))
+    return run.select("score", "n1", "n0", (F.col("__tp") + F.col("__a")).alias("tp"), (F.col("__fp") + F.col("__b")).alias("fp"), F.lit(a).cast("long").alias("pos"), F.lit(b).cast("long").alias("neg"))

@@ -74,7 +74,7 @@ def c8(t):
 
 @query("c9_out_of_fold")
 def c9(t):
-    return C.out_of_fold(t.cohort().where("t is not null"), "key", "t", _NUM, _CAT, 3).select("key", "t", "fold", F.round("e", 6).alias("e"))
+    return C.out_of_fold(t.cohort().where("t is not null"), "key", "t", _NUM, _CAT, 5).select("key", "t", "fold", F.round("e", 6).alias("e"))
 
 
 _PS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -128,12 +128,12 @@ def c17(t):
 
 @query("c18_bootstrap")
 def c18(t):
-    return C.bootstrap(t.cohort(), "t", "y", _CAT, 40)
+    return C.bootstrap(t.cohort(), "t", "y", _CAT, 1000)
 
 
 @query("c19_cluster_bootstrap")
 def c19(t):
-    return C.bootstrap(t.cohort(), "t", "y", ["segment"], 40, cluster="cluster")
+    return C.bootstrap(t.cohort(), "t", "y", ["segment"], 1000, cluster="cluster")
 
 
 _Z = 1.959963984540054
