@@ -86,14 +86,14 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: White space that keeps a text from being split at single spaces.
-_ODD = ("\t", "\x0b", "\x0c", "\r", "  ", " \n", "\n ")
+#: White space other than spaces and line ends; a text that has it is split by a pattern.
+_ODD = ("\t", "\x0b", "\x0c", "\r")
 
 
 def is_odd(text: Column) -> Column:
-    """Whether words of the text are separated by anything but one space or line ends; such texts are split by a pattern."""
-    found = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
-    for mark in _ODD:
+    """Whether words of the text are separated by anything but spaces and line ends."""
+    found = F.contains(text, F.lit(_ODD[0]))
+    for mark in _ODD[1:]:
         found = found | F.contains(text, F.lit(mark))
     return found
 

@@ -39,7 +39,7 @@ MAP_BITS = 1 << 24
 
 
 def _words(line: Column, odd: Column) -> Column:
-    return F.when(odd, F.array_remove(F.split(line, SPACE), "")).otherwise(F.split(line, " "))
+    return F.array_remove(F.when(odd, F.split(line, SPACE)).otherwise(F.split(line, " ")), "")
 
 
 def _need(n_a: Column, n_b: Column, percent: int) -> Column:

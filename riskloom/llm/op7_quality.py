@@ -136,8 +136,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rejected rows; of the others, lines that fail are taken out of the text."""
-    judged = judge(docs.select(F.struct(*map(column, docs.columns)).alias("__row"), column(text_col).alias("__text")), "__row", "__text").where("kept")
-    return judged.select(*[F.col("cleaned").alias(c) if c == text_col else F.col("doc_id").getField(c).alias(c) for c in docs.columns])
+    judged = judge(docs.select(F.struct(*map(column, docs.columns)).alias("__row"), column(text_col).alias("__text")), "__row", "__text")
+    # the generator keeps the filter from being pushed below, where all that it needs would be made twice
+    judged = judged.select(F.explode(F.array(F.struct("doc_id", "cleaned", "kept"))).alias("x")).where("x.kept")
+    return judged.select(*[F.col("x.cleaned").alias(c) if c == text_col else F.col("x.doc_id").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
