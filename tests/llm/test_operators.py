@@ -422,3 +422,24 @@ def test_sharding(spark, docs, empty):
         by.setdefault(r["shard"], []).append(r["slot"])
     assert sorted(by) == list(range(24)) and all(s == list(range(len(s))) for s in by.values())
     assert op10_sharding.assign_shards(empty).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    lines = ["alpha beta gamma", "alpha beta gamma", "delta epsilon zeta"]
+    df = spark.createDataFrame(list(zip([1, 8, 8], lines, [5, 6, 7])), "doc_id long, text string, `a.b` int")
+    got = op6_line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "a.b", "n_lines", "n_removed"]
+    assert sorted((r["doc_id"], r["text"], r["a.b"]) for r in got.collect()) == [(1, lines[0], 5), (8, "", 6), (8, lines[2], 7)]
+    words = spark.createDataFrame([(1, prose(9, 80) + ".", 3)], "doc_id long, text string, `a.b` int")
+    assert op7_quality.clean(words).columns == ["doc_id", "text", "a.b"]
+
+
+def test_piece_table_grows_and_starts_anew():
+    from riskloom.llm.pieces import PieceTable
+
+    table = PieceTable(slots=16)
+    learn = lambda pieces: [np.array([len(p), ord(p[0])], "<u4").tobytes() for p in pieces]
+    rng = random.Random(6)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 20))) for _ in range(rng.randrange(0, 30))).encode() for _ in range(4)]
+        assert table.encode(texts, learn) == [b"".join(learn(t.decode().split())) for t in texts]
