@@ -215,3 +215,11 @@ def test_labels_are_censored(spark):
     perf = spark.sql("select 1 as cust, date'2021-01-31' as ref, 1 as flag union all select 1, date'2020-05-31', 0 union all select 2, date'2020-03-31', 1")
     got = {r["key"]: (r["has_window"], r["origin"], r["label"], r["ever"]) for r in J.ever_label(J.label_12m(loans, perf, "cust"), perf, "key", "cust").collect()}
     assert got == {1: (True, "observado", 1, 1), 2: (False, "sem_janela", None, None), 3: (True, "sem_registro", 0, 1)}
+
+
+def test_ranking_metrics_of_many_rows(spark):
+    from riskloom.operators.evaluate import ranking_metrics
+
+    df = spark.range(200_000).selectExpr("id % 1000 / 1000.0d as s", "cast(id % 2 as int) as y")
+    got = ranking_metrics(df, "s", "y").first()  # positives times negatives exceed 32 bits
+    assert abs(got["auc"] - 0.501) < 1e-6
