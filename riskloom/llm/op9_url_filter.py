@@ -24,14 +24,14 @@ SALTS = 16
 _FOREVER = "9999-12-31"
 
 
-def address_keys(url, depth: int | None = None):
-    """Column: the keys of an address, from its host to its domain, and the host with each prefix of its path (of ``depth`` segments at most)."""
+def address_keys(url):
+    """Column: the keys of an address, from its host to its domain, and the host with each prefix of its path."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     labels = F.split(host, r"\.")
     n = F.size(labels)
     parents = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, n), ".")))
     segments = F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1), "/")
-    ends = F.filter(F.sequence(F.lit(1), F.size(segments) if depth is None else F.least(F.size(segments), F.lit(depth))), lambda i: F.element_at(segments, i) != "")
+    ends = F.filter(F.sequence(F.lit(1), F.size(segments)), lambda i: F.element_at(segments, i) != "")
     prefixes = F.transform(ends, lambda i: F.concat(F.lit("path:"), host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")))
     return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(parents, prefixes)))
 
@@ -48,9 +48,9 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return changes.select("key", "category", F.col("day").alias("valid_from"), F.coalesce(F.lead("day").over(days), F.lit(_FOREVER).cast("date")).alias("valid_to"), "listed").where("listed").drop("listed")
 
 
-def filter_captures(captures: DataFrame, intervals: DataFrame, salts: int = SALTS, depth: int | None = None) -> DataFrame:
+def filter_captures(captures: DataFrame, intervals: DataFrame, salts: int = SALTS) -> DataFrame:
     """``captures``: ``page_id, url, fetched``. Adds ``n_keys``, ``n_matches``, ``categories`` (sorted, joined by commas) and ``kept``."""
-    keyed = captures.select("page_id", "url", "fetched", address_keys(F.col("url"), depth).alias("keys"))
+    keyed = captures.select("page_id", "url", "fetched", address_keys(F.col("url")).alias("keys"))
     span = keyed.agg(F.min("fetched").alias("first"), F.max("fetched").alias("last")).first()
     month = lambda d: F.year(d) * 12 + F.month(d)
     asked = keyed.withColumn("row", F.xxhash64("page_id", "url", "fetched")).select("row", "fetched", F.explode("keys").alias("key"), month("fetched").alias("month")).distinct()
@@ -69,8 +69,6 @@ def filter_captures(captures: DataFrame, intervals: DataFrame, salts: int = SALT
     return out.select("page_id", "url", "fetched", F.size("keys").cast("long").alias("n_keys"), n.alias("n_matches"), F.coalesce("categories", F.lit("")).alias("categories"), (n == 0).alias("kept"))
 
 
-#: Path segments in the keys of the registered query, as its SQL has them; the operator itself takes every prefix.
-SQL_DEPTH = 1
 #: First fetch day of the derived captures, and the days that they and the entries spread over.
 FIRST_DAY, DAYS = "2024-01-01", 360
 
@@ -82,29 +80,29 @@ def derived_captures(pages: DataFrame) -> DataFrame:
 
 def derived_entries(pages: DataFrame) -> DataFrame:
     """List entries from the given pages: each page whose number is divisible by 4 reports one of its keys on some day, and pages
-    divisible by 12 take one off again. So entries grow with the pages, and a host with many pages has many entries."""
-    key = address_keys(F.col("url"), SQL_DEPTH)
-    some = pages.where("page_id % 4 = 0").select("page_id", key.alias("keys"))
+    divisible by 12 take one off again. So entries grow with the pages, and a host with many pages has many entries. Most keys
+    are full hosts, every fourth one is the longest prefix of the path, every sixteenth the domain."""
+    some = pages.where("page_id % 4 = 0").select("page_id", address_keys(F.col("url")).alias("keys"))
     listed = F.col("page_id") % 12 != 0
     category = F.element_at(F.array(*map(F.lit, ("adult", "malware", "spam"))), (F.pmod((F.col("page_id") / 4).cast("long"), F.lit(3)) + 1).cast("int"))
-    # the last key is the path's, not the domain's; the SQL has the same
-    chosen = some.where("size(keys) > 0").withColumn("key", F.when(F.col("page_id") % 64 == 0, F.element_at("keys", -1)).otherwise(F.element_at("keys", 1)))
+    domain = F.element_at(F.filter("keys", lambda k: k.startswith("host:")), -1)
+    chosen = some.where("size(keys) > 0").withColumn("key", F.when(F.col("page_id") % 64 == 0, domain).when(F.col("page_id") % 16 == 8, F.element_at("keys", -1)).otherwise(F.element_at("keys", 1)))
     return chosen.select("key", category.alias("category"), F.date_add(F.lit(FIRST_DAY).cast("date"), F.pmod(F.col("page_id") * 104729, F.lit(DAYS)).cast("int")).alias("day"), F.col("page_id").alias("entry_id"), listed.alias("listed"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    found = filter_captures(derived_captures(pages), validity_intervals(derived_entries(pages)), depth=SQL_DEPTH)
+    found = filter_captures(derived_captures(pages), validity_intervals(derived_entries(pages)))
     return found.withColumn("fetched", F.date_format("fetched", "yyyy-MM-dd"))
 
 
 ORACLE_SQL = r"""
 WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
-   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS seg, DATE '2024-01-01' + ((page_id * 7919) % 360)::INTEGER AS fetched FROM pages),
+   string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)', 1), '/') AS seg, DATE '2024-01-01' + ((page_id * 7919) % 360)::INTEGER AS fetched FROM pages),
  l AS (SELECT *, string_split(host, '.') AS lab FROM p),
  k AS (SELECT page_id, url, fetched, CASE WHEN coalesce(host, '') = '' THEN [] ELSE list_concat(list_transform(range(1, greatest(len(lab) - 1, 1) + 1), lambda i: 'host:' || array_to_string(lab[i:], '.')),
-   CASE WHEN seg <> '' THEN ['path:' || host || '/' || seg] ELSE [] END) END AS keys FROM l),
- e AS (SELECT CASE WHEN page_id % 64 = 0 THEN keys[-1] ELSE keys[1] END AS key, (['adult', 'malware', 'spam'])[((page_id // 4) % 3 + 1)] AS category,
+   list_transform(list_filter(range(1, len(seg) + 1), lambda i: seg[i] <> ''), lambda i: 'path:' || host || '/' || array_to_string(seg[:i], '/'))) END AS keys FROM l),
+ e AS (SELECT CASE WHEN page_id % 64 = 0 THEN list_filter(keys, lambda x: starts_with(x, 'host:'))[-1] WHEN page_id % 16 = 8 THEN keys[-1] ELSE keys[1] END AS key, (['adult', 'malware', 'spam'])[((page_id // 4) % 3 + 1)] AS category,
    DATE '2024-01-01' + ((page_id * 104729) % 360)::INTEGER AS day, page_id AS entry_id, page_id % 12 <> 0 AS listed FROM k WHERE page_id % 4 = 0 AND len(keys) > 0),
  d AS (SELECT key, category, day, arg_max(listed, entry_id) AS listed FROM e GROUP BY ALL),
  s AS (SELECT *, lead(day) OVER (PARTITION BY key, category ORDER BY day) AS next_day FROM d),

@@ -401,6 +401,11 @@ def test_url_filter(spark):
     assert op9_url_filter.filter_captures(frame.where("false"), op9_url_filter.validity_intervals(entries)).count() == 0
 
 
+def test_url_filter_derives_hosts_paths_and_domains(spark):
+    pages = spark.createDataFrame([(i, "http://x.a.org/p/q?r") for i in (0, 4, 8, 5)], "page_id long, url string")
+    assert rows(op9_url_filter.derived_entries(pages), "entry_id", "key") == [(0, "host:a.org"), (4, "host:x.a.org"), (8, "path:x.a.org/p/q")]
+
+
 def test_url_filter_takes_every_prefix_of_a_path(spark):
     d = datetime.date(2024, 1, 10)
     entries = spark.createDataFrame([("path:a.org/p/q", "spam", d, 1, True), ("path:x.a.org/p/q/r", "adult", d, 2, True), ("host:b.org", "spam", d, 3, True)], "key string, category string, day date, entry_id long, listed boolean")
