@@ -210,9 +210,9 @@ def v16(t):
     return A.date_ranges(t.lineitem, ["l_shipdate"])
 
 
-@query("v17_key_overlap", "WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 3 > 0), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), j AS (SELECT a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k = b.k) SELECT count(x) AS in_a, count(y) AS in_b, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS both, count(*) FILTER (WHERE y IS NULL) AS only_a, count(*) FILTER (WHERE x IS NULL) AS only_b, round(count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) * 100.0 / count(x), 4)::DOUBLE AS coverage_percent FROM j")
+@query("v17_key_overlap", "WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders), j AS (SELECT a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k = b.k) SELECT count(x) AS in_a, count(y) AS in_b, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS both, count(*) FILTER (WHERE y IS NULL) AS only_a, count(*) FILTER (WHERE x IS NULL) AS only_b, round(count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) * 100.0 / count(x), 4)::DOUBLE AS coverage_percent FROM j")
 def v17(t):
-    return A.key_overlap(t.orders.where("o_orderkey % 3 > 0"), t.lineitem, "o_orderkey", "l_orderkey")
+    return A.key_overlap(t.customer, t.orders, "c_custkey", "o_custkey")
 
 
 @query("v18_event_rules", "SELECT 'value' AS rule, count(*) FILTER (WHERE event_type = (SELECT min(event_type) FROM events)) AS rows, count(*) FILTER (WHERE event_type = (SELECT min(event_type) FROM events) AND NOT coalesce(value > 0, false)) AS failures, count(*) FILTER (WHERE event_type = (SELECT min(event_type) FROM events) AND NOT coalesce(value > 0, false)) = 0 AS ok FROM events UNION ALL SELECT 'payload', count(*), count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NULL), count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NULL) = 0 FROM events")

@@ -163,9 +163,9 @@ def m21(t):
     return E.psi_numeric(s.where("year = 1998"), s.where("year = 1999"), "special", 10, (99997.0, 99998.0))
 
 
-@query("m22_psi_categorical", f"WITH x AS (SELECT o_orderpriority AS bin, count(*) FILTER (WHERE year(o_orderdate) = 1998) AS x, count(*) FILTER (WHERE year(o_orderdate) = 1999 AND o_orderkey % 3 > 0) AS y FROM orders GROUP BY 1), s AS (SELECT x / sum(x) OVER () AS a, y / sum(y) OVER () AS b FROM x) SELECT round({_PSI}, 6) AS psi FROM s")
+@query("m22_psi_categorical", f"WITH x AS (SELECT o_orderpriority AS bin, count(*) FILTER (WHERE year(o_orderdate) = 1998) AS x, count(*) FILTER (WHERE year(o_orderdate) = 1999) AS y FROM orders GROUP BY 1), s AS (SELECT x / sum(x) OVER () AS a, y / sum(y) OVER () AS b FROM x) SELECT round({_PSI}, 6) AS psi FROM s")
 def m22(t):
-    return E.psi_categorical(t.orders.where("year(o_orderdate) = 1998"), t.orders.where("year(o_orderdate) = 1999 and o_orderkey % 3 > 0"), "o_orderpriority")
+    return E.psi_categorical(t.orders.where("year(o_orderdate) = 1998"), t.orders.where("year(o_orderdate) = 1999"), "o_orderpriority")
 
 
 _MATRIX = "e AS (SELECT list_sort(list_distinct(quantile_cont(qty, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM scored WHERE year = 1998), l AS (SELECT year, 'qty' AS variable, (SELECT coalesce(min(i) - 1, len(e) - 1) FROM unnest(range(2, len(e))) AS u(i) WHERE qty <= e[i])::VARCHAR AS v FROM scored, e UNION ALL SELECT year, 'flag', flag FROM scored), r AS (SELECT variable, v, count(*) AS x FROM l WHERE year = 1998 GROUP BY ALL), n AS (SELECT year, variable, v, count(*) AS y FROM l WHERE year <> 1998 GROUP BY ALL), bb AS (SELECT variable, v FROM r UNION SELECT variable, v FROM n), f AS (SELECT p.year, p.variable, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM (SELECT DISTINCT year, variable FROM n) p JOIN bb USING (variable) LEFT JOIN r ON r.variable = p.variable AND r.v = bb.v LEFT JOIN n ON n.year = p.year AND n.variable = p.variable AND n.v = bb.v), s AS (SELECT year, variable, x / sum(x) OVER w AS a, y / sum(y) OVER w AS b FROM f WINDOW w AS (PARTITION BY year, variable)), mx AS (SELECT year, variable, round(" + _PSI + ", 6) AS psi FROM s GROUP BY ALL)"
