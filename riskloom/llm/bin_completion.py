@@ -106,33 +106,52 @@ def fillings(counts: dict[int, int], space: int, steps: list[int]) -> Iterator[t
 
 def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 3000) -> list[Pattern]:
     """A packing of all items into few bins. ``nodes`` (with 2000 steps of filling each) bounds the search, not the packing: the best found is returned."""
-    counts = {n: c for n, c in counts.items() if c}
-    bound, best, steps = lower_bound(counts, capacity), best_fit(counts, capacity), [2000 * nodes]
+    left = {n: c for n, c in counts.items() if c}  # one table, from which a branch takes its bins and puts them back
+    bound, best, steps = lower_bound(left, capacity), best_fit(left, capacity), [2000 * nodes]
     most = sum(b for _, b in best)
-    stack: list[tuple[dict[int, int], list[Pattern], int, Iterator]] = []
+    done: list[Pattern] = []  # bins of the branch
+    stack: list[tuple[int, Iterator]] = []  # largest length and fillings of each node; a node but for the first has one of the bins above
 
-    def visit(left: dict[int, int], done: list[Pattern], size: int) -> None:
+    def take(pattern: Pattern, sign: int) -> None:
+        for n, k in pattern[0]:
+            left[n] -= sign * k * pattern[1]
+
+    def visit(size: int) -> bool:
+        """Whether the node is worth branching."""
         nonlocal best, most
-        if size + lower_bound(left, capacity) >= most:
-            return
-        rest = best_fit(left, capacity)
+        now = {n: c for n, c in left.items() if c}
+        if size + lower_bound(now, capacity) >= most:
+            return False
+        rest = best_fit(now, capacity)
         if (found := size + sum(b for _, b in rest)) < most:
             best, most = done + rest, found
-        if left:
-            largest = max(left)
-            stack.append((left, done, size, fillings({**left, largest: left[largest] - 1}, capacity - largest, steps)))
+        if now:
+            largest = max(now)
+            stack.append((largest, fillings(left, capacity - largest, steps)))
+        return bool(now)
 
-    visit(counts, [], 0)
+    size = 0
+    visit(size)
     while stack and nodes and steps[0] > 0 and most > bound:
-        left, done, size, after = stack[-1]
+        largest, after = stack[-1]
+        left[largest] -= 1  # it's in the bin that is filled
         filling = next(after, None)
+        left[largest] += 1
         if filling is None:
             stack.pop()
+            if done:
+                size -= done[-1][1]
+                take(done.pop(), -1)
             continue
         nodes -= 1
-        pattern: dict[int, int] = {}
-        for n in (max(left), *filling):
-            pattern[n] = pattern.get(n, 0) + 1
-        bins = min(left[n] // k for n, k in pattern.items())
-        visit({n: c for n, c in ((n, c - bins * pattern.get(n, 0)) for n, c in left.items()) if c}, [*done, (tuple(sorted(pattern.items(), reverse=True)), bins)], size + bins)
+        copies: dict[int, int] = {}
+        for n in (largest, *filling):
+            copies[n] = copies.get(n, 0) + 1
+        bins = min(left[n] // k for n, k in copies.items())
+        done.append((tuple(sorted(copies.items(), reverse=True)), bins))
+        take(done[-1], 1)
+        size += bins
+        if not visit(size):
+            size -= bins
+            take(done.pop(), -1)
     return best
