@@ -79,42 +79,54 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sig long, sig2 long, part int, counts binary")
 
 
-def _summed_counts(described: DataFrame):
-    """The counts of all tasks as one numpy array: 2**22 numbers, whatever the size of the corpus. Parts are summed in two steps."""
+def shingle_rarity(described: DataFrame):
+    """From the counts of all tasks: a code for each of 2**22 buckets on a logarithmic scale, the buckets with columns to split, and
+    into how many parts each. Parts are summed in two steps and coded where they are summed, so the driver gets 4 MB of codes, whatever the size of the corpus."""
     import numpy as np
 
+    total = described.where("part is null").agg(F.sum("n")).first()[0] or 0
+    usual = total >> BUCKET_BITS  # what the many rare shingles of a bucket add up to
+
     def add(frame):
         import numpy as np
-        import pandas as pd
 
-        total = np.zeros(1 << PART_BITS, np.uint64)
+        whole = np.zeros(1 << PART_BITS, np.uint64)
         for x in frame["counts"]:
             x = zlib.decompress(x)
-            total += np.frombuffer(x, np.uint32 if len(x) == 4 << PART_BITS else np.uint64)
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+            whole += np.frombuffer(x, np.uint32 if len(x) == 4 << PART_BITS else np.uint64)
+        return whole
+
+    def once(frame):
+        import pandas as pd
+
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [zlib.compress(add(frame).tobytes(), 1)]})
+
+    def coded(frame):
+        import numpy as np
+        import pandas as pd
+
+        counts = add(frame).astype(np.int64)
+        codes = np.minimum(np.log2(counts + 1.0) * 8, 255).astype(np.uint8)
+        hot = np.flatnonzero(counts >= usual + HOT_ROWS)  # over all parts fewer than all entries over HOT_ROWS, and at most 2**22
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "codes": [codes.tobytes()], "hot": [hot.tolist()], "splits": [((counts[hot] - usual) // HOT_ROWS).tolist()]})
 
     parts = described.where("part is not null").select("part", "counts", (F.spark_partition_id() / 64).cast("int").alias("salt"))
-    once = parts.groupBy("part", "salt").applyInPandas(lambda frame: add(frame), "part int, counts binary")
-    whole = {r["part"]: zlib.decompress(r["counts"]) for r in once.groupBy("part").applyInPandas(lambda frame: add(frame), "part int, counts binary").collect()}
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for part, x in whole.items():
-        counts[part << PART_BITS : (part + 1) << PART_BITS] = np.frombuffer(x, np.uint64)
-    return counts
+    summed = parts.groupBy("part", "salt").applyInPandas(lambda frame: once(frame), "part int, counts binary")
+    codes, hot, splits = np.zeros(1 << BUCKET_BITS, np.uint8), [], []
+    for r in sorted(summed.groupBy("part").applyInPandas(lambda frame: coded(frame), "part int, codes binary, hot array<int>, splits array<long>").collect(), key=lambda r: r["part"]):
+        at = r["part"] << PART_BITS
+        codes[at : at + (1 << PART_BITS)] = np.frombuffer(r["codes"], np.uint8)
+        hot += [at + x for x in r["hot"]]
+        splits += r["splits"]
+    return codes, np.array(hot, np.int64), np.array(splits, np.int64)
 
 
-def prefix_entries(docs: DataFrame, counts, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def prefix_entries(docs: DataFrame, rarity, text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Entries of the matrix that can decide: ``shingle, sig, n, pos, salt`` (0: the column isn't split).
 
     A set that a task has met already is left out; other tasks' copies of it fall together later.
     """
-    import numpy as np
-
-    usual = int(counts.mean())  # what the many rare shingles of a bucket add up to
-    codes = np.zeros(len(counts), np.uint8)
-    for at in range(0, len(counts), 1 << PART_BITS):  # in parts, as the driver's memory is small
-        codes[at : at + (1 << PART_BITS)] = np.minimum(np.log2(counts[at : at + (1 << PART_BITS)] + 1.0) * 8, 255)
-    hot = np.flatnonzero(counts >= usual + HOT_ROWS)  # fewer than all entries over HOT_ROWS, and at most 2**22
-    table = docs.sparkSession.sparkContext.broadcast((codes, hot, (counts[hot] - usual) // HOT_ROWS))
+    table = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -222,7 +234,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     described = write_stage(describe(docs, id_col, text_col, shingle), "described")
     sets = described.where("part is null").select("doc_id", "n", "sig", "sig2")
     rows = write_stage(sets.where("n > 0 and doc_id is not null").groupBy("n", "sig", "sig2").agg(F.min("doc_id").alias("rep")), "sets")
-    entries = prefix_entries(docs, _summed_counts(described), id_col, text_col, shingle, percent)
+    entries = prefix_entries(docs, shingle_rarity(described), text_col, shingle, percent)
 
     # entries without a partner go
     column = Window.partitionBy("shingle", "salt").orderBy("n", "sig")
