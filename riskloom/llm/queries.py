@@ -17,6 +17,9 @@ _QUERIES = (
     ("op8_ngram_join", "op8_ngram_join"),
     ("op9_url_filter", "op9_url_filter"),
     ("op10_sharding", "op10_sharding"),
+    ("op11_whitening", "op11_whitening"),
+    ("op12_mixing", "op12_mixing"),
+    ("op13_search", "op13_search"),
 )
 
 
