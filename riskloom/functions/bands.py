@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordered import with_global_rank
+from riskloom.operators.ordered import quantile_list, with_global_rank
 
 
 def quantile_edges(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
     """Distinct exact percentiles; a few numbers on the driver."""
-    found = df.agg(F.percentile(column, F.array(*map(F.lit, probabilities))).alias("e")).first()["e"]
-    return sorted(set(found or []))
+    return sorted(set(quantile_list(df, column, probabilities)))
 
 
 def cut(value: Column, edges: Sequence[float], open_ends: bool = False) -> Column:

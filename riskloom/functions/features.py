@@ -189,10 +189,12 @@ def standardised(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     """
     from pyspark.sql import Window
 
+    from riskloom.operators.ordered import quantiles
+
     names: list[str] = []
     if numeric:
-        med = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in numeric]).first()
-        filled = {c: F.coalesce(F.col(c), F.lit(med[c])).cast("double") for c in numeric}
+        med = {row["variable"]: row["q0"] for row in quantiles(df, [], numeric, (0.5,)).collect()}  # a row for each column
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(med.get(c)).cast("double")) for c in numeric}
         stats = df.agg(*[f(filled[c]).alias(f"{c}_{n}") for c in numeric for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         for c in numeric:
             spread = stats[f"{c}_s"] or 1.0

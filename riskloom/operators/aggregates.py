@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.audit import long_rows, unpivoted  # noqa: F401  A18
+from riskloom.operators.ordered import quantiles, quantiles_of_counts, with_group_rank
 
 DIGITS = 4
 
@@ -16,6 +17,16 @@ def r(c: Column, digits: int = DIGITS) -> Column:
     return F.round(c.cast("double"), digits)
 
 
+def with_quantiles(groups: DataFrame, df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """Adds ``q0, q1, ...``, the exact quantiles of a column in each group (null is one), to a table with a row for each group."""
+    counts = df.groupBy(*by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    q = quantiles_of_counts(counts, by, probabilities).withColumnsRenamed({c: f"__q{i}" for i, c in enumerate(by)})
+    at = F.lit(True)
+    for i, c in enumerate(by):
+        at = at & F.col(c).eqNullSafe(F.col(f"__q{i}"))
+    return groups.join(q, at, "left").drop(*[f"__q{i}" for i in range(len(by))])
+
+
 def risk_by_band(df: DataFrame, band: str, value: str, label: str, means: Sequence[str] = ()) -> DataFrame:
     """A1: volume, event rate, extremes, means, and the gap to the portfolio's rate in percentage points."""
     y = F.col(label).cast("double")
@@ -54,12 +65,12 @@ def continuous_summary(df: DataFrame, group: str, value: str, thresholds: Sequen
     from riskloom.functions.special import t_quantile
 
     v = F.col(value)
-    g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("p"), *[r(F.avg((v < t).cast("double")) * 100).alias(f"below_{int(t)}") for t in thresholds])
+    g = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), *[r(F.avg((v < t).cast("double")) * 100).alias(f"below_{int(t)}") for t in thresholds])
     sizes = [row["n"] for row in g.select("n").distinct().collect()]  # one per group at most
     q = df.sparkSession.createDataFrame([(n, float(t_quantile(0.975, n - 1)) if n > 1 else None) for n in sizes] or [(0, None)], "n long, t double")
     half = F.col("t") * F.col("sd") / F.sqrt("n")
-    g = g.join(F.broadcast(q), "n", "left")
-    return g.select(group, "n", r(F.col("mean")).alias("mean"), r(F.col("mean") - half).alias("low"), r(F.col("mean") + half).alias("high"), r(F.col("sd")).alias("sd"), *[r(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p90"))], *[f"below_{int(t)}" for t in thresholds])
+    g = with_quantiles(g.join(F.broadcast(q), "n", "left"), df, [group], value, (0.1, 0.25, 0.5, 0.75, 0.9))
+    return g.select(group, "n", r(F.col("mean")).alias("mean"), r(F.col("mean") - half).alias("low"), r(F.col("mean") + half).alias("high"), r(F.col("sd")).alias("sd"), *[r(F.col(f"q{i}")).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p90"))], *[f"below_{int(t)}" for t in thresholds])
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -70,7 +81,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def event_summary(df: DataFrame, event: str, time: str, fields: Mapping[str, Column]) -> DataFrame:
     """Volume, first, last and median time, and how often each payload field is filled."""
-    return df.groupBy(event).agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"), r(F.median(time)).alias("median"), *[r(F.avg(c.isNotNull().cast("double")), 6).alias(f"filled_{n}") for n, c in fields.items()])
+    filled = {f"filled_{n}": r(F.avg(c.isNotNull().cast("double")), 6) for n, c in fields.items()}
+    g = df.groupBy(event).agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"), *[c.alias(n) for n, c in filled.items()])
+    return with_quantiles(g, df, [event], time, (0.5,)).select(event, "n", "first", "last", r(F.col("q0")).alias("median"), *filled)
 
 
 def missing_by_vintage(df: DataFrame, vintage: str, columns: Sequence[str]) -> DataFrame:
@@ -82,7 +95,9 @@ def missing_by_vintage(df: DataFrame, vintage: str, columns: Sequence[str]) -> D
 def numeric_by_vintage(df: DataFrame, vintage: str, columns: Sequence[str]) -> DataFrame:
     """A11."""
     v = F.col("value")
-    return unpivoted(df, columns, [vintage], as_text=False).groupBy(vintage, "variable").agg(F.count(v).alias("n"), r(F.avg(v)).alias("mean"), r(F.median(v)).alias("median"), r(F.stddev_samp(v)).alias("sd"), r(F.min(v)).alias("min"), r(F.percentile(v, F.lit(0.25))).alias("p25"), r(F.percentile(v, F.lit(0.75))).alias("p75"), r(F.max(v)).alias("max"))
+    long = unpivoted(df, columns, [vintage], as_text=False)
+    g = long.groupBy(vintage, "variable").agg(F.count(v).alias("n"), r(F.avg(v)).alias("mean"), r(F.stddev_samp(v)).alias("sd"), r(F.min(v)).alias("min"), r(F.max(v)).alias("max"))
+    return with_quantiles(g, long, [vintage, "variable"], "value", (0.25, 0.5, 0.75)).select(vintage, "variable", "n", "mean", r(F.col("q1")).alias("median"), "sd", "min", r(F.col("q0")).alias("p25"), r(F.col("q2")).alias("p75"), "max")
 
 
 def category_stability(df: DataFrame, vintage: str, column: str, reference, rare: float = 0.01) -> DataFrame:
@@ -183,9 +198,13 @@ def histogram(df: DataFrame, group: str, value: str, width: float, weight: Colum
     return g.select(group, "bin", "n", r(F.col("n") * 100.0 / F.sum("n").over(inside)).alias("percent_rows"), r(F.col("w") * 100.0 / F.sum("w").over(inside)).alias("percent_weight"))
 
 
-def scalar_summary(df: DataFrame, metrics: Mapping[str, Column]) -> DataFrame:
-    """(metric, value) rows from one aggregation."""
-    return long_rows(df, {m: {"value": r(c)} for m, c in metrics.items()}, ("value",), "metric")
+def scalar_summary(df: DataFrame, metrics: Mapping[str, Column], medians: Mapping[str, str] = {}) -> DataFrame:
+    """(metric, value) rows from one aggregation, and medians of columns by their exact quantiles."""
+    out = long_rows(df, {m: {"value": r(c)} for m, c in metrics.items()}, ("value",), "metric")
+    if not medians:
+        return out
+    found = quantiles(df.select(*[F.col(c).alias(m) for m, c in medians.items()]), [], list(medians), (0.5,))
+    return out.unionByName(found.select(F.col("variable").alias("metric"), r(F.col("q0")).alias("value")))
 
 
 # windows
@@ -232,10 +251,9 @@ def error_examples(df: DataFrame, tag: str, probability: str, key: str, k: int)
 
 def evenly_spaced(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """K rows at places round(i * (n - 1) / (k - 1)) of each ordered group (halves to even); all if there are no more."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("__p", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+    ranked = with_group_rank(df, by, order, "__r", "__n").withColumn("__p", F.col("__r") - 1)
     places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("__n") - 1) / F.lit(float(max(k - 1, 1)))).cast("int"))
-    return ranked.where((F.col("__n") <= k) | F.array_contains(places, F.col("__p"))).drop("__p", "__n")
+    return ranked.where((F.col("__n") <= k) | F.array_contains(places, F.col("__p").cast("int"))).drop("__p", "__n", "__r")
 
 
 def thinned(curve: DataFrame, order: str, points: int, n: int | None = None) -> DataFrame:

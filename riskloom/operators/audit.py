@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.sources.io import require_columns  # noqa: F401  V1
+from riskloom.sources.staging import staged
 
 VALID, ABSENT, IGNORED, INVALID, OUT_OF_RANGE, UNCONFIRMED = "valido", "ausente", "ignorado", "invalido", "fora_faixa", "nao_confirmado"
 STATUSES = (ABSENT, IGNORED, INVALID, OUT_OF_RANGE, UNCONFIRMED, VALID)
@@ -129,13 +130,19 @@ PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 def describe(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
     """Count, missing share, distinct, mean, deviation, extremes and exact percentiles."""
-    names = ["n", "missing_percent", "distinct", "mean", "sd", "min", "max"] + [f"p{int(p * 100):02d}" for p in PERCENTILES]
+    from riskloom.operators.ordered import quantiles_of_counts, value_counts
+
     r = lambda c: F.round(c.cast("double"), digits)
-    fields = {}
-    for c in columns:
-        base = {"n": F.count(c), "missing_percent": r(F.count_if(F.col(c).isNull()) * 100.0 / F.count("*")), "distinct": F.countDistinct(c), "mean": r(F.avg(c)), "sd": r(F.stddev_samp(c)), "min": r(F.min(c)), "max": r(F.max(c))}
-        fields[c] = base | {f"p{int(p * 100):02d}": r(F.get(F.percentile(c, F.array(*map(F.lit, PERCENTILES))), F.lit(i))) for i, p in enumerate(PERCENTILES)}
-    return long_rows(df, fields, names)
+    # rows per value, once: counts, distinct values and quantiles all come from them. Moments come from the rows, which add up without loss of digits
+    counts = staged(value_counts(df, [], columns), "values")
+    seen = F.col("value").isNotNull()
+    n = F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0))
+    shape = counts.groupBy("variable").agg(n.alias("n"), r((F.sum("n") - n) * 100.0 / F.sum("n")).alias("missing_percent"), F.count_if(seen).alias("distinct"))
+    moments = long_rows(df, {c: {"mean": r(F.avg(c)), "sd": r(F.stddev_samp(c)), "min": r(F.min(c)), "max": r(F.max(c))} for c in columns}, ("mean", "sd", "min", "max"), "variable")
+    points = quantiles_of_counts(counts, ["variable"], PERCENTILES)
+    # a row for each column
+    j = moments.join(F.broadcast(shape), "variable", "left").join(F.broadcast(points), "variable", "left")
+    return j.select(F.col("variable").alias("field"), F.coalesce("n", F.lit(0)).alias("n"), "missing_percent", F.coalesce("distinct", F.lit(0)).alias("distinct"), "mean", "sd", "min", "max", *[r(F.col(f"q{i}")).alias(f"p{int(p * 100):02d}") for i, p in enumerate(PERCENTILES)])
 
 
 def date_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import features, special
-from riskloom.operators.aggregates import r
+from riskloom.operators import fits
+from riskloom.operators.aggregates import r, with_quantiles
 from riskloom.operators.audit import guard_predictors, long_rows, unpivoted
-from riskloom.operators.evaluate import stratified_folds
+from riskloom.operators.evaluate import grouped_auc, ranking_metrics, stratified_folds
+from riskloom.operators.joins import small
+from riskloom.operators.ordered import quantiles, with_global_rank
+from riskloom.sources.staging import staged
+
+
+def column(name: str) -> Column:
+    return F.col(f"`{name}`")
 
 
 def flow(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -106,36 +115,79 @@ def score_propensity(model, df: DataFrame, columns: Sequence[str], name: str = "
     return out.withColumn(name, vector_to_array("__prob")[1]).drop("__x", "__p", "__prob", "__raw")
 
 
-def propensity(df: DataFrame, t: str, numeric: Sequence[str], categorical: Sequence[str], name: str = "e") -> DataFrame:
-    prepared, names = features.standardised(df, numeric, categorical)
-    safe = {c: f"__f{i}" for i, c in enumerate(names)}
-    prepared = prepared.withColumnsRenamed(safe)
-    return score_propensity(fit_propensity(prepared, t, list(safe.values())), prepared, list(safe.values()), name).drop(*safe.values())
+def one_group(df: DataFrame, label: str) -> DataFrame:
+    return staged(df.withColumn("__g", F.lit(0)), label)
+
+
+def known_groups(df: DataFrame, t: str) -> DataFrame:
+    """Rows of both treatment groups; a frame without one of them, or with other values, is an error."""
+    found = {x[0] for x in df.select(t).distinct().limit(4).collect()}
+    if found != {0, 1}:
+        raise ValueError(f"both treatment groups are needed, found {sorted(found, key=str)}")
+    return df
+
+
+def raise_failures(result: fits.Fits, names: Sequence[str]) -> None:
+    if bad := [f"{n}: {f}" for n, f in zip(names, result.failure, strict=True) if f is not None]:
+        raise RuntimeError("fits didn't converge: " + "; ".join(bad[:10]))
+
+
+def propensity(df: DataFrame, t: str, numeric: Sequence[str], categorical: Sequence[str], name: str = "e", penalty: float = 1.0) -> DataFrame:
+    """In-sample score of a logistic fit with an L2 penalty (1 / C) on prepared columns; rows without a treatment get one too."""
+    guard_predictors([*numeric, *categorical])
+    data = fits.encoded(one_group(df, "cohort"), numeric, categorical)
+    result, preps = fits.fit_models(data, [fits.Model(frozenset({0}), t)], penalty)
+    raise_failures(result, ["the score"])
+    return data.rows.select(*map(column, df.columns), fits.score(data, preps[0], result.beta[0]).alias(name))
+
+
+@dataclass
+class CrossFit:
+    """Scores of rows by fits that haven't seen their fold, and how each fold's fit went."""
+
+    scores: DataFrame
+    folds: DataFrame
+    auc: float
+
+
+def cross_fitted(df: DataFrame, key: str, t: str, numeric: Sequence[str], categorical: Sequence[str], folds: int = 5, name: str = "e", penalty: float = 1.0) -> CrossFit:
+    """Each row is scored once, by a fit on the other folds; folds are stratified by ``t``.
+
+    Medians, means, deviations, modes and levels belong to the fit and come from its training rows alone. All fits take their steps in the
+    same scans. A fit that doesn't converge, a frame with one group, and a row that isn't scored are errors.
+    """
+    guard_predictors([*numeric, *categorical])
+    known = stratified_folds(known_groups(df.where(F.col(t).isNotNull()), t), key, t, folds)
+    data = fits.encoded(staged(known.withColumn("__g", F.col("fold")), "folds"), numeric, categorical)
+    sizes = {x["fold"]: x for x in data.rows.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col(t) == 1).alias("n1")).collect()}
+    if len(sizes) != folds:
+        raise ValueError(f"{len(sizes)} of {folds} folds have rows")
+    models = [fits.Model(frozenset(range(folds)) - {k}, t) for k in range(folds)]
+    result, preps = fits.fit_models(data, models, penalty)
+    raise_failures(result, [f"fold {k}" for k in range(folds)])
+    scored = staged(data.rows.select(*map(column, known.columns), fits.score_by_group(data, result, preps, {k: k for k in range(folds)}).alias(name)), "scored")
+    rows = sum(x["n"] for x in sizes.values())
+    seen = scored.agg(F.count(name), F.count_if(column(name).between(0, 1))).first()
+    if tuple(seen) != (rows, rows):
+        raise RuntimeError(f"{seen[1]} of {rows} rows have a score within 0 to 1")
+    by_fold = {x["fold"]: x["auc"] for x in grouped_auc(scored, ["fold"], name, t).collect()}
+    table = [(k, rows - sizes[k]["n"], sizes[k]["n"], sizes[k]["n1"], by_fold.get(k), int(result.steps[k]), bool(result.converged[k])) for k in range(folds)]
+    found = df.sparkSession.createDataFrame(table, "fold int, n_train long, n_test long, n_test_1 long, auc double, steps int, converged boolean")
+    return CrossFit(scored, found, ranking_metrics(scored, name, t).first()["auc"])
 
 
 def out_of_fold(df: DataFrame, key: str, t: str, numeric: Sequence[str], categorical: Sequence[str], folds: int = 5, name: str = "e") -> DataFrame:
-    """Each row is scored once, by a model that hasn't seen its fold; folds are stratified by ``t``. Rows that are scored twice or
-    not at all are an error. The loop is over folds; each fit is distributed."""
-    prepared, names = features.standardised(df, numeric, categorical)
-    safe = {c: f"__f{i}" for i, c in enumerate(names)}
-    prepared = stratified_folds(prepared.withColumnsRenamed(safe), key, t, folds).persist()
-    found = None
-    for k in range(folds):
-        model = fit_propensity(prepared.where(F.col("fold") != k), t, list(safe.values()))
-        part = score_propensity(model, prepared.where(F.col("fold") == k), list(safe.values()), name).drop(*safe.values())
-        found = part if found is None else found.unionByName(part)
-    # a model may leave no row without a score; every fold is there once
-    seen, rows = found.agg(F.count(name).alias("n"), F.countDistinct("fold").alias("folds")).first(), prepared.count()
-    if seen["n"] != rows or seen["folds"] != min(folds, rows):
-        raise RuntimeError(f"{seen['n']} of {rows} rows have a score, in {seen['folds']} of {folds} folds")
-    return found
+    """The scores."""
+    return cross_fitted(df, key, t, numeric, categorical, folds, name).scores
 
 
 def overlap_summary(df: DataFrame, t: str, e: str) -> DataFrame:
     """Percentiles of the score by group, and shares beyond thresholds."""
     p = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
     x = F.col(e)
-    return df.groupBy(t).agg(F.count("*").alias("n"), r(F.min(x), 6).alias("min"), r(F.max(x), 6).alias("max"), *[r(F.percentile(x, F.lit(q)), 6).alias(f"p{int(q * 100):02d}") for q in p], *[r(F.avg((x < q).cast("double")), 6).alias(f"below_{int(q * 100):02d}") for q in (0.01, 0.05)], *[r(F.avg((x > q).cast("double")), 6).alias(f"above_{int(q * 100):02d}") for q in (0.95, 0.99)])
+    g = df.groupBy(t).agg(F.count("*").alias("n"), r(F.min(x), 6).alias("min"), r(F.max(x), 6).alias("max"), *[r(F.avg((x < q).cast("double")), 6).alias(f"below_{int(q * 100):02d}") for q in (0.01, 0.05)], *[r(F.avg((x > q).cast("double")), 6).alias(f"above_{int(q * 100):02d}") for q in (0.95, 0.99)])
+    g = with_quantiles(g, df, [t], e, p)
+    return g.select(t, "n", "min", "max", *[r(F.col(f"q{i}"), 6).alias(f"p{int(q * 100):02d}") for i, q in enumerate(p)], "below_01", "below_05", "above_95", "above_99")
 
 
 TRIMMING = (("none", 0.0, 1.0), ("01_99", 0.01, 0.99), ("05_95", 0.05, 0.95))
@@ -176,7 +228,8 @@ def weighted_risk(df: DataFrame, t: str, y: str, weight: str) -> DataFrame:
 def effective_size(df: DataFrame, t: str, weight: str) -> DataFrame:
     """Kish's effective sample size and the weights' distribution."""
     w = F.col(weight)
-    return df.groupBy(t).agg(F.count("*").alias("n"), r(F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"), r(F.min(w), 6).alias("min"), r(F.percentile(w, F.lit(0.5)), 6).alias("median"), r(F.percentile(w, F.lit(0.95)), 6).alias("p95"), r(F.max(w), 6).alias("max"))
+    g = df.groupBy(t).agg(F.count("*").alias("n"), r(F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"), r(F.min(w), 6).alias("min"), r(F.max(w), 6).alias("max"))
+    return with_quantiles(g, df, [t], weight, (0.5, 0.95)).select(t, "n", "ess", "min", r(F.col("q0"), 6).alias("median"), r(F.col("q1"), 6).alias("p95"), "max")
 
 
 def raw_risk(df: DataFrame, t: str, y: str) -> DataFrame:
@@ -190,40 +243,65 @@ def estimate(df: DataFrame, t: str, y: str, numeric: Sequence[str], categorical:
     return weighted_risk(scored.withColumn("__w", overlap_weights(t, "e")), t, y, "__w")
 
 
-def annual_series(df: DataFrame, year: str, years: Sequence[int], t: str, y: str, numeric: Sequence[str], categorical: Sequence[str], baseline: int | None = None) -> DataFrame:
-    """C17: a fit for each year; a year that fails is recorded, the baseline's failure is raised."""
-    found = None
-    for k in years:
-        part = df.where(F.col(year) == k)
-        try:
-            row = estimate(part, t, y, numeric, categorical).withColumn("error", F.lit(None).cast("string"))
-            row = df.sparkSession.createDataFrame(row.collect(), row.schema)  # one row
-        except Exception as error:
-            if k == baseline:
-                raise
-            row = df.sparkSession.createDataFrame([(None, None, None, None, type(error).__name__)], "risk_1 double, risk_0 double, difference_pp double, ratio double, error string")
-        row = row.withColumn(year, F.lit(k))
-        found = row if found is None else found.unionByName(row)
-    return found
-
-
-def respecification(df: DataFrame, t: str, y: str, numeric: Sequence[str], categorical: Sequence[str], added: Sequence[str]) -> DataFrame:
-    """The estimate with and without further covariates."""
-    a = estimate(df, t, y, numeric, categorical).withColumn("specification", F.lit("base"))
-    return a.unionByName(estimate(df, t, y, numeric, [*categorical, *added]).withColumn("specification", F.lit("extended")))
-
-
-# replication on cells: covariates with few values fall into cells, a replicate is a draw of cell counts
-
-
-def cells(df: DataFrame, t: str, y: str, columns: Sequence[str], cluster: str | None = None, most: int = 50_000) -> list[tuple]:
-    """Counts of rows by covariates, treatment and outcome (and cluster): the number of cells is checked before it goes to the driver."""
-    by = [*([cluster] if cluster else []), *columns, t, y]
-    g = df.where(F.col(t).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
-    rows = g.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} cells: covariates aren't discrete enough for replication on cells")
-    return sorted((tuple(x) for x in rows), key=lambda x: tuple(str(v) for v in x))
+def _effects(scored: DataFrame, by: str, t: str, y: str, e: str, data: fits.Encoded) -> DataFrame:
+    """For each value of ``by``: risks raw and weighted, their differences and ratios, effective sizes, range of the score by group, and the largest
+    standardised difference of a covariate before and after weighting (denominators are unweighted both times). One aggregation."""
+    w = overlap_weights(t, e)
+    on = lambda c, k: F.when(F.col(t) == k, c)
+    mean = lambda c, k: F.sum(on(w * c, k)) / F.sum(on(F.when(c.isNotNull(), w), k))
+    out = [F.count("*").alias("n")]
+    for k in (1, 0):
+        out += [F.count_if(F.col(t) == k).alias(f"n_{k}"), F.avg(on(F.col(y), k)).alias(f"raw_{k}"), mean(F.col(y), k).alias(f"risk_{k}"), (F.sum(on(w, k)) * F.sum(on(w, k)) / F.sum(on(w * w, k))).alias(f"ess_{k}"), F.min(on(F.col(e), k)).alias(f"e_min_{k}"), F.max(on(F.col(e), k)).alias(f"e_max_{k}")]
+    parts = [F.col(f"__x{i}") for i in range(len(data.numeric))]
+    parts += [F.when(F.col(f"__c{j}") >= 0, (F.col(f"__c{j}") == k).cast("double")) for j, levels in enumerate(data.levels) for k in range(len(levels))]
+    for i, x in enumerate(parts):
+        out += [f(on(x, k)).alias(f"__{n}{k}_{i}") for k in (1, 0) for n, f in (("m", F.avg), ("v", F.var_samp))] + [mean(x, k).alias(f"__w{k}_{i}") for k in (1, 0)]
+    g = scored.groupBy(by).agg(*out)
+    smd = lambda n: F.array(*[F.abs(_smd(F.col(f"__{n}1_{i}"), F.col(f"__{n}0_{i}"), F.col(f"__v1_{i}"), F.col(f"__v0_{i}"))) for i in range(len(parts))])
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return g.select(by, "n", "n_1", "n_0", *[r(F.col(c), 6).alias(c) for c in ("raw_1", "raw_0")], r((F.col("raw_1") - F.col("raw_0")) * 100, 6).alias("raw_difference_pp"), r(ratio("raw_1", "raw_0"), 6).alias("raw_ratio"), *[r(F.col(c), 6).alias(c) for c in ("risk_1", "risk_0")], r((F.col("risk_1") - F.col("risk_0")) * 100, 6).alias("difference_pp"), r(ratio("risk_1", "risk_0"), 6).alias("ratio"), *[r(F.col(c), 4).alias(c) for c in ("ess_1", "ess_0")], *[r(F.col(f"e_{m}_{k}"), 6).alias(f"e_{m}_{k}") for k in (1, 0) for m in ("min", "max")], r(F.array_max(smd("m")), 6).alias("smd_before"), r(F.array_max(smd("w")), 6).alias("smd_after"))
+
+
+def annual_series(df: DataFrame, year: str, t: str, y: str, numeric: Sequence[str], categorical: Sequence[str], baseline: int | None = None, penalty: float = 1.0) -> DataFrame:
+    """C17: a fit for each year, all years in the same scans, with the measures, diagnostics and balance of each.
+
+    A year that can't be fitted (one group only, no convergence) has its reason in ``error`` and nulls in what depends on the score; if it is the
+    baseline, that is raised. Rows without a year, treatment or outcome are left out.
+    """
+    guard_predictors([*numeric, *categorical])
+    known = df.where(F.col(t).isin(0, 1) & F.col(y).isNotNull() & F.col(year).isNotNull())
+    years = sorted(x[0] for x in known.select(year).distinct().collect())
+    if baseline is not None and baseline not in years:
+        raise ValueError(f"the baseline {baseline} has no rows")
+    data = fits.encoded(staged(known.withColumn("__g", (F.array_position(F.array(*map(F.lit, years)), F.col(year)) - 1).cast("int")) if years else known.withColumn("__g", F.lit(0)), "years"), numeric, categorical)
+    models = [fits.Model(frozenset({i}), t) for i in range(len(years))]
+    result, preps = fits.fit_models(data, models, penalty) if years else (fits.Fits(np.zeros((0, 1)), np.zeros(0, bool), np.zeros(0, int), []), [])
+    groups = dict(data.rows.groupBy("__g").agg(F.count_distinct(t)).collect())
+    for i in range(len(years)):
+        if groups[i] < 2:
+            result.failure[i] = "one treatment group"
+    if baseline is not None and (why := result.failure[years.index(baseline)]):
+        raise RuntimeError(f"the baseline {baseline} can't be fitted: {why}")
+    scored = data.rows.withColumn("__e", fits.score_by_group(data, result, preps, {i: i for i in range(len(years))}))
+    how = df.sparkSession.createDataFrame([(x, int(result.steps[i]), result.failure[i]) for i, x in enumerate(years)], f"__year {df.schema[year].dataType.simpleString()}, steps int, error string")
+    out = _effects(scored, year, t, y, "__e", data)
+    return out.join(F.broadcast(how), F.col(year) == F.col("__year")).drop("__year")
+
+
+def respecification(df: DataFrame, t: str, y: str, numeric: Sequence[str], categorical: Sequence[str], added: Sequence[str], penalty: float = 1.0) -> DataFrame:
+    """The estimate with and without further covariates, with effective sizes and the balance of all of them under both scores. Both fits
+    take sub-blocks of the same sums."""
+    guard_predictors([*numeric, *categorical, *added])
+    data = fits.encoded(one_group(df.where(F.col(t).isin(0, 1) & F.col(y).isNotNull()), "cohort"), numeric, [*categorical, *added])
+    base = frozenset([*numeric, *categorical])
+    result, preps = fits.fit_models(data, [fits.Model(frozenset({0}), t, base), fits.Model(frozenset({0}), t)], penalty)
+    raise_failures(result, ["base", "extended"])
+    both = F.array(*[F.struct(F.lit(n).alias("specification"), fits.score(data, preps[i], result.beta[i]).alias("__e")) for i, n in enumerate(("base", "extended"))])
+    scored = data.rows.select("*", F.inline(both))
+    return _effects(scored, "specification", t, y, "__e", data)
+
+
+# replication: rows that are alike are one cell with a count; cells stay in a distributed table, however many there are
 
 
 def irls(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -240,93 +318,210 @@ def irls(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.0, step
     return beta, np.linalg.pinv(info), False
 
 
-def design(rows: Sequence[tuple], columns: int) -> np.ndarray:
-    """Indicator columns of each covariate but its first level, after a constant."""
-    out = [np.ones(len(rows))]
-    for k in range(columns):
-        values = [str(x[k]) for x in rows]
-        out += [np.array([v == level for v in values], float) for level in sorted(set(values))[1:]]
-    return np.column_stack(out)
+RISKS = ("raw_1", "raw_0", "ato_1", "ato_0")
+MEASURES = (*RISKS, "raw_difference_pp", "ato_difference_pp", "raw_ratio", "ato_ratio")
+#: Replicates times cells of one slice of a task.
+_SLICE_CELLS = 1 << 20
 
 
-def _overlap_difference(x: np.ndarray, t: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float) -> float:
-    beta, _, _ = irls(x, t, n, penalty)
-    e = 1 / (1 + np.exp(-x @ beta))
-    w = np.where(t == 1, 1 - e, e) * n
-    return float((w * y)[t == 1].sum() / w[t == 1].sum() - (w * y)[t == 0].sum() / w[t == 0].sum()) * 100
+def multiplicities(ids: np.ndarray, n: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often each replicate takes the rows of each cell: a Poisson draw with the cell's count as its mean (the law of resampling rows one by one
+    where no task sees all of them). Seeded by the cell, so every scan draws the same, whatever task the cell is in."""
+    out = np.empty((len(ids), replicates))
+    for i, (k, m) in enumerate(zip(ids.view(np.uint64), n, strict=True)):
+        out[i] = np.random.Generator(np.random.Philox(key=[np.uint64(seed), k])).poisson(m, replicates)
+    return out
 
 
-def bootstrap(df: DataFrame, t: str, y: str, columns: Sequence[str], replicates: int = 200, seed: int = 11, cluster: str | None = None, penalty: float = 1.0) -> DataFrame:
-    """Replicates of the overlap-weighted difference, the score fitted anew in each; seeded per replicate.
+def cluster_draws(clusters: int, replicates: int, seed: int) -> np.ndarray:
+    """Clusters drawn with replacement, as many as there are: how often each replicate has each cluster."""
+    out = np.empty((clusters, replicates))
+    for b in range(replicates):
+        out[:, b] = np.bincount(np.random.default_rng([seed, b]).integers(0, clusters, clusters), minlength=clusters)
+    return out
 
-    Rows: a multinomial draw of cell counts. Clusters: clusters are drawn whole, rows without one are drawn one by one.
-    The cells (checked in number) are broadcast, replicates are spread over tasks.
+
+def bootstrap(df: DataFrame, t: str, y: str, columns: Sequence[str], replicates: int = 1000, seed: int = 11, cluster: str | None = None, penalty: float = 1.0, numeric: Sequence[str] = (), strict: bool = True) -> DataFrame:
+    """Replicates of the raw and the overlap-weighted risks of both groups with their differences and ratios, the score fitted anew in each.
+
+    All replicates take their Newton steps in the same scans: with V the weights of the rows of a task (a column for each replicate) and XX the products of
+    the covariates, V'XX has the information matrices of all replicates. Rows are resampled by Poisson counts. With ``cluster``, clusters are drawn whole and
+    with replacement, and rows without one are resampled by themselves. Each replicate standardises numbers anew (a penalty on the common scale
+    that grows with the replicate's variance); missing numbers take the whole sample's median. A replicate without one of the groups, or whose fit doesn't
+    converge, has nulls and ``converged`` false, and with ``strict`` it is an error.
     """
-    rows = cells(df, t, y, columns, cluster)
-    skip = 1 if cluster else 0
-    groups = [x[0] for x in rows] if cluster else [None] * len(rows)
-    x = design([r_[skip:] for r_ in rows], len(columns))
-    tt, yy, n = (np.array([r_[i] for r_ in rows], float) for i in (-3, -2, -1))
-    shared = df.sparkSession.sparkContext.broadcast((groups, x, tt, yy, n))
-
-    def run(batches):
-        import pandas as pd
-
-        groups, x, tt, yy, n = shared.value
-        names = sorted({g for g in groups if g is not None}, key=str)
-        at = {g: i for i, g in enumerate(names)}
-        member = np.array([at.get(g, -1) for g in groups])
+    guard_predictors([*numeric, *columns])
+    known = df.where(F.col(t).isin(0, 1) & F.col(y).isNotNull()).withColumn("__g", F.lit(0))
+    data = fits.encoded(staged(known, "sample"), numeric, columns, drop_first=penalty == 0)
+    prep = fits.preparations(data, [frozenset({0})])[0]
+    clusters = 0
+    rows = data.rows
+    if cluster:
+        names, clusters = with_global_rank(rows.where(column(cluster).isNotNull()).select(column(cluster).alias("__name")).distinct(), ["__name"], "__rank")
+        rows = rows.join(small(names), column(cluster) == F.col("__name"), "left").withColumn("__cluster", F.coalesce(F.col("__rank") - 1, F.lit(-1)).cast("int"))
+    else:
+        rows = rows.withColumn("__cluster", F.lit(-1))
+    by = ["__cluster", *data.columns(), t, y]
+    cells = staged(rows.groupBy(*by).agg(F.count("*").alias("__n")).withColumn("__id", F.xxhash64(*by)), "cells")
+    fields = [*data.columns(), "__cluster", "__id", "__n", t, y]
+    shape, width = fits.Encoded(None, data.numeric, data.categorical, data.levels, data.drop_first), len(data.names)
+    upper = np.triu_indices(width)
+    step = max(16, _SLICE_CELLS // replicates)
+
+    def drawn(arrays):
+        """Design matrix, treatment, outcome and multiplicities of a slice of cells."""
+        ids, n, member = arrays["__id"].astype(np.int64), arrays["__n"], arrays["__cluster"]
+        m = np.empty((len(ids), replicates))
         loose = member < 0
-        for frame in batches:
-            values = []
-            for k in frame["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                m = np.zeros(len(n))
-                if loose.any():
-                    m[loose] = rng.multinomial(int(n[loose].sum()), n[loose] / n[loose].sum())
-                if names:
-                    times = np.bincount(rng.integers(0, len(names), len(names)), minlength=len(names))
-                    m[~loose] = n[~loose] * times[member[~loose]]
-                used = m > 0
-                try:
-                    values.append(_overlap_difference(x[used], tt[used], yy[used], m[used], penalty))
-                except (np.linalg.LinAlgError, ZeroDivisionError):
-                    values.append(float("nan"))
-            yield pd.DataFrame({"replicate": frame["id"], "estimate": values})
-
-    return df.sparkSession.range(replicates, numPartitions=min(replicates, 64)).mapInPandas(run, "replicate long, estimate double").withColumn("estimate", F.nanvl("estimate", F.lit(None)))
+        if loose.any():
+            m[loose] = multiplicities(ids[loose], n[loose], replicates, seed)
+        if not loose.all():
+            m[~loose] = cluster_draws(clusters, replicates, seed)[member[~loose]] * n[~loose, None]
+        return shape.matrix(arrays, prep), arrays[t].astype(float), arrays[y].astype(float), m
+
+    def slices(arrays):
+        for at in range(0, len(arrays["__n"]), step):
+            yield drawn({c: x[at : at + step] for c, x in arrays.items()})
+
+    def sums(arrays, beta, active):
+        on = np.flatnonzero(active)
+        flat, gradient = np.zeros((len(on), len(upper[0]))), np.zeros((len(on), width))
+        for x, tt, _, m in slices(arrays):
+            m = m[:, on]
+            p = fits.logistic(x @ beta[on].T)
+            flat += (m * p * (1 - p)).T @ (x[:, upper[0]] * x[:, upper[1]])
+            gradient += (m * (tt[:, None] - p)).T @ x
+        for i, b in enumerate(on):
+            info = np.zeros((width, width))
+            info[upper] = flat[i]
+            yield int(b), info, gradient[i]
+
+    def totals(what: Callable, length: int) -> np.ndarray:
+        """Sums over all cells of ``length`` numbers for each replicate."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            out = np.zeros((replicates, length))
+            for batch in batches:
+                for part in slices(fits.arrays_of(batch, fields)):
+                    out += what(*part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], ["place", "value"])
+
+        got = cells.select(*fields).mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+        out = np.zeros(replicates * length)
+        out[got["place"].to_numpy()] = got["value"].to_numpy()
+        return out.reshape(replicates, length)
+
+    places = [1 + 2 * i for i in range(len(data.numeric))]
+    weighed = totals(lambda x, tt, yy, m: m.T @ np.column_stack([np.ones(len(x)), tt, *[x[:, j] for j in places], *[x[:, j] ** 2 for j in places]]), 2 + 2 * len(places))
+    size = weighed[:, 0]
+    both = (size > 0) & (weighed[:, 1] > 0) & (weighed[:, 1] < size)
+    ridge = np.full((replicates, width), float(penalty))
+    ridge[:, 0] = 0.0
+    for i, j in enumerate(places):
+        mean = weighed[:, 2 + i] / np.maximum(size, 1)
+        spread = np.maximum(weighed[:, 2 + len(places) + i] / np.maximum(size, 1) - mean**2, 0.0)
+        ridge[:, j] = penalty * np.where(spread > 0, spread, 1.0)
+    result = fits.newton(cells, fields, sums, replicates, width, ridge)
+    beta = result.beta
+
+    def risks(x, tt, yy, m):
+        e = fits.logistic(x @ beta.T)
+        out = []
+        for k in (1, 0):
+            on = (tt == k).astype(float)
+            w = (1 - e if k else e) * m * on[:, None]
+            out += [(m * on[:, None]).sum(axis=0), (m * (on * yy)[:, None]).sum(axis=0), w.sum(axis=0), (w * yy[:, None]).sum(axis=0)]
+        return np.column_stack(out)
+
+    got = totals(risks, 8)
+    good = both & result.converged & (got[:, [0, 2, 4, 6]] > 0).all(axis=1)
+    if strict and not good.all():
+        raise RuntimeError(f"{int((~good).sum())} of {replicates} replicates lack a group or haven't converged; no interval may be reported")
+    lines = []
+    for b in range(replicates):
+        if not good[b]:
+            lines.append((b, *[None] * len(MEASURES), False))
+            continue
+        raw1, ato1, raw0, ato0 = (float(got[b, i + 1] / got[b, i]) for i in (0, 2, 4, 6))
+        lines.append((b, raw1, raw0, ato1, ato0, 100 * (raw1 - raw0), 100 * (ato1 - ato0), raw1 / raw0 if raw0 else None, ato1 / ato0 if ato0 else None, True))
+    return df.sparkSession.createDataFrame(lines, "replicate long, " + ", ".join(f"{m} double" for m in MEASURES) + ", converged boolean")
 
 
 def replicate_interval(replicates: DataFrame, point: float, level: float = 0.95, column: str = "estimate") -> DataFrame:
     """C20: percentile interval, standard error, normal interval and bias."""
     a, z = (1 - level) / 2, special.normal_quantile(1 - (1 - level) / 2)
     c = F.col(column)
-    g = replicates.agg(F.count(c).alias("valid"), F.stddev_samp(c).alias("se"), F.percentile(c, F.lit(a)).alias("lo"), F.percentile(c, F.lit(1 - a)).alias("hi"), F.avg(c).alias("m"))
+    g = replicates.agg(F.count(c).alias("valid"), F.stddev_samp(c).alias("se"), F.avg(c).alias("m"))
+    g = g.join(F.broadcast(quantiles(replicates, [], [column], (a, 1 - a)).select(F.col("q0").alias("lo"), F.col("q1").alias("hi"))), how="left")  # one row
     return g.select("valid", r(F.col("se"), 6).alias("se"), r(F.col("lo"), 6).alias("low"), r(F.col("hi"), 6).alias("high"), r(F.lit(point) - z * F.col("se"), 6).alias("normal_low"), r(F.lit(point) + z * F.col("se"), 6).alias("normal_high"), r(F.col("m") - point, 6).alias("bias"))
 
 
-def aipw(df: DataFrame, key: str, t: str, y: str, numeric: Sequence[str], categorical: Sequence[str], folds: int = 3, trim: tuple[float, float] = (0.0, 1.0), clip: float = 0.01) -> DataFrame:
-    """Cross-fitted doubly robust difference with the influence function's standard error, and how much of its variance the top 1 % carry."""
-    prepared, names = features.standardised(df.where(F.col(t).isNotNull() & F.col(y).isNotNull()), numeric, categorical)
-    safe = {c: f"__f{i}" for i, c in enumerate(names)}
-    cols = list(safe.values())
-    prepared = stratified_folds(prepared.withColumnsRenamed(safe), key, t, folds).persist()
-    found = None
+#: Populations of C22: everyone, and those whose score lies within bounds.
+POPULATIONS = (("sem_trimming", 0.0, 1.0), ("0.01_0.99", 0.01, 0.99), ("0.05_0.95", 0.05, 0.95))
+
+
+def aipw_scores(df: DataFrame, key: str, t: str, y: str, numeric: Sequence[str], categorical: Sequence[str], folds: int = 3, penalty: float = 1.0) -> DataFrame:
+    """Each row's treatment score ``e`` and outcome probabilities ``m1``, ``m0`` by fits that haven't seen its fold.
+
+    The three fits of every fold are joint: they take their steps in the same scans, each on its own rows (for the outcome those of one arm in the other
+    folds) and with the preparation of those rows.
+    """
+    guard_predictors([*numeric, *categorical])
+    known = known_groups(df.where(F.col(t).isNotNull() & F.col(y).isNotNull()), t)
+    grouped = stratified_folds(known, key, t, folds).withColumn("__g", (F.col("fold") * 2 + F.col(t)).cast("int"))
+    data = fits.encoded(staged(grouped, "arms"), numeric, categorical)
+    models = []
     for k in range(folds):
-        train, part = prepared.where(F.col("fold") != k), prepared.where(F.col("fold") == k)
-        part = score_propensity(fit_propensity(train, t, cols), part, cols, "e")
-        for arm in (0, 1):
-            model = fit_propensity(train.where(F.col(t) == arm).withColumn("__o", F.col(y)), "__o", cols)
-            part = score_propensity(model, part, cols, f"m{arm}")
-        found = part if found is None else found.unionByName(part)
+        others = [j for j in range(folds) if j != k]
+        models += [fits.Model(frozenset(2 * j + a for j in others for a in (0, 1)), t), *[fits.Model(frozenset(2 * j + a for j in others), y) for a in (1, 0)]]
+    result, preps = fits.fit_models(data, models, penalty)
+    raise_failures(result, [f"fold {k}, {n}" for k in range(folds) for n in ("e", "m1", "m0")])
+    scores = [fits.score_by_group(data, result, preps, {2 * k + a: 3 * k + i for k in range(folds) for a in (0, 1)}).alias(n) for i, n in enumerate(("e", "m1", "m0"))]
+    return data.rows.select(*map(column, known.columns), "fold", *scores)
+
+
+@dataclass
+class Aipw:
+    """Estimates by population, diagnostics of the weights by population and arm, and of the influence values by population."""
+
+    estimates: DataFrame
+    weights: DataFrame
+    influence: DataFrame
+
+
+def aipw_tables(df: DataFrame, key: str, t: str, y: str, numeric: Sequence[str], categorical: Sequence[str], folds: int = 3, clip: float = 0.01, populations: Sequence[tuple[str, float, float]] = POPULATIONS) -> Aipw:
+    """Doubly robust difference under each trimming rule with the influence function's standard error, and its diagnostics."""
+    found = aipw_scores(df, key, t, y, numeric, categorical, folds)
     e = F.least(F.greatest(F.col("e"), F.lit(clip)), F.lit(1 - clip))
     psi = F.col("m1") - F.col("m0") + F.when(F.col(t) == 1, (F.col(y) - F.col("m1")) / e).otherwise(-(F.col(y) - F.col("m0")) / (1 - e))
-    rows = found.where(F.col("e").between(*trim)).select(psi.alias("psi")).persist()
-    top = rows.agg(F.avg("psi").alias("m"), F.percentile("psi", F.lit(0.5)).alias("__x")).join(F.broadcast(rows.agg(F.count("*").alias("c"))))
-    square = (F.col("psi") - F.col("m")) * (F.col("psi") - F.col("m"))
-    squares = rows.join(F.broadcast(top)).select("psi", square.alias("q"))
-    edge = squares.agg(F.percentile("q", F.lit(0.99)).alias("edge"))
-    return squares.join(F.broadcast(edge)).agg(F.count("*").alias("n"), r(F.avg("psi") * 100, 6).alias("difference_pp"), r(F.stddev_samp("psi") / F.sqrt(F.count("*")) * 100, 6).alias("se_pp"), r(F.sum(F.when(F.col("q") >= F.col("edge"), F.col("q"))) / F.sum("q"), 6).alias("top_share"))
+    weight = F.when(F.col(t) == 1, 1 / e).otherwise(1 / (1 - e))
+    inside = F.array(*[F.when(F.col("e").between(lo, hi), F.lit(n)) for n, lo, hi in populations])
+    rows = staged(found.select(F.col(t).alias("arm"), psi.alias("psi"), weight.alias("weight"), F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("population")), "influence")
+    whole = found.agg(F.count("*").alias("__n"))
+    z = special.normal_quantile(0.975)
+    g = rows.groupBy("population").agg(F.count("*").alias("n"), F.count_if(F.col("arm") == 1).alias("n_1"), F.count_if(F.col("arm") == 0).alias("n_0"), F.avg("psi").alias("m"), F.stddev_samp("psi").alias("s"))
+    means = staged(g, "means")  # a row for each population
+    se = F.col("s") / F.sqrt("n")
+    names = df.sparkSession.createDataFrame([(n,) for n, _, _ in populations], "population string")
+    estimates = names.join(F.broadcast(means), "population", "left").join(F.broadcast(whole)).select("population", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_1", F.lit(0)).alias("n_1"), F.coalesce("n_0", F.lit(0)).alias("n_0"), (F.col("__n") - F.coalesce("n", F.lit(0))).alias("excluded"), r(F.col("m") * 100, 6).alias("difference_pp"), r(se * 100, 6).alias("se_pp"), r((F.col("m") - z * se) * 100, 6).alias("low_pp"), r((F.col("m") + z * se) * 100, 6).alias("high_pp"))
+    w = F.col("weight")
+    weights = rows.groupBy("population", "arm").agg(F.count("*").alias("n"), r(F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"), r(F.avg(w), 6).alias("mean"), r(F.max(w), 6).alias("max"))
+    weights = with_quantiles(weights, rows, ["population", "arm"], "weight", (0.99,)).withColumn("p99", r(F.col("q0"), 6)).drop("q0")
+    # the influence value of a row is its psi less the mean; the 1 % with the largest squares carry most of the variance
+    moved = staged(rows.join(F.broadcast(means.select("population", "m")), "population").select("population", (F.col("psi") - F.col("m")).alias("value")), "moved").withColumn("square", F.col("value") * F.col("value"))
+    edge = quantiles(moved, ["population"], ["square"], (0.99,)).select("population", F.col("q0").alias("edge"))
+    shares = moved.join(F.broadcast(edge), "population").groupBy("population").agg(r(F.sum(F.when(F.col("square") >= F.col("edge"), F.col("square"))) / F.sum("square"), 6).alias("top_share"), r(F.max(F.abs("value")), 6).alias("largest"), r(F.max(F.abs("value")) / F.count("*") * 100, 6).alias("largest_pp"))
+    points = (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 1.0)
+    influence = with_quantiles(shares, moved, ["population"], "value", points)
+    return Aipw(estimates, weights, influence.select("population", "top_share", "largest", "largest_pp", *[r(F.col(f"q{i}"), 6).alias(f"p{round(p * 100):02d}") for i, p in enumerate(points)]))
+
+
+def aipw(df: DataFrame, key: str, t: str, y: str, numeric: Sequence[str], categorical: Sequence[str], folds: int = 3) -> DataFrame:
+    """A row for each population: estimate, standard error, interval, and how much of the variance the top 1 % carry."""
+    tables = aipw_tables(df, key, t, y, numeric, categorical, folds)
+    return tables.estimates.join(F.broadcast(tables.influence.select("population", "top_share", "largest_pp")), "population", "left")
 
 
 def welch(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -354,7 +549,8 @@ def welch_anova(df: DataFrame, group: str, value: str) -> DataFrame:
 def odds_ratios(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
     """Odds ratios with Wald intervals from the observed information. The Newton steps sum X'WX over partitions, so the data
     are never gathered; one small matrix per task and step goes to the driver."""
-    data = df.select(F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna().persist()
+    data = df.select(F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    data = staged(data, "complete")
     k = len(columns) + 1
     beta = np.zeros(k)
 

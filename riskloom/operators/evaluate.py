@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from riskloom.functions import bands, special
 from riskloom.operators.aggregates import cumulative_share, r
 from riskloom.operators.audit import long_rows, unpivoted
-from riskloom.operators.ordered import score_table, with_global_rank
+from riskloom.operators.joins import small
+from riskloom.operators.ordered import quantile_list, quantiles, score_table, with_global_rank, with_group_rank
 
 # splits
 
@@ -50,8 +51,7 @@ def _hash_order(key: str, seed: int) -> Column:
 def group_split(df: DataFrame, group: str, label: str, fractions: tuple[float, float] = (0.70, 0.15), seed: int = 42) -> DataFrame:
     """M3: each group whole into train, val or test, stratified by the group's class: counts by floor, the rest to test."""
     g = df.groupBy(group).agg(F.max(label).alias("__c"))
-    w = Window.partitionBy("__c")
-    g = g.withColumn("__r", F.row_number().over(w.orderBy(_hash_order(group, seed), group))).withColumn("__n", F.count("*").over(w))
+    g = with_group_rank(g.withColumn("__h", _hash_order(group, seed)), ["__c"], ["__h", group], "__r", "__n")
     a, b = F.floor(F.col("__n") * fractions[0]), F.floor(F.col("__n") * fractions[1])
     g = g.select(group, F.when(F.col("__r") <= a, "train").when(F.col("__r") <= a + b, "val").otherwise("test").alias("split"))
     return df.join(g, group)
@@ -86,7 +86,7 @@ def balanced_groups(df: DataFrame, split: str, label: str, group: str, seed: int
     """M6: as many groups of each class in a split as the rarest class has, by hash order."""
     g = df.select(split, label, group).distinct()
     least = g.groupBy(split, label).agg(F.count("*").alias("c")).groupBy(split).agg(F.min("c").alias("__least"))
-    ranked = g.withColumn("__r", F.row_number().over(Window.partitionBy(split, label).orderBy(_hash_order(group, seed), group))).join(F.broadcast(least), split)
+    ranked = with_group_rank(g.withColumn("__h", _hash_order(group, seed)), [split, label], ["__h", group], "__r", "__n").join(small(least), split)
     return df.join(ranked.where("__r <= __least").select(split, label, group), [split, label, group], "left_semi")
 
 
@@ -103,11 +103,8 @@ def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def grouped_auc(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
-    """AUC, KS per group: running counts over the distinct scores inside each group."""
-    c = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("__s")).agg(F.sum(F.col(label).cast("long")).alias("n1"), F.sum(1 - F.col(label).cast("long")).alias("n0"))
-    w = Window.partitionBy(*by)
-    run = w.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.select("*", F.sum("n1").over(run).alias("tp"), F.sum("n0").over(run).alias("fp"), F.sum("n1").over(w).alias("pos"), F.sum("n0").over(w).alias("neg"))
+    """AUC, KS per group: running counts over the distinct scores of each group, which may lie in many tasks."""
+    c = score_table(df, score, label, by)
     auc = F.sum(F.col("n1") * (F.col("neg") - F.col("fp") + F.col("n0") / 2.0)) / (F.max("pos").cast("double") * F.max("neg"))
     return c.where("pos > 0 and neg > 0").groupBy(*by).agg(r(auc, 6).alias("auc"), r(2 * auc - 1, 6).alias("gini"), r(F.max(F.abs(F.col("tp") / F.col("pos") - F.col("fp") / F.col("neg"))), 6).alias("ks"))
 
@@ -141,7 +138,7 @@ def decile_table(df: DataFrame, probability: str, label: str, key: str, bins: in
 
 def threshold_sweep(df: DataFrame, probability: str, label: str, quantiles: Sequence[float]) -> DataFrame:
     """Precision, recall, F1, approval rate, bad rate of approved and blocked at the score's quantiles, in one further pass."""
-    edges = df.agg(F.percentile(probability, F.array(*map(F.lit, quantiles))).alias("e")).first()["e"]
+    edges = quantile_list(df, probability, quantiles)
     p, y = F.col(probability), F.col(label) == 1
     over = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(None))
     fields = {}
@@ -359,7 +356,9 @@ def metrics_of(p: np.ndarray, y: np.ndarray, threshold: float = 0.5) -> tuple:
 
 
 def metric_intervals(replicates: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    return long_rows(replicates, {m: {"valid": F.count(m), "low": r(F.percentile(m, F.lit(0.025)), 6), "high": r(F.percentile(m, F.lit(0.975)), 6)} for m in metrics}, ("valid", "low", "high"), "metric")
+    valid = long_rows(replicates, {m: {"valid": F.count(m)} for m in metrics}, ("valid",), "metric")
+    ends = quantiles(replicates, [], metrics, (0.025, 0.975)).select(F.col("variable").alias("metric"), r(F.col("q0"), 6).alias("low"), r(F.col("q1"), 6).alias("high"))
+    return valid.join(F.broadcast(ends), "metric", "left")  # a row for each metric
 
 
 RANK_WEIGHTS = {"auc": (0.35, "desc"), "ks": (0.25, "desc"), "ap": (0.10, "desc"), "brier": (0.15, "asc"), "log_loss": (0.10, "asc"), "gap": (0.05, "asc")}

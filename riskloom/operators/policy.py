@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import bands
 from riskloom.operators.aggregates import r
 from riskloom.operators.joins import expand_scenarios
+from riskloom.operators.ordered import quantile_list
 
 
 def pdo_score(p: Column, base: float = 500.0, pdo: float = 40.0, odds: float = 9.0, eps: float = 1e-6, clamp: tuple[float, float] | None = (0.0, 1000.0)) -> Column:
@@ -38,7 +39,7 @@ def band_of(score: Column, edges: Sequence[float], labels: Sequence[str]) -> Col
 
 def risk_band(df: DataFrame, p: str, name: str = "band", probabilities: Sequence[float] = (0.40, 0.60, 0.75, 0.90), labels: str = "ABCDE") -> DataFrame:
     """D3: A to E by quantiles of the score, upper edges included."""
-    edges = df.agg(F.percentile(p, F.array(*map(F.lit, probabilities))).alias("e")).first()["e"]
+    edges = quantile_list(df, p, probabilities)
     found = F.lit(labels[-1])
     for e, label in reversed(list(zip(edges, labels, strict=False))):
         found = F.when(F.col(p) <= e, label).otherwise(found)

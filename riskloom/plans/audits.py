@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import audit as A
 from riskloom.plans.base import query
 from riskloom.sources import io
-
+from riskloom.sources.staging import new_path
 
 
 def _statuses():
@@ -107,17 +107,8 @@ def s11(t):
 
 
 def _scratch(t, label: str) -> str:
-    """A fresh path in the session's shared folder (``spark.checkpoint.dir``), or a temporary one in local tests."""
-    import atexit
-    import shutil
-    import tempfile
-    import uuid
-
-    named = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the session's shared folder."""
+    return new_path(t.spark, label)
 
 
 @query("v1_required_columns", "SELECT count(*) AS n FROM orders")

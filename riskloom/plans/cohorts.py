@@ -77,6 +77,15 @@ def c9(t):
     return C.out_of_fold(t.cohort().where("t is not null"), "key", "t", _NUM, _CAT, 5).select("key", "t", "fold", F.round("e", 6).alias("e"))
 
 
+_FOLDS = "n AS (SELECT t, count(*) AS n FROM base WHERE t IS NOT NULL GROUP BY 1), f AS (SELECT f::INTEGER AS fold, t, n // 5 + (f < n % 5)::INTEGER AS n FROM n, unnest([0, 1, 2, 3, 4]) AS u(f))"
+
+
+@query("c9_fold_coverage", "WITH {COHORT}, " + _FOLDS + " SELECT fold, (SELECT sum(n) FROM f)::BIGINT - sum(n)::BIGINT AS n_train, sum(n)::BIGINT AS n_test, (sum(n) FILTER (WHERE t = 1))::BIGINT AS n_test_1, true AS converged, true AS has_auc FROM f GROUP BY 1")
+def c9b(t):
+    folds = C.cross_fitted(t.cohort(), "key", "t", _NUM, _CAT, 5).folds
+    return folds.select("fold", "n_train", "n_test", "n_test_1", "converged", F.col("auc").between(0, 1).alias("has_auc"))
+
+
 _PS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -121,14 +130,20 @@ def c16(t):
 
 @query("c17_annual_series")
 def c17(t):
-    c = t.cohort()
-    years = sorted(r[0] for r in c.select("year").distinct().collect())
-    return C.annual_series(c, "year", years, "t", "y", _NUM, ["segment"])
+    return C.annual_series(t.cohort(), "year", "t", "y", _NUM, ["segment"])
+
+
+_YEARS = ", ".join(f"round(avg(y) FILTER (WHERE t = {k}), 6) AS raw_{k}" for k in (1, 0)) + ", round((avg(y) FILTER (WHERE t = 1) - avg(y) FILTER (WHERE t = 0)) * 100, 6) AS raw_difference_pp"
+
+
+@query("c17_annual_raw", "WITH {COHORT} SELECT year, count(*) AS n, count(*) FILTER (WHERE t = 1) AS n_1, count(*) FILTER (WHERE t = 0) AS n_0, " + _YEARS + ", NULL::VARCHAR AS error FROM base WHERE t IS NOT NULL GROUP BY 1")
+def c17b(t):
+    return C.annual_series(t.cohort(), "year", "t", "y", _NUM, ["segment"]).select("year", "n", "n_1", "n_0", "raw_1", "raw_0", "raw_difference_pp", "error")
 
 
 @query("c18_bootstrap")
 def c18(t):
-    return C.bootstrap(t.cohort(), "t", "y", _CAT, 1000)
+    return C.bootstrap(t.cohort(), "t", "y", _CAT, 1000, numeric=_NUM)
 
 
 @query("c19_cluster_bootstrap")
@@ -154,6 +169,16 @@ def c22(t):
     return C.aipw(t.cohort(), "key", "t", "y", _NUM, ["segment"])
 
 
+@query("c22_weight_diagnostics")
+def c22b(t):
+    return C.aipw_tables(t.cohort(), "key", "t", "y", _NUM, ["segment"]).weights
+
+
+@query("c22_influence_diagnostics")
+def c22c(t):
+    return C.aipw_tables(t.cohort(), "key", "t", "y", _NUM, ["segment"]).influence
+
+
 @query("c23_welch")
 def c23(t):
     return C.welch(t.cohort(), "t", "price")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluate as E
+from riskloom.operators.aggregates import with_quantiles
 from riskloom.plans.base import query
 
 _FEATURES = ["qty", "price", "discount"]
@@ -194,7 +195,9 @@ _MODELS = "g AS (SELECT c_mktsegment AS model, round(avg(c_acctbal) / 10000, 6)
 
 
 def _models(t):
-    return t.customer.groupBy(F.col("c_mktsegment").alias("model")).agg(F.round(F.avg("c_acctbal") / 10000, 6).alias("auc"), F.round(F.median("c_acctbal") / 10000, 6).alias("ks"), F.round(F.avg("c_nationkey") / 25, 6).alias("ap"), F.round(F.stddev_samp("c_acctbal") / 10000, 6).alias("brier"), F.round(F.max("c_acctbal") / 10000, 6).alias("log_loss"), (F.count("*") / 10000.0).alias("gap"))
+    c = t.customer.withColumnRenamed("c_mktsegment", "model")
+    g = c.groupBy("model").agg(F.round(F.avg("c_acctbal") / 10000, 6).alias("auc"), F.round(F.avg("c_nationkey") / 25, 6).alias("ap"), F.round(F.stddev_samp("c_acctbal") / 10000, 6).alias("brier"), F.round(F.max("c_acctbal") / 10000, 6).alias("log_loss"), (F.count("*") / 10000.0).alias("gap"))
+    return with_quantiles(g, c, ["model"], "c_acctbal", (0.5,)).select("model", "auc", F.round(F.col("q0") / 10000, 6).alias("ks"), "ap", "brier", "log_loss", "gap")
 
 
 @query("m25_choose_model", "WITH " + _MODELS + ", r AS (SELECT model, round(rank() OVER (ORDER BY auc DESC) * 0.35 + rank() OVER (ORDER BY ks DESC) * 0.25 + rank() OVER (ORDER BY ap DESC) * 0.10 + rank() OVER (ORDER BY brier) * 0.15 + rank() OVER (ORDER BY log_loss) * 0.10 + rank() OVER (ORDER BY gap) * 0.05, 6)::DOUBLE AS weighted_rank FROM g) SELECT *, row_number() OVER (ORDER BY weighted_rank, model)::INTEGER AS place FROM r")

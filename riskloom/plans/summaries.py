@@ -197,4 +197,4 @@ def a30(t):
 
 @query("a31_scalar_summary", "SELECT 'rows' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'customers', count(DISTINCT o_custkey)::DOUBLE FROM orders UNION ALL SELECT 'largest', round(max(o_totalprice), 4) FROM orders UNION ALL SELECT 'median', round(median(o_totalprice), 4) FROM orders")
 def a31(t):
-    return G.scalar_summary(t.orders, {"rows": F.count("*"), "customers": F.countDistinct("o_custkey"), "largest": F.max("o_totalprice"), "median": F.median("o_totalprice")})
+    return G.scalar_summary(t.orders, {"rows": F.count("*"), "customers": F.countDistinct("o_custkey"), "largest": F.max("o_totalprice")}, {"median": "o_totalprice"})

@@ -105,13 +105,6 @@ def test_distributed_fit_equals_penalised_newton(spark):
     assert ok and np.abs(scored.e - 1 / (1 + np.exp(-(beta[0] + beta[1] * z)))).max() < 1e-4
 
 
-def test_bootstrap_is_seeded(spark):
-    df = spark.createDataFrame([(i, i % 2, (i // 3) % 2, "ab"[i % 5 == 0], i % 7 if i % 4 else None) for i in range(200)], "key int, t int, y int, g string, c int")
-    a, b = (C.bootstrap(df, "t", "y", ["g"], 8).orderBy("replicate").toPandas() for _ in range(2))
-    assert a.equals(b) and a.estimate.nunique() > 1
-    assert C.bootstrap(df, "t", "y", ["g"], 8, cluster="c").where("estimate is not null").count() == 8
-
-
 def test_bootstrap_metrics_equal_their_resamples(spark):
     n, size, seed = 500, 64, 9
     p, y = np.arange(n) % 211 / 211, np.arange(n) * 7 % 10 < 3
