@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from riskloom.functions import bands, special
 from riskloom.operators.aggregates import cumulative_share, r
 from riskloom.operators.audit import long_rows, unpivoted
+from riskloom.operators.boosting import Trees, fit_boosting
 from riskloom.operators.joins import small
-from riskloom.operators.ordered import quantile_list, quantiles, score_table, with_global_rank, with_group_rank
+from riskloom.operators.ordered import prefix_sums, quantile_list, quantiles, score_table, with_global_rank, with_group_rank, with_totals
+from riskloom.sources.staging import staged
 
 # splits
 
@@ -79,7 +82,7 @@ def expanding_folds(df: DataFrame, day: str, folds: int = 4) -> DataFrame:
     n = df.agg(F.count("*").alias("t"))
     block = F.least(F.lit(folds), F.floor((F.sum("n").over(Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")) * (folds + 1) / F.col("t"))).cast("int")
     dated = per.join(F.broadcast(n)).select("__d", block.alias("block"))
-    return df.join(F.broadcast(dated), F.col(day) == F.col("__d")).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds)))).where("block <= fold").withColumn("part", F.when(F.col("block") < F.col("fold"), "train").otherwise("test")).drop("__d", "block")
+    return df.join(small(dated), F.col(day) == F.col("__d")).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds)))).where("block <= fold").withColumn("part", F.when(F.col("block") < F.col("fold"), "train").otherwise("test")).drop("__d", "block")
 
 
 def balanced_groups(df: DataFrame, split: str, label: str, group: str, seed: int = 42) -> DataFrame:
@@ -173,7 +176,8 @@ def quantile_calibration(df: DataFrame, probability: str, label: str, key: str,
 def calibration_slope(df: DataFrame, probability: str, label: str, least_range: float = 1e-3, steps: int = 30) -> DataFrame:
     """Slope and intercept of the label's logit on the prediction's; null if predictions hardly differ. Newton steps over sums."""
     p = F.least(F.greatest(F.col(probability).cast("double"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    data = df.select(F.log(p / (1 - p)).alias("x"), F.col(label).cast("double").alias("y"), p.alias("p")).groupBy("x", "p").agg(F.count("*").alias("n"), F.sum("y").alias("y")).persist()
+    data = df.select(F.log(p / (1 - p)).alias("x"), F.col(label).cast("double").alias("y"), p.alias("p")).groupBy("x", "p").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    data = staged(data, "logits")
     lo, hi = data.agg(F.min("p"), F.max("p")).first()
     if lo is None or hi - lo < least_range:
         return df.sparkSession.createDataFrame([(None, None)], "intercept double, slope double")
@@ -277,7 +281,7 @@ def resamples(n1: np.ndarray, n0: np.ndarray, draws: Sequence[tuple[int, int]],
         yield int(k), got[: len(n1)], got[len(n1) :]
 
 
-def bootstrap_metrics(df: DataFrame, group: str, probability: str, label: str, replicates: int = 200, threshold: float = 0.5, seed: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def bootstrap_metrics(df: DataFrame, group: str, probability: str, label: str, replicates: int = 2000, threshold: float = 0.5, seed: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Group-level resamples of the eight metrics; resamples with one class are skipped. Groups without a probability or label don't count.
 
     Groups of one probability and label are alike, so each replicate draws counts of them, as many in all as there are groups. Blocks of the
@@ -288,7 +292,8 @@ def bootstrap_metrics(df: DataFrame, group: str, probability: str, label: str, r
     spark = df.sparkSession
     g = df.groupBy(group).agg(F.avg(probability).alias("p"), F.max(label).cast("long").alias("y")).where("p is not null and y is not null")
     ranked, _ = with_global_rank(g.groupBy((-F.col("p")).alias("s")).agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")), ["s"])
-    cells = ranked.select(F.floor((F.col("rank") - 1) / block_rows).cast("long").alias("block"), "s", "n1", "n0").persist()
+    cells = ranked.select(F.floor((F.col("rank") - 1) / block_rows).cast("long").alias("block"), "s", "n1", "n0")
+    cells = staged(cells, "cells")
     found = sorted(cells.groupBy("block").agg(F.sum(F.col("n1") + F.col("n0"))).collect())  # one row per block
     blocks, sizes = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
     shared = spark.sparkContext.broadcast((blocks, sizes))
@@ -324,7 +329,8 @@ def bootstrap_metrics(df: DataFrame, group: str, probability: str, label: str, r
 
     every = spark.range(replicates, numPartitions=min(32, replicates))
     by_block = cells.groupBy("block").cogroup(every.mapInPandas(split, "block long, replicate long, draws long").groupBy("block"))
-    parts = by_block.applyInPandas(sums, "block long, replicate long, draws long, pos long, neg long, tp long, fp long, pairs double").persist()
+    parts = by_block.applyInPandas(sums, "block long, replicate long, draws long, pos long, neg long, tp long, fp long, pairs double")
+    parts = staged(parts, "parts")
     w = Window.partitionBy("replicate").orderBy("block")
     before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     placed = parts.select("*", *[F.coalesce(F.sum(c).over(o), F.lit(0)).alias(n) for c, o, n in (("pos", before, "above1"), ("neg", before, "above0"), ("neg", after, "below0"))])
@@ -361,6 +367,20 @@ def metric_intervals(replicates: DataFrame, metrics: Sequence[str] = METRICS) ->
     return valid.join(F.broadcast(ends), "metric", "left")  # a row for each metric
 
 
+def group_metrics(df: DataFrame, group: str, probability: str, label: str, threshold: float = 0.5) -> DataFrame:
+    """``metric, estimate`` of the groups themselves: a group has its mean probability and its largest label."""
+    g = staged(df.groupBy(group).agg(F.avg(probability).alias("p"), F.max(label).cast("long").alias("y")).where("p is not null and y is not null"), "groups")
+    counts = threshold_metrics(g, [], "p", "y", threshold)
+    both = counts.join(F.broadcast(ranking_metrics(g, "p", "y").select(F.col("auc").alias("roc_auc"), "average_precision")))  # one row
+    return both.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("estimate")) for m in METRICS])))
+
+
+def bootstrap_intervals(df: DataFrame, group: str, probability: str, label: str, replicates: int = 2000, threshold: float = 0.5, seed: int = 5) -> DataFrame:
+    """Each metric's estimate with its percentile interval over resamples of groups, and how many resamples had both classes."""
+    made = staged(bootstrap_metrics(df, group, probability, label, replicates, threshold, seed), "replicates")
+    return group_metrics(df, group, probability, label, threshold).join(F.broadcast(metric_intervals(made)), "metric", "left").withColumn("replicates", F.lit(replicates))
+
+
 RANK_WEIGHTS = {"auc": (0.35, "desc"), "ks": (0.25, "desc"), "ap": (0.10, "desc"), "brier": (0.15, "asc"), "log_loss": (0.10, "asc"), "gap": (0.05, "asc")}
 
 
@@ -382,21 +402,58 @@ def compare_models(rows: DataFrame, base: str, other: str, metrics: Sequence[str
     return wide.select("model", *[r(F.col(m), 6).alias(m) for m in metrics]).unionByName(d).withColumn("ci", F.lit(None).cast("double"))
 
 
-def permutation_importance(score, df: DataFrame, columns: Sequence[str], label: str, key: str, repeats: int = 3, seed: int = 3) -> DataFrame:
-    """Fall of the AUC when a column's values are dealt anew by rank. ``score``: frame to frame with column ``p``."""
-    from riskloom.operators.ordered import with_global_rank
+#: Rounds of the keyed permutation.
+_ROUNDS = 4
 
-    base = ranking_metrics(score(df), "p", label).first()["auc"]
-    ranked, _ = with_global_rank(df, [key], "__r")
-    rows = []
-    for c in columns:
-        drops = []
-        for k in range(repeats):
-            other, _ = with_global_rank(df.select(c, F.xxhash64(F.col(key).cast("string"), F.lit(seed + k)).alias("__h"), F.col(key).alias("__k")), ["__h", "__k"], "__r")
-            dealt = ranked.drop(c).join(other.select("__r", c), "__r").drop("__r")
-            drops.append(base - ranking_metrics(score(dealt), "p", label).first()["auc"])
-        rows.append((c, float(np.mean(drops)), float(np.std(drops))))
-    return df.sparkSession.createDataFrame(rows, "variable string, auc_drop double, sd double")
+
+def dealt(place: Column, n: int, salt: Column) -> Column:
+    """A permutation of 0 to n - 1, keyed by ``salt``: where a place's value is taken from.
+
+    Places lie on a grid of about the root of n by the root of n, and Feistel rounds move each coordinate by a hash of the other, which can be undone and so
+    is one to one. The few places that end outside 0 to n - 1 (less than a row of the grid) go through the rounds again until they are inside, which
+    keeps the permutation one to one; one that were outside 40 times is an error.
+    """
+    wide = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    high = max(1, -(-n // wide))
+
+    def turn(x: Column) -> Column:
+        row, col = F.floor(x / wide), F.pmod(x, F.lit(wide))
+        for k in range(0, 2 * _ROUNDS, 2):
+            row = F.pmod(row + F.pmod(F.xxhash64(col, salt, F.lit(k)), F.lit(high)), F.lit(high))
+            col = F.pmod(col + F.pmod(F.xxhash64(row, salt, F.lit(k + 1)), F.lit(wide)), F.lit(wide))
+        return (row * wide + col).cast("long")
+
+    first = turn(place.cast("long"))
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(40)), first, lambda x, _: F.when(x < n, x).otherwise(turn(x)))
+    found = F.when(first < n, first).otherwise(again)
+    return F.when(found < n, found).otherwise(F.raise_error(F.lit("a place wasn't dealt")).cast("long"))
+
+
+def permutation_importance(score, df: DataFrame, columns: Sequence[str], label: str, key: str, repeats: int = 10, seed: int = 3) -> DataFrame:
+    """Mean and deviation of the fall of the AUC over ``repeats`` dealings of each column's values. ``score``: frame to frame with column ``p``.
+
+    Rows get dense places once; a dealing is a keyed permutation of places, so it needs no sort. All columns and repeats are rows of one frame,
+    which is scored once, and their AUCs come from one set of running sums.
+    """
+    known = df.where(F.col(label).isNotNull()).select(key, label, *columns)
+    ranked, n = with_global_rank(known, [key], "__r")
+    if not n:
+        return df.sparkSession.createDataFrame([], "variable string, auc_drop double, sd double, repeats long")
+    ranked = ranked.withColumn("__r", F.col("__r") - 1)
+    # for each row, column and repeat the place that the column's value is taken from; -1 is the frame as it is
+    jobs = F.array(F.struct(F.lit(-1).alias("__c"), F.lit(0).alias("__k")), *[F.struct(F.lit(c).alias("__c"), F.lit(k).alias("__k")) for c in range(len(columns)) for k in range(repeats)])
+    long = ranked.select(label, *columns, "__r", F.inline(jobs))
+    salt = F.col("__c") * repeats + F.col("__k") + F.lit(seed) * 1_000_003
+    long = long.withColumn("__from", F.when(F.col("__c") < 0, F.col("__r")).otherwise(dealt(F.col("__r"), n, salt)))
+    source = ranked.select(F.col("__r").alias("__s"), *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)])
+    # joined by place: every place is taken once by each job, so no key is hot
+    joined = long.join(source, F.col("__from") == F.col("__s"))
+    frame = joined.select(F.col("__c").alias("__column"), F.col("__k").alias("__repeat"), label, *[F.when(F.col("__c") == i, F.col(f"__v{i}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)])
+    found = staged(grouped_auc(score(frame), ["__column", "__repeat"], "p", label), "dealings")
+    base = found.where("__column = -1").select(F.col("auc").alias("__base"))
+    drop = F.col("__base") - F.col("auc")
+    names = F.array(*map(F.lit, columns))
+    return found.where("__column >= 0").join(F.broadcast(base)).groupBy("__column").agg(F.avg(drop).alias("auc_drop"), F.stddev_pop(drop).alias("sd"), F.count("*").alias("repeats")).select(F.element_at(names, F.col("__column") + 1).alias("variable"), "auc_drop", "sd", "repeats")
 
 
 def consolidate_importance(a: DataFrame, b: DataFrame, key: str = "variable") -> DataFrame:
@@ -470,27 +527,44 @@ def class_weights(df: DataFrame, label: str, name: str = "w") -> DataFrame:
     return df.join(F.broadcast(c)).withColumn(name, F.when(F.col(label) == 1, F.col("__n") / (2.0 * F.col("__p"))).otherwise(F.col("__n") / (2.0 * (F.col("__n") - F.col("__p"))))).drop("__n", "__p")
 
 
-MODELS = ("logistic", "forest", "boosting")
+MODELS = ("logistic", "forest", "boosting", "histogram")
+
 
+def imputer(df: DataFrame, columns: Sequence[str]):
+    """A stage that copies columns to ``__f0, ...`` with exact medians in the place of missing values; the medians are part of the saved model."""
+    from pyspark.ml.feature import SQLTransformer
 
-def fit_model(df: DataFrame, kind: str, columns: Sequence[str], label: str, weight: str | None = None, **options):
-    """M8: a pipeline of assembler and classifier; gradient boosting of histograms is what Spark's boosting does by bins."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"features are missing: {missing}")
+    middle = {x["variable"]: x["q0"] for x in quantiles(df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]), [], columns, (0.5,)).collect()}
+    filled = ", ".join(f"coalesce(nanvl(cast(`{c}` AS double), cast(NULL AS double)), cast({middle.get(c, 0.0)!r} AS double)) AS `__f{i}`" for i, c in enumerate(columns))
+    return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+
+
+def fit_model(df: DataFrame, kind: str, columns: Sequence[str], label: str, weight: str | None = None, key: str | None = None, **options):
+    """M8: a pipeline of median imputation, assembler and classifier, or boosting of histograms (``histogram``, which needs the unique ``key``)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
+    if kind == "histogram":
+        return fit_boosting(df, columns, [], label, key, weight, **options)
     common = {"featuresCol": "__x", "labelCol": label} | ({"weightCol": weight} if weight else {})
     model = {"logistic": lambda: LogisticRegression(**common, **({"maxIter": 100} | options)), "forest": lambda: RandomForestClassifier(**common, **({"numTrees": 20, "maxDepth": 5, "seed": 1} | options)), "boosting": lambda: GBTClassifier(**common, **({"maxIter": 10, "maxDepth": 3, "seed": 1} | options))}[kind]()
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="__x", handleInvalid="skip"), model]).fit(df.withColumn(label, F.col(label).cast("double")))
+    known = df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    return Pipeline(stages=[imputer(known, columns), VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__x", handleInvalid="error"), model]).fit(known)
 
 
 def score_model(model, df: DataFrame, columns: Sequence[str], name: str = "p") -> DataFrame:
-    """Batch scores after a check that the features are there."""
+    """Batch scores after a check that the features are there. Every row comes back with a score: missing features have the training rows' medians
+    (or, in histograms, a way of their own)."""
     from pyspark.ml.functions import vector_to_array
 
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"features are missing: {missing}")
-    return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
+    if isinstance(model, Trees):
+        return model.score(df, name)
+    return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction", *[f"__f{i}" for i in range(len(columns))])
 
 
 def score_saved(spark: SparkSession, path: str, df: DataFrame, columns: Sequence[str], name: str = "p") -> DataFrame:
@@ -499,26 +573,63 @@ def score_saved(spark: SparkSession, path: str, df: DataFrame, columns: Sequence
     return score_model(PipelineModel.load(path), df, columns, name)
 
 
-def nested_models(df: DataFrame, key: str, label: str, sets: Mapping[str, Sequence[str]], folds: int = 3) -> DataFrame:
-    """M9: AUC of out-of-fold probabilities of a logistic model on each set of columns."""
-    folded = stratified_folds(df, key, label, folds).persist()
-    out = None
-    for name, columns in sets.items():
+def nested_probabilities(df: DataFrame, key: str, label: str, sets: Mapping[str, Sequence[str]], categorical: Sequence[str] = (), folds: int = 5) -> DataFrame:
+    """M9: out-of-fold probabilities of unpenalised logistic models on nested sets of columns, with the fold: ``key, label, fold, p_<set>``.
+
+    All sets and folds take their Newton steps in the same scans, each model on its block of the same sums; a set without columns is the training
+    rows' prevalence. Preparation comes from the training rows. A model that doesn't converge is an error.
+    """
+    from riskloom.operators import fits
+
+    known = df.where(F.col(label).isNotNull())
+    columns = list(dict.fromkeys(c for x in sets.values() for c in x))
+    numeric = [c for c in columns if c not in categorical]
+    data = fits.encoded(staged(stratified_folds(known, key, label, folds).withColumn("__g", F.col("fold")), "folds"), numeric, [c for c in columns if c in categorical], drop_first=True)
+    names = [(k, n) for k in range(folds) for n in sets]
+    result, preps = fits.fit_models(data, [fits.Model(frozenset(range(folds)) - {k}, label, frozenset(sets[n])) for k, n in names], penalty=0.0)
+    if bad := [f"{n}, fold {k}: {f}" for (k, n), f in zip(names, result.failure, strict=True) if f is not None]:
+        raise RuntimeError("models didn't converge: " + "; ".join(bad))
+    scores = [fits.score_by_group(data, result, preps, {k: names.index((k, n)) for k in range(folds)}).alias(f"p_{n}") for n in sets]
+    return data.rows.select(key, label, "fold", *scores)
+
+
+def nested_models(df: DataFrame, key: str, label: str, sets: Mapping[str, Sequence[str]], categorical: Sequence[str] = (), folds: int = 5) -> DataFrame:
+    """M9: ranking metrics of the out-of-fold probabilities of each set, and how many rows were scored."""
+    scored = staged(nested_probabilities(df, key, label, sets, categorical, folds), "scored")
+    long = scored.select(label, F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"p_{n}").alias("p")) for n in sets])))
+    rows = long.groupBy("model").agg(F.count("p").alias("scored"), r(F.avg("p"), 6).alias("mean_p"))
+    return rows.join(grouped_auc(long, ["model"], "p", label), "model", "left")  # a row for each set
+
+
+def time_blocks(df: DataFrame, day: str, folds: int = 4) -> DataFrame:
+    """M5: ``block`` 0 to ``folds``: equal-count blocks of the date order, a date never in two of them."""
+    per = df.groupBy(F.col(day).alias("__d")).agg(F.count("*").alias("n"))
+    run = with_totals(prefix_sums(per, [], ["__d"], ["n"]), [], {"__t": F.sum("n")})
+    dated = run.select("__d", F.least(F.lit(folds), F.floor(F.col("n_before") * (folds + 1) / F.col("__t"))).cast("int").alias("block"))
+    return df.join(small(dated), F.col(day) == F.col("__d")).drop("__d")
+
+
+def time_cv(df: DataFrame, day: str, label: str, columns: Sequence[str], kind: str = "logistic", folds: int = 4, key: str | None = None) -> DataFrame:
+    """M5: metrics of each expanding-window fold (fold k trains on the blocks before block k and is tested on it), and their mean.
+
+    Logistic models of all folds are fitted in the same scans. A fold whose test block has one class has null metrics, and the mean is over the others.
+    """
+    from riskloom.operators import fits
+
+    known = df.where(F.col(label).isNotNull() & F.col(day).isNotNull())
+    blocks = staged(time_blocks(known, day, folds).withColumn("__g", F.col("block")), "blocks")
+    if kind == "logistic":
+        data = fits.encoded(blocks, columns, [])
+        result, preps = fits.fit_models(data, [fits.Model(frozenset(range(k)), label) for k in range(1, folds + 1)], penalty=1.0)
+        if bad := [f"fold {k}: {f}" for k, f in enumerate(result.failure, 1) if f is not None]:
+            raise RuntimeError("models didn't converge: " + "; ".join(bad))
+        scored = data.rows.where("block > 0").withColumn("p", fits.score_by_group(data, result, preps, {k: k - 1 for k in range(1, folds + 1)}))
+    else:
         scored = None
-        for k in range(folds):
-            part = score_model(fit_model(folded.where(F.col("fold") != k), "logistic", columns, label), folded.where(F.col("fold") == k), columns).select(label, "p")
+        for k in range(1, folds + 1):
+            part = score_model(fit_model(blocks.where(F.col("block") < k), kind, columns, label, key=key), blocks.where(F.col("block") == k), columns)
             scored = part if scored is None else scored.unionByName(part)
-        row = ranking_metrics(scored, "p", label).withColumn("model", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def time_cv(df: DataFrame, day: str, label: str, columns: Sequence[str], kind: str = "logistic", folds: int = 3) -> DataFrame:
-    """M5: AUC of each expanding-window fold; average them for the mean."""
-    parts = expanding_folds(df, day, folds).persist()
-    out = None
-    for k in range(1, folds + 1):
-        model = fit_model(parts.where((F.col("fold") == k) & (F.col("part") == "train")), kind, columns, label)
-        row = ranking_metrics(score_model(model, parts.where((F.col("fold") == k) & (F.col("part") == "test")), columns), "p", label).withColumn("fold", F.lit(k))
-        out = row if out is None else out.unionByName(row)
-    return out
+    scored = staged(scored.select(F.col("block").alias("fold"), label, "p"), "scored")
+    per = scored.groupBy("fold").agg(F.count("*").alias("n"), F.count("p").alias("scored")).join(grouped_auc(scored, ["fold"], "p", label), "fold", "left")
+    mean = per.agg(F.lit("mean").alias("fold"), F.sum("n").alias("n"), F.sum("scored").alias("scored"), *[r(F.avg(c), 6).alias(c) for c in ("auc", "gini", "ks")])
+    return per.withColumn("fold", F.col("fold").cast("string")).unionByName(mean)

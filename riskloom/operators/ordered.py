@@ -149,6 +149,17 @@ def quantile_list(df: DataFrame, column: str, probabilities: Sequence[float]) ->
     return [found[f"q{i}"] for i in range(len(probabilities))] if found else []
 
 
+def cut_points(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Values that end a bin when each column's rows are cut into ``bins`` of equal count, ties whole: fewer than ``bins`` numbers a column go to the driver."""
+    run = with_totals(prefix_sums(value_counts(df, [], columns).where("value is not null"), ["variable"], ["value"], ["n"]), ["variable"], {"__all": F.sum("n")})
+    full = lambda n: F.floor(n * bins / F.col("__all"))
+    ends = run.where(F.least(full(F.col("n_before") + F.col("n")), F.lit(bins - 1)) > full(F.col("n_before"))).select("variable", "value")
+    out: dict[str, list[float]] = {c: [] for c in columns}
+    for variable, value in ends.collect():
+        out[variable].append(value)
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def score_table(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score (of each group), highest first by running counts: ``by, score, n1, n0, tp, fp, pos, neg``.
 

@@ -72,6 +72,12 @@ def c8(t):
     return C.propensity(t.cohort().where("t is not null"), "t", _NUM, _CAT).select("key", "t", F.round("e", 6).alias("e"))
 
 
+@query("c8_score_total", "WITH {COHORT} SELECT count(*) AS n, count(*) AS scored, round(avg(t), 5) AS mean_score FROM base WHERE t IS NOT NULL")
+def c8b(t):
+    """The intercept isn't penalised, so scores add up to the treated."""
+    return C.propensity(t.cohort().where("t is not null"), "t", _NUM, _CAT).agg(F.count("*").alias("n"), F.count("e").alias("scored"), F.round(F.avg("e"), 5).alias("mean_score"))
+
+
 @query("c9_out_of_fold")
 def c9(t):
     return C.out_of_fold(t.cohort().where("t is not null"), "key", "t", _NUM, _CAT, 5).select("key", "t", "fold", F.round("e", 6).alias("e"))
@@ -164,11 +170,21 @@ def c21(t):
     return C.respecification(t.cohort(), "t", "y", _NUM, ["segment"], ["region"])
 
 
+@query("c21_raw", "WITH {COHORT}, s AS (SELECT unnest(['base', 'extended']) AS specification) SELECT specification, count(*) AS n, count(*) FILTER (WHERE t = 1) AS n_1, count(*) FILTER (WHERE t = 0) AS n_0, " + _YEARS + " FROM base, s WHERE t IS NOT NULL GROUP BY 1")
+def c21b(t):
+    return C.respecification(t.cohort(), "t", "y", _NUM, ["segment"], ["region"]).select("specification", "n", "n_1", "n_0", "raw_1", "raw_0", "raw_difference_pp")
+
+
 @query("c22_aipw")
 def c22(t):
     return C.aipw(t.cohort(), "key", "t", "y", _NUM, ["segment"])
 
 
+@query("c22_populations", "WITH {COHORT} SELECT count(*) AS n, count(*) FILTER (WHERE t = 1) AS n_1, count(*) FILTER (WHERE t = 0) AS n_0, 0::BIGINT AS excluded FROM base WHERE t IS NOT NULL")
+def c22d(t):
+    return C.aipw(t.cohort(), "key", "t", "y", _NUM, ["segment"]).where("population = 'sem_trimming'").select("n", "n_1", "n_0", "excluded")
+
+
 @query("c22_weight_diagnostics")
 def c22b(t):
     return C.aipw_tables(t.cohort(), "key", "t", "y", _NUM, ["segment"]).weights
@@ -192,6 +208,16 @@ def c23b(t):
     return C.welch_anova(t.cohort(), "region", "price")
 
 
+@query("c23_welch_moments", "WITH {COHORT}, m AS (SELECT t, count(price) AS n, avg(price) AS m, var_samp(price) AS v FROM base WHERE t IN (0, 1) GROUP BY 1), x AS (SELECT a.m - b.m AS d, a.v / a.n AS p, b.v / b.n AS q, a.n AS n, b.n AS k FROM m a, m b WHERE a.t = 1 AND b.t = 0) SELECT round(d, 4) AS difference, round(sqrt(p + q), 4) AS se, round((p + q) * (p + q) / (p * p / (n - 1) + q * q / (k - 1)), 4) AS df FROM x")
+def c23c(t):
+    return C.welch(t.cohort(), "t", "price").select("difference", "se", "df")
+
+
+@query("c24_one_covariate", "WITH {COHORT}, n AS (SELECT (count(*) FILTER (WHERE t = 1 AND y = 1))::DOUBLE AS a, (count(*) FILTER (WHERE t = 1 AND y = 0))::DOUBLE AS b, (count(*) FILTER (WHERE t = 0 AND y = 1))::DOUBLE AS c, (count(*) FILTER (WHERE t = 0 AND y = 0))::DOUBLE AS d FROM base) SELECT '(intercept)' AS term, round(c / d, 6) AS odds_ratio, round(ln(c / d), 6) AS coefficient, round(sqrt(1 / c + 1 / d), 6) AS se FROM n UNION ALL SELECT 't', round(a * d / (b * c), 6), round(ln(a * d / (b * c)), 6), round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 6) FROM n")
+def c24b(t):
+    return C.odds_ratios(t.cohort(), "y", ["t"]).select("term", *[F.round(c, 6).alias(c) for c in ("odds_ratio", "coefficient", "se")])
+
+
 @query("c24_odds_ratios")
 def c24(t):
     c = t.cohort().withColumn("acct_k", F.col("acct") / 1000).withColumn("seg", (F.col("segment") == "BUILDING").cast("int"))
@@ -218,7 +244,13 @@ def c26b(t):
     return C.rounded_recoverable(g, ["nation"], "n").select("nation", "code", "shown")
 
 
-@query("c27_merge_small_bins")
+_MERGED = """o AS (SELECT *, row_number() OVER (ORDER BY bin) AS i FROM (SELECT floor(price / 5000)::BIGINT AS bin, count(*) FILTER (WHERE t = 1) AS n1, count(*) FILTER (WHERE t = 0) AS n0 FROM base WHERE t IS NOT NULL GROUP BY 1)),
+ m AS (SELECT i, 1 AS g, bin, n1, n0, n1 AS a, n0 AS b FROM o WHERE i = 1
+  UNION ALL SELECT o.i, m.g + ((m.a = 0 OR m.a >= 10) AND (m.b = 0 OR m.b >= 10))::INTEGER, o.bin, o.n1, o.n0, o.n1 + CASE WHEN (m.a = 0 OR m.a >= 10) AND (m.b = 0 OR m.b >= 10) THEN 0 ELSE m.a END, o.n0 + CASE WHEN (m.a = 0 OR m.a >= 10) AND (m.b = 0 OR m.b >= 10) THEN 0 ELSE m.b END FROM m JOIN o ON o.i = m.i + 1),
+ e AS (SELECT g AS last, NOT ((a = 0 OR a >= 10) AND (b = 0 OR b >= 10)) AS open FROM m ORDER BY i DESC LIMIT 1)"""
+
+
+@query("c27_merge_small_bins", "WITH RECURSIVE {COHORT}, " + _MERGED + " SELECT min(bin) AS first_bin, max(bin) AS last_bin, sum(n1)::BIGINT AS n1, sum(n0)::BIGINT AS n0 FROM m, e GROUP BY CASE WHEN open AND g = last AND last > 1 THEN g - 1 ELSE g END")
 def c27(t):
     g = t.cohort().where("t is not null").groupBy(F.floor(F.col("price") / 5000).alias("bin")).agg(F.count_if(F.col("t") == 1).alias("n1"), F.count_if(F.col("t") == 0).alias("n0"))
     return C.merge_small_bins(g, "bin", "n1", "n0")

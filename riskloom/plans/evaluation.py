@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import evaluate as E
 from riskloom.operators.aggregates import with_quantiles
+from riskloom.operators.boosting import fit_boosting
 from riskloom.plans.base import query
+from riskloom.sources.staging import new_path
 
 _FEATURES = ["qty", "price", "discount"]
 
@@ -23,9 +25,20 @@ def m2(t):
     return E.window_splits(t.scored(), "vintage", "label", {"8/2/3": (8, 2, 3), "9/2/2": (9, 2, 2)})
 
 
+def _labelled(t):
+    return t.lineitem.withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+
+
 @query("m3_group_split")
 def m3(t):
-    return E.group_split(t.lineitem.withColumn("label", (F.col("l_returnflag") == "R").cast("int")), "l_orderkey", "label").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("groups"))
+    return E.group_split(_labelled(t), "l_orderkey", "label").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("groups"))
+
+
+@query("m3_split_sizes", """WITH g AS (SELECT l_orderkey, max((l_returnflag = 'R')::INTEGER) AS class FROM lineitem GROUP BY 1), c AS (SELECT class, count(*) AS n, floor(count(*) * 0.70::DOUBLE)::BIGINT AS a, floor(count(*) * 0.15::DOUBLE)::BIGINT AS b FROM g GROUP BY 1)
+ SELECT class, 'train' AS split, a AS groups FROM c UNION ALL SELECT class, 'val', b FROM c UNION ALL SELECT class, 'test', n - a - b FROM c""")
+def m3b(t):
+    s = E.group_split(_labelled(t), "l_orderkey", "label").groupBy("l_orderkey", "split").agg(F.max("label").alias("class"))
+    return s.groupBy("class", "split").agg(F.count("*").alias("groups"))
 
 
 @query("m4_stratified_folds", "WITH {SCORED}, n AS (SELECT label, count(*) AS n FROM scored GROUP BY 1) SELECT label, f::INTEGER AS fold, n // 5 + (f < n % 5)::INTEGER AS n FROM n, unnest([0, 1, 2, 3, 4]) AS u(f)")
@@ -43,10 +56,16 @@ def m5(t):
     return E.time_cv(t.scored(), "vintage", "label", _FEATURES)
 
 
-@query("m6_balanced_groups")
+@query("m5_fold_coverage", """WITH {SCORED}, v AS (SELECT vintage, count(*) AS n FROM scored GROUP BY 1), b AS (SELECT n, least(4, floor((sum(n) OVER (ORDER BY vintage ROWS UNBOUNDED PRECEDING) - n) * 5 / sum(n) OVER ()))::INTEGER AS block FROM v)
+ SELECT block::VARCHAR AS fold, sum(n)::BIGINT AS n, sum(n)::BIGINT AS scored FROM b WHERE block > 0 GROUP BY 1 UNION ALL SELECT 'mean', sum(n)::BIGINT, sum(n)::BIGINT FROM b WHERE block > 0""")
+def m5b(t):
+    return E.time_cv(t.scored(), "vintage", "label", _FEATURES).select("fold", "n", "scored")
+
+
+@query("m6_balanced_groups", """WITH g AS (SELECT DISTINCT l_linestatus, (l_returnflag = 'R')::INTEGER AS label, l_orderkey FROM lineitem), c AS (SELECT l_linestatus, label, count(*) AS n FROM g GROUP BY ALL)
+ SELECT l_linestatus, label, min(n) OVER (PARTITION BY l_linestatus) AS groups FROM c""")
 def m6(t):
-    s = t.lineitem.withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
-    return E.balanced_groups(s, "l_linestatus", "label", "l_orderkey").groupBy("l_linestatus", "label").agg(F.countDistinct("l_orderkey").alias("groups"))
+    return E.balanced_groups(_labelled(t), "l_linestatus", "label", "l_orderkey").groupBy("l_linestatus", "label").agg(F.countDistinct("l_orderkey").alias("groups"))
 
 
 @query("m7_dummy", "WITH {SCORED}, a AS (SELECT avg(label) AS a FROM scored) SELECT label, round(max(a), 6) AS p, (max(a) >= 0.5)::INTEGER AS most_frequent, count(*) AS n FROM scored, a GROUP BY 1")
@@ -64,14 +83,35 @@ def m8(t):
     s = E.class_weights(t.scored().drop("p"), "label")
     out = None
     for kind in E.MODELS:
-        row = E.ranking_metrics(E.score_model(E.fit_model(s, kind, _FEATURES, "label", "w"), s, _FEATURES), "p", "label").withColumn("model", F.lit(kind))
+        row = E.ranking_metrics(E.score_model(E.fit_model(s, kind, _FEATURES, "label", "w", "key"), s, _FEATURES), "p", "label").withColumn("model", F.lit(kind))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query("m8_histogram_boosting")
+def m8b(t):
+    s = t.scored().drop("p").withColumn("special", F.when(F.col("special") < 99990, F.col("special")))
+    return fit_boosting(s, ["qty", "price", "special"], ["linestatus", "vintage"], "label", "key").score(s).select("key", F.round("p", 6).alias("p"))
+
+
+_SETS = {"M0": [], "M1": ["qty"], "M3": [*_FEATURES, "linestatus"], "M3_sem_X1": ["price", "discount", "linestatus"]}
+
+
 @query("m9_nested_models")
 def m9(t):
-    return E.nested_models(t.scored().drop("p"), "key", "label", {"M0": ["qty"], "M1": ["qty", "price"], "M3": _FEATURES})
+    return E.nested_models(t.scored().drop("p"), "key", "label", _SETS, ["linestatus"])
+
+
+@query("m9_probabilities")
+def m9b(t):
+    return E.nested_probabilities(t.scored().drop("p"), "key", "label", _SETS, ["linestatus"]).select("key", "fold", *[F.round(f"p_{n}", 6).alias(f"p_{n}") for n in _SETS])
+
+
+@query("m9_fold_coverage", """WITH {SCORED}, n AS (SELECT label, count(*) AS n FROM scored GROUP BY 1), f AS (SELECT f::INTEGER AS fold, label, n // 5 + (f < n % 5)::INTEGER AS n FROM n, unnest([0, 1, 2, 3, 4]) AS u(f)),
+ g AS (SELECT fold, sum(n)::BIGINT AS n, (sum(n) FILTER (WHERE label = 1))::BIGINT AS n1 FROM f GROUP BY 1) SELECT fold, n, n AS n_m1, n AS n_m3, n AS n_m3_sem_x1, round((sum(n1) OVER () - n1)::DOUBLE / (sum(n) OVER () - n)::DOUBLE, 6) AS p_m0 FROM g""")
+def m9c(t):
+    p = E.nested_probabilities(t.scored().drop("p"), "key", "label", _SETS, ["linestatus"])
+    return p.groupBy("fold").agg(F.count("*").alias("n"), *[F.count(f"p_{n}").alias(f"n_{n.lower()}") for n in ("M1", "M3", "M3_sem_X1")], F.round(F.avg("p_M0"), 6).alias("p_m0"))
 
 
 _RUN = "c AS (SELECT p, sum(label)::BIGINT AS n1, sum(1 - label)::BIGINT AS n0 FROM scored GROUP BY 1), s AS (SELECT *, sum(n1) OVER w AS tp, sum(n0) OVER w AS fp, sum(n1) OVER () AS pos, sum(n0) OVER () AS neg FROM c WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))"
@@ -188,7 +228,15 @@ def m23_frame(t):
 
 @query("m24_bootstrap_metrics")
 def m24(t):
-    return E.metric_intervals(E.bootstrap_metrics(t.scored(), "grp", "p", "label", 40))
+    return E.bootstrap_intervals(t.scored(), "grp", "p", "label", 2000)
+
+
+_GROUPS = "g AS (SELECT grp, avg(p) AS p, max(label)::BIGINT AS y FROM scored GROUP BY 1), k AS (SELECT count(*) FILTER (WHERE p >= 0.5 AND y = 1)::DOUBLE AS tp, count(*) FILTER (WHERE p >= 0.5 AND y = 0)::DOUBLE AS fp, count(*) FILTER (WHERE p < 0.5 AND y = 0)::DOUBLE AS tn, count(*) FILTER (WHERE p < 0.5 AND y = 1)::DOUBLE AS fn FROM g)"
+
+
+@query("m24_point_estimates", "WITH {SCORED}, " + _GROUPS + " SELECT 'accuracy' AS metric, round((tp + tn) / (tp + tn + fp + fn), 6) AS estimate FROM k UNION ALL SELECT 'precision', round(coalesce(tp / nullif(tp + fp, 0), 0), 6) FROM k UNION ALL SELECT 'recall', round(tp / (tp + fn), 6) FROM k UNION ALL SELECT 'specificity', round(tn / (tn + fp), 6) FROM k UNION ALL SELECT 'balanced_accuracy', round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) FROM k UNION ALL SELECT 'f1', round(2 * tp / (2 * tp + fp + fn), 6) FROM k")
+def m24b(t):
+    return E.group_metrics(t.scored(), "grp", "p", "label").where(~F.col("metric").isin("roc_auc", "average_precision"))
 
 
 _MODELS = "g AS (SELECT c_mktsegment AS model, round(avg(c_acctbal) / 10000, 6) AS auc, round(median(c_acctbal) / 10000, 6) AS ks, round(avg(c_nationkey) / 25, 6) AS ap, round(stddev_samp(c_acctbal) / 10000, 6) AS brier, round(max(c_acctbal) / 10000, 6) AS log_loss, count(*) / 10000.0::DOUBLE AS gap FROM customer GROUP BY 1)"
@@ -215,7 +263,7 @@ def m26(t):
 def m27(t):
     s = t.scored().drop("p")
     model = E.fit_model(s, "logistic", _FEATURES, "label")
-    return E.permutation_importance(lambda d: E.score_model(model, d, _FEATURES), s, ["qty", "price"], "label", "key", 2)
+    return E.permutation_importance(lambda d: E.score_model(model, d, _FEATURES), s, _FEATURES, "label", "key")
 
 
 @query("m28_consolidated_importance", "WITH a AS (SELECT c_mktsegment AS variable, count(*) AS x FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1), b AS (SELECT c_mktsegment AS variable, count(*) AS y FROM customer WHERE c_acctbal > 5000 GROUP BY 1), j AS (SELECT coalesce(a.variable, b.variable) AS variable, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b ON a.variable = b.variable), i AS (SELECT *, round((x / max(x) OVER () + y / max(y) OVER ()) / 2, 6) AS importance FROM j) SELECT *, row_number() OVER (ORDER BY importance DESC, variable)::INTEGER AS place FROM i")
@@ -239,14 +287,26 @@ def m30b(t):
     return E.expected_calibration_error(t.scored(), "p", "label", "key")
 
 
+def _with_gaps(t):
+    """A feature that is missing in some rows, as the special codes of the column are."""
+    return t.scored().drop("p").withColumn("special", F.when(F.col("special") < 99990, F.col("special")))
+
+
+def _batch(t):
+    s, columns = _with_gaps(t), [*_FEATURES, "special"]
+    path = new_path(t.spark, "model")
+    E.fit_model(s, "logistic", columns, "label").write().save(path)
+    return E.score_saved(t.spark, path, s, columns)
+
+
 @query("m31_batch_scoring")
 def m31(t):
-    from riskloom.plans.audits import _scratch
+    return _batch(t).select("key", F.round("p", 6).alias("p"))
 
-    s = t.scored().drop("p")
-    path = _scratch(t, "model")
-    E.fit_model(s, "logistic", _FEATURES, "label").write().save(path)
-    return E.score_saved(t.spark, path, s, _FEATURES).select("key", F.round("p", 6).alias("p"))
+
+@query("m31_every_row", "WITH {SCORED} SELECT special IS NULL OR special >= 99990 AS gap, count(*) AS n, count(*) AS scored, count(*) AS within FROM scored GROUP BY 1")
+def m31b(t):
+    return _batch(t).groupBy(F.col("special").isNull().alias("gap")).agg(F.count("*").alias("n"), F.count("p").alias("scored"), F.count_if(F.col("p").between(0, 1)).alias("within"))
 
 
 def _uni(c):
