@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -320,6 +321,8 @@ def irls(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.0, step
 
 RISKS = ("raw_1", "raw_0", "ato_1", "ato_0")
 MEASURES = (*RISKS, "raw_difference_pp", "ato_difference_pp", "raw_ratio", "ato_ratio")
+#: Means of Poisson draws up to which tables are made.
+_TABLED = 64
 #: Replicates times cells of one slice of a task.
 _SLICE_CELLS = 1 << 20
 
@@ -328,11 +331,28 @@ def multiplicities(ids: np.ndarray, n: np.ndarray, replicates: int, seed: int) -
     """How often each replicate takes the rows of each cell: a Poisson draw with the cell's count as its mean (the law of resampling rows one by one
     where no task sees all of them). Seeded by the cell, so every scan draws the same, whatever task the cell is in."""
     out = np.empty((len(ids), replicates))
-    for i, (k, m) in enumerate(zip(ids.view(np.uint64), n, strict=True)):
-        out[i] = np.random.Generator(np.random.Philox(key=[np.uint64(seed), k])).poisson(m, replicates)
+    ids = ids.view(np.uint64)
+    for m in np.unique(n):
+        here = np.flatnonzero(n == m)
+        if m > _TABLED:
+            for i in here:
+                out[i] = np.random.Generator(np.random.Philox(key=[np.uint64(seed), ids[i]])).poisson(m, replicates)
+            continue
+        # small means: a uniform number for each cell and replicate, looked up in the distribution's table
+        k = np.arange(int(m) + 60)
+        table = np.cumsum(np.exp(k * math.log(m) - m - np.cumsum(np.log(np.maximum(k, 1)))))
+        x = ids[here][:, None] ^ _mixed(np.arange(replicates, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32))[None, :]
+        out[here] = np.searchsorted(table[table < 1 - 1e-13], (_mixed(x) >> np.uint64(11)) * 2.0**-53, side="right")
     return out
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits well stirred, by two rounds of shift and multiplication."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def cluster_draws(clusters: int, replicates: int, seed: int) -> np.ndarray:
     """Clusters drawn with replacement, as many as there are: how often each replicate has each cluster."""
     out = np.empty((clusters, replicates))
@@ -423,7 +443,9 @@ def bootstrap(df: DataFrame, t: str, y: str, columns: Sequence[str], replicates:
         mean = weighed[:, 2 + i] / np.maximum(size, 1)
         spread = np.maximum(weighed[:, 2 + len(places) + i] / np.maximum(size, 1) - mean**2, 0.0)
         ridge[:, j] = penalty * np.where(spread > 0, spread, 1.0)
-    result = fits.newton(cells, fields, sums, replicates, width, ridge)
+    # all begin at the whole sample's fit, which is near
+    whole, _ = fits.fit_models(data, [fits.Model(frozenset({0}), t)], penalty)
+    result = fits.newton(cells, fields, sums, replicates, width, ridge, start=whole.beta[0] if whole.failure[0] is None else None)
     beta = result.beta
 
     def risks(x, tt, yy, m):
@@ -484,44 +506,55 @@ def aipw_scores(df: DataFrame, key: str, t: str, y: str, numeric: Sequence[str],
 
 @dataclass
 class Aipw:
-    """Estimates by population, diagnostics of the weights by population and arm, and of the influence values by population."""
-
-    estimates: DataFrame
-    weights: DataFrame
-    influence: DataFrame
+    """``rows`` (population, arm, psi, weight, and the influence value, which is psi less its population's mean) and what follows from them."""
+
+    rows: DataFrame
+    moments: DataFrame
+    populations: Sequence[tuple[str, float, float]]
+    whole: int
+
+    def estimates(self) -> DataFrame:
+        """Estimate, standard error by the influence function, interval, and rows kept and excluded, by population."""
+        z, se = special.normal_quantile(0.975), F.col("s") / F.sqrt("n")
+        names = self.rows.sparkSession.createDataFrame([(n,) for n, _, _ in self.populations], "population string")
+        counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_1", "n_0")]
+        return names.join(F.broadcast(self.moments), "population", "left").select("population", *counts, (F.lit(self.whole) - F.coalesce("n", F.lit(0))).alias("excluded"), r(F.col("m") * 100, 6).alias("difference_pp"), r(se * 100, 6).alias("se_pp"), r((F.col("m") - z * se) * 100, 6).alias("low_pp"), r((F.col("m") + z * se) * 100, 6).alias("high_pp"))
+
+    def weights(self) -> DataFrame:
+        """Kish's effective size, mean, largest and 99th percentile of the inverse probabilities, by population and arm."""
+        w = F.col("weight")
+        g = self.rows.groupBy("population", "arm").agg(F.count("*").alias("n"), r(F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"), r(F.avg(w), 6).alias("mean"), r(F.max(w), 6).alias("max"))
+        return with_quantiles(g, self.rows, ["population", "arm"], "weight", (0.99,)).withColumn("p99", r(F.col("q0"), 6)).drop("q0")
+
+    def influence(self, points: Sequence[float] = (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 1.0)) -> DataFrame:
+        """Share of the variance that the 1 % largest influence values carry, the largest one and its part in the estimate, and quantiles, by population."""
+        squares = self.rows.withColumn("square", F.col("influence") * F.col("influence"))
+        q = quantiles(squares, ["population"], ["square", "influence"] if points else ["square"], (*points, 0.99))
+        edge = q.where("variable = 'square'").select("population", F.col(f"q{len(points)}").alias("edge"))
+        share = squares.join(F.broadcast(edge), "population").groupBy("population").agg(r(F.sum(F.when(F.col("square") >= F.col("edge"), F.col("square"))) / F.sum("square"), 6).alias("top_share"), r(F.max(F.abs("influence")), 6).alias("largest"), r(F.max(F.abs("influence")) / F.count("*") * 100, 6).alias("largest_pp"))
+        if not points:
+            return share
+        at = q.where("variable = 'influence'").select("population", *[r(F.col(f"q{i}"), 6).alias(f"p{round(p * 100):02d}") for i, p in enumerate(points)])
+        return share.join(F.broadcast(at), "population")  # a row for each population
 
 
 def aipw_tables(df: DataFrame, key: str, t: str, y: str, numeric: Sequence[str], categorical: Sequence[str], folds: int = 3, clip: float = 0.01, populations: Sequence[tuple[str, float, float]] = POPULATIONS) -> Aipw:
-    """Doubly robust difference under each trimming rule with the influence function's standard error, and its diagnostics."""
+    """Doubly robust difference under each trimming rule, and its diagnostics."""
     found = aipw_scores(df, key, t, y, numeric, categorical, folds)
     e = F.least(F.greatest(F.col("e"), F.lit(clip)), F.lit(1 - clip))
     psi = F.col("m1") - F.col("m0") + F.when(F.col(t) == 1, (F.col(y) - F.col("m1")) / e).otherwise(-(F.col(y) - F.col("m0")) / (1 - e))
     weight = F.when(F.col(t) == 1, 1 / e).otherwise(1 / (1 - e))
     inside = F.array(*[F.when(F.col("e").between(lo, hi), F.lit(n)) for n, lo, hi in populations])
-    rows = staged(found.select(F.col(t).alias("arm"), psi.alias("psi"), weight.alias("weight"), F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("population")), "influence")
-    whole = found.agg(F.count("*").alias("__n"))
-    z = special.normal_quantile(0.975)
-    g = rows.groupBy("population").agg(F.count("*").alias("n"), F.count_if(F.col("arm") == 1).alias("n_1"), F.count_if(F.col("arm") == 0).alias("n_0"), F.avg("psi").alias("m"), F.stddev_samp("psi").alias("s"))
-    means = staged(g, "means")  # a row for each population
-    se = F.col("s") / F.sqrt("n")
-    names = df.sparkSession.createDataFrame([(n,) for n, _, _ in populations], "population string")
-    estimates = names.join(F.broadcast(means), "population", "left").join(F.broadcast(whole)).select("population", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_1", F.lit(0)).alias("n_1"), F.coalesce("n_0", F.lit(0)).alias("n_0"), (F.col("__n") - F.coalesce("n", F.lit(0))).alias("excluded"), r(F.col("m") * 100, 6).alias("difference_pp"), r(se * 100, 6).alias("se_pp"), r((F.col("m") - z * se) * 100, 6).alias("low_pp"), r((F.col("m") + z * se) * 100, 6).alias("high_pp"))
-    w = F.col("weight")
-    weights = rows.groupBy("population", "arm").agg(F.count("*").alias("n"), r(F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"), r(F.avg(w), 6).alias("mean"), r(F.max(w), 6).alias("max"))
-    weights = with_quantiles(weights, rows, ["population", "arm"], "weight", (0.99,)).withColumn("p99", r(F.col("q0"), 6)).drop("q0")
-    # the influence value of a row is its psi less the mean; the 1 % with the largest squares carry most of the variance
-    moved = staged(rows.join(F.broadcast(means.select("population", "m")), "population").select("population", (F.col("psi") - F.col("m")).alias("value")), "moved").withColumn("square", F.col("value") * F.col("value"))
-    edge = quantiles(moved, ["population"], ["square"], (0.99,)).select("population", F.col("q0").alias("edge"))
-    shares = moved.join(F.broadcast(edge), "population").groupBy("population").agg(r(F.sum(F.when(F.col("square") >= F.col("edge"), F.col("square"))) / F.sum("square"), 6).alias("top_share"), r(F.max(F.abs("value")), 6).alias("largest"), r(F.max(F.abs("value")) / F.count("*") * 100, 6).alias("largest_pp"))
-    points = (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 1.0)
-    influence = with_quantiles(shares, moved, ["population"], "value", points)
-    return Aipw(estimates, weights, influence.select("population", "top_share", "largest", "largest_pp", *[r(F.col(f"q{i}"), 6).alias(f"p{round(p * 100):02d}") for i, p in enumerate(points)]))
+    rows = found.select(F.col(t).alias("arm"), psi.alias("psi"), weight.alias("weight"), F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("population"))
+    moments = staged(rows.groupBy("population").agg(F.count("*").alias("n"), F.count_if(F.col("arm") == 1).alias("n_1"), F.count_if(F.col("arm") == 0).alias("n_0"), F.avg("psi").alias("m"), F.stddev_samp("psi").alias("s")), "means")  # a row for each population
+    moved = staged(rows.join(F.broadcast(moments.select("population", "m")), "population").select("population", "arm", "psi", "weight", (F.col("psi") - F.col("m")).alias("influence")), "influence")
+    return Aipw(moved, moments, populations, found.count())
 
 
 def aipw(df: DataFrame, key: str, t: str, y: str, numeric: Sequence[str], categorical: Sequence[str], folds: int = 3) -> DataFrame:
     """A row for each population: estimate, standard error, interval, and how much of the variance the top 1 % carry."""
     tables = aipw_tables(df, key, t, y, numeric, categorical, folds)
-    return tables.estimates.join(F.broadcast(tables.influence.select("population", "top_share", "largest_pp")), "population", "left")
+    return tables.estimates().join(F.broadcast(tables.influence(()).select("population", "top_share", "largest_pp")), "population", "left")
 
 
 def welch(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -138,12 +138,13 @@ def medians(rows: DataFrame, numeric: Sequence[str], members: Sequence[frozenset
 
 def preparations(data: Encoded, members: Sequence[frozenset[int]]) -> list[Preparation]:
     """Preparation for each union of groups, from statistics of single groups: a row for each group and column on the driver."""
-    rows = data.rows
-    middle = medians(rows, data.numeric, members)
-    moments = {}
+    rows, moments = data.rows, {}
     if data.numeric:
         fields = [f(f"__x{i}").alias(f"{n}{i}") for i in range(len(data.numeric)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))]
         moments = {x["__g"]: x for x in rows.groupBy("__g").agg(F.count("*").alias("all"), *fields).collect()}
+    # medians stand for missing values: where no row lacks a number, nothing depends on them
+    gaps = any(x[f"n{i}"] < x["all"] for x in moments.values() for i in range(len(data.numeric)))
+    middle = medians(rows, data.numeric, members) if gaps else [{} for _ in members]
     levels: dict[int, dict[tuple[int, int], int]] = {}
     if data.categorical:
         codes = rows.select("__g", F.inline(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"__c{j}").alias("c")) for j in range(len(data.categorical))])))
@@ -192,15 +193,15 @@ def arrays_of(batch, columns: Sequence[str]) -> dict[str, np.ndarray]:
     return out
 
 
-def newton(rows: DataFrame, columns: Sequence[str], sums: Callable, models: int, width: int, ridge: np.ndarray, used: np.ndarray | None = None) -> Fits:
+def newton(rows: DataFrame, columns: Sequence[str], sums: Callable, models: int, width: int, ridge: np.ndarray, used: np.ndarray | None = None, start: np.ndarray | None = None) -> Fits:
     """Newton steps of ``models`` fits until each has come to rest.
 
     ``sums(arrays, beta, active)`` yields (fit, information, gradient) of some rows. ``ridge`` and ``used`` have a row for each fit: the penalty of
-    each coefficient, and which ones the fit has. A fit whose matrix is singular, or that doesn't come to rest, is marked.
+    each coefficient, and which ones the fit has; ``start`` is where all begin. A fit whose matrix is singular, or that doesn't come to rest, is marked.
     """
     upper = np.triu_indices(width)
     size = len(upper[0]) + width
-    fits = Fits(np.zeros((models, width)), np.zeros(models, bool), np.zeros(models, int), [None] * models)
+    fits = Fits(np.zeros((models, width)) + (0.0 if start is None else start), np.zeros(models, bool), np.zeros(models, int), [None] * models)
     used = np.ones((models, width), bool) if used is None else used
     for _ in range(MOST_STEPS):
         active = ~fits.converged & np.array([f is None for f in fits.failure], bool)
@@ -260,7 +261,10 @@ def newton(rows: DataFrame, columns: Sequence[str], sums: Callable, models: int,
 
 
 def logistic(z: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
+    with np.errstate(over="ignore"):
+        out = np.exp(-z)
+    out += 1.0
+    return np.reciprocal(out, out=out)
 
 
 def fit_models(data: Encoded, models: Sequence[Model], penalty: float = 1.0, weight: str | None = None) -> tuple[Fits, list[Preparation]]:

@@ -187,12 +187,12 @@ def c22d(t):
 
 @query("c22_weight_diagnostics")
 def c22b(t):
-    return C.aipw_tables(t.cohort(), "key", "t", "y", _NUM, ["segment"]).weights
+    return C.aipw_tables(t.cohort(), "key", "t", "y", _NUM, ["segment"]).weights()
 
 
 @query("c22_influence_diagnostics")
 def c22c(t):
-    return C.aipw_tables(t.cohort(), "key", "t", "y", _NUM, ["segment"]).influence
+    return C.aipw_tables(t.cohort(), "key", "t", "y", _NUM, ["segment"]).influence()
 
 
 @query("c23_welch")

@@ -189,8 +189,8 @@ def test_doubly_robust_estimate_equals_numpy(spark):
         arm += list(zip(t, e, strict=True))
     psi, e = np.array(psi), np.array([a[1] for a in arm])
     tables = C.aipw_tables(df, "key", "t", "y", ["x"], ["g"], 3)
-    got = {r["population"]: r for r in tables.estimates.collect()}
-    influence = {r["population"]: r for r in tables.influence.collect()}
+    got = {r["population"]: r for r in tables.estimates().collect()}
+    influence = {r["population"]: r for r in tables.influence().collect()}
     for name, lo, hi in C.POPULATIONS:
         kept = psi[(e >= lo) & (e <= hi)]
         r = got[name]
@@ -199,6 +199,6 @@ def test_doubly_robust_estimate_equals_numpy(spark):
         square = (kept - kept.mean()) ** 2
         assert abs(influence[name]["top_share"] - square[square >= np.quantile(square, 0.99)].sum() / square.sum()) < 1e-4
         assert abs(influence[name]["p05"] - np.quantile(kept - kept.mean(), 0.05)) < 1e-4
-    weights = {(r["population"], r["arm"]): r for r in tables.weights.collect()}
+    weights = {(r["population"], r["arm"]): r for r in tables.weights().collect()}
     w = np.array([1 / np.clip(a[1], 0.01, 0.99) for a in arm if a[0] == 1])
     assert abs(weights["sem_trimming", 1]["p99"] - np.quantile(w, 0.99)) < 1e-4 and abs(weights["sem_trimming", 1]["ess"] - w.sum() ** 2 / (w**2).sum()) < 1e-2
