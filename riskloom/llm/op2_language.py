@@ -11,12 +11,15 @@ on that table. Counts are combined before they are shuffled and a host is one ro
 that has a third of all rows is no hot key in the aggregation; the join on hosts is one that adaptive execution splits.
 
 Defined results: a null or empty text, or one without letters, has no text evidence and is rejected (``kept`` false), though the
-other evidence still names a language; null evidence of a kind counts as none; repeated rows give repeated rows; an
+other evidence still names a language; null evidence of a kind counts as none; of languages with equal posteriors (or equal likelihoods, for the
+vote) the first by name is taken; a value of some evidence is judged by the votes of the rows that have it, never by the labels
+that the text model was fitted on; repeated rows give repeated rows; an
 empty table gives an empty table; other columns are left out by ``identify`` and kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,10 +34,11 @@ TRAIN_ROWS, LEAST_ROWS = 20_000, 300
 HELD_LANGUAGES = 64
 #: Buckets of trigrams.
 BUCKETS = 1 << 16
-#: Weight of one trigram's log-likelihood (neighbouring trigrams aren't independent), and of at most so many of them.
-TRIGRAM_WEIGHT, MOST_TRIGRAMS = 0.3, 400
-#: A text whose mean log-likelihood is below this is in none of the languages.
-LEAST_MEAN = -10.4
+#: Weight of one trigram's log-likelihood: neighbouring trigrams share two of three letters.
+TRIGRAM_WEIGHT = 0.3
+#: A text is in none of the languages if its trigrams, on the (geometric) mean, are less than twice as likely under the best of them as under even odds
+#: over all buckets, which is what text that is in no language looks like after hashing.
+LEAST_MEAN = math.log(2 / BUCKETS)
 #: Pseudo-counts of the smoothing: of a declared language or suffix, of a domain, of a host.
 EVIDENCE_COUNT, DOMAIN_COUNT, HOST_COUNT = 1.0, 20.0, 10.0
 #: Rejected rows that are broadcast, some 100 bytes each.
@@ -153,6 +157,8 @@ def identify(rows: DataFrame, model: tuple[list[str], object]) -> DataFrame:
     zeros = F.array(*[F.lit(0.0)] * k)
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     every = scored.where("vote is not null").agg(*[F.count_if(F.col("vote") == i).alias(str(i)) for i in range(k)]).first()
+    # how many values each kind of evidence has: the pseudo-counts of a language add up over all of them, so that its probabilities add up to 1
+    kinds = scored.agg(*[F.count_distinct(c).alias(c) for c in ("declared", "suffix")]).first()
     n = sum(every) + k
     prior = F.array(*[F.lit((every[i] + 1) / n) for i in range(k)])
 
@@ -162,7 +168,7 @@ def identify(rows: DataFrame, model: tuple[list[str], object]) -> DataFrame:
     def evidence(column: str) -> DataFrame:
         # log of P(value | language): votes of the value against all votes of the language
         values = _votes(scored.where(F.col(column).isNotNull()), [column], k)
-        return values.select(column, F.array(*[F.log((F.get("votes", F.lit(i)) + EVIDENCE_COUNT) / F.lit(every[i] + EVIDENCE_COUNT * 16.0)) for i in range(k)]).alias(f"{column}_log"))
+        return values.select(column, F.array(*[F.log((F.get("votes", F.lit(i)) + EVIDENCE_COUNT) / F.lit(float(every[i] + EVIDENCE_COUNT * kinds[column]))) for i in range(k)]).alias(f"{column}_log"))
 
     domains = _votes(scored, ["domain"], k).select("domain", smoothed(F.col("votes"), prior, DOMAIN_COUNT).alias("domain_prior"))
     hosts = _votes(scored, ["host", "domain"], k)
@@ -171,10 +177,9 @@ def identify(rows: DataFrame, model: tuple[list[str], object]) -> DataFrame:
     fused = scored.join(hosts, F.col("host").eqNullSafe(F.col("of_host")) & F.col("domain").eqNullSafe(F.col("of_domain")), "left")
     for column in ("declared", "suffix"):
         fused = fused.join(evidence(column), column, "left")
-    weight = F.lit(TRIGRAM_WEIGHT) * F.least(F.lit(1.0), F.lit(float(MOST_TRIGRAMS)) / F.greatest(F.col("n_trigrams"), F.lit(1)))
     text_part = F.when(F.col("known"), F.transform("scores", lambda s: s.cast("double"))).otherwise(zeros)
-    fused = fused.select("id", "vote", "known", text_part.alias("t"), weight.alias("w"), F.coalesce("host_prior", prior).alias("p"), F.coalesce("declared_log", zeros).alias("d"), F.coalesce("suffix_log", zeros).alias("s"))
-    fused = fused.withColumn("logs", F.transform("t", lambda x, i: x * F.col("w") + F.log(F.get("p", i)) + F.get("d", i) + F.get("s", i)))
+    fused = fused.select("id", "vote", "known", text_part.alias("t"), F.coalesce("host_prior", prior).alias("p"), F.coalesce("declared_log", zeros).alias("d"), F.coalesce("suffix_log", zeros).alias("s"))
+    fused = fused.withColumn("logs", F.transform("t", lambda x, i: x * TRIGRAM_WEIGHT + F.log(F.get("p", i)) + F.get("d", i) + F.get("s", i)))
     fused = fused.withColumn("best", _argmax(F.col("logs"))).withColumn("posterior", F.round(F.lit(1.0) / total(F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))), 6))
     return fused.select("id", F.get(names, F.col("best")).alias("lang"), "posterior", F.get(names, F.col("vote")).alias("text_lang"), (F.col("known") & (F.col("posterior") >= LEAST_POSTERIOR)).alias("kept"))
 

@@ -25,6 +25,8 @@ from riskloom.llm.common import documents, in_small_batches, tokenizer_file, wri
 
 #: Places in a sequence, and the id that ends a document.
 CAPACITY, END_ID = 2048, 0
+#: Nodes of the search for a packing.
+NODES = 3000
 #: Pieces of one length that one task ranks, about.
 PART_ROWS = 200_000
 
@@ -53,12 +55,13 @@ def cut_pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, end_i
     return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def packing_table(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+def packing_table(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, int, int, int, int, int]]:
     """Rows ``length, rank_from, rank_to, first_sequence, copies, base``: the pieces of a length with these ranks go to
-    sequences from ``first_sequence`` on, ``copies`` to each, from place ``base``."""
+    sequences from ``first_sequence`` on, ``copies`` to each, from place ``base``. ``nodes`` bounds the search: with more of them it goes on until
+    no better packing is left."""
     used: dict[int, int] = {}
     rows, sequence = [], 0
-    for pattern, bins in complete_bins(counts, capacity):
+    for pattern, bins in complete_bins(counts, capacity, nodes):
         base = 0
         for length, copies in pattern:
             begin = used.get(length, 0)
@@ -69,11 +72,11 @@ def packing_table(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
     """``pieces`` (a written table, as it is read twice) with ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    table = spark.createDataFrame(packing_table(counts, capacity), "length long, rank_from long, rank_to long, first_sequence long, copies long, base long")
+    table = spark.createDataFrame(packing_table(counts, capacity, nodes), "length long, rank_from long, rank_to long, first_sequence long, copies long, base long")
     salts = 4 + sum(counts.values()) // PART_ROWS
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
@@ -85,8 +88,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.floor(nth / F.col("copies"))).cast("long").alias("sequence_id"), (F.col("base") + F.pmod(nth, F.col("copies")) * F.col("length")).cast("long").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    return pack(write_stage(cut_pieces(docs, vocab_path, capacity, end_id), "pieces"), capacity)
+def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, end_id: int = END_ID, nodes: int = NODES) -> DataFrame:
+    return pack(write_stage(cut_pieces(docs, vocab_path, capacity, end_id), "pieces"), capacity, nodes)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,11 +49,12 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
 
 def filter_captures(captures: DataFrame, intervals: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``captures``: ``page_id, url, fetched``. Adds ``n_keys``, ``n_matches``, ``categories`` (sorted, joined by commas) and ``kept``."""
+    """A capture is told by its page, its day and a hash of its address; those of one page and day with one hash but two addresses, if there
+    were any, would count as one. ``captures``: ``page_id, url, fetched``. Adds ``n_keys``, ``n_matches``, ``categories`` (sorted, joined by commas) and ``kept``."""
     keyed = captures.select("page_id", "url", "fetched", address_keys(F.col("url")).alias("keys"))
     span = keyed.agg(F.min("fetched").alias("first"), F.max("fetched").alias("last")).first()
     month = lambda d: F.year(d) * 12 + F.month(d)
-    asked = keyed.withColumn("row", F.xxhash64("page_id", "url", "fetched")).select("row", "fetched", F.explode("keys").alias("key"), month("fetched").alias("month")).distinct()
+    asked = keyed.withColumn("row", F.xxhash64("page_id", "url", "fetched")).select("row", "page_id", "fetched", F.explode("keys").alias("key"), month("fetched").alias("month")).distinct()
     asked = asked.withColumn("salt", F.pmod("row", F.lit(salts)))
     if span["first"] is None:
         held = intervals.limit(0).withColumn("month", F.lit(0)).withColumn("salt", F.lit(0).cast("long"))
@@ -63,8 +64,9 @@ def filter_captures(captures: DataFrame, intervals: DataFrame, salts: int = SALT
         begin, end = F.greatest(month("valid_from"), F.lit(first)), F.least(month(F.date_sub("valid_to", 1)), F.lit(last))
         held = intervals.where(begin <= end).withColumn("month", F.explode(F.sequence(begin, end))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
     hits = asked.join(held, ["key", "month", "salt"]).where("fetched >= valid_from and fetched < valid_to")
-    per_row = hits.groupBy("row").agg(F.count("*").alias("n_matches"), F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"))
-    out = keyed.withColumn("row", F.xxhash64("page_id", "url", "fetched")).join(per_row, "row", "left")
+    per_row = hits.groupBy(F.col("row").alias("of_row"), F.col("page_id").alias("of_page"), F.col("fetched").alias("of_day")).agg(F.count("*").alias("n_matches"), F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"))
+    same = (F.col("row") == F.col("of_row")) & F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("fetched") == F.col("of_day"))
+    out = keyed.withColumn("row", F.xxhash64("page_id", "url", "fetched")).join(per_row, same, "left")
     n = F.coalesce("n_matches", F.lit(0))
     return out.select("page_id", "url", "fetched", F.size("keys").cast("long").alias("n_keys"), n.alias("n_matches"), F.coalesce("categories", F.lit("")).alias("categories"), (n == 0).alias("kept"))
 

@@ -125,6 +125,50 @@ def test_language_fuses_evidence_and_rejects(spark, docs, empty):
     assert op2_language.keep(empty).count() == 0
 
 
+def test_posteriors_equal_bayes_rule_in_plain_python(spark):
+    """Every factor is worked out anew: trigram likelihoods, evidence by votes, a host's counts smoothed towards its domain's and those towards all."""
+    from collections import Counter
+    from math import exp, log
+
+    text = {"en": "the house and the river with the light of that quiet morning", "de": "das haus und der fluss mit dem licht der straße am morgen", "fr": "la maison et la rivière avec la lumière du matin"}
+    train = spark.createDataFrame([(i, text[k], k) for i, k in enumerate(["en", "de", "fr"] * 20)], "doc_id long, text string, lang string")
+    names, logs = op2_language.fit_text_model(train)
+    rng = random.Random(3)
+    data = []
+    for i in range(120):
+        words = text[rng.choice(list(text))].split()
+        said = " ".join(rng.sample(words, 3)) if i % 3 else " ".join(rng.choice(text["en"].split() + text["de"].split()) for _ in range(2))
+        data.append((i, rng.choice([said, said, "", None]) if i % 10 == 0 else said, rng.choice(["en", "de", "xx", None]), rng.choice(["com", "de", None]), f"h{rng.randrange(6)}", rng.choice(["d0", "d1", None])))
+    got = {r["id"]: r for r in op2_language.identify(spark.createDataFrame(data, "id long, text string, declared string, suffix string, host string, domain string"), (names, logs)).collect()}
+    grams = {i: op2_language.trigrams(t) for i, t, *_ in data}
+    scores = {i: [float(logs[k, g].sum()) for k in range(3)] for i, g in grams.items()}
+    vote = {i: int(np.argmax(scores[i])) for i, g in grams.items() if len(g) and max(scores[i]) / len(g) >= log(2 / op2_language.BUCKETS)}
+    every = [sum(v == k for v in vote.values()) for k in range(3)]
+    prior = [(n + 1) / (sum(every) + 3) for n in every]
+
+    def counts(key):
+        out = {}
+        for row in data:
+            if row[0] in vote:
+                out.setdefault(key(row), Counter())[vote[row[0]]] += 1
+        return out
+
+    hosts, domains = counts(lambda r: (r[4], r[5])), counts(lambda r: r[5])
+    smooth = lambda c, p, m: [(c[k] + m * p[k]) / (sum(c.values()) + m) for k in range(3)]
+    for row in data:
+        i = row[0]
+        domain = smooth(domains[row[5]], prior, 20.0) if row[5] in domains else prior
+        host = smooth(hosts[row[4], row[5]], domain, 10.0) if (row[4], row[5]) in hosts else prior
+        total = [log(p) + (0.3 * s if i in vote else 0.0) for p, s in zip(host, scores[i], strict=True)]
+        for c in (2, 3):
+            values, by = {r[c] for r in data if r[c] is not None}, counts(lambda r, c=c: r[c])
+            if row[c] is not None and row[c] in by:
+                total = [x + log((by[row[c]][k] + 1) / (every[k] + len(values))) for k, x in enumerate(total)]
+        best = int(np.argmax(total))
+        assert abs(got[i]["posterior"] - 1 / sum(exp(x - total[best]) for x in total)) < 2e-5, row
+        assert got[i]["lang"] == names[best] and got[i]["kept"] == (i in vote and got[i]["posterior"] >= 0.5)
+
+
 def test_language_model_has_every_label(spark):
     rng = random.Random(8)
 
