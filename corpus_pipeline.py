@@ -1,6 +1,10 @@
 """A corpus from raw documents to packed sequences: language, quality, lines, near copies, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
+
+In every stage: a null text is an empty one; repeated rows are rows of their own (near copies: copies); rows with a null or shared id are told apart by
+their text; an empty table gives an empty one; columns beyond those of documents stay until packing, whatever their names (but for names that
+begin with two underscores, which are the stages' own).
 """
 
 from __future__ import annotations
@@ -21,17 +25,19 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fused evidence rejects go."""
+    """Documents that the fused evidence rejects go, and with them empty texts and texts without letters. Of languages with equal posteriors the first
+    by name counts; a verdict is the same for all rows with one id, text, language and source."""
     return op2_language.keep(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; from the others, the lines that failed."""
+    """Rejected documents go, as do texts of under 50 words; from the others, the lines that failed. A rule's limits belong to the side that is kept."""
     return _recounted(op7_quality.clean(docs), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later lines that match an earlier one go, and documents that are left without a word."""
+    """Later lines that match an earlier one go, and documents that are left without a word; a text that had none stays. Order is that of ids, then of
+    texts, then of lines; of equal rows one comes first."""
     left = op6_line_dedup.dedup_lines(docs, counts=("__n_lines", "__n_removed")).where(F.expr(r"__n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'"))
     return _recounted(left, docs.columns)
 
@@ -47,7 +53,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and their place in it."""
+    """Pieces of documents with their sequence and their place in it; an empty text is a piece with the end id only, and pieces of one length are placed by
+    hash of id and piece, so equal rows are packed again."""
     return op4_packing.pack_documents(docs, tokenizer_file())
 
 
