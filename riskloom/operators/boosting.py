@@ -22,6 +22,8 @@ from riskloom.operators.fits import arrays_of, logistic
 from riskloom.operators.ordered import cut_points
 from riskloom.sources.staging import staged
 
+#: Trees after which rows are written anew with the sum of all trees.
+RESTAGE = 10
 #: Smallest Hessian of a side of a split, and what smooths the order of categories.
 LEAST_HESSIAN, CATEGORY_SMOOTHING = 1e-3, 10.0
 
@@ -85,10 +87,10 @@ class Trees:
             out.append(np.where(np.isnan(x), len(edges) + 1, np.searchsorted(np.array(edges, float), x)).astype(np.int32))
         return out + [a[f"__c{j}"] for j in range(len(self.categorical))]
 
-    def raw(self, codes: list[np.ndarray]) -> np.ndarray:
-        """Sum of the trees for rows given by their codes."""
-        out = np.full(len(codes[0]), self.base)
-        for tree in self.trees:
+    def raw(self, codes: list[np.ndarray], start: int = 0) -> np.ndarray:
+        """Sum of the trees from ``start`` on for rows given by their codes."""
+        out = np.zeros(len(codes[0]))
+        for tree in self.trees[start:]:
             out += np.array([n.value for n in tree])[leaves(tree, codes)]
         return out
 
@@ -102,7 +104,7 @@ class Trees:
             import pyarrow as pa
 
             for batch in batches:
-                p = logistic(self.raw(self.codes(batch)))
+                p = logistic(self.base + self.raw(self.codes(batch)))
                 keep = [i for i, n in enumerate(batch.schema.names) if n not in inputs]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(p)], [*[batch.schema.names[i] for i in keep], name])
 
@@ -155,15 +157,16 @@ def best_split(hist: list[np.ndarray], numeric: int, l2: float, least_rows: int)
     return best
 
 
-def histograms(rows: DataFrame, model: Trees, tree: list[Node], wanted: Sequence[int], label: str, weight: str | None) -> tuple[dict[int, list[np.ndarray]], float, float]:
-    """Histograms of the wanted leaves of a growing tree over the training rows; loss and weight of the rows that are left out."""
+def histograms(rows: DataFrame, model: Trees, tree: list[Node], wanted: Sequence[int], label: str, weight: str | None, summed: int = 0) -> tuple[dict[int, list[np.ndarray]], float, float]:
+    """Histograms of the wanted leaves of a growing tree over the training rows; loss and weight of the rows that are left out. ``__raw`` of the rows holds
+    the first score and the sum of the first ``summed`` trees."""
     sizes = model.sizes
     ends = np.cumsum([3 * s for s in sizes])
     length = int(ends[-1])
     slot = np.full(len(tree), -1)
     slot[list(wanted)] = np.arange(len(wanted))
     codes = [f"__b{i}" for i in range(len(sizes))]
-    fields = [*codes, label, "__held", *([weight] if weight else [])]
+    fields = [*codes, label, "__held", "__raw", *([weight] if weight else [])]
     root = list(wanted) == [0]
 
     def run(batches):
@@ -176,7 +179,7 @@ def histograms(rows: DataFrame, model: Trees, tree: list[Node], wanted: Sequence
                 continue
             b = [a[c] for c in codes]
             y, w = a[label].astype(float), a[weight] if weight else np.ones(batch.num_rows)
-            p = logistic(model.raw(b))
+            p = logistic(a["__raw"] + model.raw(b, summed))
             held = a["__held"] == 1
             if root and held.any():
                 q = np.clip(p[held], 1e-15, 1 - 1e-15)
@@ -223,14 +226,14 @@ def chosen(tree: list[Node], most_leaves: int) -> tuple[set[int], list[int]]:
     return split, unknown
 
 
-def grown(rows: DataFrame, model: Trees, label: str, weight: str | None, rate: float, most_leaves: int, least_rows: int, l2: float) -> tuple[list[Node], float, float]:
+def grown(rows: DataFrame, model: Trees, label: str, weight: str | None, rate: float, most_leaves: int, least_rows: int, l2: float, summed: int) -> tuple[list[Node], float, float]:
     """One tree, best gain first; also loss and weight of the held-out rows before it."""
 
     def node(hist):
         g, h, n = hist[0].sum(axis=0)
         return Node(float(g), float(h), int(n), best_split(hist, len(model.numeric), l2, least_rows))
 
-    hist, loss, held = histograms(rows, model, [Node(0.0, 0.0, 0)], [0], label, weight)
+    hist, loss, held = histograms(rows, model, [Node(0.0, 0.0, 0)], [0], label, weight, summed)
     tree = [node(hist[0])]
     while True:
         split, unknown = chosen(tree, most_leaves)
@@ -241,7 +244,7 @@ def grown(rows: DataFrame, model: Trees, label: str, weight: str | None, rate: f
             tree[i].children = (len(tree), len(tree) + 1)
             wanted += [len(tree), len(tree) + 1]
             tree += [Node(0.0, 0.0, 0), Node(0.0, 0.0, 0)]
-        found, _, _ = histograms(rows, model, tree, wanted, label, weight)
+        found, _, _ = histograms(rows, model, tree, wanted, label, weight, summed)
         for i in wanted:
             tree[i] = node(found[i])
     # splits that were looked at but lost are undone; nodes keep their order and get new places
@@ -256,6 +259,21 @@ def grown(rows: DataFrame, model: Trees, label: str, weight: str | None, rate: f
     return out, loss, held
 
 
+def with_sums(rows: DataFrame, model: Trees, summed: int) -> DataFrame:
+    """Adds the trees from ``summed`` on to ``__raw``."""
+    codes, names = [f"__b{i}" for i in range(len(model.columns))], rows.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a = arrays_of(batch, [*codes, "__raw"])
+            raw = pa.array(a["__raw"] + model.raw([a[c] for c in codes], summed))
+            yield pa.RecordBatch.from_arrays([raw if n == "__raw" else batch.column(i) for i, n in enumerate(names)], names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def fit_boosting(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, key: str, weight: str | None = None, iterations: int = 100, rate: float = 0.1, most_leaves: int = 15, least_rows: int = 100, l2: float = 1.0, bins: int = 255, held_out: float = 0.1, patience: int = 10, seed: int = 42) -> Trees:
     """Trees until the held-out loss hasn't fallen for ``patience`` of them, or ``iterations``; trees after the best one are dropped.
 
@@ -289,9 +307,13 @@ def fit_boosting(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     if not total or not 0 < positive < total:
         raise ValueError("training rows need both classes")
     model.base = float(np.log(positive / (total - positive)))
-    best, at = np.inf, 0
+    best, at, summed = np.inf, 0, 0
+    rows = rows.withColumn("__raw", F.lit(model.base))
     for k in range(iterations + 1):
-        tree, loss, left_out = grown(rows, model, "__y", "__w", rate, most_leaves if k < iterations else 1, least_rows, l2)
+        if len(model.trees) - summed == RESTAGE:
+            # rows take their sums along, so that a scan looks at few trees however many there are
+            rows, summed = staged(with_sums(rows, model, summed), "codes"), len(model.trees)
+        tree, loss, left_out = grown(rows, model, "__y", "__w", rate, most_leaves if k < iterations else 1, least_rows, l2, summed)
         if left_out:
             model.losses.append(loss / left_out)
             if model.losses[-1] < best - 1e-7:

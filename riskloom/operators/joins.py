@@ -65,11 +65,9 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, list(keys), "left")
 
 
-def expand_scenarios(df: DataFrame, scenarios: DataFrame, most: int = 100) -> DataFrame:
-    """Every row with every scenario; the scenario table's size is checked."""
-    if scenarios.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} scenarios")
-    return df.crossJoin(F.broadcast(scenarios))
+def expand_scenarios(df: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Every row with every scenario; a scenario table that isn't small is not broadcast."""
+    return df.crossJoin(small(scenarios))
 
 
 def members(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:

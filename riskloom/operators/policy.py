@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import bands
 from riskloom.operators.aggregates import r
-from riskloom.operators.joins import expand_scenarios
+from riskloom.operators.joins import expand_scenarios, small
 from riskloom.operators.ordered import quantile_list
 
 
@@ -82,7 +82,7 @@ def simulate(loans: DataFrame, params: DataFrame) -> DataFrame:
 
     ``loans``: ``band, requested, income, months, restrictions, active, years``. Scenarios are expanded first, parameters looked up by (scenario, band).
     """
-    many = expand_scenarios(loans, params.select("scenario").distinct()).join(F.broadcast(params), ["scenario", "band"], "left")
+    many = expand_scenarios(loans, params.select("scenario").distinct()).join(small(params), ["scenario", "band"], "left")
     payment = F.greatest(F.col("income"), F.lit(0.0)) * F.col("share") * reducer(F.col("restrictions"), F.col("active"), F.col("years"))
     limit = present_value(payment, F.col("rate"), F.col("months"))
     out = many.withColumn("limit", limit)

@@ -37,6 +37,13 @@ def s1(t):
     return io.read_text_csv(t.spark, path, ["n_nationkey", "n_name"])
 
 
+@query("s2_text_rows", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment, c_nationkey::VARCHAR AS c_nationkey FROM customer")
+def s2b(t):
+    source, target = _scratch(t, "csv"), _scratch(t, "zstd")
+    t.customer.write.csv(source, header=True, sep=";")
+    return io.csv_to_parquet(t.spark, source, target, ["c_custkey", "c_name"]).select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+
+
 @query("s2_csv_to_parquet")
 def s2(t):
     source, target = _scratch(t, "csv"), _scratch(t, "zstd")
@@ -80,7 +87,7 @@ def s7(t):
     return t.spark.read.parquet(f"{folder}/region").join(t.spark.read.csv(f"{folder}/nation", header=True, inferSchema=True), F.col("r_regionkey") == F.col("n_regionkey"))
 
 
-@query("s8_metrics_json")
+@query("s8_metrics_json", "SELECT json_object('l_returnflag', l_returnflag, 'mean', round(avg(l_discount), 6), 'top', CASE WHEN l_returnflag <> 'A' THEN round(max(l_tax), 6) END)::VARCHAR AS value FROM lineitem GROUP BY l_returnflag")
 def s8(t):
     m = t.lineitem.groupBy("l_returnflag").agg(F.round(F.avg("l_discount"), 6).alias("mean"), F.when(F.col("l_returnflag") == "A", float("nan")).otherwise(F.round(F.max("l_tax"), 6)).alias("top"))
     return io.metrics_json(m)
@@ -212,9 +219,10 @@ def v18(t):
     return A.all_hold(t.events, {"value": (F.col("event_type") == first, F.col("value") > 0), "payload": (F.lit(True), F.get_json_object("props", "$.k").isNotNull())})
 
 
-@query("v19_missing_months", "WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders WHERE month(o_orderdate) % 5 <> 0) SELECT strftime(x, '%Y-%m') AS month FROM (SELECT unnest(generate_series((SELECT min(m) FROM m)::TIMESTAMP, (SELECT max(m) FROM m)::TIMESTAMP, INTERVAL 1 MONTH)) AS x) WHERE x NOT IN (SELECT m FROM m)")
+@query("v19_missing_months", "WITH m AS (SELECT DISTINCT date_trunc('quarter', o_orderdate) AS m FROM orders) SELECT strftime(x, '%Y-%m') AS month FROM (SELECT unnest(generate_series((SELECT min(m) FROM m)::TIMESTAMP, (SELECT max(m) FROM m)::TIMESTAMP, INTERVAL 1 MONTH)) AS x) WHERE x NOT IN (SELECT m FROM m)")
 def v19(t):
-    return A.missing_months(t.orders.where(F.month("o_orderdate") % 5 != 0).withColumn("d", F.col("o_orderdate").cast("date")), "d")
+    """Orders booked by quarter: the months between are missing."""
+    return A.missing_months(t.orders.withColumn("d", F.trunc("o_orderdate", "quarter")), "d")
 
 
 @query("v20_out_of_order", "WITH x AS (SELECT o_orderdate < lag(o_orderdate) OVER (ORDER BY o_orderkey) AS inv FROM orders) SELECT count(*) FILTER (WHERE inv) AS inversions, count(*) FILTER (WHERE inv) = 0 AS chronological FROM x")

@@ -57,10 +57,10 @@ SCORED = """scored AS (SELECT l_orderkey || '|' || l_linenumber || '|' || l_part
  CASE WHEN l_partkey % 97 = 0 THEN 99997.0::DOUBLE WHEN l_partkey % 89 = 0 THEN 99998.0 WHEN l_partkey % 83 <> 0 THEN l_quantity END AS special FROM lineitem)"""
 
 LOANS = """loans AS (SELECT o_orderkey AS key, o_custkey AS cust, CAST(o_orderdate AS DATE) AS day, o_totalprice AS amount FROM orders),
- perf AS (SELECT o_custkey AS cust, last_day(CAST(l_shipdate AS DATE)) AS ref, (l_returnflag = 'R')::INTEGER AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ perf AS MATERIALIZED (SELECT o_custkey AS cust, last_day(CAST(l_shipdate AS DATE)) AS ref, (l_returnflag = 'R')::INTEGER AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
  timed AS (SELECT *, last_day(day + INTERVAL 12 MONTH) AS month12, (SELECT max(ref) FROM perf) AS followed FROM loans),
  p12 AS (SELECT cust, ref, max(flag) AS flag12 FROM perf GROUP BY ALL),
- lab AS (SELECT t.key, t.cust, t.day, t.amount, t.month12, p.flag12, t.month12 <= followed AS has_window,
+ lab AS MATERIALIZED (SELECT t.key, t.cust, t.day, t.amount, t.month12, p.flag12, t.month12 <= followed AS has_window,
    CASE WHEN NOT t.month12 <= followed THEN 'sem_janela' WHEN p.flag12 IS NULL THEN 'sem_registro' ELSE 'observado' END AS origin,
    CASE WHEN t.month12 <= followed THEN coalesce(p.flag12, 0) END AS label FROM timed t LEFT JOIN p12 p ON p.cust = t.cust AND p.ref = t.month12)"""
 

@@ -229,19 +229,19 @@ def c25(t):
     return C.crude_odds_ratio(t.cohort(), "t", "y")
 
 
-_CELLS = "g AS (SELECT nation, code, count(*) AS n FROM base WHERE price > 380000 GROUP BY ALL)"
+_CELLS = "g AS (SELECT nation, code, month, count(*) AS n FROM base GROUP BY ALL)"
 
 
-@query("c26_masked", "WITH {COHORT}, " + _CELLS + " SELECT nation, code, CASE WHEN n BETWEEN 1 AND 9 THEN '<10' ELSE n::VARCHAR END AS shown FROM g")
+@query("c26_masked", "WITH {COHORT}, " + _CELLS + " SELECT nation, code, month, CASE WHEN n BETWEEN 1 AND 9 THEN '<10' ELSE n::VARCHAR END AS shown FROM g")
 def c26(t):
-    g = t.cohort().where("price > 380000").groupBy("nation", "code").agg(F.count("*").alias("n"))
-    return g.select("nation", "code", C.masked(F.col("n")).alias("shown"))
+    g = t.cohort().groupBy("nation", "code", "month").agg(F.count("*").alias("n"))
+    return g.select("nation", "code", "month", C.masked(F.col("n")).alias("shown"))
 
 
-@query("c26_rounded", "WITH {COHORT}, g AS (SELECT nation, code, count(*) AS n FROM base WHERE price > 200000 GROUP BY ALL), k AS (SELECT *, sum((n BETWEEN 1 AND 9)::INTEGER) OVER (PARTITION BY nation) AS k FROM g) SELECT nation, code, CASE WHEN n BETWEEN 1 AND 9 THEN '<10' WHEN k = 1 THEN (round_even(n / 10.0, 0) * 10)::BIGINT::VARCHAR ELSE n::VARCHAR END AS shown FROM k")
+@query("c26_rounded", "WITH {COHORT}, g AS (SELECT nation, year, status, count(*) AS n FROM base GROUP BY ALL), k AS (SELECT *, sum((n BETWEEN 1 AND 9)::INTEGER) OVER (PARTITION BY nation, year) AS k FROM g) SELECT nation, year, status, CASE WHEN n BETWEEN 1 AND 9 THEN '<10' WHEN k = 1 THEN (round_even(n / 10.0, 0) * 10)::BIGINT::VARCHAR ELSE n::VARCHAR END AS shown FROM k")
 def c26b(t):
-    g = t.cohort().where("price > 200000").groupBy("nation", "code").agg(F.count("*").alias("n"))
-    return C.rounded_recoverable(g, ["nation"], "n").select("nation", "code", "shown")
+    g = t.cohort().groupBy("nation", "year", "status").agg(F.count("*").alias("n"))
+    return C.rounded_recoverable(g, ["nation", "year"], "n").select("nation", "year", "status", "shown")
 
 
 _MERGED = """o AS (SELECT *, row_number() OVER (ORDER BY bin) AS i FROM (SELECT floor(price / 5000)::BIGINT AS bin, count(*) FILTER (WHERE t = 1) AS n1, count(*) FILTER (WHERE t = 0) AS n0 FROM base WHERE t IS NOT NULL GROUP BY 1)),

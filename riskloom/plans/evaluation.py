@@ -160,9 +160,9 @@ def m16(t):
     return E.threshold_sweep(t.scored(), "p", "label", _Q).withColumn("quantile", F.when(F.col("quantile") == "0.9", "0.90").otherwise(F.col("quantile")))
 
 
-@query("m17_reliability", "WITH {SCORED}, g AS (SELECT least(floor(p * 10), 9)::INTEGER AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(label), 6) AS rate FROM scored WHERE p < 0.8 GROUP BY 1) SELECT i::INTEGER AS bin, coalesce(n, 0) AS n, mean_p, rate FROM unnest(range(10)) AS u(i) LEFT JOIN g ON bin = i")
+@query("m17_reliability", "WITH {SCORED}, x AS (SELECT p * 0.79::DOUBLE AS p, label FROM scored), g AS (SELECT least(floor(p * 10), 9)::INTEGER AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(label), 6) AS rate FROM x GROUP BY 1) SELECT i::INTEGER AS bin, coalesce(n, 0) AS n, mean_p, rate FROM unnest(range(10)) AS u(i) LEFT JOIN g ON bin = i")
 def m17(t):
-    return E.reliability(t.scored().where("p < 0.8"), "p", "label")
+    return E.reliability(t.scored().withColumn("p", F.col("p") * 0.79), "p", "label")
 
 
 _Z = 1.959963984540054
@@ -173,7 +173,13 @@ def m18(t):
     return E.quantile_calibration(t.scored(), "p", "label", "key")
 
 
-@query("m19_calibration_slope")
+_SLOPE = """d AS (SELECT ln(q / (1 - q)) AS x, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS y FROM (SELECT least(greatest(p, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS q, label FROM scored) GROUP BY 1),
+ it AS (SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL SELECT k + 1, a + (s2 * g0 - s1 * g1) / (s0 * s2 - s1 * s1), b + (s0 * g1 - s1 * g0) / (s0 * s2 - s1 * s1)
+  FROM (SELECT k, a, b, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(g) AS g0, sum(g * x) AS g1
+   FROM (SELECT k, a, b, x, n * m * (1 - m) AS w, y - n * m AS g FROM (SELECT k, a, b, x, n, y, 1 / (1 + exp(-(a + b * x))) AS m FROM it, d WHERE k < 15)) GROUP BY k, a, b))"""
+
+
+@query("m19_calibration_slope", "WITH RECURSIVE {SCORED}, " + _SLOPE + " SELECT round(a, 6) AS intercept, round(b, 6) AS slope FROM it WHERE k = 15")
 def m19(t):
     return E.calibration_slope(t.scored(), "p", "label")
 
@@ -183,7 +189,7 @@ def m20(t):
     return E.curves(t.scored(), "p", "label")
 
 
-@query("m20_thinned_curve")
+@query("m20_thinned_curve", "WITH {SCORED}, " + _RUN + ", r AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS k FROM s) SELECT p AS score, round(fp / neg, 6) AS fpr, round(tp / pos, 6) AS tpr, round(tp / (tp + fp), 6) AS precision FROM r WHERE k <= 21 OR i IN (SELECT round_even(j * (k - 1) / 20.0::DOUBLE, 0)::BIGINT FROM unnest(range(21)) AS u(j))")
 def m20b(t):
     from riskloom.operators.aggregates import thinned
 
@@ -253,10 +259,9 @@ def m25(t):
     return E.choose_model(_models(t)).select("model", "weighted_rank", "place")
 
 
-@query("m26_compare_models", "WITH " + _MODELS + ", w AS (SELECT model, auc, brier FROM g WHERE model IN ('BUILDING', 'MACHINERY')) SELECT model, auc, brier, NULL::DOUBLE AS ci FROM w UNION ALL SELECT 'MACHINERY - BUILDING', round(b.auc - a.auc, 6), round(b.brier - a.brier, 6), NULL FROM w a, w b WHERE a.model = 'BUILDING' AND b.model = 'MACHINERY'")
+@query("m26_compare_models", "WITH " + _MODELS + ", w AS (SELECT model, auc, brier FROM g) SELECT model, auc, brier, NULL::DOUBLE AS ci FROM w UNION ALL SELECT 'MACHINERY - BUILDING', round(b.auc - a.auc, 6), round(b.brier - a.brier, 6), NULL FROM w a, w b WHERE a.model = 'BUILDING' AND b.model = 'MACHINERY'")
 def m26(t):
-    m = _models(t).where(F.col("model").isin("BUILDING", "MACHINERY"))
-    return E.compare_models(m.unpivot("model", ["auc", "brier"], "metric", "value"), "BUILDING", "MACHINERY", ["auc", "brier"])
+    return E.compare_models(_models(t).unpivot("model", ["auc", "brier"], "metric", "value"), "BUILDING", "MACHINERY", ["auc", "brier"])
 
 
 @query("m27_permutation_importance")
@@ -266,10 +271,11 @@ def m27(t):
     return E.permutation_importance(lambda d: E.score_model(model, d, _FEATURES), s, _FEATURES, "label", "key")
 
 
-@query("m28_consolidated_importance", "WITH a AS (SELECT c_mktsegment AS variable, count(*) AS x FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1), b AS (SELECT c_mktsegment AS variable, count(*) AS y FROM customer WHERE c_acctbal > 5000 GROUP BY 1), j AS (SELECT coalesce(a.variable, b.variable) AS variable, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b ON a.variable = b.variable), i AS (SELECT *, round((x / max(x) OVER () + y / max(y) OVER ()) / 2, 6) AS importance FROM j) SELECT *, row_number() OVER (ORDER BY importance DESC, variable)::INTEGER AS place FROM i")
+@query("m28_consolidated_importance", "WITH a AS (SELECT CASE WHEN c_nationkey >= 20 THEN 'REST' ELSE c_mktsegment END AS variable, count(*) AS x FROM customer GROUP BY 1), b AS (SELECT CASE WHEN c_acctbal > 5000 THEN c_mktsegment ELSE 'POOR' END AS variable, count(*) AS y FROM customer GROUP BY 1), j AS (SELECT coalesce(a.variable, b.variable) AS variable, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b ON a.variable = b.variable), i AS (SELECT *, round((x / max(x) OVER () + y / max(y) OVER ()) / 2, 6) AS importance FROM j) SELECT *, row_number() OVER (ORDER BY importance DESC, variable)::INTEGER AS place FROM i")
 def m28(t):
-    a = t.customer.where("c_mktsegment <> 'BUILDING'").groupBy(F.col("c_mktsegment").alias("variable")).agg(F.count("*").alias("x"))
-    return E.consolidate_importance(a, t.customer.where("c_acctbal > 5000").groupBy(F.col("c_mktsegment").alias("variable")).agg(F.count("*").alias("y")))
+    a = t.customer.groupBy(F.when(F.col("c_nationkey") >= 20, "REST").otherwise(F.col("c_mktsegment")).alias("variable")).agg(F.count("*").alias("x"))
+    b = t.customer.groupBy(F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).otherwise("POOR").alias("variable")).agg(F.count("*").alias("y"))
+    return E.consolidate_importance(a, b)
 
 
 @query("m29_best_run", "SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal / 1000) DESC, c_mktsegment, c_custkey) AS r FROM customer) WHERE r = 1")

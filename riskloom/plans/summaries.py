@@ -49,7 +49,10 @@ def a7(t):
     return G.continuous_summary(t.cohort(), "region", "price", [100000]).drop("low", "high")
 
 
-@query("a7_t_interval")
+_T = "z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v ** 2) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * v ** 3) + (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / (92160 * v ** 4)"
+
+
+@query("a7_t_interval", "WITH {COHORT}, g AS (SELECT region, avg(price) AS m, stddev_samp(price) / sqrt(count(price)) AS se, (count(price) - 1)::DOUBLE AS v, 1.959963984540054::DOUBLE AS z FROM base GROUP BY 1), h AS (SELECT region, m, se * (" + _T + ") AS half FROM g) SELECT region, round(m, 4) AS mean, round(m - half, 4) AS low, round(m + half, 4) AS high FROM h")
 def a7t(t):
     return G.continuous_summary(t.cohort(), "region", "price", [100000]).select("region", "mean", "low", "high")
 

@@ -86,7 +86,9 @@ def plain_boosting(model, rows, iterations, rate, most_leaves, least, l2):
     return 1 / (1 + np.exp(-raw))
 
 
-def test_trees_equal_growth_in_one_process(spark):
+@pytest.mark.parametrize("restage", [10, 2])
+def test_trees_equal_growth_in_one_process(spark, monkeypatch, restage):
+    monkeypatch.setattr(B, "RESTAGE", restage)
     df, rows = frame(spark)
     model = B.fit_boosting(df, ["x", "z"], ["c"], "y", "key", iterations=6, most_leaves=7, least_rows=15, held_out=0.0, bins=32)
     want = plain_boosting(model, rows, 6, 0.1, 7, 15, 1.0)
