@@ -35,6 +35,32 @@ def availability(spark: SparkSession, present: Mapping[int, Sequence[str]], role
     return spark.createDataFrame(rows, "ano int, role string, n_present int, n_fields int, missing string")
 
 
+def filled_availability(df: DataFrame, year: str, roles: Mapping[str, Sequence[str]]) -> DataFrame:
+    """V3 from the rows: a field is there in a year if any row of the year has a value. ``ano, role, n_present, n_fields, missing``."""
+    fields = sorted({f for x in roles.values() for f in x})
+    g = df.where(F.col(year).isNotNull()).groupBy(F.col(year).cast("int").alias("ano")).agg(*[(F.count(f) > 0).alias(f) for f in fields])
+    out = []
+    for role, names in roles.items():
+        lack = F.filter(F.array(*[F.when(~F.col(f), F.lit(f)) for f in names]), lambda x: x.isNotNull())
+        out.append(F.struct(F.lit(role).alias("role"), (F.lit(len(names)) - F.size(lack)).alias("n_present"), F.lit(len(names)).alias("n_fields"), F.array_join(lack, ",").alias("missing")))
+    return g.select("ano", F.inline(F.array(*out)))
+
+
+def field_diff(df: DataFrame, reference: DataFrame) -> DataFrame:
+    """V2 with the rows: each field of either table (in upper case), whether it is the same, in another case, missing or extra, and how many rows
+    have a value in each table (null where the field isn't there)."""
+
+    def filled(x: DataFrame, name: str) -> DataFrame:
+        rows = long_rows(x, {c.upper(): {name: F.count(F.col(f"`{c}`"))} for c in x.columns}, (name,))
+        names = F.create_map(*[v for c in x.columns for v in (F.lit(c.upper()), F.lit(c))])
+        return rows.withColumn(f"name_{name}", names[F.col("field")])
+
+    j = filled(df, "filled").join(filled(reference, "filled_reference"), "field", "full_outer")  # a row for each field
+    a, b = F.col("name_filled"), F.col("name_filled_reference")
+    status = F.when(a.isNull(), "missing").when(b.isNull(), "extra").when(a == b, "same").otherwise("case")
+    return j.select("field", status.alias("status"), "filled", "filled_reference")
+
+
 def admission(table: DataFrame) -> DataFrame:
     """V3: class of each year by ordered rules over its roles: outcome and treatment are essential, the rest may lack."""
     per = table.groupBy("ano").agg(F.bool_and(F.when(F.col("role").isin("treatment", "outcome"), F.col("n_present") == F.col("n_fields"))).alias("essential"), F.bool_and(F.col("n_present") == F.col("n_fields")).alias("complete"))

@@ -99,6 +99,18 @@ def s9(t):
     return io.upsert(old, t.nation.where("n_regionkey = 1").select("n_nationkey", F.lit("new").alias("source")), ["n_nationkey"])
 
 
+@query("s10_counted_inventory", """SELECT year(o_orderdate)::INTEGER AS ano, true AS available, CASE WHEN year(o_orderdate) % 2 = 0 THEN 3 ELSE 2 END AS n_columns, CASE WHEN year(o_orderdate) % 2 = 0 THEN '' ELSE 'O_ORDERPRIORITY' END AS missing_fields, true AS case_normalised, count(*) AS n_rows FROM orders GROUP BY year(o_orderdate)
+ UNION ALL SELECT max(year(o_orderdate))::INTEGER + 1, false, NULL, NULL, NULL, NULL FROM orders""")
+def s10b(t):
+    """A folder for each year of the orders, odd ones without a column, and a year that isn't there."""
+    o = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", F.year("o_orderdate").alias("year"))
+    folder = _scratch(t, "years")
+    o.where("year % 2 = 0").write.partitionBy("year").parquet(folder)
+    o.where("year % 2 <> 0").drop("o_orderpriority").write.mode("append").partitionBy("year").parquet(folder)
+    years = sorted(x[0] for x in o.select("year").distinct().collect())  # a few years
+    return io.inventory(t.spark, {y: f"{folder}/year={y}" for y in (*years, years[-1] + 1)}, ["O_ORDERKEY", "O_ORDERPRIORITY"], count_rows=True)
+
+
 @query("s10_inventory")
 def s10(t):
     return io.inventory(t.spark, {1: f"{t.sf_dir}/orders.parquet", 2: f"{t.sf_dir}/lineitem.parquet", 3: f"{t.sf_dir}/none.parquet"}, ["O_ORDERKEY", "L_TAX"])
@@ -123,11 +135,31 @@ def v1(t):
     return A.require_columns(t.orders, ["o_orderkey", "o_custkey"]).agg(F.count("*").alias("n"))
 
 
+_ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query("v2_field_diff", " UNION ALL ".join(f"SELECT '{c.upper()}' AS field, '{'missing' if c == 'o_orderstatus' else 'case' if c == 'o_custkey' else 'same'}' AS status, {'NULL::BIGINT' if c == 'o_orderstatus' else f'count(CASE WHEN o_orderkey % 3 <> 0 THEN {c} END)' if c == 'o_totalprice' else f'count({c})'} AS filled, count({c}) AS filled_reference FROM orders" for c in _ORDERS) + " UNION ALL SELECT 'YEAR', 'extra', count(year(o_orderdate)), NULL FROM orders")
+def v2b(t):
+    o = t.orders.select(*_ORDERS)
+    a = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))).withColumnRenamed("o_custkey", "O_CUSTKEY").drop("o_orderstatus")
+    return A.field_diff(a.withColumn("year", F.year("o_orderdate")), o)
+
+
 @query("v2_schema_diff")
 def v2(t):
     return A.schema_diff(t.orders.withColumnRenamed("o_custkey", "O_CUSTKEY").drop("o_orderstatus"), t.orders)
 
 
+@query("v3_filled_availability", """WITH {COHORT}, g AS (SELECT year, count(CASE WHEN year <> 1994 THEN t END) > 0 AS early, count(y) > 0 AS y, count(cluster) > 0 AS cluster, count(CASE WHEN year >= 1996 THEN status END) > 0 AS late FROM base GROUP BY 1),
+ r AS (SELECT year AS ano, 'treatment' AS role, early::INTEGER AS n_present, 1 AS n_fields, CASE WHEN early THEN '' ELSE 'early' END AS missing FROM g UNION ALL SELECT year, 'outcome', y::INTEGER, 1, CASE WHEN y THEN '' ELSE 'y' END FROM g
+  UNION ALL SELECT year, 'covariates', cluster::INTEGER + late::INTEGER, 2, array_to_string(list_filter([CASE WHEN NOT cluster THEN 'cluster' END, CASE WHEN NOT late THEN 'late' END], lambda x: x IS NOT NULL), ',') FROM g)
+ SELECT r.*, CASE WHEN NOT (early AND y) THEN 'excluded' WHEN early AND y AND cluster AND late THEN 'full' ELSE 'partial' END AS admission FROM r JOIN g ON r.ano = g.year""")
+def v3b(t):
+    c = t.cohort().withColumn("early", F.when(F.col("year") != 1994, F.col("t"))).withColumn("late", F.when(F.col("year") >= 1996, F.col("status")))
+    table = A.filled_availability(c, "year", {"treatment": ["early"], "outcome": ["y"], "covariates": ["cluster", "late"]})
+    return table.join(A.admission(table), "ano")
+
+
 @query("v3_availability")
 def v3(t):
     present = {2020: t.orders.columns, 2021: t.orders.drop("o_orderpriority").columns, 2022: t.orders.drop("o_orderstatus").columns}

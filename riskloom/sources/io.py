@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -117,8 +118,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(new, list(keys), "left_anti").select(*old.columns).unionByName(new)
 
 
-def inventory(spark: SparkSession, paths: Mapping[int, str], fields: Sequence[str]) -> DataFrame:
-    """Per year: available, number of columns, missing fields, whether names had to be put in upper case."""
+def inventory(spark: SparkSession, paths: Mapping[int, str], fields: Sequence[str], count_rows: bool = False) -> DataFrame:
+    """Per year: available, number of columns, missing fields, whether names had to be put in upper case; with ``count_rows`` also ``n_rows``,
+    counted in one pass over all years that are there."""
+    if count_rows:
+        base, parts = inventory(spark, paths, fields), []
+        for row in base.where("available").collect():  # a row for each year
+            parts.append(spark.read.parquet(paths[row["ano"]]).select(F.lit(row["ano"]).alias("__ano")))
+        if not parts:
+            return base.withColumn("n_rows", F.lit(None).cast("long"))
+        counted = functools.reduce(DataFrame.unionByName, parts).groupBy("__ano").agg(F.count("*").alias("n"))
+        joined = base.join(F.broadcast(counted), F.col("ano") == F.col("__ano"), "left")
+        return joined.select(*base.columns, F.when(F.col("available"), F.coalesce("n", F.lit(0))).alias("n_rows"))
     rows = []
     for year, path in sorted(paths.items()):
         try:
