@@ -1,6 +1,7 @@
 """Operator 7: line-first cleaning with quality rules, in DataFrame functions only.
 
-Each line is judged alone by punctuation, navigation and boilerplate rules; lines that fail go, and a document that loses too much
+Each line is judged by punctuation (too many symbols, no mark in a long line, an ellipsis at the end), navigation (separators, short items that the
+text repeats) and boilerplate rules; lines that fail go, and a document that loses too much
 of its text with them is rejected, as is one that fails the base rules (too few words, or too many in repeated
 windows of three). All of it is one narrow projection per row: no shuffle, no join, no state.
 
@@ -28,8 +29,17 @@ SYMBOLS, MOST_SYMBOLS, LEAST_SYMBOLS = "#*$%&|<>!?={}[]^_~@/\\+", 8, 4
 SEPARATORS, LEAST_SEPARATORS, WORDS_A_SEPARATOR = "|>»•·", 4, 4
 #: A line of so many words without any mark that ends a sentence or part of one fails.
 LONG_LINE, MARKS = 40, ".!?:;,…。"
-#: Phrases of page furniture, lower case (fixed list).
-BOILERPLATE = ("lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "subscribe to our newsletter", "sign up for free", "skip to content")
+#: A line that ends so is a teaser for a text elsewhere and fails.
+TEASERS = ("...", "…")
+#: A line with so many spaces at most that doesn't end in one of these marks is like an item of a menu; it fails if the text has it more than once.
+ITEM_SPACES, ITEM_ENDS = 3, ".!?:;,…。\"')]"
+#: Phrases of page furniture, lower case (fixed list), in English, German, French and Spanish.
+BOILERPLATE = (
+    "lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "subscribe to our newsletter", "sign up for free", "skip to content",
+    "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "hier klicken", "newsletter abonnieren",
+    "politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "cliquez ici", "abonnez-vous à notre",
+    "política de privacidad", "política de cookies", "condiciones de uso", "todos los derechos reservados", "haga clic aquí", "suscríbete a nuestro",
+)
 #: A document is kept if lines with at least this share (percent) of its word characters are left.
 LEAST_KEPT = 50
 _BLANK = " \t\n\x0b\x0c\r"
@@ -97,14 +107,31 @@ def repeated_words(words: Column) -> Column:
     return _let(words, lambda w: F.when(F.size(w) < 3, none).when(F.size(w) >= 1 << _PLACE_BITS, by_words(w)).otherwise(by_hashes(w)))
 
 
-def line_passes(line: Column, has_phrase: Column) -> Column:
-    """The rules for one line; ``has_phrase``: whether its text has a phrase of BOILERPLATE at all."""
+def like_an_item(line: Column) -> Column:
+    """Whether a line is short and doesn't end as a sentence does."""
+    last = F.right(F.rtrim(line, F.lit(_BLANK)), F.lit(1))
+    return (F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) <= ITEM_SPACES) & ~F.contains(F.lit(ITEM_ENDS), last)
+
+
+def repeated_items(lines: Column) -> Column:
+    """The lines like items that a text has more than once; texts without equal lines are told by their number of different ones."""
+    twice = lambda x: F.array_distinct(F.filter(x, lambda v, k: F.coalesce(v == F.get(x, k + 1), F.lit(False))))
+    found = _let(F.sort_array(F.filter(lines, like_an_item)), twice)
+    return F.when(F.size(lines) == F.size(F.array_distinct(lines)), F.array().cast("array<string>")).otherwise(found)
+
+
+def line_passes(line: Column, has_phrase: Column, items: Column) -> Column:
+    """The rules for one line; ``has_phrase``: whether its text has a phrase of BOILERPLATE at all, ``items``: its repeated items."""
+    ending = F.rtrim(line, F.lit(_BLANK))
+    teaser = F.lit(False)
+    for mark in TEASERS:
+        teaser = teaser | F.endswith(ending, F.lit(mark))
     symbols, separators = _count(line, SYMBOLS), _count(line, SEPARATORS)
     punctuation = (symbols >= LEAST_SYMBOLS) & (symbols * 100 > F.char_length(line) * MOST_SYMBOLS)
     spaces = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit("")))
     navigation = (separators >= LEAST_SEPARATORS) & (separators * WORDS_A_SEPARATOR >= spaces)
     endless = ~F.rlike(line, F.lit(_one_of(MARKS))) & (spaces >= LONG_LINE)
-    return ~(punctuation | navigation | endless | (has_phrase & _has_phrase(F.lower(line))))
+    return ~(punctuation | navigation | endless | teaser | F.array_contains(items, line) | (has_phrase & _has_phrase(F.lower(line))))
 
 
 def _has_phrase(lower: Column) -> Column:
@@ -120,6 +147,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     t = docs.select(column(id_col).alias("doc_id"), text.alias("t"), F.lower(text).alias("lower"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     t = t.select("doc_id", "t", words_of(F.col("t")).alias("words"), lines.alias("lines"), _has_phrase(F.col("lower")).alias("has_phrase"))
+    t = t.withColumn("items", repeated_items(F.col("lines")))
     t = t.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
@@ -127,7 +155,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         _count(F.col("t"), "#*$%&|<>").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.array_join(F.filter("lines", lambda x: line_passes(x, F.col("has_phrase"))), "\n").alias("cleaned"),
+        F.array_join(F.filter("lines", lambda x: line_passes(x, F.col("has_phrase"), F.col("items"))), "\n").alias("cleaned"),
     )
     failed = (F.col("n_words") < FEWEST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     left = _word_chars(F.col("cleaned")) * 100 >= F.col("word_chars") * LEAST_KEPT
@@ -151,18 +179,29 @@ def _sql_line() -> str:
     count = lambda c: f"(length(x) - length(translate(x, {quote(c)}, '')))"
     spaces = "(length(x) - length(replace(x, ' ', '')))"
     rules = [f"({count(SYMBOLS)} >= {LEAST_SYMBOLS} AND {count(SYMBOLS)} * 100 > length(x) * {MOST_SYMBOLS})", f"({count(SEPARATORS)} >= {LEAST_SEPARATORS} AND {count(SEPARATORS)} * {WORDS_A_SEPARATOR} >= {spaces})", f"({spaces} >= {LONG_LINE} AND {count(MARKS)} = 0)"]
+    rules += [f"ends_with(rtrim(x, {_SQL_BLANK}), {quote(m)})" for m in TEASERS] + ["list_contains(tw, x)"]
     rules += [f"contains(lower(x), {quote(p)})" for p in BOILERPLATE]
     return " OR ".join(rules)
 
 
+_SQL_BLANK = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def _sql_item() -> str:
+    ends = "'" + ITEM_ENDS.replace("'", "''") + "'"
+    return f"(length(x) - length(replace(x, ' ', ''))) <= {ITEM_SPACES} AND NOT contains({ends}, right(rtrim(x, {_SQL_BLANK}), 1))"
+
+
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
  p AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+ it AS (SELECT doc_id, unnest(list_filter(l, lambda x: {_sql_item()})) AS x FROM p),
+ tw AS (SELECT doc_id, list(x) AS tw FROM (SELECT doc_id, x FROM it GROUP BY ALL HAVING count(*) > 1) GROUP BY 1),
  win AS (SELECT doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS k FROM p, unnest(range(1, len(w) - 1)) AS u(i)),
  dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
  rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM dup, unnest([0, 1, 2]) AS v(j) GROUP BY doc_id),
- c AS (SELECT doc_id, array_to_string(list_filter(l, lambda x: NOT ({_sql_line()})), chr(10)) AS cleaned FROM p),
+ c AS (SELECT doc_id, array_to_string(list_filter(l, lambda x: NOT ({_sql_line()})), chr(10)) AS cleaned FROM (SELECT p.doc_id, l, coalesce(tw, []) AS tw FROM p LEFT JOIN tw ON tw.doc_id = p.doc_id)),
  q AS (SELECT p.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(coalesce(cleaned, ''), '[\x20\x09-\x0D]+', '', 'g')) AS left_chars

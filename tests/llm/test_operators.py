@@ -379,6 +379,32 @@ def test_quality(spark, docs, empty):
     assert "|" not in cleaned.get(11, "") and op7_quality.clean(empty).count() == 0
 
 
+def line_fails(line, items):
+    """The line rules, one after the other."""
+    n = lambda marks: sum(c in marks for c in line)
+    bare, spaces = line.rstrip(" \t\n\x0b\x0c\r"), line.count(" ")
+    symbols = n("#*$%&|<>!?={}[]^_~@/\\+")
+    return (
+        (symbols >= 4 and symbols * 100 > len(line) * 8) or (n("|>»•·") >= 4 and n("|>»•·") * 4 >= spaces) or (spaces >= 40 and not n(".!?:;,…。"))
+        or bare.endswith(("...", "…")) or line in items or any(p in line.lower() for p in op7_quality.BOILERPLATE)
+    )
+
+
+def test_quality_judges_lines(spark):
+    good = "the river runs below the old mill and the light of the morning falls on it , as it did on other days ."
+    odd = ["Home", "Home", "About us", "About us ", "Read more", "so the story goes on and on and on ...", "a teaser for another text…", "All Rights Reserved 2020", "Alle Rechte vorbehalten", "Tous droits réservés", "haga clic aquí para ver", "End.", "End.", "(aside)", "(aside)", "Contact", " a | b | c | d | e", "x " * 45, "x, " * 45]
+    rng = random.Random(6)
+    texts = [(i, "\n".join(rng.sample(odd, rng.randrange(1, 9)) + [good.replace("old", f"old{j}") for j in range(rng.randrange(1, 5))])) for i in range(80)] + [(900, "\n".join(odd)), (901, good), (902, None), (903, "Home\n" * 60)]
+    got = {r["doc_id"]: r for r in op7_quality.judge(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, t in texts:
+        lines = [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        like = [x for x in lines if x.count(" ") <= 3 and x.rstrip(" \t\n\x0b\x0c\r")[-1] not in ".!?:;,…。\"')]"]
+        left = [x for x in lines if not line_fails(x, {x for x in like if like.count(x) > 1})]
+        assert got[i]["cleaned"] == "\n".join(left), i
+        whole = base_counts(t)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and 2 * base_counts("\n".join(left))[1] >= whole[1])
+
+
 def components_of(sets, percent=75):
     parent = {d: d for d in sets}
 
