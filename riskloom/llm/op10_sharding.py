@@ -1,9 +1,10 @@
 """Operator 10: contiguous balanced shards from global prefix sums of sizes, in DataFrame functions only.
 
-Documents keep the order of their ids. One pass takes each document's size, so texts aren't shuffled. The partitions of
-a range exchange by id each sum up their sizes; running sums over these totals (a row for each partition, whatever the number of
-documents) give every range its place, and a window inside a range gives every document its own. A document goes to
-the shard in whose equal share of all bytes its middle lies.
+Documents keep the order of their ids, and those of one id (or of none) that of their sizes and checksums, so that they are no single
+task. One pass takes each document's size, so texts aren't shuffled. The partitions of a range exchange by this order each sum up
+their sizes; running sums over these totals (a row for each partition, whatever the number of documents) give every range its
+place, and a window inside a range gives every document its own. A document goes to the shard in whose equal share of
+all bytes its middle lies.
 
 Defined results: a null text has no bytes and counts 8; documents of one id are ordered by size and checksum, null ids come
 first; repeated rows are placed one after the other; an empty table gives an empty table; other columns are left out,
@@ -25,7 +26,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     # sizes are written before the range exchange looks at its input twice; the ranges are written with their numbers
-    ranged = write_stage(write_stage(slim, "sizes").repartitionByRange("doc_id").select("*", F.spark_partition_id().alias("nth")), "ranges")
+    ranged = write_stage(write_stage(slim, "sizes").repartitionByRange("doc_id", "size", "text_crc32").select("*", F.spark_partition_id().alias("nth")), "ranges")
     totals = ranged.groupBy("nth").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     before = Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
