@@ -194,16 +194,20 @@ def v9(t):
     return A.reconcile(c.groupBy("region", "code").agg(F.count("*").alias("n")).join(whole, "region"), ["region"], "n", "whole")
 
 
-@query("v10_roles")
+def _profile_sql(table, cols):
+    return " UNION ALL ".join(f"SELECT '{c}' AS field, '{k}' AS type, count(*) FILTER (WHERE {c} IS NULL) AS nulls, round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 4)::DOUBLE AS null_percent, count(DISTINCT {c}) AS \"distinct\" FROM {table}" for c, k in cols)
+
+
+_ORDER_TYPES = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+_NO_PROFILE = "".join(f" UNION ALL SELECT '{f}', NULL, NULL, NULL, NULL, '{r}'" for f, r in (("MESPRENAT", "treatment"), ("PESO", "outcome"), ("IDADEMAE", "covariate")))
+
+
+@query("v10_roles", "WITH p AS (" + _profile_sql("orders", _ORDER_TYPES) + ") SELECT *, 'covariate' AS role FROM p" + _NO_PROFILE)
 def v10(t):
     rows = [(c, A.role_of(c)) for c in ("MESPRENAT", "PESO", "IDADEMAE", *A.guard_predictors(t.orders.columns))]
     return A.profile(t.orders).join(t.spark.createDataFrame(rows, "field string, role string"), "field", "right")
 
 
-def _profile_sql(table, cols):
-    return " UNION ALL ".join(f"SELECT '{c}' AS field, '{k}' AS type, count(*) FILTER (WHERE {c} IS NULL) AS nulls, round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 4)::DOUBLE AS null_percent, count(DISTINCT {c}) AS \"distinct\" FROM {table}" for c, k in cols)
-
-
 @query("v11_profile", _profile_sql("customer", [("c_custkey", "bigint"), ("c_mktsegment", "string"), ("c_acctbal", "double")]))
 def v11(t):
     return A.profile(t.customer, ["c_custkey", "c_mktsegment", "c_acctbal"])
