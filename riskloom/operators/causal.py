@@ -580,36 +580,36 @@ def welch_anova(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def odds_ratios(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
-    """Odds ratios with Wald intervals from the observed information. The Newton steps sum X'WX over partitions, so the data
-    are never gathered; one small matrix per task and step goes to the driver."""
-    data = df.select(F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    """Odds ratios with Wald intervals from the observed information, on rows without a null among the columns.
+
+    Columns are centred and scaled for the Newton steps, whose sums Spark adds up by place; the driver gets one small matrix a step. Coefficients,
+    information and gradient are those of the columns as they are. A fit that separates its rows, is singular or doesn't come to rest is an error.
+    """
+    data = df.select(F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)]).dropna()
     data = staged(data, "complete")
+    names = [f"__x{i}" for i in range(len(columns))]
     k = len(columns) + 1
-    beta = np.zeros(k)
+    moments = data.agg(F.count("*").alias("n"), *[f(c) for c in names for f in (F.avg, F.stddev_pop)]).first()
+    if not moments["n"]:
+        raise ValueError("no complete rows")
+    mean, spread = np.array(moments[1::2], float), np.array([s or 1.0 for s in moments[2::2]], float)
 
-    def partial(beta):
-        def run(batches):
-            import pandas as pd
-
-            info, score = np.zeros((k, k)), np.zeros(k)
-            for f in batches:
-                x = np.column_stack([np.ones(len(f)), f[list(columns)].to_numpy()])
-                p = 1 / (1 + np.exp(-x @ beta))
-                info += (x * (p * (1 - p))[:, None]).T @ x
-                score += x.T @ (f["__y"].to_numpy() - p)
-            yield pd.DataFrame({"m": [np.concatenate([info.ravel(), score]).tolist()]})
-
-        return run
-
-    for _ in range(50):
-        total = np.sum([row["m"] for row in data.mapInPandas(partial(beta), "m array<double>").collect()], axis=0)
-        info, score = total[: k * k].reshape(k, k), total[k * k :]
-        step = np.linalg.solve(info, score)
-        beta = beta + step
-        if np.abs(step).max() < 1e-10:
-            break
-    se, z = np.sqrt(np.diag(np.linalg.inv(info))), special.normal_quantile(0.975)
-    rows = [(c, float(np.exp(b)), float(np.exp(b - z * s)), float(np.exp(b + z * s)), float(b), float(s), float(np.abs(score).max()), float(np.linalg.cond(info))) for c, b, s in zip(("(intercept)", *columns), beta, se, strict=True)]
+    def sums(arrays, beta, active):
+        z = np.column_stack([np.ones(len(arrays["__y"])), *[(arrays[c] - mean[i]) / spread[i] for i, c in enumerate(names)]])
+        p = fits.logistic(z @ beta[0])
+        yield 0, (z * (p * (1 - p))[:, None]).T @ z, z.T @ (arrays["__y"] - p)
+
+    result = fits.newton(data, ["__y", *names], sums, 1, k, np.zeros((1, k)))
+    if result.converged[0] and np.linalg.cond(result.information[0]) > 1e12:  # columns that others give, or that don't vary
+        result.failure[0] = "singular"
+    raise_failures(result, ["odds ratios"])
+    # scaled row = row @ to_scaled
+    to_scaled = np.diag(np.concatenate([[1.0], 1 / spread]))
+    to_scaled[0, 1:] = -mean / spread
+    back = np.linalg.inv(to_scaled)
+    beta, info, gradient = to_scaled @ result.beta[0], back.T @ result.information[0] @ back, back.T @ result.gradient[0]
+    se, q = np.sqrt(np.diag(to_scaled @ np.linalg.inv(result.information[0]) @ to_scaled.T)), special.normal_quantile(0.975)
+    rows = [(c, float(np.exp(b)), float(np.exp(b - q * s)), float(np.exp(b + q * s)), float(b), float(s), float(np.abs(gradient).max()), float(np.linalg.cond(info))) for c, b, s in zip(("(intercept)", *columns), beta, se, strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, odds_ratio double, low double, high double, coefficient double, se double, gradient double, condition double")
 
 

@@ -180,6 +180,9 @@ class Fits:
     converged: np.ndarray
     steps: np.ndarray
     failure: list[str | None] = field(default_factory=list)
+    #: Information and gradient at a fit's last step, by its place.
+    information: dict[int, np.ndarray] = field(default_factory=dict)
+    gradient: dict[int, np.ndarray] = field(default_factory=dict)
 
 
 def arrays_of(batch, columns: Sequence[str]) -> dict[str, np.ndarray]:
@@ -248,6 +251,8 @@ def newton(rows: DataFrame, columns: Sequence[str], sums: Callable, models: int,
             fresh[m, on] += step
             fits.steps[m] += 1
             fits.converged[m] = bool(np.abs(step).max() < TOLERANCE * max(1.0, np.abs(fresh[m]).max()))
+            if fits.converged[m]:
+                fits.information[m], fits.gradient[m] = info, gradient
         fits.beta = fresh
     for m in range(models):
         # a fit that separates its rows comes to "rest" where probabilities can't change any more

@@ -44,7 +44,7 @@ def s2b(t):
     return io.csv_to_parquet(t.spark, source, target, ["c_custkey", "c_name"]).select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
 
 
-@query("s2_csv_to_parquet")
+@query("s2_csv_to_parquet", "SELECT COLUMNS(*)::VARCHAR FROM customer")
 def s2(t):
     source, target = _scratch(t, "csv"), _scratch(t, "zstd")
     t.customer.write.csv(source, header=True, sep=";")
@@ -172,6 +172,11 @@ def v4(t):
     return A.fingerprint(t.orders, ["o_orderkey"])
 
 
+@query("v4_key_digest", r"SELECT count(*) AS n, sum(('0x' || substr(sha256(o_orderkey || chr(9) || coalesce(o_orderstatus, '\N')), 1, 15))::BIGINT)::VARCHAR AS digest_sum FROM orders")
+def v4b(t):
+    return A.key_digest(t.orders, ["o_orderkey", "o_orderstatus"])
+
+
 @query("v5_key_check", "SELECT count(*) AS n, count(*) FILTER (WHERE o_custkey IS NULL) AS null_keys, count(DISTINCT o_custkey) AS distinct_keys, count(*) - count(*) FILTER (WHERE o_custkey IS NULL) - count(DISTINCT o_custkey) AS duplicate_keys FROM orders")
 def v5(t):
     return A.key_check(t.orders, "o_custkey")

@@ -78,6 +78,29 @@ def c8b(t):
     return C.propensity(t.cohort().where("t is not null"), "t", _NUM, _CAT).agg(F.count("*").alias("n"), F.count("e").alias("scored"), F.round(F.avg("e"), 5).alias("mean_score"))
 
 
+#: Two halves and their product without a penalty: the score is the share of treated in each of the four cells, so SQL can work the fits out.
+_HALVES = {"north": ("region", ("ASIA", "EUROPE")), "built": ("segment", ("BUILDING", "MACHINERY"))}
+_CELLS = ", ".join(f"{column} IN {values}" for column, values in _HALVES.values())
+
+
+def _halved(t):
+    both = t.cohort().withColumns({n: F.col(c).isin(*values).cast("double") for n, (c, values) in _HALVES.items()})
+    return both.withColumn("both", F.col("north") * F.col("built"))
+
+
+def _closed(cells: str) -> str:
+    return f"e AS (SELECT *, avg(t) OVER (PARTITION BY {cells}) AS e FROM base WHERE t IS NOT NULL), cw AS (SELECT *, CASE WHEN t = 1 THEN 1 - e ELSE e END AS w FROM e)"
+
+
+_CLOSED_EFFECTS = ", ".join(f"round(sum(w * y) FILTER (WHERE t = {k}) / sum(w) FILTER (WHERE t = {k}), 6) AS risk_{k}, round(pow(sum(w) FILTER (WHERE t = {k}), 2) / sum(w * w) FILTER (WHERE t = {k}), 4) AS ess_{k}, round(min(e) FILTER (WHERE t = {k}), 6) AS e_min_{k}, round(max(e) FILTER (WHERE t = {k}), 6) AS e_max_{k}" for k in (1, 0))
+_CLOSED_COLUMNS = [f"{c}_{k}" for k in (1, 0) for c in ("risk", "ess", "e_min", "e_max")]
+
+
+@query("c8_closed_form", "WITH {COHORT}, " + _closed(_CELLS) + " SELECT key, t, round(e, 6) AS e FROM e")
+def c8c(t):
+    return C.propensity(_halved(t).where("t is not null"), "t", [*_HALVES, "both"], [], penalty=0.0).select("key", "t", F.round("e", 6).alias("e"))
+
+
 @query("c9_out_of_fold")
 def c9(t):
     return C.out_of_fold(t.cohort().where("t is not null"), "key", "t", _NUM, _CAT, 5).select("key", "t", "fold", F.round("e", 6).alias("e"))
@@ -147,6 +170,12 @@ def c17b(t):
     return C.annual_series(t.cohort(), "year", "t", "y", _NUM, ["segment"]).select("year", "n", "n_1", "n_0", "raw_1", "raw_0", "raw_difference_pp", "error")
 
 
+@query("c17_closed_form", "WITH {COHORT}, " + _closed("year, " + _CELLS) + " SELECT year, " + _CLOSED_EFFECTS + ", 0.0::DOUBLE AS smd_after FROM cw GROUP BY 1")
+def c17c(t):
+    """Overlap weights balance the means of what the score is fitted on exactly."""
+    return C.annual_series(_halved(t), "year", "t", "y", [*_HALVES, "both"], [], penalty=0.0).select("year", *_CLOSED_COLUMNS, "smd_after")
+
+
 @query("c18_bootstrap")
 def c18(t):
     return C.bootstrap(t.cohort(), "t", "y", _CAT, 1000, numeric=_NUM)

@@ -82,6 +82,32 @@ def test_one_group_and_separation_are_errors(spark):
     assert len(loose) == 5 and not any(r["converged"] for r in loose) and all(r["ato_1"] is None for r in loose)
 
 
+def test_odds_ratios_in_any_unit(spark):
+    """Coefficients, errors and gradient are those of the columns as they are, however small or far from zero; nulls leave the row out."""
+    rows = [r for r in sample(3) if r[1] is not None]
+    frame = spark.createDataFrame(rows + [(10_000, None, "a", 1, 1, 2000)], KIND).withColumn("tiny", F.col("x") / 1000 + 5)
+    got = {r["term"]: r for r in C.odds_ratios(frame, "y", ["tiny", "t"]).collect()}
+    z = np.column_stack([np.ones(len(rows)), [r[1] for r in rows], [r[3] for r in rows]])
+    y, beta = np.array([r[4] for r in rows], float), np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ beta))
+        cov = np.linalg.inv((z * (p * (1 - p))[:, None]).T @ z)
+        beta = beta + cov @ z.T @ (y - p)
+    assert abs(got["tiny"]["coefficient"] / (beta[1] * 1000) - 1) < 1e-6 and abs(got["tiny"]["se"] / (cov[1, 1] ** 0.5 * 1000) - 1) < 1e-6
+    assert abs(got["t"]["coefficient"] - beta[2]) < 1e-7 and abs(got["t"]["se"] - cov[2, 2] ** 0.5) < 1e-7
+    assert abs(got["(intercept)"]["coefficient"] - (beta[0] - 5000 * beta[1])) < 1e-3 and got["t"]["gradient"] < 1e-4
+    assert abs(got["t"]["high"] / got["t"]["odds_ratio"] / np.exp(1.959963984540054 * cov[2, 2] ** 0.5) - 1) < 1e-7
+
+
+def test_odds_ratios_that_do_not_exist_are_errors(spark):
+    apart = spark.createDataFrame([(i, float(i), "a", int(i >= 50), i % 2, 2000) for i in range(100)], KIND)
+    for y, columns in (("t", ["x"]), ("y", ["x", "x2"]), ("y", ["one"])):
+        with pytest.raises(RuntimeError, match="didn't converge"):
+            C.odds_ratios(apart.withColumn("x2", F.col("x") * 2).withColumn("one", F.lit(1.0)), y, columns)
+    with pytest.raises(ValueError, match="no complete rows"):
+        C.odds_ratios(apart.where("false"), "t", ["x"])
+
+
 def ato(rows, weight):
     """Overlap-weighted and raw risks of weighted rows; numbers are standardised with the weights, missing ones have the whole sample's median."""
     m = design(rows)(rows)
