@@ -37,6 +37,8 @@ SHINGLE, PERCENT = 5, 75
 BUCKET_BITS, PART_BITS = 22, 16
 #: A column with more entries than this is split when rows without a partner are dropped.
 HOT_ROWS = 20_000
+#: Tables of counts that one group adds up.
+FAN_IN = 64
 #: Passes that merge components before the last product.
 PASSES = 2
 #: Bits of the map of documents that verification reads (2 MB at most, in parts of 4 KB).
@@ -44,16 +46,17 @@ MAP_BITS = 1 << 24
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One pass: rows with ``doc_id, n, sig, sig2`` per document (two digests of its set), and rows with ``part, counts`` per task."""
+    """One pass: rows with ``doc_id, n, sig, sig2`` per document (two digests of its set), and rows with ``part, task, counts`` per task."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
         from riskloom.llm.shingles import groups_of, mix, shingle_sets
 
         counts, held = np.zeros(1 << BUCKET_BITS, np.uint32), []
-        names = ["doc_id", "n", "sig", "sig2", "part", "counts"]
+        names = ["doc_id", "n", "sig", "sig2", "part", "task", "counts"]
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -68,20 +71,20 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 sums2 = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
                 sig, sig2 = (mix(s[at[1:]] - s[at[:-1]]).view(np.int64) for s in (sums, sums2))
                 k = b - a
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, k), pa.array(np.diff(at)), pa.array(sig), pa.array(sig2), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, k), pa.array(np.diff(at)), pa.array(sig), pa.array(sig2), *[pa.nulls(k, pa.int32())] * 2, pa.nulls(k, pa.binary())], names)
         if held:
             counts += np.bincount(np.concatenate(held), minlength=1 << BUCKET_BITS).astype(np.uint32)
         parts = [zlib.compress(p.tobytes(), 1) for p in counts.reshape(-1, 1 << PART_BITS)]
         k = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), *[pa.nulls(k, pa.int64())] * 3, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), *[pa.nulls(k, pa.int64())] * 3, pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int32()), pa.array(parts, pa.binary())], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sig long, sig2 long, part int, counts binary")
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, sig long, sig2 long, part int, task int, counts binary")
 
 
 def shingle_rarity(described: DataFrame):
     """From the counts of all tasks: a code for each of 2**22 buckets on a logarithmic scale, the buckets with columns to split, and
-    into how many parts each. Parts are summed in two steps and coded where they are summed, so the driver gets 4 MB of codes, whatever the size of the corpus."""
+    into how many parts each. Parts are summed in a tree, ``FAN_IN`` tables a group, and coded where the last are summed: no group and no driver gets more as the corpus grows."""
     import numpy as np
 
     total = described.where("part is null").agg(F.sum("n")).first()[0] or 0
@@ -99,7 +102,7 @@ def shingle_rarity(described: DataFrame):
     def once(frame):
         import pandas as pd
 
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [zlib.compress(add(frame).tobytes(), 1)]})
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "task": frame["task"].iloc[:1], "counts": [zlib.compress(add(frame).tobytes(), 1)]})
 
     def coded(frame):
         import numpy as np
@@ -110,8 +113,11 @@ def shingle_rarity(described: DataFrame):
         hot = np.flatnonzero(counts >= usual + HOT_ROWS)  # over all parts fewer than all entries over HOT_ROWS, and at most 2**22
         return pd.DataFrame({"part": frame["part"].iloc[:1], "codes": [codes.tobytes()], "hot": [hot.tolist()], "splits": [((counts[hot] - usual) // HOT_ROWS).tolist()]})
 
-    parts = described.where("part is not null").select("part", "counts", (F.spark_partition_id() / 64).cast("int").alias("salt"))
-    summed = parts.groupBy("part", "salt").applyInPandas(lambda frame: once(frame), "part int, counts binary")
+    summed = described.where("part is not null").select("part", "task", "counts")
+    tables = 1 + (described.agg(F.max("task")).first()[0] or 0)
+    while tables > FAN_IN:
+        summed = summed.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInPandas(lambda frame: once(frame), "part int, task int, counts binary")
+        tables = -(-tables // FAN_IN)
     codes, hot, splits = np.zeros(1 << BUCKET_BITS, np.uint8), [], []
     for r in sorted(summed.groupBy("part").applyInPandas(lambda frame: coded(frame), "part int, codes binary, hot array<int>, splits array<long>").collect(), key=lambda r: r["part"]):
         at = r["part"] << PART_BITS

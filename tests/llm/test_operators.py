@@ -455,6 +455,24 @@ def test_ngram_join(spark, docs, empty):
     assert op8_ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_shingle_counts_add_up_in_a_tree(spark, monkeypatch, empty):
+    """Whatever the number of tables a group adds up, codes and columns to split are the same, and those of all shingles."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(30)) if i % 9 else "one two three four five six") for i in range(120)]
+    described = op8_ngram_join.describe(spark.createDataFrame(rows, "doc_id long, text string").repartition(11)).cache()
+    monkeypatch.setattr(op8_ngram_join, "HOT_ROWS", 6)
+    flat = op8_ngram_join.shingle_rarity(described)
+    monkeypatch.setattr(op8_ngram_join, "FAN_IN", 2)
+    tree = op8_ngram_join.shingle_rarity(described)
+    described.unpersist()
+    assert all(np.array_equal(a, b) for a, b in zip(flat, tree, strict=True))
+    hashes, _ = shingle_sets([t for _, t in rows])
+    counts = np.bincount((hashes >> np.uint64(64 - op8_ngram_join.BUCKET_BITS)).astype(np.int64), minlength=1 << op8_ngram_join.BUCKET_BITS)
+    assert np.array_equal(tree[0], np.minimum(np.log2(counts + 1.0) * 8, 255).astype(np.uint8))
+    assert np.array_equal(tree[1], np.flatnonzero(counts >= 6)) and len(tree[1])
+    assert not op8_ngram_join.shingle_rarity(op8_ngram_join.describe(empty))[0].any()
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["component"] for r in components.connected_components(links).collect()} == {i: 0 for i in range(31)} | {100: 100, 101: 100}
