@@ -121,9 +121,14 @@ def group_index(df: DataFrame, group: str, index: str, size: Column, mode: str)
 
 
 def instances_to_group(df: DataFrame, keys: Sequence[str], probability: str, label: str, threshold: float = 0.5, order: str | None = None) -> DataFrame:
-    """Mean and deviation of the probability (none: 0), count, first label, positive rate, label by threshold."""
+    """Mean and deviation of the probability (none: 0), count, first label, positive rate, label by threshold.
+
+    A mean that is the threshold, or all but, is told by exact decimal sums, so that the order of rows has no say.
+    """
     p = F.avg(probability)
-    return df.groupBy(*keys).agg(r(p, 6).alias("prob"), r(F.coalesce(F.stddev_samp(probability), F.lit(0.0)), 6).alias("prob_sd"), F.count("*").alias("n"), F.min_by(label, order or label).alias("label"), r(F.avg(F.col(label).cast("double")), 6).alias("positive_rate"), (p >= threshold).cast("int").alias("predicted"))
+    exact = F.sum(F.col(probability).try_cast("decimal(24,18)") - F.lit(str(threshold)).cast("decimal(24,18)"))
+    predicted = F.when(F.abs(p - threshold) < 1e-12, exact >= 0).otherwise(p >= threshold)
+    return df.groupBy(*keys).agg(r(p, 6).alias("prob"), r(F.coalesce(F.stddev_samp(probability), F.lit(0.0)), 6).alias("prob_sd"), F.count("*").alias("n"), F.min_by(label, order or label).alias("label"), r(F.avg(F.col(label).cast("double")), 6).alias("positive_rate"), predicted.cast("int").alias("predicted"))
 
 
 def group_sizes(df: DataFrame, by: Sequence[str], group: str) -> DataFrame:

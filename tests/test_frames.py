@@ -216,3 +216,17 @@ def test_ranking_metrics_of_many_rows(spark):
     df = spark.range(200_000).selectExpr("id % 1000 / 1000.0d as s", "cast(id % 2 as int) as y")
     got = ranking_metrics(df, "s", "y").first()  # positives times negatives exceed 32 bits
     assert abs(got["auc"] - 0.501) < 1e-6
+
+
+def test_a_mean_on_the_threshold_counts_in_any_order(spark):
+    """The mean of these is 0.5, though a sum of doubles falls short of it in some orders."""
+    from functools import reduce
+    from itertools import permutations
+    from operator import add
+
+    from riskloom.operators import aggregates as G
+
+    rows = [(g, k, p, 1) for g, order in enumerate(permutations([0.601941748, 0.737864078, 0.611650485, 0.048543689])) for k, p in enumerate(order)]
+    df = spark.createDataFrame(rows, "g int, k int, p double, y int").coalesce(1)
+    assert any(reduce(add, order) / 4 < 0.5 for order in permutations([0.601941748, 0.737864078, 0.611650485, 0.048543689]))
+    assert {x["predicted"] for x in G.instances_to_group(df, ["g"], "p", "y", 0.5, "k").collect()} == {1}
