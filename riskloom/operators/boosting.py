@@ -1,7 +1,7 @@
 """M8: gradient boosting of histograms, grown leaf by leaf, with missing values as a way of their own and splits of categories.
 
-Numbers are cut once into bins of equal count of the training rows; from then on a row is a few small codes. A scan adds up, for each open leaf, column and
-code, gradients, Hessians and counts; Spark sums them by place and the driver, which gets a histogram for each leaf and column, looks for
+Numbers are cut once into bins of equal count of the training rows; from then on a row is a few small codes, and rows with equal codes and label are one
+row with their number and weight, so scans grow with the distinct codes. A scan adds up, for each open leaf, column and code, gradients, Hessians and counts; Spark sums them by place and the driver, which gets a histogram for each leaf and column, looks for
 the best splits. Trees grow by gain: a scan is made only for leaves whose children the order of gains needs next, and for all of them together, so a
 tree takes about as many scans as it is deep. A part of the rows, chosen by hash within each class, is left out of growth and
 says when to stop.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.audit import unpivoted
-from riskloom.operators.fits import arrays_of, logistic
+from riskloom.operators.fits import arrays_of, blocks, logistic, packed, unpacked
 from riskloom.operators.ordered import cut_points
 from riskloom.sources.staging import staged
 
@@ -158,27 +158,27 @@ def best_split(hist: list[np.ndarray], numeric: int, l2: float, least_rows: int)
 
 
 def histograms(rows: DataFrame, model: Trees, tree: list[Node], wanted: Sequence[int], label: str, weight: str | None, summed: int = 0) -> tuple[dict[int, list[np.ndarray]], float, float]:
-    """Histograms of the wanted leaves of a growing tree over the training rows; loss and weight of the rows that are left out. ``__raw`` of the rows holds
-    the first score and the sum of the first ``summed`` trees."""
+    """Histograms of the wanted leaves of a growing tree over the training rows (in blocks); loss and weight of the rows that are left out. ``__raw`` of the rows holds
+    the first score and the sum of the first ``summed`` trees, ``__n`` how many rows they stand for, and the weight is that of all of them."""
     sizes = model.sizes
     ends = np.cumsum([3 * s for s in sizes])
     length = int(ends[-1])
     slot = np.full(len(tree), -1)
     slot[list(wanted)] = np.arange(len(wanted))
     codes = [f"__b{i}" for i in range(len(sizes))]
-    fields = [*codes, label, "__held", "__raw", *([weight] if weight else [])]
+    fields = [*codes, label, "__held", "__raw", "__n", *([weight] if weight else [])]
     root = list(wanted) == [0]
 
     def run(batches):
         import pyarrow as pa
 
         total = np.zeros(len(wanted) * length + 2)
-        for batch in batches:
+        found = [np.zeros((3, len(wanted) * s)) for s in sizes]
+        for batch in unpacked(batches):
             a = arrays_of(batch, fields)
-            if not batch.num_rows:
-                continue
             b = [a[c] for c in codes]
-            y, w = a[label].astype(float), a[weight] if weight else np.ones(batch.num_rows)
+            y, n = a[label].astype(float), a["__n"].astype(float)
+            w = a[weight] if weight else n
             p = logistic(a["__raw"] + model.raw(b, summed))
             held = a["__held"] == 1
             if root and held.any():
@@ -187,17 +187,20 @@ def histograms(rows: DataFrame, model: Trees, tree: list[Node], wanted: Sequence
                 total[-1] += w[held].sum()
             at = slot[leaves(tree, b)]
             on = np.flatnonzero((at >= 0) & ~held)
+            at, p, y, w, n = at[on], p[on], y[on], w[on], n[on]
+            values = (w * (p - y), w * p * (1 - p), n)
             for j, s in enumerate(sizes):
-                place = at[on] * s + b[j][on]
-                for k, v in enumerate((w[on] * (p[on] - y[on]), w[on] * p[on] * (1 - p[on]), np.ones(len(on)))):
-                    got = np.bincount(place, v, len(wanted) * s).reshape(len(wanted), s)
-                    for i in range(len(wanted)):
-                        begin = i * length + int(ends[j]) - 3 * s
-                        total[begin + k : begin + 3 * s : 3] += got[i]
+                place = at * s + b[j][on]
+                for k, v in enumerate(values):
+                    found[j][k] += np.bincount(place, v, len(wanted) * s)
+        for j, s in enumerate(sizes):
+            for i in range(len(wanted)):
+                begin = i * length + int(ends[j]) - 3 * s
+                total[begin : begin + 3 * s] = found[j][:, i * s : (i + 1) * s].T.ravel()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "value"])
 
-    got = rows.select(*fields).mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    got = rows.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
     total = np.zeros(len(wanted) * length + 2)
     total[got["place"].to_numpy()] = got["value"].to_numpy()
     out = {}
@@ -261,17 +264,17 @@ def grown(rows: DataFrame, model: Trees, label: str, weight: str | None, rate: f
 
 def with_sums(rows: DataFrame, model: Trees, summed: int) -> DataFrame:
     """Adds the trees from ``summed`` on to ``__raw``."""
-    codes, names = [f"__b{i}" for i in range(len(model.columns))], rows.columns
+    codes = [f"__b{i}" for i in range(len(model.columns))]
 
-    def run(batches):
+    def added(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in unpacked(batches):
             a = arrays_of(batch, [*codes, "__raw"])
             raw = pa.array(a["__raw"] + model.raw([a[c] for c in codes], summed))
-            yield pa.RecordBatch.from_arrays([raw if n == "__raw" else batch.column(i) for i, n in enumerate(names)], names)
+            yield batch.set_column(batch.schema.get_field_index("__raw"), "__raw", raw)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lambda batches: packed(added(batches)), rows.schema)
 
 
 def fit_boosting(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, key: str, weight: str | None = None, iterations: int = 100, rate: float = 0.1, most_leaves: int = 15, least_rows: int = 100, l2: float = 1.0, bins: int = 255, held_out: float = 0.1, patience: int = 10, seed: int = 42) -> Trees:
@@ -302,13 +305,14 @@ def fit_boosting(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
             got = model.codes(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, got)], ["__w", "__y", "__held", *[f"__b{i}" for i in range(len(got))]])
 
-    rows = staged(plain.mapInArrow(code, "__w double, __y double, __held int" + "".join(f", __b{i} int" for i in range(len(model.columns)))), "codes")
+    coded = plain.mapInArrow(code, "__w double, __y double, __held int" + "".join(f", __b{i} int" for i in range(len(model.columns))))
+    rows = staged(coded.groupBy("__y", "__held", *[f"__b{i}" for i in range(len(model.columns))]).agg(F.sum("__w").alias("__w"), F.count("*").alias("__n")), "codes")
     total, positive = rows.where("__held = 0").agg(F.sum("__w"), F.sum(F.col("__w") * F.col("__y"))).first()
     if not total or not 0 < positive < total:
         raise ValueError("training rows need both classes")
     model.base = float(np.log(positive / (total - positive)))
     best, at, summed = np.inf, 0, 0
-    rows = rows.withColumn("__raw", F.lit(model.base))
+    rows = blocks(rows.withColumn("__raw", F.lit(model.base)), "codes")
     for k in range(iterations + 1):
         if len(model.trees) - summed == RESTAGE:
             # rows take their sums along, so that a scan looks at few trees however many there are

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.audit import unpivoted
 from riskloom.operators.ordered import prefix_sums, value_counts, with_totals
+from riskloom.sources.staging import staged
 
 #: Rows of a task's arrays that are worked on at a time.
 SLICE = 8192
@@ -196,6 +197,32 @@ def arrays_of(batch, columns: Sequence[str]) -> dict[str, np.ndarray]:
     return out
 
 
+def packed(batches):
+    """Each Arrow batch as one value: a compressed stream of its own."""
+    import pyarrow as pa
+
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+
+def unpacked(batches):
+    """The batches that ``packed`` has made values of."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for block in batch.column(0):
+            yield from pa.ipc.open_stream(block.as_buffer())
+
+
+def blocks(df: DataFrame, label: str = "blocks") -> DataFrame:
+    """A written table of Arrow batches of ``df``. Scans that read the same rows many times get a few thousand rows as one value, where turning each
+    row into Arrow's columns anew would take most of their time."""
+    return staged(df.mapInArrow(packed, "block binary"), label)
+
+
 def newton(rows: DataFrame, columns: Sequence[str], sums: Callable, models: int, width: int, ridge: np.ndarray, used: np.ndarray | None = None, start: np.ndarray | None = None) -> Fits:
     """Newton steps of ``models`` fits until each has come to rest.
 
@@ -206,6 +233,7 @@ def newton(rows: DataFrame, columns: Sequence[str], sums: Callable, models: int,
     size = len(upper[0]) + width
     fits = Fits(np.zeros((models, width)) + (0.0 if start is None else start), np.zeros(models, bool), np.zeros(models, int), [None] * models)
     used = np.ones((models, width), bool) if used is None else used
+    rows = blocks(rows.select(*columns))
     for _ in range(MOST_STEPS):
         active = ~fits.converged & np.array([f is None for f in fits.failure], bool)
         if not active.any():
@@ -216,7 +244,7 @@ def newton(rows: DataFrame, columns: Sequence[str], sums: Callable, models: int,
             import pyarrow as pa
 
             total: dict[int, np.ndarray] = {}
-            for batch in batches:
+            for batch in unpacked(batches):
                 for at in range(0, batch.num_rows, SLICE):
                     for m, info, gradient in sums(arrays_of(batch.slice(at, SLICE), columns), beta, active):
                         flat = np.concatenate([info[upper], gradient])
@@ -225,7 +253,7 @@ def newton(rows: DataFrame, columns: Sequence[str], sums: Callable, models: int,
                 models = np.fromiter(total, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(models, size)), pa.array(np.tile(np.arange(size, dtype=np.int32), len(models))), pa.array(np.concatenate(list(total.values())))], ["model", "place", "value"])
 
-        got = rows.select(*columns).mapInArrow(run, "model int, place int, value double").groupBy("model", "place").agg(F.sum("value").alias("value")).toArrow()
+        got = rows.mapInArrow(run, "model int, place int, value double").groupBy("model", "place").agg(F.sum("value").alias("value")).toArrow()
         flat = np.zeros((models, size))
         flat[got["model"].to_numpy(), got["place"].to_numpy()] = got["value"].to_numpy()
         fresh = beta.copy()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import boosting as B, evaluate as E
+from riskloom.operators.fits import blocks
 from riskloom.plans.base import Tables
 from riskloom.sources.staging import new_path
 
@@ -188,3 +189,17 @@ def test_bootstrap_intervals_hold_the_estimates(spark):
     s = t.scored().limit(3000)
     got = {r["metric"]: r for r in E.bootstrap_intervals(s, "grp", "p", "label", 200).collect()}
     assert sorted(got) == sorted(E.METRICS) and all(r["low"] <= r["estimate"] <= r["high"] and r["valid"] <= r["replicates"] == 200 for r in got.values())
+
+
+def test_rows_with_equal_codes_are_scanned_as_one(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(B, "blocks", lambda df, label: seen.append(df.agg(F.count("*").alias("rows"), F.sum("__n").alias("n"), F.sum("__w").alias("w")).first()) or blocks(df, label))
+    df = spark.createDataFrame([(k, float(k % 4), int(k % 4 > 1) if k % 7 else k % 2, 0.5) for k in range(400)], "key long, x double, y int, w double")
+    model = B.fit_boosting(df, ["x"], [], "y", "key", "w", iterations=2, most_leaves=3, least_rows=90, held_out=0.0)
+    assert seen[0]["rows"] <= 8 and seen[0]["n"] == 400 and seen[0]["w"] == 200.0
+    assert model.trees[0][0].n == 400 and model.trees[0][0].hessian == pytest.approx(200 * model_prior(model.base))
+
+
+def model_prior(base):
+    p = 1 / (1 + math.exp(-base))
+    return p * (1 - p)
