@@ -584,7 +584,8 @@ def nested_probabilities(df: DataFrame, key: str, label: str, sets: Mapping[str,
     known = df.where(F.col(label).isNotNull())
     columns = list(dict.fromkeys(c for x in sets.values() for c in x))
     numeric = [c for c in columns if c not in categorical]
-    data = fits.encoded(staged(stratified_folds(known, key, label, folds).withColumn("__g", F.col("fold")), "folds"), numeric, [c for c in columns if c in categorical], drop_first=True)
+    dealt_rows = stratified_folds(known.select(*dict.fromkeys([key, label, *columns])), key, label, folds)
+    data = fits.encoded(staged(dealt_rows.withColumn("__g", F.col("fold")), "folds"), numeric, [c for c in columns if c in categorical], drop_first=True)
     names = [(k, n) for k in range(folds) for n in sets]
     result, preps = fits.fit_models(data, [fits.Model(frozenset(range(folds)) - {k}, label, frozenset(sets[n])) for k, n in names], penalty=0.0)
     if bad := [f"{n}, fold {k}: {f}" for (k, n), f in zip(names, result.failure, strict=True) if f is not None]:

@@ -348,9 +348,30 @@ def score(data: Encoded, prep: Preparation, beta: np.ndarray) -> Column:
 
 
 def score_by_group(data: Encoded, fits: Fits, preps: Sequence[Preparation], model_of: dict[int, int]) -> Column:
-    """The probability of the fit that ``model_of`` names for a row's group; null for a fit that failed and for other groups."""
-    out = F.lit(None).cast("double")
-    for g, m in model_of.items():
-        if fits.failure[m] is None:
-            out = F.when(F.col("__g") == g, score(data, preps[m], fits.beta[m])).otherwise(out)
-    return out
+    """The probability of the fit that ``model_of`` names for a row's group; null for a fit that failed and for other groups.
+
+    One formula takes its numbers from arrays by group: one for each group would be a method too long for the JVM to compile.
+    """
+    groups = [g for g, m in model_of.items() if fits.failure[m] is None]
+    if not groups:
+        return F.lit(None).cast("double")
+    place = F.array_position(F.array(*map(F.lit, groups)), F.col("__g").cast("int")) - 1
+
+    def own(value: Callable, at: Column = place) -> Column:
+        return F.get(F.array(*[F.lit(float(v)) for g in groups for v in np.atleast_1d(value(model_of[g]))]), at.cast("int"))
+
+    z, at = own(lambda m: fits.beta[m][0]), 1
+    for i in range(len(data.numeric)):
+        x = F.col(f"__x{i}")
+        z = z + (F.coalesce(x, own(lambda m, i=i: preps[m].fill[i])) - own(lambda m, i=i: preps[m].mean[i])) / own(lambda m, i=i: preps[m].spread[i]) * own(lambda m, at=at: fits.beta[m][at]) + F.when(x.isNull(), own(lambda m, at=at: fits.beta[m][at + 1])).otherwise(0.0)
+        at += 2
+    for j, levels in enumerate(data.levels):
+        skipped = min(int(data.drop_first), len(levels))
+        if levels:
+            mode = own(lambda m, j=j: preps[m].mode[j])
+            code = F.when(F.col(f"__c{j}") < 0, mode).otherwise(F.col(f"__c{j}"))
+            values = lambda m, at=at, k=len(levels), skipped=skipped: np.concatenate([np.zeros(skipped), fits.beta[m][at : at + k - skipped]])
+            # -1 is outside: groups without a fit have no value
+            z = z + own(values, F.when(place >= 0, place * len(levels) + code).otherwise(-1))
+        at += len(levels) - skipped
+    return 1.0 / (1.0 + F.exp(-z))

@@ -228,3 +228,17 @@ def test_doubly_robust_estimate_equals_numpy(spark):
     weights = {(r["population"], r["arm"]): r for r in tables.weights().collect()}
     w = np.array([1 / np.clip(a[1], 0.01, 0.99) for a in arm if a[0] == 1])
     assert abs(weights["sem_trimming", 1]["p99"] - np.quantile(w, 0.99)) < 1e-4 and abs(weights["sem_trimming", 1]["ess"] - w.sum() ** 2 / (w**2).sum()) < 1e-2
+
+
+def test_scores_by_group_equal_scores_of_each_fit(spark):
+    df = spark.createDataFrame([(0, 1.0, "a"), (0, None, "b"), (2, 3.0, None), (2, -1.0, "a"), (1, 1.0, "a"), (7, 1.0, "b"), (None, 1.0, "b")], "__g int, x double, c string")
+    for drop_first in (False, True):
+        data = fits.encoded(df, ["x"], ["c"], drop_first)
+        width = len(data.names)
+        result = fits.Fits(np.linspace(-1, 1, 3 * width).reshape(3, width), np.ones(3, bool), np.ones(3, int), [None, None, "singular"])
+        preps = [fits.Preparation([0.5], [0.25], [2.0], [1]), fits.Preparation([-1.0], [0.1], [0.5], [0]), fits.Preparation([0.0], [0.0], [1.0], [0])]
+        both = fits.score_by_group(data, result, preps, {0: 0, 2: 1, 1: 2})
+        each = [fits.score(data, preps[m], result.beta[m]) for m in (0, 1)]
+        rows = data.rows.select("__g", both.alias("p"), each[0].alias("p0"), each[1].alias("p1")).collect()
+        assert [r["p"] for r in rows] == [{0: r["p0"], 2: r["p1"]}.get(r["__g"]) for r in rows] and sum(r["p"] is None for r in rows) == 3
+        assert len(both._jc.toString()) > 0 and len(fits.score_by_group(data, result, preps, {g: g % 2 for g in range(40)})._jc.toString()) < 40 * len(each[0]._jc.toString())
