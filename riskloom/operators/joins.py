@@ -48,8 +48,19 @@ def lookup(df: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(small(dimension), list(keys), "left")
 
 
+#: Rows that a task joins, where a join sets its number of tasks by its input.
+TASK_ROWS = 1_000_000
+
+
 def propagate_group(members: DataFrame, groups: DataFrame, key: str, value: str) -> DataFrame:
-    """A group's assignment for each member; a member without one is an error."""
+    """A group's assignment for each member; a member without one is an error.
+
+    The number of tasks follows the number of rows, so that a task's memory doesn't.
+    """
+    rows = members.count() + groups.count()
+    if rows > TASK_ROWS:
+        tasks = max(-(-rows // TASK_ROWS), members.sparkSession.sparkContext.defaultParallelism)
+        members, groups = members.repartition(tasks, key), groups.repartition(tasks, key)
     j = members.join(groups, key, "left")
     return j.withColumn(value, F.coalesce(F.col(value), F.raise_error(F.concat(F.lit("group isn't assigned: "), F.col(key).cast("string"))).cast(dict(groups.dtypes)[value])))
 

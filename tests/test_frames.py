@@ -230,3 +230,13 @@ def test_a_mean_on_the_threshold_counts_in_any_order(spark):
     df = spark.createDataFrame(rows, "g int, k int, p double, y int").coalesce(1)
     assert any(reduce(add, order) / 4 < 0.5 for order in permutations([0.601941748, 0.737864078, 0.611650485, 0.048543689]))
     assert {x["predicted"] for x in G.instances_to_group(df, ["g"], "p", "y", 0.5, "k").collect()} == {1}
+
+
+def test_tasks_of_propagation_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(J, "TASK_ROWS", 50)
+    members = spark.range(1000).select((F.col("id") % 500).alias("g"), "id")
+    groups = spark.range(500).select(F.col("id").alias("g"), F.concat(F.lit("s"), "id").alias("split"))
+    got = J.propagate_group(members, groups, "g", "split").withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 1000 and all(r["split"] == f"s{r['g']}" for r in got)
+    per = [sum(r["task"] == t for r in got) for t in {r["task"] for r in got}]
+    assert len(per) > 15 and max(per) < 150
