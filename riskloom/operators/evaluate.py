@@ -13,6 +13,7 @@ from riskloom.functions import bands, special
 from riskloom.operators.aggregates import cumulative_share, r
 from riskloom.operators.audit import long_rows, unpivoted
 from riskloom.operators.boosting import Trees, fit_boosting
+from riskloom.operators.dealing import ArrayScore, dealt_aucs
 from riskloom.operators.joins import small
 from riskloom.operators.ordered import prefix_sums, quantile_list, quantiles, score_table, with_global_rank, with_group_rank, with_totals
 from riskloom.sources.staging import staged
@@ -430,16 +431,23 @@ def dealt(place: Column, n: int, salt: Column) -> Column:
 
 
 def permutation_importance(score, df: DataFrame, columns: Sequence[str], label: str, key: str, repeats: int = 10, seed: int = 3) -> DataFrame:
-    """Mean and deviation of the fall of the AUC over ``repeats`` dealings of each column's values. ``score``: frame to frame with column ``p``.
+    """Mean and deviation of the fall of the AUC over ``repeats`` dealings of each column's values. ``score``: frame to frame with column ``p``,
+    or an ``ArrayScore``.
 
-    Rows get dense places once; a dealing is a keyed permutation of places, so it needs no sort. All columns and repeats are rows of one frame,
-    which is scored once, and their AUCs come from one set of running sums.
+    Rows get dense places once; a dealing is a keyed permutation of places, so it needs no sort. With a function of frames all columns and repeats are
+    rows of one frame, which is scored once, and their AUCs come from one set of running sums. With an ``ArrayScore`` (numeric columns) the
+    same dealings go through blocks of numbers (``dealing``).
     """
     known = df.where(F.col(label).isNotNull()).select(key, label, *columns)
     ranked, n = with_global_rank(known, [key], "__r")
     if not n:
         return df.sparkSession.createDataFrame([], "variable string, auc_drop double, sd double, repeats long")
     ranked = ranked.withColumn("__r", F.col("__r") - 1)
+    if isinstance(score, ArrayScore):
+        salts = [[c * repeats + k + seed * 1_000_003 for k in range(repeats)] for c in range(len(columns))]
+        aucs = dealt_aucs(ranked, n, "__r", columns, label, salts, score)
+        place = F.when(F.col("deal") < 0, F.lit(-1)).otherwise(F.floor(F.col("deal") / repeats)).cast("int")
+        return _auc_drops(staged(aucs.select(place.alias("__column"), r(F.col("auc"), 6).alias("auc")), "dealings"), columns)
     # for each row, column and repeat the place that the column's value is taken from; -1 is the frame as it is
     jobs = F.array(F.struct(F.lit(-1).alias("__c"), F.lit(0).alias("__k")), *[F.struct(F.lit(c).alias("__c"), F.lit(k).alias("__k")) for c in range(len(columns)) for k in range(repeats)])
     long = ranked.select(label, *columns, "__r", F.inline(jobs))
@@ -450,6 +458,11 @@ def permutation_importance(score, df: DataFrame, columns: Sequence[str], label:
     joined = long.join(source, F.col("__from") == F.col("__s"))
     frame = joined.select(F.col("__c").alias("__column"), F.col("__k").alias("__repeat"), label, *[F.when(F.col("__c") == i, F.col(f"__v{i}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)])
     found = staged(grouped_auc(score(frame), ["__column", "__repeat"], "p", label), "dealings")
+    return _auc_drops(found, columns)
+
+
+def _auc_drops(found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean and deviation by column of how far the AUCs of ``found`` lie below that of column -1."""
     base = found.where("__column = -1").select(F.col("auc").alias("__base"))
     drop = F.col("__base") - F.col("auc")
     names = F.array(*map(F.lit, columns))
@@ -567,6 +580,17 @@ def score_model(model, df: DataFrame, columns: Sequence[str], name: str = "p") -
     return model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction", *[f"__f{i}" for i in range(len(columns))])
 
 
+def array_score(model, columns: Sequence[str]) -> ArrayScore:
+    """The probability of a fitted ``logistic`` model as a function of arrays; missing values have the model's medians."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    imputed, last = model.stages[0], model.stages[-1]
+    if not isinstance(last, LogisticRegressionModel):
+        raise ValueError("only logistic models score arrays")
+    missing = imputed.transform(SparkSession.active().range(1).select(*[F.lit(None).cast("double").alias(c) for c in columns])).first()
+    return ArrayScore(tuple(missing[f"__f{i}"] for i in range(len(columns))), tuple(map(float, last.coefficients)), float(last.intercept))
+
+
 def score_saved(spark: SparkSession, path: str, df: DataFrame, columns: Sequence[str], name: str = "p") -> DataFrame:
     from pyspark.ml import PipelineModel
 

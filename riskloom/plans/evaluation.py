@@ -268,7 +268,7 @@ def m26(t):
 def m27(t):
     s = t.scored().drop("p")
     model = E.fit_model(s, "logistic", _FEATURES, "label")
-    return E.permutation_importance(lambda d: E.score_model(model, d, _FEATURES), s, _FEATURES, "label", "key")
+    return E.permutation_importance(E.array_score(model, _FEATURES), s, _FEATURES, "label", "key")
 
 
 @query("m28_consolidated_importance", "WITH a AS (SELECT CASE WHEN c_nationkey >= 20 THEN 'REST' ELSE c_mktsegment END AS variable, count(*) AS x FROM customer GROUP BY 1), b AS (SELECT CASE WHEN c_acctbal > 5000 THEN c_mktsegment ELSE 'POOR' END AS variable, count(*) AS y FROM customer GROUP BY 1), j AS (SELECT coalesce(a.variable, b.variable) AS variable, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b ON a.variable = b.variable), i AS (SELECT *, round((x / max(x) OVER () + y / max(y) OVER ()) / 2, 6) AS importance FROM j) SELECT *, row_number() OVER (ORDER BY importance DESC, variable)::INTEGER AS place FROM i")

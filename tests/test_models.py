@@ -203,3 +203,41 @@ def test_rows_with_equal_codes_are_scanned_as_one(spark, monkeypatch):
 def model_prior(base):
     p = 1 / (1 + math.exp(-base))
     return p * (1 - p)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 97, 1000])
+def test_dealing_over_arrays_is_that_of_columns(spark, n):
+    from riskloom.operators.dealing import Dealing
+
+    for salt in (7, 3_000_009):
+        want = spark.range(n).select("id", E.dealt(F.col("id"), n, F.lit(salt)).alias("d")).orderBy("id").toPandas().d.to_numpy()
+        deal = Dealing(n, salt)
+        assert deal.source(np.arange(n)).tolist() == want.tolist()
+        assert deal.target(want).tolist() == list(range(n))
+
+
+def test_importance_of_arrays_is_that_of_frames(spark, monkeypatch):
+    from riskloom.operators import dealing
+
+    # blocks, sendings and ranges of a few rows
+    monkeypatch.setattr(dealing, "BLOCK", 70)
+    monkeypatch.setattr(dealing, "RANGE_ROWS", 90)
+    monkeypatch.setattr(dealing, "SENT_CELLS", 900)
+    df, _ = frame(spark, 600)  # x has missing values
+    df = df.withColumn("z", F.round("z", 1))
+    model = E.fit_model(df, "logistic", ["x", "z"], "y")
+    frames = E.permutation_importance(lambda d: E.score_model(model, d, ["x", "z"]), df, ["x", "z"], "y", "key", 3)
+    arrays = E.permutation_importance(E.array_score(model, ["x", "z"]), df, ["x", "z"], "y", "key", 3)
+    got, want = ({r["variable"]: r for r in found.collect()} for found in (arrays, frames))
+    assert sorted(got) == sorted(want) == ["x", "z"]
+    for c in want:
+        assert got[c]["auc_drop"] == pytest.approx(want[c]["auc_drop"], abs=1e-12) and got[c]["sd"] == pytest.approx(want[c]["sd"], abs=1e-12) and got[c]["repeats"] == 3
+
+
+def test_importance_doesnt_multiply_rows(spark, monkeypatch):
+    # the queries' model goes through blocks: no frame of all dealings is made
+    monkeypatch.setattr(E, "dealt", None)
+    from riskloom.plans import queries
+
+    got = {r["variable"]: r["repeats"] for r in queries()["m27_permutation_importance"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {"qty": 10, "price": 10, "discount": 10}
