@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.audit import unpivoted
-from riskloom.operators.fits import arrays_of, blocks, logistic, packed, unpacked
+from riskloom.operators.fits import arrays_of, blocks, logistic, packed, unpacked, unpacked_values
 from riskloom.operators.ordered import cut_points
 from riskloom.sources.staging import staged
 
@@ -26,6 +26,8 @@ from riskloom.sources.staging import staged
 RESTAGE = 10
 #: Smallest Hessian of a side of a split, and what smooths the order of categories.
 LEAST_HESSIAN, CATEGORY_SMOOTHING = 1e-3, 10.0
+#: Partial sums of a scan that go to the driver as they are; more are summed in a tree first.
+MOST_PARTS = 64
 
 
 @dataclass
@@ -159,7 +161,9 @@ def best_split(hist: list[np.ndarray], numeric: int, l2: float, least_rows: int)
 
 def histograms(rows: DataFrame, model: Trees, tree: list[Node], wanted: Sequence[int], label: str, weight: str | None, summed: int = 0) -> tuple[dict[int, list[np.ndarray]], float, float]:
     """Histograms of the wanted leaves of a growing tree over the training rows (in blocks); loss and weight of the rows that are left out. ``__raw`` of the rows holds
-    the first score and the sum of the first ``summed`` trees, ``__n`` how many rows they stand for, and the weight is that of all of them."""
+    the first score and the sum of the first ``summed`` trees, ``__n`` how many rows they stand for, and the weight is that of all of them.
+
+    A fit has hundreds of short scans, so they run as jobs on the table's RDD: its plan is made once, and tasks get only the trees that rows lack."""
     sizes = model.sizes
     ends = np.cumsum([3 * s for s in sizes])
     length = int(ends[-1])
@@ -167,19 +171,18 @@ def histograms(rows: DataFrame, model: Trees, tree: list[Node], wanted: Sequence
     slot[list(wanted)] = np.arange(len(wanted))
     codes = [f"__b{i}" for i in range(len(sizes))]
     fields = [*codes, label, "__held", "__raw", "__n", *([weight] if weight else [])]
-    root = list(wanted) == [0]
-
-    def run(batches):
-        import pyarrow as pa
+    root, wanted = list(wanted) == [0], list(wanted)
+    recent = Trees([], [], [], [], 0.0, model.trees[summed:])
 
+    def run(part):
         total = np.zeros(len(wanted) * length + 2)
         found = [np.zeros((3, len(wanted) * s)) for s in sizes]
-        for batch in unpacked(batches):
+        for batch in unpacked_values(x[0] for x in part):
             a = arrays_of(batch, fields)
             b = [a[c] for c in codes]
             y, n = a[label].astype(float), a["__n"].astype(float)
             w = a[weight] if weight else n
-            p = logistic(a["__raw"] + model.raw(b, summed))
+            p = logistic(a["__raw"] + recent.raw(b))
             held = a["__held"] == 1
             if root and held.any():
                 q = np.clip(p[held], 1e-15, 1 - 1e-15)
@@ -197,12 +200,10 @@ def histograms(rows: DataFrame, model: Trees, tree: list[Node], wanted: Sequence
             for i in range(len(wanted)):
                 begin = i * length + int(ends[j]) - 3 * s
                 total[begin : begin + 3 * s] = found[j][:, i * s : (i + 1) * s].T.ravel()
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "value"])
+        yield total
 
-    got = rows.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-    total = np.zeros(len(wanted) * length + 2)
-    total[got["place"].to_numpy()] = got["value"].to_numpy()
+    parts = rows.rdd.mapPartitions(run)
+    total = parts.treeReduce(np.add) if parts.getNumPartitions() > MOST_PARTS else sum(parts.collect(), np.zeros(len(wanted) * length + 2))
     out = {}
     for i, node in enumerate(wanted):
         flat = total[i * length : (i + 1) * length]

@@ -543,19 +543,26 @@ def class_weights(df: DataFrame, label: str, name: str = "w") -> DataFrame:
 MODELS = ("logistic", "forest", "boosting", "histogram")
 
 
-def imputer(df: DataFrame, columns: Sequence[str]):
-    """A stage that copies columns to ``__f0, ...`` with exact medians in the place of missing values; the medians are part of the saved model."""
-    from pyspark.ml.feature import SQLTransformer
-
+def feature_medians(df: DataFrame, columns: Sequence[str], label: str) -> dict[str, float]:
+    """Exact medians of the columns over the rows with a label: what models of the same rows put in the place of missing values."""
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"features are missing: {missing}")
-    middle = {x["variable"]: x["q0"] for x in quantiles(df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]), [], columns, (0.5,)).collect()}
+    df = df.where(F.col(label).isNotNull())
+    return {x["variable"]: x["q0"] for x in quantiles(df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]), [], columns, (0.5,)).collect()}
+
+
+def imputer(columns: Sequence[str], middle: Mapping[str, float]):
+    """A stage that copies columns to ``__f0, ...`` with medians in the place of missing values; the medians are part of the saved model."""
+    from pyspark.ml.feature import SQLTransformer
+
     filled = ", ".join(f"coalesce(nanvl(cast(`{c}` AS double), cast(NULL AS double)), cast({middle.get(c, 0.0)!r} AS double)) AS `__f{i}`" for i, c in enumerate(columns))
     return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
 
 
-def fit_model(df: DataFrame, kind: str, columns: Sequence[str], label: str, weight: str | None = None, key: str | None = None, **options):
-    """M8: a pipeline of median imputation, assembler and classifier, or boosting of histograms (``histogram``, which needs the unique ``key``)."""
+def fit_model(df: DataFrame, kind: str, columns: Sequence[str], label: str, weight: str | None = None, key: str | None = None, medians: Mapping[str, float] | None = None, **options):
+    """M8: a pipeline of median imputation, assembler and classifier, or boosting of histograms (``histogram``, which needs the unique ``key``).
+
+    ``medians``: what ``feature_medians`` gives, for several models of the same rows; without it they are found here."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -565,7 +572,7 @@ def fit_model(df: DataFrame, kind: str, columns: Sequence[str], label: str, weig
     common = {"featuresCol": "__x", "labelCol": label} | ({"weightCol": weight} if weight else {})
     model = {"logistic": lambda: LogisticRegression(**common, **({"maxIter": 100} | options)), "forest": lambda: RandomForestClassifier(**common, **({"numTrees": 20, "maxDepth": 5, "seed": 1} | options)), "boosting": lambda: GBTClassifier(**common, **({"maxIter": 10, "maxDepth": 3, "seed": 1} | options))}[kind]()
     known = df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
-    return Pipeline(stages=[imputer(known, columns), VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__x", handleInvalid="error"), model]).fit(known)
+    return Pipeline(stages=[imputer(columns, feature_medians(df, columns, label) if medians is None else medians), VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__x", handleInvalid="error"), model]).fit(known)
 
 
 def score_model(model, df: DataFrame, columns: Sequence[str], name: str = "p") -> DataFrame:

@@ -208,13 +208,18 @@ def packed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
 
 
-def unpacked(batches):
-    """The batches that ``packed`` has made values of."""
+def unpacked_values(values):
+    """The batches of single values that ``packed`` has made."""
     import pyarrow as pa
 
+    for value in values:
+        yield from pa.ipc.open_stream(pa.py_buffer(value))
+
+
+def unpacked(batches):
+    """The batches that ``packed`` has made values of."""
     for batch in batches:
-        for block in batch.column(0):
-            yield from pa.ipc.open_stream(block.as_buffer())
+        yield from unpacked_values(block.as_buffer() for block in batch.column(0))
 
 
 def blocks(df: DataFrame, label: str = "blocks") -> DataFrame:

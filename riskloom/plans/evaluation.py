@@ -81,9 +81,10 @@ def m7b(t):
 @query("m8_models")
 def m8(t):
     s = E.class_weights(t.scored().drop("p"), "label")
+    medians = E.feature_medians(s, _FEATURES, "label")
     out = None
     for kind in E.MODELS:
-        row = E.ranking_metrics(E.score_model(E.fit_model(s, kind, _FEATURES, "label", "w", "key"), s, _FEATURES), "p", "label").withColumn("model", F.lit(kind))
+        row = E.ranking_metrics(E.score_model(E.fit_model(s, kind, _FEATURES, "label", "w", "key", medians), s, _FEATURES), "p", "label").withColumn("model", F.lit(kind))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -241,3 +241,25 @@ def test_importance_doesnt_multiply_rows(spark, monkeypatch):
 
     got = {r["variable"]: r["repeats"] for r in queries()["m27_permutation_importance"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {"qty": 10, "price": 10, "discount": 10}
+
+
+def test_scans_of_boosting_make_no_plans(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df, _ = frame(spark, 400)
+    calls, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    fit = lambda: B.fit_boosting(df, ["x", "z"], ["c"], "y", "key", iterations=5, most_leaves=7, least_rows=15, held_out=0.0)
+    model = fit()
+    assert len(model.trees) == 5 and len(calls) <= 8
+    monkeypatch.setattr(B, "MOST_PARTS", 0)  # partial sums in a tree
+    for a, b in zip(model.trees, fit().trees, strict=True):
+        assert [n.value for n in a] == pytest.approx([n.value for n in b])
+
+
+def test_medians_are_shared_by_models(spark, monkeypatch):
+    df, _ = frame(spark, 300)
+    medians = E.feature_medians(df, ["x", "z"], "y")
+    own = E.array_score(E.fit_model(df, "logistic", ["x", "z"], "y"), ["x", "z"])
+    monkeypatch.setattr(E, "quantiles", None)
+    assert E.array_score(E.fit_model(df, "logistic", ["x", "z"], "y", medians=medians), ["x", "z"]) == own
