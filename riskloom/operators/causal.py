@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -323,6 +324,8 @@ RISKS = ("raw_1", "raw_0", "ato_1", "ato_0")
 MEASURES = (*RISKS, "raw_difference_pp", "ato_difference_pp", "raw_ratio", "ato_ratio")
 #: Means of Poisson draws up to which tables are made.
 _TABLED = 64
+#: First bits of a uniform number that tell most draws; what stands for a range with several counts.
+_GUIDE_BITS, _OPEN = 16, 255
 #: Replicates times cells of one slice of a task.
 _SLICE_CELLS = 1 << 20
 
@@ -338,14 +341,28 @@ def multiplicities(ids: np.ndarray, n: np.ndarray, replicates: int, seed: int) -
             for i in here:
                 out[i] = np.random.Generator(np.random.Philox(key=[np.uint64(seed), ids[i]])).poisson(m, replicates)
             continue
-        # small means: a uniform number for each cell and replicate, looked up in the distribution's table
-        k = np.arange(int(m) + 60)
-        table = np.cumsum(np.exp(k * math.log(m) - m - np.cumsum(np.log(np.maximum(k, 1)))))
+        # small means: a uniform number for each cell and replicate, looked up in the distribution's table; most are told by their first bits
+        table, guide = _poisson_table(int(m))
         x = ids[here][:, None] ^ _mixed(np.arange(replicates, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32))[None, :]
-        out[here] = np.searchsorted(table[table < 1 - 1e-13], (_mixed(x) >> np.uint64(11)) * 2.0**-53, side="right")
+        x = _mixed(x) >> np.uint64(11)
+        drawn = guide[(x >> np.uint64(53 - _GUIDE_BITS)).view(np.int64)]
+        open_ = np.flatnonzero(drawn == _OPEN)
+        drawn.ravel()[open_] = np.searchsorted(table, x.ravel()[open_] * 2.0**-53, side="right")
+        out[here] = drawn
     return out
 
 
+@cache
+def _poisson_table(mean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the counts of a Poisson law end, and the count of each range of uniform numbers with equal first bits (``_OPEN``: it has several)."""
+    k = np.arange(mean + 60)
+    table = np.cumsum(np.exp(k * math.log(mean) - mean - np.cumsum(np.log(np.maximum(k, 1)))))
+    table = table[table < 1 - 1e-13]
+    edges = np.arange((1 << _GUIDE_BITS) + 1) / (1 << _GUIDE_BITS)
+    low, high = np.searchsorted(table, edges[:-1], side="right"), np.searchsorted(table, edges[1:], side="left")
+    return table, np.where(low == high, low, _OPEN).astype(np.uint8)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """64 bits well stirred, by two rounds of shift and multiplication."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -382,7 +399,10 @@ def bootstrap(df: DataFrame, t: str, y: str, columns: Sequence[str], replicates:
     else:
         rows = rows.withColumn("__cluster", F.lit(-1))
     by = ["__cluster", *data.columns(), t, y]
-    cells = staged(rows.groupBy(*by).agg(F.count("*").alias("__n")).withColumn("__id", F.xxhash64(*by)), "cells")
+    # a cell costs far more than its bytes tell: a number of tasks that isn't cut by size
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = staged(rows.groupBy(*by).agg(F.count("*").alias("__n")).withColumn("__id", F.xxhash64(*by)).repartition(tasks, "__id"), "cells")
     fields = [*data.columns(), "__cluster", "__id", "__n", t, y]
     shape, width = fits.Encoded(None, data.numeric, data.categorical, data.levels, data.drop_first), len(data.names)
     upper = np.triu_indices(width)

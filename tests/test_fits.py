@@ -1,5 +1,7 @@
 """Joint fits against NumPy: folds without leaks, replicates, years, doubly robust estimates."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +244,24 @@ def test_scores_by_group_equal_scores_of_each_fit(spark):
         rows = data.rows.select("__g", both.alias("p"), each[0].alias("p0"), each[1].alias("p1")).collect()
         assert [r["p"] for r in rows] == [{0: r["p0"], 2: r["p1"]}.get(r["__g"]) for r in rows] and sum(r["p"] is None for r in rows) == 3
         assert len(both._jc.toString()) > 0 and len(fits.score_by_group(data, result, preps, {g: g % 2 for g in range(40)})._jc.toString()) < 40 * len(each[0]._jc.toString())
+
+
+def test_draws_by_first_bits_are_those_of_the_table():
+    rng = np.random.default_rng(0)
+    ids, n = rng.integers(-(2**63), 2**63 - 1, 400), rng.integers(1, 65, 400)
+    n[:100] = 1
+    drawn = C.multiplicities(ids, n, 200, 11)
+    for i in range(400):
+        k = np.arange(int(n[i]) + 60)
+        table = np.cumsum(np.exp(k * math.log(n[i]) - n[i] - np.cumsum(np.log(np.maximum(k, 1)))))
+        x = ids[i : i + 1].view(np.uint64) ^ C._mixed(np.arange(200, dtype=np.uint64) + np.uint64(11) * np.uint64(1 << 32))
+        want = np.searchsorted(table[table < 1 - 1e-13], (C._mixed(x) >> np.uint64(11)) * 2.0**-53, side="right")
+        assert (drawn[i] == want).all()
+
+
+def test_cells_of_a_bootstrap_lie_in_many_tasks(spark, monkeypatch):
+    seen, plain = [], C.staged
+    monkeypatch.setattr(C, "staged", lambda df, label: seen.append((label, df.rdd.getNumPartitions())) or plain(df, label))
+    df = spark.range(400).selectExpr("int(id % 2) AS t", "int(id % 3 = 0) AS y", "double(id % 50) AS x", "string(id % 4) AS c")
+    C.bootstrap(df, "t", "y", ["c"], 20, numeric=["x"])
+    assert dict(seen)["cells"] >= spark.sparkContext.defaultParallelism
