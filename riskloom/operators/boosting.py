@@ -9,11 +9,12 @@ says when to stop.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ RESTAGE = 10
 LEAST_HESSIAN, CATEGORY_SMOOTHING = 1e-3, 10.0
 #: Partial sums of a scan that go to the driver as they are; more are summed in a tree first.
 MOST_PARTS = 64
+#: Models with no more combinations of codes than this have their scores in a table that is made once.
+FEW_CELLS = 1 << 18
 
 
 @dataclass
@@ -37,6 +40,8 @@ class Split:
     column: int
     left: np.ndarray
     gain: float
+    #: Gradient, Hessian and count of the two sides.
+    sides: tuple[np.ndarray, np.ndarray]
 
 
 @dataclass
@@ -47,11 +52,13 @@ class Node:
     split: Split | None = None
     children: tuple[int, int] | None = None
     value: float = 0.0
+    depth: int = 0
 
 
 @dataclass
 class Trees:
-    """A fitted model: how columns become codes, the first score and the trees."""
+    """A fitted model: how columns become codes, the first score and the trees. A missing number has a code of its own, or the value that ``fills`` gives
+    its column. Trees with ``votes`` hold probabilities, and their mean is the model's."""
 
     numeric: list[str]
     categorical: list[str]
@@ -60,6 +67,8 @@ class Trees:
     base: float
     trees: list[list[Node]] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
+    fills: dict[str, float] = field(default_factory=dict)
+    votes: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -72,7 +81,7 @@ class Trees:
 
     def plain(self, df: DataFrame) -> DataFrame:
         """Adds numbers as ``__x0, ...`` and places of categories as ``__c0, ...``."""
-        out = {f"__x{i}": F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for i, c in enumerate(self.numeric)}
+        out = {f"__x{i}": known_number(c, self.fills) for i, c in enumerate(self.numeric)}
         for j, c in enumerate(self.categorical):
             place = F.array_position(F.array(*map(F.lit, self.levels[j])).cast("array<string>"), F.col(f"`{c}`").cast("string"))
             out[f"__c{j}"] = F.when(place > 0, place - 1).otherwise(len(self.levels[j])).cast("int")
@@ -96,23 +105,53 @@ class Trees:
             out += np.array([n.value for n in tree])[leaves(tree, codes)]
         return out
 
+    def probability(self, codes: list[np.ndarray]) -> np.ndarray:
+        raw = self.raw(codes)
+        return raw / len(self.trees) if self.votes else logistic(self.base + raw)
+
+    def table(self, spark: SparkSession) -> np.ndarray | None:
+        """The probability of each combination of codes, if they are few: rows look it up then and go through no tree."""
+        sizes = self.sizes
+        cells = math.prod(sizes)
+        if not sizes or cells > FEW_CELLS:
+            return None
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(self.probability([c.astype(np.int32) for c in np.unravel_index(at, sizes)]))], ["id", "p"])
+
+        found = spark.range(cells).mapInArrow(run, "id long, p double").toArrow()
+        out = np.empty(cells)
+        out[found.column("id").to_numpy()] = found.column("p").to_numpy()
+        return out
+
     def score(self, df: DataFrame, name: str = "p") -> DataFrame:
         """Probability for every row, whatever is missing in it."""
         if missing := [c for c in self.columns if c not in df.columns]:
             raise ValueError(f"features are missing: {missing}")
-        inputs = self.inputs()
+        inputs, sizes, table = self.inputs(), self.sizes, self.table(df.sparkSession)
 
         def run(batches):
             import pyarrow as pa
 
             for batch in batches:
-                p = logistic(self.base + self.raw(self.codes(batch)))
+                codes = self.codes(batch)
+                p = self.probability(codes) if table is None else table[np.ravel_multi_index(codes, sizes)]
                 keep = [i for i, n in enumerate(batch.schema.names) if n not in inputs]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(p)], [*[batch.schema.names[i] for i in keep], name])
 
         return self.plain(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
+def known_number(c: str, fills: Mapping[str, float]) -> Column:
+    """A column as a double without NaN; what is missing has its value of ``fills``, if there is one."""
+    x = F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+    return F.coalesce(x, F.lit(float(fills[c]))) if c in fills else x
+
+
 def leaves(tree: list[Node], codes: list[np.ndarray]) -> np.ndarray:
     """The node that each row ends in. Children come after their parent."""
     at = np.zeros(len(codes[0]), np.int32)
@@ -123,11 +162,12 @@ def leaves(tree: list[Node], codes: list[np.ndarray]) -> np.ndarray:
     return at
 
 
-def best_split(hist: list[np.ndarray], numeric: int, l2: float, least_rows: int) -> Split | None:
+def best_split(hist: list[np.ndarray], numeric: int, l2: float, least_rows: int, among: Sequence[int] | None = None) -> Split | None:
     """The split of a leaf with the largest gain; of equal ones that of the first column and the first cut. ``hist``: for each column a row for each
-    code, with gradient, Hessian and count."""
+    code, with gradient, Hessian and count; ``among``: the columns that are tried."""
     best = None
-    for c, h in enumerate(hist):
+    for c in range(len(hist)) if among is None else sorted(among):
+        h = hist[c]
         whole = h.sum(axis=0)
         missing, seen = h[-1], h[:-1]
         if c < numeric:
@@ -148,14 +188,15 @@ def best_split(hist: list[np.ndarray], numeric: int, l2: float, least_rows: int)
             fine = (left[:, 2] >= least_rows) & (right[:, 2] >= least_rows) & (left[:, 1] >= LEAST_HESSIAN) & (right[:, 1] >= LEAST_HESSIAN)
             if not fine.any():
                 continue
-            gain = np.where(fine, left[:, 0] ** 2 / (left[:, 1] + l2) + right[:, 0] ** 2 / (right[:, 1] + l2) - whole[0] ** 2 / (whole[1] + l2), -np.inf)
+            with np.errstate(divide="ignore", invalid="ignore"):  # of sides that aren't fine
+                gain = np.where(fine, left[:, 0] ** 2 / (left[:, 1] + l2) + right[:, 0] ** 2 / (right[:, 1] + l2) - whole[0] ** 2 / (whole[1] + l2), -np.inf)
             at = int(np.argmax(gain))
             if gain[at] > 1e-12 and (best is None or gain[at] > best.gain * (1 + 1e-12)):
                 flags = np.zeros(len(h), bool)
                 flags[order[: at + 1]] = True
                 if missing_left:
                     flags[-1] = True
-                best = Split(c, flags, float(gain[at]))
+                best = Split(c, flags, float(gain[at]), (left[at], right[at]))
     return best
 
 
@@ -211,11 +252,11 @@ def histograms(rows: DataFrame, model: Trees, tree: list[Node], wanted: Sequence
     return out, float(total[-2]), float(total[-1])
 
 
-def chosen(tree: list[Node], most_leaves: int) -> tuple[set[int], list[int]]:
-    """Which nodes are split if the largest gain goes first, as far as gains are known, and the leaves whose children aren't known though they
-    would be split next."""
+def chosen(tree: list[Node], most_leaves: int) -> tuple[set[int], list[int], int | None]:
+    """Which nodes are split if the largest gain goes first, as far as gains are known, the leaves whose children aren't known though they
+    would be split next, and the node whose split fills the tree."""
     split: set[int] = set()
-    open_, unknown = [0], []
+    open_, unknown, top = [0], [], None
     while len(split) + 1 < most_leaves:
         able = [i for i in open_ if tree[i].split is not None]
         if not able:
@@ -227,30 +268,43 @@ def chosen(tree: list[Node], most_leaves: int) -> tuple[set[int], list[int]]:
             unknown.append(top)
         else:
             open_ += tree[top].children
-    return split, unknown
+    return split, unknown, top if len(split) + 1 == most_leaves else None
 
 
-def grown(rows: DataFrame, model: Trees, label: str, weight: str | None, rate: float, most_leaves: int, least_rows: int, l2: float, summed: int) -> tuple[list[Node], float, float]:
-    """One tree, best gain first; also loss and weight of the held-out rows before it."""
+def with_children(tree: list[Node], i: int) -> tuple[int, int]:
+    """Adds the two sides of a node's split, with their sums."""
+    tree[i].children = (len(tree), len(tree) + 1)
+    tree += [Node(float(g), float(h), int(n), depth=tree[i].depth + 1) for g, h, n in tree[i].split.sides]
+    return tree[i].children
 
-    def node(hist):
+
+def grown(rows: DataFrame, model: Trees, label: str, weight: str | None, rate: float, most_leaves: int, least_rows: int, l2: float, summed: int, depth: int | None = None) -> tuple[list[Node], float, float]:
+    """One tree, best gain first; also loss and weight of the held-out rows before it. Leaves that can't be split further aren't scanned: their sums are those
+    of a side of their parent's split."""
+
+    def find(i, hist):
         g, h, n = hist[0].sum(axis=0)
-        return Node(float(g), float(h), int(n), best_split(hist, len(model.numeric), l2, least_rows))
+        tree[i].gradient, tree[i].hessian, tree[i].n = float(g), float(h), int(n)
+        tree[i].split = best_split(hist, len(model.numeric), l2, least_rows)
 
-    hist, loss, held = histograms(rows, model, [Node(0.0, 0.0, 0)], [0], label, weight, summed)
-    tree = [node(hist[0])]
+    tree = [Node(0.0, 0.0, 0)]
+    hist, loss, held = histograms(rows, model, tree, [0], label, weight, summed)
+    find(0, hist[0])
     while True:
-        split, unknown = chosen(tree, most_leaves)
+        split, unknown, last = chosen(tree, most_leaves)
         if not unknown:
             break
         wanted = []
         for i in unknown:
-            tree[i].children = (len(tree), len(tree) + 1)
-            wanted += [len(tree), len(tree) + 1]
-            tree += [Node(0.0, 0.0, 0), Node(0.0, 0.0, 0)]
-        found, _, _ = histograms(rows, model, tree, wanted, label, weight, summed)
-        for i in wanted:
-            tree[i] = node(found[i])
+            if i == last and len(unknown) > 1:
+                continue  # what is found about the others may put another in its place
+            both = with_children(tree, i)
+            if i != last and (depth is None or tree[i].depth + 1 < depth):
+                wanted += both
+        if wanted:
+            found, _, _ = histograms(rows, model, tree, wanted, label, weight, summed)
+            for i in wanted:
+                find(i, found[i])
     # splits that were looked at but lost are undone; nodes keep their order and get new places
     keep, out = [0], []
     for i in keep:
@@ -259,7 +313,7 @@ def grown(rows: DataFrame, model: Trees, label: str, weight: str | None, rate: f
     places = {i: k for k, i in enumerate(keep)}
     for i in keep:
         x = tree[i]
-        out.append(Node(x.gradient, x.hessian, x.n, x.split if i in split else None, tuple(places[c] for c in x.children) if i in split else None, -rate * x.gradient / (x.hessian + l2) if i not in split else 0.0))
+        out.append(Node(x.gradient, x.hessian, x.n, x.split if i in split else None, tuple(places[c] for c in x.children) if i in split else None, -rate * x.gradient / (x.hessian + l2) if i not in split else 0.0, x.depth))
     return out, loss, held
 
 
@@ -278,26 +332,17 @@ def with_sums(rows: DataFrame, model: Trees, summed: int) -> DataFrame:
     return rows.mapInArrow(lambda batches: packed(added(batches)), rows.schema)
 
 
-def fit_boosting(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, key: str, weight: str | None = None, iterations: int = 100, rate: float = 0.1, most_leaves: int = 15, least_rows: int = 100, l2: float = 1.0, bins: int = 255, held_out: float = 0.1, patience: int = 10, seed: int = 42) -> Trees:
-    """Trees until the held-out loss hasn't fallen for ``patience`` of them, or ``iterations``; trees after the best one are dropped.
-
-    ``held_out`` of 0 turns early stopping off. Rows without a label are no training rows; missing features are values of their own.
-    """
-    known = df.where(F.col(f"`{label}`").isNotNull()).withColumn("__y", F.col(f"`{label}`").cast("double"))
-    # a fixed share of each class by hash: the same rows in every run
-    held = (F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(seed)), F.lit(1_000_000)) < int(held_out * 1_000_000)).cast("int")
-    known = known.withColumn("__held", held)
+def coded(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], weight: str | None, bins: int, fills: Mapping[str, float]) -> tuple[Trees, DataFrame]:
+    """A model without trees and the rows as ``__w, __y, __held`` and codes ``__b0, ...``. ``df`` has ``__y`` and ``__held``; rows that are held out have no say
+    in the edges."""
     levels = [[] for _ in categorical]
     if categorical:
-        for variable, value in unpivoted(known, categorical).where("value is not null").distinct().collect():  # few
+        for variable, value in unpivoted(df, categorical).where("value is not null").distinct().collect():  # few
             levels[list(categorical).index(variable)].append(value)
-    edges = {}
-    if numeric:
-        train = known.where("__held = 0").select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in numeric])
-        edges = cut_points(train, numeric, bins)
-    model = Trees(list(numeric), list(categorical), [edges[c] for c in numeric], [sorted(x) for x in levels], 0.0)
+    edges = cut_points(df.where("__held = 0").select(*[known_number(c, fills).alias(c) for c in numeric]), numeric, bins) if numeric else {}
+    model = Trees(list(numeric), list(categorical), [edges[c] for c in numeric], [sorted(x) for x in levels], 0.0, fills=dict(fills))
     w = F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)
-    plain = model.plain(known).select(w.alias("__w"), "__y", "__held", *model.inputs())
+    plain = model.plain(df).select(w.alias("__w"), "__y", "__held", *model.inputs())
 
     def code(batches):
         import pyarrow as pa
@@ -306,19 +351,37 @@ def fit_boosting(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
             got = model.codes(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, got)], ["__w", "__y", "__held", *[f"__b{i}" for i in range(len(got))]])
 
-    coded = plain.mapInArrow(code, "__w double, __y double, __held int" + "".join(f", __b{i} int" for i in range(len(model.columns))))
-    rows = staged(coded.groupBy("__y", "__held", *[f"__b{i}" for i in range(len(model.columns))]).agg(F.sum("__w").alias("__w"), F.count("*").alias("__n")), "codes")
+    return model, plain.mapInArrow(code, "__w double, __y double, __held int" + "".join(f", __b{i} int" for i in range(len(model.columns))))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of few rows that many scans read, in at least as many parts as tasks run at a time."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
+
+
+def fit_boosting(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, key: str | None, weight: str | None = None, iterations: int = 100, rate: float = 0.1, most_leaves: int = 15, least_rows: int = 100, l2: float = 1.0, bins: int = 255, held_out: float = 0.1, patience: int = 10, seed: int = 42, depth: int | None = None, fills: Mapping[str, float] | None = None) -> Trees:
+    """Trees until the held-out loss hasn't fallen for ``patience`` of them, or ``iterations``; trees after the best one are dropped.
+
+    ``held_out`` of 0 turns early stopping off, and no ``key`` is needed then. Rows without a label are no training rows; missing features are values of
+    their own, or those of ``fills``. ``depth`` bounds the splits above a leaf.
+    """
+    known = df.where(F.col(f"`{label}`").isNotNull()).withColumn("__y", F.col(f"`{label}`").cast("double"))
+    # a fixed share of each class by hash: the same rows in every run
+    held = (F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(seed)), F.lit(1_000_000)) < int(held_out * 1_000_000)).cast("int") if held_out else F.lit(0)
+    model, rows = coded(known.withColumn("__held", held), numeric, categorical, weight, bins, fills or {})
+    rows = staged(rows.groupBy("__y", "__held", *[f"__b{i}" for i in range(len(model.columns))]).agg(F.sum("__w").alias("__w"), F.count("*").alias("__n")), "codes")
     total, positive = rows.where("__held = 0").agg(F.sum("__w"), F.sum(F.col("__w") * F.col("__y"))).first()
     if not total or not 0 < positive < total:
         raise ValueError("training rows need both classes")
     model.base = float(np.log(positive / (total - positive)))
     best, at, summed = np.inf, 0, 0
-    rows = blocks(rows.withColumn("__raw", F.lit(model.base)), "codes")
-    for k in range(iterations + 1):
+    rows = blocks(spread(rows).withColumn("__raw", F.lit(model.base)), "codes")
+    for k in range(iterations + 1 if held_out else iterations):  # the last round finds the loss only
         if len(model.trees) - summed == RESTAGE:
             # rows take their sums along, so that a scan looks at few trees however many there are
             rows, summed = staged(with_sums(rows, model, summed), "codes"), len(model.trees)
-        tree, loss, left_out = grown(rows, model, "__y", "__w", rate, most_leaves if k < iterations else 1, least_rows, l2, summed)
+        tree, loss, left_out = grown(rows, model, "__y", "__w", rate, most_leaves if k < iterations else 1, least_rows, l2, summed, depth)
         if left_out:
             model.losses.append(loss / left_out)
             if model.losses[-1] < best - 1e-7:

@@ -14,6 +14,7 @@ from riskloom.operators.aggregates import cumulative_share, r
 from riskloom.operators.audit import long_rows, unpivoted
 from riskloom.operators.boosting import Trees, fit_boosting
 from riskloom.operators.dealing import ArrayScore, dealt_aucs
+from riskloom.operators.forest import fit_forest
 from riskloom.operators.joins import small
 from riskloom.operators.ordered import prefix_sums, quantile_list, quantiles, score_table, with_global_rank, with_group_rank, with_totals
 from riskloom.sources.staging import staged
@@ -560,19 +561,27 @@ def imputer(columns: Sequence[str], middle: Mapping[str, float]):
 
 
 def fit_model(df: DataFrame, kind: str, columns: Sequence[str], label: str, weight: str | None = None, key: str | None = None, medians: Mapping[str, float] | None = None, **options):
-    """M8: a pipeline of median imputation, assembler and classifier, or boosting of histograms (``histogram``, which needs the unique ``key``).
+    """M8: a pipeline of median imputation, assembler and logistic regression; or forest or boosting of trees on rows with medians in the place of missing
+    values, or boosting of histograms (``histogram``, which needs the unique ``key``), all over codes of 255 bins a column.
 
     ``medians``: what ``feature_medians`` gives, for several models of the same rows; without it they are found here."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     if kind == "histogram":
         return fit_boosting(df, columns, [], label, key, weight, **options)
+    middle = feature_medians(df, columns, label) if medians is None else medians
+    fills = {c: middle.get(c, 0.0) for c in columns}
+    if kind == "forest":
+        return fit_forest(df, columns, label, weight, **({"trees": 300, "depth": 6, "least_rows": 50, "fills": fills} | options))
+    if kind == "boosting":
+        return fit_boosting(df, columns, [], label, key, weight, **({"iterations": 250, "rate": 0.05, "depth": 3, "most_leaves": 8, "least_rows": 1, "l2": 0.0, "held_out": 0.0, "fills": fills} | options))
+    if kind != "logistic":
+        raise ValueError(f"unknown kind of model: {kind}")
     common = {"featuresCol": "__x", "labelCol": label} | ({"weightCol": weight} if weight else {})
-    model = {"logistic": lambda: LogisticRegression(**common, **({"maxIter": 100} | options)), "forest": lambda: RandomForestClassifier(**common, **({"numTrees": 20, "maxDepth": 5, "seed": 1} | options)), "boosting": lambda: GBTClassifier(**common, **({"maxIter": 10, "maxDepth": 3, "seed": 1} | options))}[kind]()
     known = df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
-    return Pipeline(stages=[imputer(columns, feature_medians(df, columns, label) if medians is None else medians), VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__x", handleInvalid="error"), model]).fit(known)
+    return Pipeline(stages=[imputer(columns, middle), VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__x", handleInvalid="error"), LogisticRegression(**common, **({"maxIter": 100} | options))]).fit(known)
 
 
 def score_model(model, df: DataFrame, columns: Sequence[str], name: str = "p") -> DataFrame:

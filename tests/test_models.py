@@ -263,3 +263,64 @@ def test_medians_are_shared_by_models(spark, monkeypatch):
     own = E.array_score(E.fit_model(df, "logistic", ["x", "z"], "y"), ["x", "z"])
     monkeypatch.setattr(E, "quantiles", None)
     assert E.array_score(E.fit_model(df, "logistic", ["x", "z"], "y", medians=medians), ["x", "z"]) == own
+
+
+def test_forest_and_boosting_have_all_their_trees(spark, monkeypatch):
+    df, _ = frame(spark, 100)
+    monkeypatch.setattr(E, "fit_forest", lambda *a, **k: k["trees"], raising=False)
+    monkeypatch.setattr(E, "fit_boosting", lambda *a, **k: k["iterations"])
+    assert E.fit_model(df, "forest", ["x", "z"], "y") == 300 and E.fit_model(df, "boosting", ["x", "z"], "y") == 250
+
+
+def test_forest_equals_growth_in_one_process(spark):
+    from riskloom.operators import forest as O
+
+    df, rows = frame(spark, 600)  # x has missing values
+    df = df.withColumn("w", F.when(F.col("y") == 1, 1.5).otherwise(0.75))
+    model = O.fit_forest(df, ["x", "z"], "y", "w", trees=5, depth=3, least_rows=20, bins=8, seed=4, fills={"x": 0.25, "z": 0.0})
+    values = [[0.25 if r[1] is None else r[1] for r in rows], [0.0 if r[2] is None else r[2] for r in rows]]
+    codes = [np.searchsorted(e, v) for e, v in zip(model.edges, values, strict=True)]
+    cells = {}
+    for a, b, r in zip(*codes, rows, strict=True):
+        cells[r[4], a, b] = cells.get((r[4], a, b), 0) + 1
+    y, a, b = (np.array(x) for x in zip(*sorted(cells), strict=True))
+    n, w = np.array([cells[c] for c in sorted(cells)], float), np.where(y == 1, 1.5, 0.75)
+    for t, tree in enumerate(model.trees):
+        k = np.random.default_rng([4, t, 0]).poisson(n)
+        at = B.leaves(tree, [a, b])
+        assert tree[0].n == k.sum() and max(x.depth for x in tree) <= 3 and len(tree) > 3
+        for i, x in enumerate(tree):
+            if x.children is None:
+                on = at == i
+                assert x.n == k[on].sum() >= 20 and x.value == pytest.approx((k * w * y)[on].sum() / (k * w)[on].sum())
+        hist = [np.column_stack([np.bincount(c, v, s) for v in (k * w * y, k * w, k)]) for c, s in zip((a, b), model.sizes, strict=True)]
+        assert tree[0].split.gain == pytest.approx(B.best_split(hist, 2, 0.0, 20).gain)
+    want = np.mean([np.array([x.value for x in tree])[B.leaves(tree, codes)] for tree in model.trees], axis=0)
+    got = {r["key"]: r["p"] for r in model.score(df).collect()}
+    assert np.allclose([got[r[0]] for r in rows], want)
+
+
+def test_resamples_of_cells_are_those_of_rows(spark):
+    from riskloom.operators import forest as O
+
+    df = spark.range(2000).selectExpr("id as key", "double(id % 2) as x", "int(id % 3 = 0) as y")
+    n = np.array([tree[0].n for tree in O.fit_forest(df, ["x"], "y", trees=300, depth=1).trees])
+    # cells drawn whole would spread the sizes 18 times as far
+    assert n.mean() == pytest.approx(2000, abs=15) and 1700 < n.var() < 2400 + 200
+
+
+def test_scores_of_few_codes_come_from_a_table(spark, monkeypatch):
+    df, rows = frame(spark, 300)
+    model = B.fit_boosting(df, ["x", "z"], ["c"], "y", "key", iterations=3, least_rows=20, held_out=0.0, bins=16)
+    table = {r["key"]: r["p"] for r in model.score(df).collect()}
+    assert model.table(spark) is not None
+    monkeypatch.setattr(B, "FEW_CELLS", 0)
+    assert model.table(spark) is None and table == {r["key"]: r["p"] for r in model.score(df).collect()}
+
+
+def test_boosting_to_a_depth_scans_no_last_level(spark, monkeypatch):
+    df, _ = frame(spark, 400)
+    scans, plain = [], B.histograms
+    monkeypatch.setattr(B, "histograms", lambda *a, **k: scans.append(len(a[3])) or plain(*a, **k))
+    model = B.fit_boosting(df, ["x", "z"], [], "y", None, iterations=4, most_leaves=8, depth=3, least_rows=1, l2=0.0, held_out=0.0)
+    assert len(model.trees) == 4 and len(scans) == 12 and all(max(x.depth for x in t) == 3 for t in model.trees)
