@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +69,11 @@ class Trees:
     losses: list[float] = field(default_factory=list)
     fills: dict[str, float] = field(default_factory=dict)
     votes: bool = False
+    #: The rows with a label that it was fitted on and those held out, as cells: ``__y``, codes and the number of rows ``__n``.
+    cells: DataFrame | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"cells": None}  # tasks don't get it
 
     @property
     def columns(self) -> list[str]:
@@ -128,6 +133,20 @@ class Trees:
         out[found.column("id").to_numpy()] = found.column("p").to_numpy()
         return out
 
+    def scored_cells(self, name: str = "p") -> DataFrame:
+        """``__y, __n`` and the probability of each cell of the rows that the model was fitted with: a score is a function of the codes, so measures over
+        rows need no pass over them."""
+        codes = [f"__b{i}" for i in range(len(self.columns))]
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                a = arrays_of(batch, codes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(self.probability([a[c] for c in codes]))], ["__y", "__n", name])
+
+        return self.cells.select(F.col("__y").cast("int").alias("__y"), F.col("__n").cast("long").alias("__n"), *codes).mapInArrow(run, f"__y int, __n long, `{name}` double")
+
     def score(self, df: DataFrame, name: str = "p") -> DataFrame:
         """Probability for every row, whatever is missing in it."""
         if missing := [c for c in self.columns if c not in df.columns]:
@@ -332,17 +351,21 @@ def with_sums(rows: DataFrame, model: Trees, summed: int) -> DataFrame:
     return rows.mapInArrow(lambda batches: packed(added(batches)), rows.schema)
 
 
-def coded(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], weight: str | None, bins: int, fills: Mapping[str, float]) -> tuple[Trees, DataFrame]:
-    """A model without trees and the rows as ``__w, __y, __held`` and codes ``__b0, ...``. ``df`` has ``__y`` and ``__held``; rows that are held out have no say
-    in the edges."""
+def coded(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, key: str | None = None, weight: str | None = None, bins: int = 255, held_out: float = 0.0, seed: int = 42, fills: Mapping[str, float] | None = None) -> Trees:
+    """A model without trees, with its cells: how many rows have a label, weight and codes, ``__y, __held, __w, __b0, ..., __n``. Rows without a label are left
+    out; those that are held out, a fixed share of each class by hash of ``key``, have no say in the edges. Several models may start from it."""
+    known = df.where(F.col(f"`{label}`").isNotNull()).withColumn("__y", F.col(f"`{label}`").cast("double"))
+    # the same rows in every run
+    held = (F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(seed)), F.lit(1_000_000)) < int(held_out * 1_000_000)).cast("int") if held_out else F.lit(0)
+    known, fills = known.withColumn("__held", held), dict(fills or {})
     levels = [[] for _ in categorical]
     if categorical:
-        for variable, value in unpivoted(df, categorical).where("value is not null").distinct().collect():  # few
+        for variable, value in unpivoted(known, categorical).where("value is not null").distinct().collect():  # few
             levels[list(categorical).index(variable)].append(value)
-    edges = cut_points(df.where("__held = 0").select(*[known_number(c, fills).alias(c) for c in numeric]), numeric, bins) if numeric else {}
-    model = Trees(list(numeric), list(categorical), [edges[c] for c in numeric], [sorted(x) for x in levels], 0.0, fills=dict(fills))
+    edges = cut_points(known.where("__held = 0").select(*[known_number(c, fills).alias(c) for c in numeric]), numeric, bins) if numeric else {}
+    model = Trees(list(numeric), list(categorical), [edges[c] for c in numeric], [sorted(x) for x in levels], 0.0, fills=fills)
     w = F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)
-    plain = model.plain(df).select(w.alias("__w"), "__y", "__held", *model.inputs())
+    plain = model.plain(known).select(w.alias("__w"), "__y", "__held", *model.inputs())
 
     def code(batches):
         import pyarrow as pa
@@ -351,7 +374,10 @@ def coded(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], wei
             got = model.codes(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, got)], ["__w", "__y", "__held", *[f"__b{i}" for i in range(len(got))]])
 
-    return model, plain.mapInArrow(code, "__w double, __y double, __held int" + "".join(f", __b{i} int" for i in range(len(model.columns))))
+    codes = [f"__b{i}" for i in range(len(model.columns))]
+    rows = plain.mapInArrow(code, "__w double, __y double, __held int" + "".join(f", {c} int" for c in codes))
+    cells = staged(rows.groupBy("__y", "__held", "__w", *codes).agg(F.count("*").alias("__n")), "cells")
+    return replace(model, cells=cells)
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -360,17 +386,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
-def fit_boosting(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, key: str | None, weight: str | None = None, iterations: int = 100, rate: float = 0.1, most_leaves: int = 15, least_rows: int = 100, l2: float = 1.0, bins: int = 255, held_out: float = 0.1, patience: int = 10, seed: int = 42, depth: int | None = None, fills: Mapping[str, float] | None = None) -> Trees:
+def fit_boosting(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, key: str | None, weight: str | None = None, iterations: int = 100, rate: float = 0.1, most_leaves: int = 15, least_rows: int = 100, l2: float = 1.0, bins: int = 255, held_out: float = 0.1, patience: int = 10, seed: int = 42, depth: int | None = None, fills: Mapping[str, float] | None = None, start: Trees | None = None) -> Trees:
     """Trees until the held-out loss hasn't fallen for ``patience`` of them, or ``iterations``; trees after the best one are dropped.
 
     ``held_out`` of 0 turns early stopping off, and no ``key`` is needed then. Rows without a label are no training rows; missing features are values of
-    their own, or those of ``fills``. ``depth`` bounds the splits above a leaf.
+    their own, or those of ``fills``. ``depth`` bounds the splits above a leaf. ``start``: what ``coded`` gives for the same rows and settings.
     """
-    known = df.where(F.col(f"`{label}`").isNotNull()).withColumn("__y", F.col(f"`{label}`").cast("double"))
-    # a fixed share of each class by hash: the same rows in every run
-    held = (F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit(seed)), F.lit(1_000_000)) < int(held_out * 1_000_000)).cast("int") if held_out else F.lit(0)
-    model, rows = coded(known.withColumn("__held", held), numeric, categorical, weight, bins, fills or {})
-    rows = staged(rows.groupBy("__y", "__held", *[f"__b{i}" for i in range(len(model.columns))]).agg(F.sum("__w").alias("__w"), F.count("*").alias("__n")), "codes")
+    model = replace(start or coded(df, numeric, categorical, label, key, weight, bins, held_out, seed, fills), trees=[], losses=[])
+    codes = [f"__b{i}" for i in range(len(model.columns))]
+    rows = staged(model.cells.groupBy("__y", "__held", *codes).agg(F.sum(F.col("__w") * F.col("__n")).alias("__w"), F.sum("__n").alias("__n")), "codes")
     total, positive = rows.where("__held = 0").agg(F.sum("__w"), F.sum(F.col("__w") * F.col("__y"))).first()
     if not total or not 0 < positive < total:
         raise ValueError("training rows need both classes")

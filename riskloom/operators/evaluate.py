@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import bands, special
 from riskloom.operators.aggregates import cumulative_share, r
 from riskloom.operators.audit import long_rows, unpivoted
-from riskloom.operators.boosting import Trees, fit_boosting
+from riskloom.operators.boosting import Trees, coded, fit_boosting
 from riskloom.operators.dealing import ArrayScore, dealt_aucs
 from riskloom.operators.forest import fit_forest
 from riskloom.operators.joins import small
@@ -98,9 +98,10 @@ def balanced_groups(df: DataFrame, split: str, label: str, group: str, seed: int
 # metrics
 
 
-def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve (ties by mid-rank), Gini, largest distance of the curves, average precision (steps)."""
-    t = score_table(df, score, label)
+def ranking_metrics(df: DataFrame, score: str, label: str, count: str | None = None) -> DataFrame:
+    """Area under the curve (ties by mid-rank), Gini, largest distance of the curves, average precision (steps). ``count``: how many rows a
+    row stands for."""
+    t = score_table(df, score, label, (), count)
     auc = F.sum(F.col("n1") * (F.col("neg") - F.col("fp") + F.col("n0") / 2.0)) / (F.max("pos").cast("double") * F.max("neg"))
     ks = F.max(F.abs(F.col("tp") / F.col("pos") - F.col("fp") / F.col("neg")))
     ap = F.sum(F.col("n1") / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -584,6 +585,20 @@ def fit_model(df: DataFrame, kind: str, columns: Sequence[str], label: str, weig
     return Pipeline(stages=[imputer(columns, middle), VectorAssembler(inputCols=[f"__f{i}" for i in range(len(columns))], outputCol="__x", handleInvalid="error"), LogisticRegression(**common, **({"maxIter": 100} | options))]).fit(known)
 
 
+def compared_models(df: DataFrame, columns: Sequence[str], label: str, weight: str, key: str) -> DataFrame:
+    """M8: ranking metrics of each of ``MODELS`` on the rows that it is fitted on. Forest and boosting share their cells, and the scores of trees are measured
+    over cells, so that only the logistic model's are made row by row."""
+    medians = feature_medians(df, columns, label)
+    start = coded(df, columns, [], label, weight=weight, fills={c: medians.get(c, 0.0) for c in columns})
+    out = None
+    for kind in MODELS:
+        model = fit_model(df, kind, columns, label, weight, key, medians, **({"start": start} if kind in ("forest", "boosting") else {}))
+        rows = ranking_metrics(model.scored_cells(), "p", "__y", "__n") if isinstance(model, Trees) else ranking_metrics(score_model(model, df.select(label, *columns), columns), "p", label)
+        row = rows.withColumn("model", F.lit(kind))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def score_model(model, df: DataFrame, columns: Sequence[str], name: str = "p") -> DataFrame:
     """Batch scores after a check that the features are there. Every row comes back with a score: missing features have the training rows' medians
     (or, in histograms, a way of their own)."""

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,10 +22,10 @@ SHARD_CELLS = 8192
 SCAN_SUMS = 1 << 22
 
 
-def cells_of(rows: DataFrame, columns: int) -> DataFrame:
+def in_shards(cells: DataFrame, columns: int) -> DataFrame:
     """``shard, block``: cells in shards by hash, each sorted, so that a shard's draws are the same in every run."""
     order = ["__y", *[f"__b{i}" for i in range(columns)], "__w"]
-    cells = staged(rows.groupBy(*order).agg(F.count("*").cast("double").alias("__n")), "cells")
+    cells = cells.select(*order, F.col("__n").cast("double").alias("__n"))
     shards = max(1, -(-cells.count() // SHARD_CELLS))
 
     def pack(table):
@@ -85,13 +86,12 @@ def sum_of(parts: list[np.ndarray], whole: int) -> np.ndarray:
     return total
 
 
-def fit_forest(df: DataFrame, numeric: Sequence[str], label: str, weight: str | None = None, trees: int = 300, depth: int = 6, least_rows: int = 50, bins: int = 255, seed: int = 1, fills: Mapping[str, float] | None = None) -> Trees:
+def fit_forest(df: DataFrame, numeric: Sequence[str], label: str, weight: str | None = None, trees: int = 300, depth: int = 6, least_rows: int = 50, bins: int = 255, seed: int = 1, fills: Mapping[str, float] | None = None, start: Trees | None = None) -> Trees:
     """``trees`` trees on resamples, Gini splits among about the root of the number of columns, chosen for each node (the others only if none of these splits it);
-    a leaf's value is its share of events, and the forest's probability the mean over trees. Rows without a label are no training rows."""
-    known = df.where(F.col(f"`{label}`").isNotNull()).withColumns({"__y": F.col(f"`{label}`").cast("double"), "__held": F.lit(0)})
-    model, rows = coded(known, numeric, [], weight, bins, fills or {})
-    model.votes, sizes = True, model.sizes
-    shards = cells_of(rows, len(sizes))
+    a leaf's value is its share of events, and the forest's probability the mean over trees. Rows without a label are no training rows. ``start``: what ``coded`` gives for the same rows and settings."""
+    model = replace(start or coded(df, numeric, [], label, weight=weight, bins=bins, fills=fills), votes=True)
+    sizes = model.sizes
+    shards = in_shards(model.cells, len(sizes))
     some = math.ceil(math.sqrt(len(sizes)))
     forest, wanted = [[Node(0.0, 0.0, 0)] for _ in range(trees)], [[0] for _ in range(trees)]
     for _ in range(depth):

@@ -160,12 +160,13 @@ def cut_points(df: DataFrame, columns: Sequence[str], bins: int) -> dict[str, li
     return {c: sorted(v) for c, v in out.items()}
 
 
-def score_table(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+def score_table(df: DataFrame, score: str, label: str, by: Sequence[str] = (), count: str | None = None) -> DataFrame:
     """One row per distinct score (of each group), highest first by running counts: ``by, score, n1, n0, tp, fp, pos, neg``.
 
-    Ties are one row, so everything built on it treats them exactly. The scores of a group may lie in many tasks.
+    Ties are one row, so everything built on it treats them exactly. The scores of a group may lie in many tasks. ``count``: how many rows a row stands for.
     """
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    counts = known.groupBy(*map(_name, by), F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("n1"), F.sum(1 - F.col(label).cast("long")).alias("n0"))
+    y, n = F.col(label).cast("long"), F.col(count) if count else F.lit(1)
+    counts = known.groupBy(*map(_name, by), F.col(score).cast("double").alias("score")).agg(F.sum(y * n).alias("n1"), F.sum((1 - y) * n).alias("n0"))
     run = with_totals(prefix_sums(counts, by, [F.desc("score")], ["n1", "n0"]), by, {"pos": F.sum("n1"), "neg": F.sum("n0")})
     return run.select(*map(_name, by), "score", "n1", "n0", (F.col("n1_before") + F.col("n1")).alias("tp"), (F.col("n0_before") + F.col("n0")).alias("fp"), F.coalesce("pos", F.lit(0)).cast("long").alias("pos"), F.coalesce("neg", F.lit(0)).cast("long").alias("neg"))

@@ -80,13 +80,7 @@ def m7b(t):
 
 @query("m8_models")
 def m8(t):
-    s = E.class_weights(t.scored().select("key", "label", *_FEATURES), "label")
-    medians = E.feature_medians(s, _FEATURES, "label")
-    features, out = s.select("label", *_FEATURES), None
-    for kind in E.MODELS:
-        row = E.ranking_metrics(E.score_model(E.fit_model(s, kind, _FEATURES, "label", "w", "key", medians), features, _FEATURES), "p", "label").withColumn("model", F.lit(kind))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return E.compared_models(E.class_weights(t.scored().select("key", "label", *_FEATURES), "label"), _FEATURES, "label", "w", "key")
 
 
 @query("m8_histogram_boosting")

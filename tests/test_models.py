@@ -324,3 +324,16 @@ def test_boosting_to_a_depth_scans_no_last_level(spark, monkeypatch):
     monkeypatch.setattr(B, "histograms", lambda *a, **k: scans.append(len(a[3])) or plain(*a, **k))
     model = B.fit_boosting(df, ["x", "z"], [], "y", None, iterations=4, most_leaves=8, depth=3, least_rows=1, l2=0.0, held_out=0.0)
     assert len(model.trees) == 4 and len(scans) == 12 and all(max(x.depth for x in t) == 3 for t in model.trees)
+
+
+def test_metrics_of_cells_are_those_of_rows(spark, monkeypatch):
+    df, _ = frame(spark, 400)
+    df, columns = df.withColumn("w", F.when(F.col("y") == 1, 1.5).otherwise(0.75)).select("key", "y", "w", "x", "z"), ["x", "z"]
+    for kind, few in (("forest", {"trees": 4}), ("boosting", {"iterations": 4}), ("histogram", {"iterations": 4, "least_rows": 20})):
+        model = E.fit_model(df, kind, columns, "y", "w", "key", **few)
+        assert E.ranking_metrics(model.scored_cells(), "p", "__y", "__n").collect() == E.ranking_metrics(E.score_model(model, df, columns), "p", "y").collect()
+    start = B.coded(df, columns, [], "y", weight="w", fills={"x": 0.0, "z": 0.0})
+    passes = []
+    monkeypatch.setattr(B, "coded", lambda *a, **k: passes.append(1))
+    few = {"iterations": 2, "held_out": 0.0, "least_rows": 20, "start": start}
+    assert len(B.fit_boosting(df, columns, [], "y", None, "w", **few).trees) == 2 and not passes and start.trees == []
