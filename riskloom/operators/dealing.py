@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Places of a block: they and their counts fit 16 bits.
@@ -22,6 +23,11 @@ SENT_CELLS, RANGE_ROWS = 1 << 23, 1 << 21
 EDGE_ROWS = 20_000
 #: Rounds of the keyed permutation.
 ROUNDS = 4
+#: Dealings that go through the exchanges at a time where the table is large, and rows times dealings up to which it isn't: what the exchanges hold on disk is a few
+#: times the table's columns, however many dealings there are.
+DEALS_AT_A_TIME, FEW_CELLS = 10, 1 << 27
+#: What numbers are sent as when that loses nothing: a type, and what they are multiplied by.
+KINDS = ((np.uint8, 1), (np.uint8, 100), (np.uint16, 1), (np.uint16, 100), (np.uint32, 1), (np.uint32, 100), (np.float32, 1), (np.float64, 1))
 
 
 def _rotated(x: np.ndarray, by: int) -> np.ndarray:
@@ -97,6 +103,36 @@ class Dealing:
         return self._inside(place, self._turned_back)
 
 
+def narrowed(x: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first of ``KINDS`` that holds every number exactly, and the numbers in it."""
+    for kind, (of, scale) in enumerate(KINDS[:-1]):
+        with np.errstate(over="ignore", invalid="ignore"):
+            if np.issubdtype(of, np.integer):
+                y = np.rint(x * scale)
+                if not ((y >= 0) & (y <= np.iinfo(of).max)).all():
+                    continue
+            else:
+                y = x
+            y = y.astype(of)
+        if np.array_equal(y.astype(np.float64) / scale, x, equal_nan=True):
+            return kind, y
+    return len(KINDS) - 1, x
+
+
+def widened(kind: int, x) -> np.ndarray:
+    of, scale = KINDS[kind]
+    return np.frombuffer(x, of).astype(np.float64) / scale
+
+
+def planes(p: np.ndarray) -> bytes:
+    """Numbers in order as differences of their bits, first bytes first: those are nearly all zero, and the exchange's compression takes them."""
+    return np.diff(p.view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def of_planes(x) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64).view(np.float64)
+
+
 @dataclass(frozen=True)
 class ArrayScore:
     """A logistic model's probability over arrays of its columns, missing values filled, as the fitted model computes it."""
@@ -113,21 +149,22 @@ class ArrayScore:
             return 1.0 - 1.0 / (1.0 + np.exp(z + self.intercept))
 
 
-def _sent(names: Sequence[str], label: str, place: str, n: int, salts: Sequence[Sequence[int]], size: int, cells: int):
-    """Rows to pieces: ``block``, own columns of its places, and for each dealing how many values come, their places and the values."""
+def _sent(names: Sequence[str], label: str, place: str, n: int, some: Sequence[tuple[int, int]], size: int, cells: int):
+    """Rows to pieces: ``block``, own columns of its places, what they are sent as, and for each dealing (column, salt) how many values come, their places and
+    the values."""
 
     def run(batches):
         import pyarrow as pa
 
         from riskloom.operators.fits import arrays_of
 
-        deals = [(c, Dealing(n, salt)) for c, of in enumerate(salts) for salt in of]
+        deals = [(c, Dealing(n, salt)) for c, salt in some]
         most = max(1, cells // max(1, len(deals)))
 
         def pieces(held):
             a = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
             at, y = a[place].astype(np.int64), a[label].astype(np.uint8)
-            values = [a[c].astype(np.float64) for c in names]
+            kinds, values = zip(*[narrowed(a[c].astype(np.float64)) for c in names], strict=True)
 
             def cut(target):
                 order = np.argsort(target)
@@ -147,15 +184,15 @@ def _sent(names: Sequence[str], label: str, place: str, n: int, salts: Sequence[
                 ids, starts = np.unique(block, return_index=True)
                 for b, i, j in zip(ids.tolist(), starts, [*starts[1:], len(block)], strict=True):
                     _, counts, places, moved = parts.setdefault(b, ([], [], [], []))
-                    counts.append((k, j - i))
+                    counts.append((k, j - i, kinds[c]))
                     places.append(offset[i:j].tobytes())
                     moved.append(value[i:j].tobytes())
             blocks = list(parts)
             for i in range(0, len(blocks), 64):
                 some = [parts.pop(b) for b in blocks[i : i + 64]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks[i : i + 64], pa.int32()), pa.array([b"".join(p[0]) for p in some], pa.binary()), pa.array([np.array(p[1], np.int32).tobytes() for p in some], pa.binary()), pa.array([b"".join(p[2]) for p in some], pa.binary()), pa.array([b"".join(p[3]) for p in some], pa.binary())],
-                    ["block", "own", "counts", "places", "moved"],
+                    [pa.array(blocks[i : i + 64], pa.int32()), pa.array([b"".join(p[0]) for p in some], pa.binary()), pa.array([bytes(kinds)] * len(some), pa.binary()), pa.array([np.array(p[1], np.int32).tobytes() for p in some], pa.binary()), pa.array([b"".join(p[2]) for p in some], pa.binary()), pa.array([b"".join(p[3]) for p in some], pa.binary())],
+                    ["block", "own", "kinds", "counts", "places", "moved"],
                 )
 
         held, rows = [], 0
@@ -172,8 +209,9 @@ def _sent(names: Sequence[str], label: str, place: str, n: int, salts: Sequence[
     return run
 
 
-def _scored(score, columns: int, n: int, of_deal: Sequence[int], edges: Sequence[np.ndarray], most: int):
-    """A block's pieces to distinct scores with their labels' counts, by dealing (-1: as it is) and range."""
+def _scored(score, columns: int, n: int, of_deal: Sequence[int], edges: Sequence[np.ndarray], most: int, first: int):
+    """A block's pieces to distinct scores with their labels' counts, by dealing and range; dealings are numbered from ``first``, and with 0 comes -1, the rows as
+    they are."""
 
     def run(key, table):
         import pyarrow as pa
@@ -181,31 +219,35 @@ def _scored(score, columns: int, n: int, of_deal: Sequence[int], edges: Sequence
         size = min(most, n - key[0].as_py() * most)
         own, y = [np.full(size, np.nan) for _ in range(columns)], np.zeros(size, np.uint8)
         filled = 0
-        for x in table.column("own"):
-            x = x.as_buffer()
-            if not x.size:
+        for x, kinds in zip(table.column("own"), table.column("kinds"), strict=True):
+            x, kinds = x.as_buffer(), kinds.as_py()
+            widths = [np.dtype(KINDS[k][0]).itemsize for k in kinds]
+            m, begin = x.size // (3 + sum(widths)), 0
+            if not m:
                 continue
-            m = x.size // (3 + 8 * columns)
             at = np.frombuffer(x, np.uint16, m)
             filled += m
             y[at] = np.frombuffer(x, np.uint8, m, 2 * m)
-            for i in range(columns):
+            begin = 3 * m
+            for i, (kind, width) in enumerate(zip(kinds, widths, strict=True)):
                 # values aren't aligned to their size here
-                own[i][at] = np.frombuffer(x, np.uint8, 8 * m, (3 + 8 * i) * m).copy().view(np.float64)
+                own[i][at] = widened(kind, np.frombuffer(x, np.uint8, width * m, begin).tobytes())
+                begin += width * m
         dealt = np.full((len(of_deal), size), np.nan)
         got = np.zeros(len(of_deal), np.int64)
         for counts, places, moved in zip(table.column("counts"), table.column("places"), table.column("moved"), strict=True):
-            counts = np.frombuffer(counts.as_buffer(), np.int32).reshape(-1, 2)
-            places, moved = np.frombuffer(places.as_buffer(), np.uint16), np.frombuffer(moved.as_buffer(), np.uint8).view(np.float64)
-            begin = 0
-            for k, m in counts.tolist():
-                dealt[k, places[begin : begin + m]] = moved[begin : begin + m]
+            counts = np.frombuffer(counts.as_buffer(), np.int32).reshape(-1, 3)
+            places, moved = np.frombuffer(places.as_buffer(), np.uint16), moved.as_buffer()
+            begin = taken = 0
+            for k, m, kind in counts.tolist():
+                width = m * np.dtype(KINDS[kind][0]).itemsize
+                dealt[k, places[begin : begin + m]] = widened(kind, moved.slice(taken, width).to_pybytes())
                 got[k] += m
-                begin += m
+                begin, taken = begin + m, taken + width
         if filled != size or (got != size).any():
             raise RuntimeError("a block lacks values")
         out = []
-        for k in range(-1, len(of_deal)):
+        for k in range(-1 if first == 0 else 0, len(of_deal)):
             arrays = list(own)
             if k >= 0:
                 arrays[of_deal[k]] = dealt[k]
@@ -219,7 +261,7 @@ def _scored(score, columns: int, n: int, of_deal: Sequence[int], edges: Sequence
             cuts = np.r_[0, np.searchsorted(p, edges[of_deal[k] if k >= 0 else columns]), len(p)]
             for b in np.flatnonzero(np.diff(cuts)):
                 i, j = cuts[b], cuts[b + 1]
-                out.append((k, int(b), p[i:j].tobytes(), n1[i:j].astype(np.uint16).tobytes(), n0[i:j].astype(np.uint16).tobytes()))
+                out.append((first + k, int(b), planes(p[i:j]), n1[i:j].astype(np.uint16).tobytes(), n0[i:j].astype(np.uint16).tobytes()))
         k, b, p, n1, n0 = zip(*out, strict=True)
         return pa.table({"deal": pa.array(k, pa.int32()), "range": pa.array(b, pa.int32()), "scores": pa.array(p, pa.binary()), "n1": pa.array(n1, pa.binary()), "n0": pa.array(n0, pa.binary())})
 
@@ -231,7 +273,7 @@ def _counted(key, table):
     import pyarrow as pa
 
     whole = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).view(kind) for x in table.column(c)])
-    p = whole("scores", np.float64)
+    p = np.concatenate([of_planes(x.as_buffer()) for x in table.column("scores")])
     order = np.argsort(p)
     p, n1, n0 = p[order], whole("n1", np.uint16)[order].astype(np.int64), whole("n0", np.uint16)[order].astype(np.int64)
     starts = np.flatnonzero(np.r_[True, ~((p[1:] == p[:-1]) | (np.isnan(p[1:]) & np.isnan(p[:-1])))])
@@ -258,11 +300,30 @@ def dealt_aucs(ranked: DataFrame, n: int, place: str, columns: Sequence[str], la
             arrays[c] = np.random.default_rng(c).permutation(some[c])
         p = score(arrays) if len(some[0]) else np.zeros(1)
         edges.append(np.unique(np.quantile(p[~np.isnan(p)], share)) if len(share) and not np.isnan(p).all() else np.zeros(0))
-    of_deal = [c for c, of in enumerate(salts) for _ in of]
-    pieces = rows.mapInArrow(_sent(names, "__y", "__at", n, salts, BLOCK, SENT_CELLS), "block int, own binary, counts binary, places binary, moved binary")
-    scores = pieces.groupBy("block").applyInArrow(_scored(score, len(columns), n, of_deal, edges, BLOCK), "deal int, range int, scores binary, n1 binary, n0 binary")
-    ranges = scores.groupBy("deal", "range").applyInArrow(_counted, "deal int, range int, pos long, neg long, twice long")
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("deal").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # a row for each dealing and range
-    pairs = ranges.select("deal", "pos", "neg", (F.col("twice") / 2.0 + F.col("pos").cast("double") * below).alias("pairs"))
-    return pairs.groupBy("deal").agg((F.sum("pairs") / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos > 0 and neg > 0").select("deal", "auc")
+    deals = [(c, salt) for c, of in enumerate(salts) for salt in of]
+    step = max(DEALS_AT_A_TIME, FEW_CELLS // max(1, n))
+    found = []
+    with cleaned_exchanges(ranked.sparkSession):
+        for first in range(0, max(1, len(deals)), step):
+            some = deals[first : first + step]
+            pieces = rows.mapInArrow(_sent(names, "__y", "__at", n, some, BLOCK, SENT_CELLS), "block int, own binary, kinds binary, counts binary, places binary, moved binary")
+            scores = pieces.groupBy("block").applyInArrow(_scored(score, len(columns), n, [c for c, _ in some], edges, BLOCK, first), "deal int, range int, scores binary, n1 binary, n0 binary")
+            ranges = scores.groupBy("deal", "range").applyInArrow(_counted, "deal int, range int, pos long, neg long, twice long")
+            below = F.coalesce(F.sum("neg").over(Window.partitionBy("deal").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            # a row for each dealing and range
+            pairs = ranges.select("deal", "pos", "neg", (F.col("twice") / 2.0 + F.col("pos").cast("double") * below).alias("pairs"))
+            auc = (F.sum("pairs") / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc")
+            found += pairs.groupBy("deal").agg(auc, F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos > 0 and neg > 0").select("deal", "auc").collect()  # a row a dealing
+    return ranked.sparkSession.createDataFrame(found, "deal int, auc double")
+
+
+@contextmanager
+def cleaned_exchanges(spark: SparkSession):
+    """Queries inside give the disk of their exchanges back when they end, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

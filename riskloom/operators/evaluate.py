@@ -13,7 +13,7 @@ from riskloom.functions import bands, special
 from riskloom.operators.aggregates import cumulative_share, r
 from riskloom.operators.audit import long_rows, unpivoted
 from riskloom.operators.boosting import Trees, coded, fit_boosting
-from riskloom.operators.dealing import ArrayScore, dealt_aucs
+from riskloom.operators.dealing import ArrayScore, cleaned_exchanges, dealt_aucs
 from riskloom.operators.forest import fit_forest
 from riskloom.operators.joins import small
 from riskloom.operators.ordered import prefix_sums, quantile_list, quantiles, score_table, with_global_rank, with_group_rank, with_totals
@@ -441,7 +441,8 @@ def permutation_importance(score, df: DataFrame, columns: Sequence[str], label:
     same dealings go through blocks of numbers (``dealing``).
     """
     known = df.where(F.col(label).isNotNull()).select(key, label, *columns)
-    ranked, n = with_global_rank(known, [key], "__r")
+    with cleaned_exchanges(df.sparkSession):
+        ranked, n = with_global_rank(known, [key], "__r", [label, *columns])
     if not n:
         return df.sparkSession.createDataFrame([], "variable string, auc_drop double, sd double, repeats long")
     ranked = ranked.withColumn("__r", F.col("__r") - 1)

@@ -24,12 +24,14 @@ def _name(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def with_global_rank(df: DataFrame, order: Sequence[str], name: str = "rank") -> tuple[DataFrame, int]:
-    """Adds the 1-based rank in the order of the columns (which must be unique together), and returns the number of rows.
+def with_global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", keep: Sequence[str] | None = None) -> tuple[DataFrame, int]:
+    """Adds the 1-based rank in the order of the columns (which must be unique together), and returns the number of rows. ``keep``: the columns that are
+    written, if not all.
 
     Rows are numbered where the range exchange has put them, so there is one exchange.
     """
-    parts = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = staged((sorted_rows if keep is None else sorted_rows.select(*map(_name, keep))).withColumn("__at", F.monotonically_increasing_id()), "ranked")
     nth, place = F.shiftright("__at", _BITS), F.col("__at").bitwiseAND(2**_BITS - 1)
     starts, at = [], 0
     for part, n in sorted(parts.groupBy(nth.alias("nth")).agg(F.count("*").alias("n")).collect()):  # one row per partition

@@ -337,3 +337,32 @@ def test_metrics_of_cells_are_those_of_rows(spark, monkeypatch):
     monkeypatch.setattr(B, "coded", lambda *a, **k: passes.append(1))
     few = {"iterations": 2, "held_out": 0.0, "least_rows": 20, "start": start}
     assert len(B.fit_boosting(df, columns, [], "y", None, "w", **few).trees) == 2 and not passes and start.trees == []
+
+
+@pytest.mark.parametrize("values, kind", [([1.0, 50.0], 0), ([0.07, 0.1, 0.29], 1), ([300.0, 2.0], 2), ([655.35, 1.1], 3), ([901.99, 104949.5], 5), ([0.5, math.nan, -1.0], 6), ([0.1, math.nan], 7), ([math.inf, 1e300], 7), ([1e10 / 3], 7)])
+def test_numbers_are_sent_narrow_and_whole(values, kind):
+    from riskloom.operators import dealing as D
+
+    found, x = D.narrowed(np.array(values))
+    assert found == kind and np.array_equal(D.widened(found, x.tobytes()), np.array(values), equal_nan=True)
+    p = np.sort(np.array([-2.0, 0.0, *values]))
+    assert np.array_equal(D.of_planes(D.planes(p)), p, equal_nan=True)
+
+
+def test_dealings_go_in_slices_and_leave_no_exchange(spark, monkeypatch):
+    from riskloom.operators import dealing as D
+
+    df, _ = frame(spark, 500)
+    score = D.ArrayScore((0.25, 0.0), (1.5, -0.5), 0.1)
+    run = lambda: E.permutation_importance(score, df, ["x", "z"], "y", "key", 4).collect()
+    want, plain, slices = run(), D._sent, []
+    monkeypatch.setattr(D, "_sent", lambda *a: slices.append(len(a[4])) or plain(*a))
+    monkeypatch.setattr(D, "DEALS_AT_A_TIME", 3)
+    monkeypatch.setattr(D, "FEW_CELLS", 0)
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    assert sorted(run()) == sorted(want) and slices == [3, 3, 2]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+    seen = []
+    monkeypatch.setattr(E, "dealt_aucs", lambda ranked, *a: seen.append(ranked.columns) or D.dealt_aucs(ranked, *a))
+    run()
+    assert seen == [["y", "x", "z", "__r"]]  # the key isn't written
